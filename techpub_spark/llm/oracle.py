@@ -48,5 +48,16 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base
 FROM v
 """
 
+OP4 = """
+WITH p AS (
+  SELECT page_id, strlen(coalesce(html, '')) AS payload_bytes, sha1(coalesce(html, '')) AS payload_digest FROM pages
+), w AS (
+  SELECT *, CASE WHEN payload_bytes >= 1000 THEN max(page_id) OVER (PARTITION BY payload_digest) ELSE page_id END AS rep FROM p
+)
+SELECT page_id, payload_bytes, payload_digest, CASE WHEN rep = page_id THEN 'response' ELSE 'revisit' END AS record_type,
+       CASE WHEN rep <> page_id THEN rep END AS refers_to
+FROM w
+"""
+
 #: Query name -> SQL.
-ORACLES = {"op9_quality_rules": OP9}
+ORACLES = {"op4_warc": OP4, "op9_quality_rules": OP9}
