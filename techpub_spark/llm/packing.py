@@ -16,8 +16,11 @@ length is encoded whole.
 from __future__ import annotations
 
 import math
+import os
 import re
+import unicodedata
 import zlib
+from array import array
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -29,7 +32,9 @@ from pyspark.sql import functions as F
 
 #: Fixed value: the white space of the tokenizer's own split; str.split() also splits at x1c to x1f.
 SPLIT = re.compile("[\t-\r \x85\xa0  -     　]+")
-ODD = re.compile("[\x1c-\x1f]")
+ODD = re.compile("[\x1c-\x1f\u0130\u03a3]")
+#: A stop or comma that ends a word of plain letters: a token of its own wherever white space follows.
+STOP = re.compile(r"(?<=[a-zà-öø-ÿ])([.,])(?=\s|$)")
 
 MASK = (1 << 64) - 1
 
@@ -45,17 +50,24 @@ def mixed(a: int, b: int) -> int:
 class WordEncoder:
     """Ids of a text as little-endian 32-bit bytes, by encoding each distinct word once.
 
-    The tokenizer's splitter never joins characters across white space, so the ids of a text are those
-    of its words in order; ``tests`` hold this against whole-text encoding.  The cache is bounded.
+    The tokenizer lowers case and its splitter never joins characters across white space, nor a letter
+    with a stop, so the ids of a text are those of its lower-case words in order; the tests hold this
+    against whole-text encoding.  The cache is bounded.
     """
 
-    def __init__(self, path: str, most: int = 400_000):
+    def __init__(self, path: str, most: int = 1_000_000):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark's tasks are the parallelism
         from tokenizers import Tokenizer
 
         self.tok = Tokenizer.from_file(path)
         self.tok.encode_special_tokens = True
         self.most, self.seen = most, {}
 
+    def words(self, text: str) -> list[str]:
+        if ODD.search(text) or not unicodedata.is_normalized("NFC", text):
+            return [w for w in SPLIT.split(text) if w]
+        return STOP.sub(r" \1", text.lower()).split()
+
     def learn(self, words: set[str]) -> None:
         new = [w for w in words if w not in self.seen]
         if len(self.seen) + len(new) > self.most:
@@ -64,18 +76,15 @@ class WordEncoder:
         for i in range(0, len(new), 4096):
             part = new[i : i + 4096]
             for w, e in zip(part, self.tok.encode_batch_fast(part, add_special_tokens=False), strict=True):
-                self.seen[w] = b"".join([x.to_bytes(4, "little") for x in e.ids])
+                self.seen[w] = array("I", e.ids).tobytes()
 
-    def encode(self, texts: list[str]) -> list[bytes]:
-        out = []
-        for text in texts:
-            words = SPLIT.split(text) if ODD.search(text) else text.split()
-            try:
-                out.append(b"".join([self.seen[w] for w in words]))
-            except KeyError:
-                self.learn(set(words))
-                out.append(b"".join([self.seen[w] for w in words]))
-        return out
+    def encode(self, text: str) -> bytes:
+        words, seen = self.words(text), self.seen
+        got = list(map(seen.get, words))
+        if None in got:
+            self.learn(set(words))
+            got = list(map(seen.get, words))
+        return b"".join(got)
 
 
 @lru_cache(maxsize=2)
@@ -133,7 +142,7 @@ def encoded_pieces(docs: DataFrame, capacity: int, end_id: int, groups: int, see
         for batch in batches:
             keys, starts, lengths, sums, totals, dealt = [], [], [], [], [], []
             for k, text in enumerate(batch.column(1)):
-                ids = enc.encode([text.as_py() or ""])[0] + end
+                ids = enc.encode(text.as_py() or "") + end
                 total = len(ids) // 4
                 n += 1
                 for at in range(0, total, capacity):

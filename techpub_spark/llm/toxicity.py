@@ -30,6 +30,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import stored
+
 #: Look-alikes of Latin letters, and signs used for letters inside words.
 LOOKS = dict(zip("авекмнорстухіѕјԁɡαβεικνορτυχ", "abekmhopctyxisjdgabeiknoptux", strict=True))
 DIGITS = str.maketrans("013457@$", "oieastas")
@@ -124,15 +126,20 @@ def fit(base: float, slope: float, data: list[tuple[float, int]], rounds: int =
     return base, slope
 
 
-def train(docs: DataFrame, labels: DataFrame, max_rows: int = 20_000, max_terms: int = 5_000, least: int = 4, purity: float = 0.9, exceptions: tuple[str, ...] = ()) -> Model:
-    """Learn the lexicon, its weights and the score's coefficients from at most ``max_rows`` labelled rows."""
+def train(docs: DataFrame, labels: DataFrame, max_rows: int = 20_000, max_terms: int = 5_000, least: int = 4, purity: float = 0.99, common: float = 0.04, exceptions: tuple[str, ...] = ()) -> Model:
+    """Learn the lexicon, its weights and the score's coefficients from at most ``max_rows`` labelled rows.
+
+    A term needs ``least`` toxic documents and ``purity``; it enters if it is in a share ``common`` of the
+    toxic documents or explains one that no other term explains.
+    """
     y = (
         labels.where("toxic is not null and doc_id is not null")
         .where(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4 != 2)
         .groupBy("doc_id").agg(F.max("toxic").alias("y"))
         .orderBy(F.xxhash64("doc_id", F.lit(11)), "doc_id").limit(max_rows)
     )
-    sample = docs.select("doc_id", "text").join(F.broadcast(y), "doc_id").select("text", "y")  # at most max_rows short rows
+    # the bounded sample is read once from the documents and kept
+    sample = stored(docs.select("doc_id", "text").join(F.broadcast(y), "doc_id").select("text", F.col("y").cast("int").alias("y")), "toxic_sample")
 
     def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -155,8 +162,16 @@ def train(docs: DataFrame, labels: DataFrame, max_rows: int = 20_000, max_terms:
     )
     good = {r["term"]: r["weight"] for r in found}
     # the shortest pure beginning stands for its extensions
-    weights = {t: w for t, w in good.items() if t[:-1] not in good}
-    model = Model(weights, exceptions)
+    short = {t: w for t, w in good.items() if t[:-1] not in good}
+
+    def holds(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([sorted(terms_of(fold(t or "")) & short.keys()) for t in batch.column(0).to_pylist()], pa.list_(pa.string()))], names=["terms"])
+
+    # at most max_rows short lists: which of the terms each toxic document of the sample holds
+    lists = [set(r["terms"]) for r in sample.where("y > 0").select("text").mapInArrow(holds, "terms array<string>").collect()]
+    often = {t for t in short if sum(t in x for x in lists) >= max(least, common * len(lists))}
+    model = Model({t: short[t] for t in sorted(often | set(cover(lists, short, 1)))}, exceptions)
 
     def probe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         auto = model.automaton()
@@ -169,7 +184,7 @@ def train(docs: DataFrame, labels: DataFrame, max_rows: int = 20_000, max_terms:
                 near.append(phrases(folded, model, auto) if n else [])
             yield pa.RecordBatch.from_arrays([pa.array(xs, pa.float64()), batch.column(1), pa.array(near, pa.list_(pa.string()))], names=["x", "y", "near"])
 
-    seen = sample.withColumn("y", F.col("y").cast("int")).mapInArrow(probe, "x double, y int, near array<string>")
+    seen = sample.mapInArrow(probe, "x double, y int, near array<string>")
     harmless = (
         seen.select("y", F.explode("near").alias("phrase")).groupBy("phrase")
         .agg(F.count_if(F.col("y") > 0).alias("bad"), F.count_if(F.col("y") == 0).alias("ok"))
@@ -182,6 +197,26 @@ def train(docs: DataFrame, labels: DataFrame, max_rows: int = 20_000, max_terms:
     return model
 
 
+def cover(lists: list[set[str]], weights: dict[str, float], least: int) -> list[str]:
+    """Terms that each explain at least ``least`` documents that no term before explains.
+
+    Copies of one toxic document share all their words; once its true term is taken, the others explain
+    nothing more.
+    """
+    left = [set(x) for x in lists]
+    out = []
+    while True:
+        n: dict[str, int] = {}
+        for x in left:
+            for t in x:
+                n[t] = n.get(t, 0) + 1
+        best = max(n, key=lambda t: (n[t], weights[t], t), default=None)
+        if best is None or n[best] < least:
+            return out
+        out.append(best)
+        left = [x for x in left if best not in x]
+
+
 def phrases(folded: str, model: Model, automaton) -> list[str]:
     """The two-word phrases around each hit."""
     out = []
