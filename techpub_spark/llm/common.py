@@ -77,3 +77,31 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     else:
         raise RuntimeError("components did not settle")
     return cur.select(F.col("a").alias("node"), F.col("b").alias("root")).union(cur.select(F.col("b"), F.col("b")).distinct())
+
+
+def bucket_edges(members: DataFrame, verify, threshold: float, prune: bool) -> DataFrame:
+    """Verified links (``a``, ``b``) that connect all that is alike within each bucket, without all pairs.
+
+    ``members``: ``bucket`` and ``id``; ``verify`` maps distinct pairs (a, b) to (a, b, sim).  Each member is
+    compared with the smallest id of its bucket (a star, linear in the bucket).  A member that fails is then
+    compared with every other member of the bucket that it may still be linked to: two members that both
+    match the centre are connected through it, so no link between components is lost.  With ``prune``
+    (1 - sim is a metric) only members whose distance from the centre differs by at most the threshold's
+    distance are compared.  Only false candidates cause such rows; buckets of true copies never do.
+    """
+    from pyspark.sql import Window
+
+    star = stored(
+        members.withColumn("centre", F.min("id").over(Window.partitionBy("bucket"))).where("id <> centre").select("bucket", "centre", "id").distinct(),
+        "star",
+    )
+    got = stored(verify(star.select(F.col("centre").alias("a"), F.col("id").alias("b")).distinct()), "verified")
+    scored = star.join(got, (F.col("centre") == F.col("a")) & (F.col("id") == F.col("b"))).select("bucket", "id", "sim")
+    near = F.abs(F.col("y.sim") - F.col("x.sim")) <= 1 - threshold + 1e-9 if prune else F.lit(True)
+    again = (
+        scored.where(F.col("sim") < threshold).alias("y")
+        .join(scored.alias("x"), (F.col("y.bucket") == F.col("x.bucket")) & (F.col("y.id") != F.col("x.id")) & near)
+        .select(F.least("y.id", "x.id").alias("a"), F.greatest("y.id", "x.id").alias("b")).distinct()
+        .join(got.select("a", "b"), ["a", "b"], "left_anti")
+    )
+    return got.unionByName(verify(again)).where(F.col("sim") >= threshold).select("a", "b")

@@ -13,6 +13,12 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
+def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .line_dedup import line_classes
+
+    return line_classes(_table(spark, sf_dir, "documents")).drop("row_key")
+
+
 def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .token_counts import count_tokens
 
@@ -31,6 +37,12 @@ def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return round_trip(spark, _table(spark, sf_dir, "pages"))
 
 
+def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .decontaminate import find_leaks
+
+    return find_leaks(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
 def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .toxicity import score_toxicity, train
 
@@ -38,6 +50,12 @@ def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_toxicity(docs, train(docs, _table(spark, sf_dir, "labels")))
 
 
+def op7_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .near_dedup import document_classes
+
+    return document_classes(_table(spark, sf_dir, "documents")).select("doc_id", "class_id", "class_rows", "kept")
+
+
 def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .pii import find_pii
 
