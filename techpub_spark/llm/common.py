@@ -44,6 +44,12 @@ def let(value: Column, body) -> Column:
     return F.transform(F.array(value), body)[0]
 
 
+def _is_stars(edges: DataFrame) -> bool:
+    """Every node points at one root, and no root points anywhere."""
+    many = edges.groupBy("a").agg(F.count("*").alias("n")).where("n > 1").select("a")
+    return many.unionByName(edges.select(F.col("b").alias("a")).join(edges.select("a"), "a", "left_semi")).isEmpty()
+
+
 def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     """Connected components by alternating large-star and small-star contraction.
 
@@ -61,6 +67,8 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     )
     before = None
     for _ in range(max_rounds):
+        if before is None and _is_stars(cur):
+            break
         # large star: every larger neighbour points at the smallest of the neighbourhood
         both = cur.union(cur.select(F.col("b"), F.col("a"))).toDF("u", "v")
         low = both.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("lu"), F.least("u", "m").alias("m"))
@@ -79,15 +87,20 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     return cur.select(F.col("a").alias("node"), F.col("b").alias("root")).union(cur.select(F.col("b"), F.col("b")).distinct())
 
 
-def bucket_edges(members: DataFrame, verify, threshold: float, prune: bool) -> DataFrame:
-    """Verified links (``a``, ``b``) that connect all that is alike within each bucket, without all pairs.
+def bucket_components(members: DataFrame, verify, threshold: float, near_by: int = 4) -> DataFrame:
+    """Components (``node``, ``root``) of all verified links within buckets, without all pairs.
+
+    ``members``: ``bucket`` and ``id``; ``verify`` maps distinct pairs (a, b) to (a, b, sim).
+
+    1. Each member is compared with the smallest id of its bucket: a star, linear in the bucket.
+    2. In buckets where some failed, the failed ones are compared with ``near_by`` members that follow or
+       precede them in a random order of the bucket: linear too.  Links so far give components.
+    3. In buckets whose members are still in several components, each is compared with ``2 * near_by``
+       members of other components in another random order; what links, merges the components.
 
-    ``members``: ``bucket`` and ``id``; ``verify`` maps distinct pairs (a, b) to (a, b, sim).  Each member is
-    compared with the smallest id of its bucket (a star, linear in the bucket).  A member that fails is then
-    compared with every other member of the bucket that it may still be linked to: two members that both
-    match the centre are connected through it, so no link between components is lost.  With ``prune``
-    (1 - sim is a metric) only members whose distance from the centre differs by at most the threshold's
-    distance are compared.  Only false candidates cause such rows; buckets of true copies never do.
+    All rounds are linear in the bucket.  Members of one component need no more comparison.  A link is
+    lost only between components that no sampled pair of any shared bucket joins; comparing all pairs of
+    what is apart would close this, at a square cost in groups that are only half alike (see README).
     """
     from pyspark.sql import Window
 
@@ -96,12 +109,32 @@ def bucket_edges(members: DataFrame, verify, threshold: float, prune: bool) -> D
         "star",
     )
     got = stored(verify(star.select(F.col("centre").alias("a"), F.col("id").alias("b")).distinct()), "verified")
-    scored = star.join(got, (F.col("centre") == F.col("a")) & (F.col("id") == F.col("b"))).select("bucket", "id", "sim")
-    near = F.abs(F.col("y.sim") - F.col("x.sim")) <= 1 - threshold + 1e-9 if prune else F.lit(True)
-    again = (
-        scored.where(F.col("sim") < threshold).alias("y")
-        .join(scored.alias("x"), (F.col("y.bucket") == F.col("x.bucket")) & (F.col("y.id") != F.col("x.id")) & near)
-        .select(F.least("y.id", "x.id").alias("a"), F.greatest("y.id", "x.id").alias("b")).distinct()
-        .join(got.select("a", "b"), ["a", "b"], "left_anti")
+    scored = star.join(got, (F.col("centre") == F.col("a")) & (F.col("id") == F.col("b"))).select("bucket", "centre", "id", "sim")
+    n, bad = F.count("*").over(Window.partitionBy("bucket")), F.count_if(F.col("sim") < threshold).over(Window.partitionBy("bucket"))
+    ring = stored(scored.withColumn("n", n).withColumn("bad", bad).where("n > 1 and bad > 0").drop("n", "bad"), "ring")
+    w = Window.partitionBy("bucket").orderBy(F.xxhash64("bucket", "id"), "id")
+    ahead = F.array(*[F.lead(F.struct("id", "sim"), k).over(w) for k in range(1, near_by + 1)])
+    some = ring.withColumn("ahead", ahead).select("id", "sim", F.explode("ahead").alias("x")).where((F.col("sim") < threshold) | (F.col("x.sim") < threshold))
+    tested = got.select("a", "b")
+    more = some.select(F.least("id", "x.id").alias("a"), F.greatest("id", "x.id").alias("b")).distinct().join(tested, ["a", "b"], "left_anti")
+    got2 = stored(verify(more), "verified2")
+    comp = stored(components(got.unionByName(got2).where(F.col("sim") >= threshold).select("a", "b")), "components")
+    label = comp.select(F.col("node").alias("of"), F.col("root").alias("label"))
+    every = stored(ring.join(label, F.col("id") == F.col("of"), "left").select("bucket", "id", "sim", F.coalesce("label", "id").alias("own")), "labelled")
+    most = every.groupBy("bucket", "own").agg(F.count("*").alias("n")).groupBy("bucket").agg(F.max_by("own", F.struct("n", "own")).alias("main"), F.count("*").alias("labels")).where("labels > 1")
+    every = stored(every.join(most, "bucket").select("bucket", "id", "sim", "own", "main"), "apart")
+    again = Window.partitionBy("bucket").orderBy(F.xxhash64("bucket", "id", F.lit(7)), "id")
+    ahead = F.array(*[F.lead(F.struct("id", "own"), k).over(again) for k in range(1, 2 * near_by + 1)])
+    last = (
+        every.withColumn("ahead", ahead).select("id", "own", F.explode("ahead").alias("x")).where("own <> x.own")
+        .select(F.least("id", "x.id").alias("a"), F.greatest("id", "x.id").alias("b")).distinct()
+        .join(tested.unionByName(got2.select("a", "b")), ["a", "b"], "left_anti")
     )
-    return got.unionByName(verify(again)).where(F.col("sim") >= threshold).select("a", "b")
+    got3 = stored(verify(last), "verified3").where(F.col("sim") >= threshold)
+    if got3.isEmpty():
+        return comp
+    join = got3.join(label, F.col("a") == F.col("of"), "left").select("a", "b", F.coalesce("label", "a").alias("la"))
+    join = join.join(label, F.col("b") == F.col("of"), "left").select("a", "b", "la", F.coalesce("label", "b").alias("lb"))
+    top = components(join.select(F.col("la").alias("a"), F.col("lb").alias("b"))).select(F.col("node").alias("of"), F.col("root").alias("top"))
+    nodes = comp.unionByName(join.select(F.explode(F.array("la", "lb")).alias("node")).distinct().select("node", F.col("node").alias("root")).join(comp.select("node"), "node", "left_anti"))
+    return nodes.join(top, F.col("root") == F.col("of"), "left").select("node", F.coalesce("top", "root").alias("root"))

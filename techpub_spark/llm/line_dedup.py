@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bucket_edges, components, stored
+from .common import bucket_components, stored
 
 SHINGLE, BANDS, ROWS, THRESHOLD = 8, 8, 4, 0.8
 BINS = BANDS * ROWS
@@ -147,7 +147,7 @@ def line_classes(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
         both = pairs.join(left, F.col("a") == F.col("ia")).join(right, F.col("b") == F.col("ib")).select("a", "b", "la", "lb")
         return both.mapInArrow(_compare, "a binary, b binary, sim double")
 
-    comp = components(bucket_edges(members, verify, threshold, prune=True))
+    comp = bucket_components(members, verify, threshold)
     first = seen.groupBy("id").agg(F.min(F.struct("doc_id", "line_no", "row_key")).alias("first"), F.count("*").alias("n"))
     multi = first.join(comp, F.col("id") == F.col("node"), "left").where("n > 1 or root is not null").select("id", F.coalesce("root", "id").alias("root"), "first", "n")
     keeper = multi.groupBy("root").agg(F.min("first").alias("keeper"), F.sum("n").alias("copies")).withColumnRenamed("root", "r")

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bucket_edges, components, stored
+from .common import bucket_components, stored
 from .line_dedup import mix
 
 WORDS, SKETCHES, THRESHOLD, BLOCK = 5, 16, 0.8, 1 << 22
@@ -218,7 +218,7 @@ def document_classes(docs: DataFrame, threshold: float = THRESHOLD, sketches: in
         both = pairs.join(left, F.col("a") == F.col("ia")).join(right, F.col("b") == F.col("ib")).select("a", "b", "ta", "tb")
         return both.mapInArrow(align, "a binary, b binary, sim double")
 
-    comp = components(bucket_edges(members, verify, threshold, prune=False))
+    comp = bucket_components(members, verify, threshold)
     rows = seen.groupBy("id", "doc_id").agg(F.count("*").alias("same"))
     first = rows.groupBy("id").agg(F.min(F.struct("doc_id", "id", "same")).alias("first"), F.sum("same").alias("n"))
     multi = first.join(comp, F.col("id") == F.col("node"), "left").where("n > 1 or root is not null").select("id", F.coalesce("root", "id").alias("root"), "first", "n")
