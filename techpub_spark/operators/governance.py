@@ -13,7 +13,7 @@ LADDER = ("01", "02", "03", "04", "05")
 
 def value_matches(asked: Column, values: Column) -> Column:
     """``values``: comma list of exact values and inclusive integer ranges ``lo~hi``; a non-numeric range never matches."""
-    whole = lambda c: F.when(F.trim(c).rlike("^[+-]?[0-9]+$"), F.try_to_number(F.regexp_replace(F.trim(c), r"^\+", ""), F.lit("S99999999999999999")))
+    whole = lambda c: F.when(F.trim(c).rlike("^[+-]?[0-9]+$"), F.trim(c).try_cast("long"))
 
     def hit(t: Column) -> Column:
         lo, hi = F.get(F.split(t, "~"), 0), F.get(F.split(t, "~"), 1)
