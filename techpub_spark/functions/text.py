@@ -39,7 +39,7 @@ def sanitise(text: Column) -> Column:
 
 def sentences(text: Column) -> Column:
     """Split after ``.``, ``!`` or ``?`` and white space; stripped, empty ones dropped."""
-    return F.filter(F.transform(F.split(text, r"(?<=[.!?])\s+"), F.trim), lambda s: s != "")
+    return F.filter(F.transform(F.split(text, r"(?<=[.!?])\s+"), lambda s: F.trim(s)), lambda s: s != "")
 
 
 def chunk_id(dmc: Column, path: Column, strategy: Column, digest: Column) -> Column:

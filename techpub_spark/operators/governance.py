@@ -20,7 +20,7 @@ def value_matches(asked: Column, values: Column) -> Column:
         inside = (whole(asked) >= whole(lo)) & (whole(asked) <= whole(hi))
         return F.when(F.contains(t, F.lit("~")), F.coalesce(inside, F.lit(False))).otherwise(t == F.trim(asked))
 
-    return F.coalesce(F.exists(F.transform(F.split(values, ","), F.trim), hit), F.lit(False))
+    return F.coalesce(F.exists(F.transform(F.split(values, ","), lambda t: F.trim(t)), hit), F.lit(False))
 
 
 def applies(asserts: Column, context: dict[str, str]) -> Column:
