@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
+import math
 import tempfile
 import uuid
+from collections.abc import Iterator
 
-from pyspark.sql import Column, DataFrame, SparkSession
+import numpy as np
+import pyarrow as pa
+from pyspark import Broadcast
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
@@ -87,23 +92,82 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     return cur.select(F.col("a").alias("node"), F.col("b").alias("root")).union(cur.select(F.col("b"), F.col("b")).distinct())
 
 
-def bucket_components(members: DataFrame, verify, threshold: float, near_by: int = 4) -> DataFrame:
+#: Slots of the table of token frequencies that orders tokens from rare to frequent: a fixed size, whatever the data.
+SLOTS = 1 << 18
+
+
+def _slot_counts(tokens):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(SLOTS, np.int64)
+        for batch in batches:
+            for text in batch.column("text").to_pylist():
+                np.add.at(total, (tokens(text) % np.uint64(SLOTS)).astype(np.int64), 1)
+        at = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], names=["slot", "n"])
+
+    return run
+
+
+def prefix_length(size: int, threshold: float) -> int:
+    """Tokens of a set of ``size`` of which one is shared with every set that has ``threshold`` of the larger in common."""
+    return size - math.ceil(threshold * size - 1e-9) + 1
+
+
+def _prefixes(tokens, threshold: float, often: Broadcast):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sizes, lists = [], []
+            for text in batch.column("text").to_pylist():
+                t = tokens(text)
+                order = np.lexsort((t, often.value[(t % np.uint64(SLOTS)).astype(np.int64)]))
+                sizes.append(len(t))
+                lists.append(t[order[: prefix_length(len(t), threshold)]].view(np.int64) if len(t) else t.view(np.int64))
+            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(sizes, pa.int32()), pa.array(lists, pa.list_(pa.int64()))], names=["pid", "size", "prefix"])
+
+    return run
+
+
+def prefix_pairs(apart: DataFrame, texts: DataFrame, tokens, threshold: float) -> DataFrame:
+    """Pairs (a, b) of one bucket and of different components that can reach ``threshold``; none that can is left out.
+
+    ``apart``: ``bucket``, ``id``, ``own`` (component); ``texts``: ``id``, ``text``; ``tokens`` maps a text to
+    its different tokens as 64-bit integers.  A link must imply that the two token sets have
+    ``threshold`` of the larger set in common.  Then, under any fixed order of tokens, the first
+    ``prefix_length`` tokens of both share one; only pairs that share one, and whose sizes allow the
+    similarity, are made.  Rare tokens come first, by a table of ``SLOTS`` counts: what many members have
+    in common stands at the end and joins nothing.  The table only orders; collisions in it cost speed, not pairs.
+    """
+    spark = apart.sparkSession
+    counts = texts.mapInArrow(_slot_counts(tokens), "slot long, n long").groupBy("slot").agg(F.sum("n").alias("n")).toArrow()
+    often = np.zeros(SLOTS, np.int64)
+    often[counts["slot"].to_numpy()] = counts["n"].to_numpy()
+    prefixes = texts.select("id", "text").mapInArrow(_prefixes(tokens, threshold, spark.sparkContext.broadcast(often)), "pid binary, size int, prefix array<long>")
+    keyed = stored(
+        apart.join(prefixes, F.col("id") == F.col("pid")).select("bucket", "id", "own", "size", F.explode("prefix").alias("token"))
+        .select(F.xxhash64("bucket", "token").alias("key"), "id", "own", "size"),
+        "prefixes",
+    )
+    many = keyed.groupBy("key").agg(F.min("own").alias("lo"), F.max("own").alias("hi")).where("lo <> hi").select(F.col("key").alias("k"))
+    live = stored(keyed.join(many, F.col("key") == F.col("k"), "left_semi"), "live")
+    left, right = live.toDF("ka", "a", "oa", "sa"), live.toDF("kb", "b", "ob", "sb")
+    fits = F.least("sa", "sb") >= F.lit(threshold) * F.greatest("sa", "sb") - 1e-9
+    return left.join(right, (F.col("ka") == F.col("kb")) & (F.col("a") < F.col("b")) & (F.col("oa") != F.col("ob")) & fits).select("a", "b").distinct()
+
+
+def bucket_components(members: DataFrame, verify, threshold: float, texts, tokens, near_by: int = 4) -> DataFrame:
     """Components (``node``, ``root``) of all verified links within buckets, without all pairs.
 
-    ``members``: ``bucket`` and ``id``; ``verify`` maps distinct pairs (a, b) to (a, b, sim).
+    ``members``: ``bucket`` and ``id``; ``verify`` maps distinct pairs (a, b) to (a, b, sim); ``texts`` maps
+    a table of ids (``of``) to ``id``, ``text``; ``tokens`` as for ``prefix_pairs``.
 
     1. Each member is compared with the smallest id of its bucket: a star, linear in the bucket.
     2. In buckets where some failed, the failed ones are compared with ``near_by`` members that follow or
        precede them in a random order of the bucket: linear too.  Links so far give components.
-    3. In buckets whose members are still in several components, each is compared with ``2 * near_by``
-       members of other components in another random order; what links, merges the components.
+    3. In buckets whose members are still in several components, an exact prefix join finds every pair of
+       different components that can still link; what links, merges the components.
 
-    All rounds are linear in the bucket.  Members of one component need no more comparison.  A link is
-    lost only between components that no sampled pair of any shared bucket joins; comparing all pairs of
-    what is apart would close this, at a square cost in groups that are only half alike (see README).
+    Members of one component need no more comparison, so no link that would change a component is lost.
     """
-    from pyspark.sql import Window
-
     star = stored(
         members.withColumn("centre", F.min("id").over(Window.partitionBy("bucket"))).where("id <> centre").select("bucket", "centre", "id").distinct(),
         "star",
@@ -120,16 +184,13 @@ def bucket_components(members: DataFrame, verify, threshold: float, near_by: int
     got2 = stored(verify(more), "verified2")
     comp = stored(components(got.unionByName(got2).where(F.col("sim") >= threshold).select("a", "b")), "components")
     label = comp.select(F.col("node").alias("of"), F.col("root").alias("label"))
-    every = stored(ring.join(label, F.col("id") == F.col("of"), "left").select("bucket", "id", "sim", F.coalesce("label", "id").alias("own")), "labelled")
-    most = every.groupBy("bucket", "own").agg(F.count("*").alias("n")).groupBy("bucket").agg(F.max_by("own", F.struct("n", "own")).alias("main"), F.count("*").alias("labels")).where("labels > 1")
-    every = stored(every.join(most, "bucket").select("bucket", "id", "sim", "own", "main"), "apart")
-    again = Window.partitionBy("bucket").orderBy(F.xxhash64("bucket", "id", F.lit(7)), "id")
-    ahead = F.array(*[F.lead(F.struct("id", "own"), k).over(again) for k in range(1, 2 * near_by + 1)])
-    last = (
-        every.withColumn("ahead", ahead).select("id", "own", F.explode("ahead").alias("x")).where("own <> x.own")
-        .select(F.least("id", "x.id").alias("a"), F.greatest("id", "x.id").alias("b")).distinct()
-        .join(tested.unionByName(got2.select("a", "b")), ["a", "b"], "left_anti")
-    )
+    every = stored(ring.join(label, F.col("id") == F.col("of"), "left").select("bucket", "id", F.coalesce("label", "id").alias("own")), "labelled")
+    several = every.groupBy("bucket").agg(F.min("own").alias("lo"), F.max("own").alias("hi")).where("lo <> hi").select("bucket")
+    every = stored(every.join(several, "bucket", "left_semi").select("bucket", "id", "own"), "apart")
+    if every.isEmpty():
+        return comp
+    rest = stored(texts(every.select(F.col("id").alias("of")).distinct()), "rest")
+    last = prefix_pairs(every, rest, tokens, threshold).join(tested.unionByName(got2.select("a", "b")), ["a", "b"], "left_anti")
     got3 = stored(verify(last), "verified3").where(F.col("sim") >= threshold)
     if got3.isEmpty():
         return comp

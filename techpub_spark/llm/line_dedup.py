@@ -105,6 +105,12 @@ def jaccard(a: str, b: str) -> float:
     return both / (len(x) + len(y) - both)
 
 
+def line_tokens(text: str) -> np.ndarray:
+    """The different shingles of a line, as hashes."""
+    chars = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
+    return np.unique(shingles(chars, np.array([len(chars)], np.int64))[0])
+
+
 def _band_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         keys, lines = batch.column(0), batch.column(1)
@@ -140,14 +146,16 @@ def line_classes(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     seen = stored(lines.select("doc_id", "row_key", "line_no", "id"), "lines")
     members = lines.select("id", "line").mapInArrow(_band_rows, "bucket long, id binary")
 
+    def texts(wanted: DataFrame) -> DataFrame:
+        return lines.select("id", F.col("line").alias("text")).join(wanted, F.col("id") == F.col("of"), "left_semi").groupBy("id").agg(F.first("text").alias("text"))
+
     def verify(pairs: DataFrame) -> DataFrame:
-        wanted = pairs.select(F.col("a").alias("of")).union(pairs.select("b")).distinct()
-        texts = stored(lines.select("id", "line").join(wanted, F.col("id") == F.col("of"), "left_semi").groupBy("id").agg(F.first("line").alias("line")), "texts")
-        left, right = texts.toDF("ia", "la"), texts.toDF("ib", "lb")
+        found = stored(texts(pairs.select(F.col("a").alias("of")).union(pairs.select("b")).distinct()), "texts")
+        left, right = found.toDF("ia", "la"), found.toDF("ib", "lb")
         both = pairs.join(left, F.col("a") == F.col("ia")).join(right, F.col("b") == F.col("ib")).select("a", "b", "la", "lb")
         return both.mapInArrow(_compare, "a binary, b binary, sim double")
 
-    comp = bucket_components(members, verify, threshold)
+    comp = bucket_components(members, verify, threshold, texts, line_tokens)
     first = seen.groupBy("id").agg(F.min(F.struct("doc_id", "line_no", "row_key")).alias("first"), F.count("*").alias("n"))
     multi = first.join(comp, F.col("id") == F.col("node"), "left").where("n > 1 or root is not null").select("id", F.coalesce("root", "id").alias("root"), "first", "n")
     keeper = multi.groupBy("root").agg(F.min("first").alias("keeper"), F.sum("n").alias("copies")).withColumnRenamed("root", "r")

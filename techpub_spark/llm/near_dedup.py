@@ -23,6 +23,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -174,6 +175,19 @@ def similarity(a: str, b: str, threshold: float) -> float:
     return 1 - d / longer if d <= most else 0.0
 
 
+def word_tokens(text: str) -> np.ndarray:
+    """Hashes of a text's words, each labelled with its number of occurrence.
+
+    An edit similarity of t implies that two texts share at least t times the longer one's labelled words.
+    """
+    seen: dict[str, int] = {}
+    out = np.zeros(len(words := text.split()), np.uint64)
+    for i, w in enumerate(words):
+        seen[w] = n = seen.get(w, 0) + 1
+        out[i] = xxhash.xxh3_64_intdigest(w.encode("utf-8", "surrogatepass"), n)
+    return np.unique(out)
+
+
 def _sketch_rows(sketches: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -211,14 +225,16 @@ def document_classes(docs: DataFrame, threshold: float = THRESHOLD, sketches: in
             sims = [similarity(x, y, threshold) for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(sims, pa.float64())], names=["a", "b", "sim"])
 
+    def texts(wanted: DataFrame) -> DataFrame:
+        return keyed.select("id", "text").join(wanted, F.col("id") == F.col("of"), "left_semi").groupBy("id").agg(F.first("text").alias("text"))
+
     def verify(pairs: DataFrame) -> DataFrame:
-        wanted = pairs.select(F.col("a").alias("of")).union(pairs.select("b")).distinct()
-        texts = stored(keyed.select("id", "text").join(wanted, F.col("id") == F.col("of"), "left_semi").groupBy("id").agg(F.first("text").alias("text")), "texts")
-        left, right = texts.toDF("ia", "ta"), texts.toDF("ib", "tb")
+        found = stored(texts(pairs.select(F.col("a").alias("of")).union(pairs.select("b")).distinct()), "texts")
+        left, right = found.toDF("ia", "ta"), found.toDF("ib", "tb")
         both = pairs.join(left, F.col("a") == F.col("ia")).join(right, F.col("b") == F.col("ib")).select("a", "b", "ta", "tb")
         return both.mapInArrow(align, "a binary, b binary, sim double")
 
-    comp = bucket_components(members, verify, threshold)
+    comp = bucket_components(members, verify, threshold, texts, word_tokens)
     rows = seen.groupBy("id", "doc_id").agg(F.count("*").alias("same"))
     first = rows.groupBy("id").agg(F.min(F.struct("doc_id", "id", "same")).alias("first"), F.sum("same").alias("n"))
     multi = first.join(comp, F.col("id") == F.col("node"), "left").where("n > 1 or root is not null").select("id", F.coalesce("root", "id").alias("root"), "first", "n")

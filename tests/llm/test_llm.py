@@ -8,7 +8,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from techpub_spark.llm import decontaminate, line_dedup, near_dedup, packing, pii, quality, secrets, token_counts, toxicity, warc
-from techpub_spark.llm.common import components
+from techpub_spark.llm.common import bucket_components, components, prefix_pairs
+from techpub_spark.llm.common import prefix_length as common_prefix
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, kept int"
 RNG = random.Random(3)
@@ -210,3 +211,47 @@ def test_edge_cases_everywhere(spark):
         assert near_dedup.keep_one(docs).count() == (3 if n else 0)
         assert quality.keep_good(docs).columns == docs.columns
         assert token_counts.count_tokens(docs).where(F.col("n_tokens") > 0).count() >= 0
+
+
+@pytest.mark.parametrize("kind", ["lines", "documents"])
+def test_half_alike_bucket_loses_no_link(spark, kind):
+    """One bucket of variants that mostly don't match its centre: components equal those of all pairs."""
+    rng = random.Random(11)
+    base, bodies = prose(40, rng).split(), []
+    for _ in range(90):
+        words = list(base if rng.random() < 0.7 else rng.choice(bodies).split() if bodies else base)
+        for _ in range(rng.randrange(1, 12)):
+            words[rng.randrange(len(words))] = rng.choice(WORDS)
+        bodies.append(" ".join(words))
+    bodies = sorted(set(bodies))
+    same, tokens = (line_dedup.jaccard, line_dedup.line_tokens) if kind == "lines" else (lambda x, y: near_dedup.similarity(x, y, 0.8), near_dedup.word_tokens)
+    ids = [hashlib.md5(t.encode()).digest() for t in bodies]
+    all_texts = spark.createDataFrame(list(zip(ids, bodies)), "id binary, text string")
+    by_id = dict(zip(ids, bodies))
+
+    def verify(pairs):
+        rows = [(bytes(r.a), bytes(r.b)) for r in pairs.collect()]
+        return spark.createDataFrame([(a, b, float(same(by_id[a], by_id[b]))) for a, b in rows], "a binary, b binary, sim double")
+
+    members = all_texts.select(F.lit(1).cast("long").alias("bucket"), "id")
+    comp = bucket_components(members, verify, 0.8, lambda w: all_texts.join(w, F.col("id") == F.col("of"), "left_semi"), tokens, near_by=1)
+    got = {bytes(r.node): bytes(r.root) for r in comp.collect()}
+    root = {i: i for i in ids}
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    links = [(a, b) for a in ids for b in ids if a < b and same(by_id[a], by_id[b]) >= 0.8]
+    for a, b in links:
+        x, y = sorted((find(a), find(b)))
+        root[y] = x
+    assert {i: got.get(i, i) for i in ids} == {i: find(i) for i in ids}
+    pairs = prefix_pairs(members.withColumn("own", F.col("id")), all_texts, tokens, 0.8)
+    made = {(bytes(r.a), bytes(r.b)) for r in pairs.collect()}
+    assert links and set(links) <= made and len(made) < len(ids) * (len(ids) - 1) // 2
+
+
+def test_prefix_length():
+    assert [common_prefix(n, 0.8) for n in (1, 5, 10, 11)] == [1, 2, 3, 3]
