@@ -176,7 +176,7 @@ def bucket_components(members: DataFrame, verify, threshold: float, texts, token
     scored = star.join(got, (F.col("centre") == F.col("a")) & (F.col("id") == F.col("b"))).select("bucket", "centre", "id", "sim")
     n, bad = F.count("*").over(Window.partitionBy("bucket")), F.count_if(F.col("sim") < threshold).over(Window.partitionBy("bucket"))
     ring = stored(scored.withColumn("n", n).withColumn("bad", bad).where("n > 1 and bad > 0").drop("n", "bad"), "ring")
-    w = Window.partitionBy("bucket").orderBy(F.xxhash64("bucket", "id"), "id")
+    w = Window.partitionBy("bucket").orderBy(F.xxhash64("id"), "id")  # one order: neighbours repeat across buckets
     ahead = F.array(*[F.lead(F.struct("id", "sim"), k).over(w) for k in range(1, near_by + 1)])
     some = ring.withColumn("ahead", ahead).select("id", "sim", F.explode("ahead").alias("x")).where((F.col("sim") < threshold) | (F.col("x.sim") < threshold))
     tested = got.select("a", "b")
