@@ -101,7 +101,7 @@ def _slot_counts(tokens):
         total = np.zeros(SLOTS, np.int64)
         for batch in batches:
             for text in batch.column("text").to_pylist():
-                np.add.at(total, (tokens(text) % np.uint64(SLOTS)).astype(np.int64), 1)
+                np.add.at(total, (_images(tokens(text)) % np.uint32(SLOTS)).astype(np.int64), 1)
         at = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], names=["slot", "n"])
 
@@ -113,16 +113,29 @@ def prefix_length(size: int, threshold: float) -> int:
     return size - math.ceil(threshold * size - 1e-9) + 1
 
 
+#: Rarest tokens of a member that travel with each of its prefix tokens: bounds the row.
+HEAD = 128
+
+
+def _images(t: np.ndarray) -> np.ndarray:
+    """Different 32-bit images of the tokens."""
+    return np.unique((t >> np.uint64(32)).astype(np.uint32))
+
+
 def _prefixes(tokens, threshold: float, often: Broadcast):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sizes, lists = [], []
+            sizes, merged, lists, heads = [], [], [], []
             for text in batch.column("text").to_pylist():
                 t = tokens(text)
-                order = np.lexsort((t, often.value[(t % np.uint64(SLOTS)).astype(np.int64)]))
+                x = _images(t)
+                x = x[np.lexsort((x, often.value[x % np.uint32(SLOTS)]))].view(np.int32)
                 sizes.append(len(t))
-                lists.append(t[order[: prefix_length(len(t), threshold)]].view(np.int64) if len(t) else t.view(np.int64))
-            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(sizes, pa.int32()), pa.array(lists, pa.list_(pa.int64()))], names=["pid", "size", "prefix"])
+                merged.append(len(t) - len(x))
+                lists.append(x[: prefix_length(len(t), threshold)] if len(t) else x)
+                heads.append(x[:HEAD])
+            cols = [batch.column("id"), pa.array(sizes, pa.int32()), pa.array(merged, pa.int32()), pa.array(heads, pa.list_(pa.int32())), pa.array(lists, pa.list_(pa.int32()))]
+            yield pa.RecordBatch.from_arrays(cols, names=["pid", "size", "merged", "head", "prefix"])
 
     return run
 
@@ -133,32 +146,42 @@ def prefix_pairs(apart: DataFrame, texts: DataFrame, tokens, threshold: float) -
     ``apart``: ``bucket``, ``id``, ``own`` (component); ``texts``: ``id``, ``text``; ``tokens`` maps a text to
     its different tokens as 64-bit integers.  A link must imply that the two token sets have
     ``threshold`` of the larger set in common.  Then, under any fixed order of tokens, the first
-    ``prefix_length`` tokens of both share one; only pairs that share one, and whose sizes allow the
-    similarity, are made.  Rare tokens come first, by a table of ``SLOTS`` counts: what many members have
-    in common stands at the end and joins nothing.  The table only orders; collisions in it cost speed, not pairs.
+    ``prefix_length`` tokens of both share one; only pairs that share one are looked at.  Of these, a pair
+    is made if its sizes allow the similarity, a bucket is shared, and so do the heads: under the same
+    order, what two sets have in common is at most what their first ``HEAD`` tokens have in common plus
+    what follows the head in one of them.  Rare tokens come first, by a table of ``SLOTS`` counts: what many
+    members have in common stands at the end and joins nothing.  A pair that shares several prefix tokens
+    is made at the first one that the heads share, so that the join gives it once.
+
+    Tokens are compared by 32-bit images, and the order is one of images.  Where two tokens of one text have
+    one image (``merged``), what two texts share may be less by so many, and ``need`` allows for it; a
+    prefix of the same length still holds a shared image.  So images and the table cost speed, not pairs.
     """
     spark = apart.sparkSession
     counts = texts.mapInArrow(_slot_counts(tokens), "slot long, n long").groupBy("slot").agg(F.sum("n").alias("n")).toArrow()
     often = np.zeros(SLOTS, np.int64)
     often[counts["slot"].to_numpy()] = counts["n"].to_numpy()
-    prefixes = texts.select("id", "text").mapInArrow(_prefixes(tokens, threshold, spark.sparkContext.broadcast(often)), "pid binary, size int, prefix array<long>")
-    keyed = stored(
-        apart.join(prefixes, F.col("id") == F.col("pid")).select("bucket", "id", "own", "size", F.explode("prefix").alias("token"))
-        .select(F.xxhash64("bucket", "token").alias("key"), "id", "own", "size"),
-        "prefixes",
-    )
-    many = keyed.groupBy("key").agg(F.min("own").alias("lo"), F.max("own").alias("hi")).where("lo <> hi").select(F.col("key").alias("k"))
-    live = stored(keyed.join(many, F.col("key") == F.col("k"), "left_semi"), "live")
-    left, right = live.toDF("ka", "a", "oa", "sa"), live.toDF("kb", "b", "ob", "sb")
-    fits = F.least("sa", "sb") >= F.lit(threshold) * F.greatest("sa", "sb") - 1e-9
-    return left.join(right, (F.col("ka") == F.col("kb")) & (F.col("a") < F.col("b")) & (F.col("oa") != F.col("ob")) & fits).select("a", "b").distinct()
+    prefixes = texts.select("id", "text").mapInArrow(_prefixes(tokens, threshold, spark.sparkContext.broadcast(often)), "pid binary, size int, merged int, head array<int>, prefix array<int>")
+    members = apart.groupBy("id", "own").agg(F.collect_set("bucket").alias("buckets"))  # one bucket a sketch or band at most
+    each = stored(members.join(prefixes, F.col("id") == F.col("pid")).drop("pid"), "prefixes")
+    many = each.select("own", F.explode("prefix").alias("k")).groupBy("k").agg(F.min("own").alias("lo"), F.max("own").alias("hi")).where("lo <> hi").select("k")
+    live = each.select("id", "own", "size", "merged", "head", "buckets", F.explode("prefix").alias("key")).join(many, F.col("key") == F.col("k"), "left_semi")
+    live = stored(live.select("key", "id", "own", "size", "merged", "head", "buckets"), "live")
+    left, right = live.toDF("ka", "a", "oa", "sa", "ma", "ha", "ba"), live.toDF("kb", "b", "ob", "sb", "mb", "hb", "bb")
+    most = F.lit(threshold) * F.greatest("sa", "sb") - 1e-9
+    need = most - F.least("ma", "mb")
+    after = F.greatest(F.col("sa") - F.col("ma") - F.size("ha"), F.col("sb") - F.col("mb") - F.size("hb"))
+    shared = F.array_intersect("ha", "hb")  # in the common order
+    able = (F.least("sa", "sb") >= most) & F.arrays_overlap("ba", "bb") & F.coalesce(F.get(shared, F.lit(0)) == F.col("ka"), F.lit(True)) & (F.size(shared) + after >= need)
+    return left.join(right, (F.col("ka") == F.col("kb")) & (F.col("a") < F.col("b")) & (F.col("oa") != F.col("ob")) & able).select("a", "b").distinct()
 
 
 def bucket_components(members: DataFrame, verify, threshold: float, texts, tokens, near_by: int = 4) -> DataFrame:
     """Components (``node``, ``root``) of all verified links within buckets, without all pairs.
 
-    ``members``: ``bucket`` and ``id``; ``verify`` maps distinct pairs (a, b) to (a, b, sim); ``texts`` maps
-    a table of ids (``of``) to ``id``, ``text``; ``tokens`` as for ``prefix_pairs``.
+    ``members``: ``bucket`` and ``id``; ``verify`` maps distinct pairs (a, b) and a table of texts (``id``,
+    ``text``) to (a, b, sim); ``texts`` maps a table of ids (``of``) to ``id``, ``text`` and is called once, with
+    all that met another; ``tokens`` as for ``prefix_pairs``.
 
     1. Each member is compared with the smallest id of its bucket: a star, linear in the bucket.
     2. In buckets where some failed, the failed ones are compared with ``near_by`` members that follow or
@@ -172,7 +195,9 @@ def bucket_components(members: DataFrame, verify, threshold: float, texts, token
         members.withColumn("centre", F.min("id").over(Window.partitionBy("bucket"))).where("id <> centre").select("bucket", "centre", "id").distinct(),
         "star",
     )
-    got = stored(verify(star.select(F.col("centre").alias("a"), F.col("id").alias("b")).distinct()), "verified")
+    ids = star.select(F.explode(F.array("centre", "id")).alias("of")).distinct()
+    met = stored(texts(ids), "met")
+    got = stored(verify(star.select(F.col("centre").alias("a"), F.col("id").alias("b")).distinct(), met), "verified")
     scored = star.join(got, (F.col("centre") == F.col("a")) & (F.col("id") == F.col("b"))).select("bucket", "centre", "id", "sim")
     n, bad = F.count("*").over(Window.partitionBy("bucket")), F.count_if(F.col("sim") < threshold).over(Window.partitionBy("bucket"))
     ring = stored(scored.withColumn("n", n).withColumn("bad", bad).where("n > 1 and bad > 0").drop("n", "bad"), "ring")
@@ -181,7 +206,7 @@ def bucket_components(members: DataFrame, verify, threshold: float, texts, token
     some = ring.withColumn("ahead", ahead).select("id", "sim", F.explode("ahead").alias("x")).where((F.col("sim") < threshold) | (F.col("x.sim") < threshold))
     tested = got.select("a", "b")
     more = some.select(F.least("id", "x.id").alias("a"), F.greatest("id", "x.id").alias("b")).distinct().join(tested, ["a", "b"], "left_anti")
-    got2 = stored(verify(more), "verified2")
+    got2 = stored(verify(more, met), "verified2")
     comp = stored(components(got.unionByName(got2).where(F.col("sim") >= threshold).select("a", "b")), "components")
     label = comp.select(F.col("node").alias("of"), F.col("root").alias("label"))
     every = stored(ring.join(label, F.col("id") == F.col("of"), "left").select("bucket", "id", F.coalesce("label", "id").alias("own")), "labelled")
@@ -189,9 +214,9 @@ def bucket_components(members: DataFrame, verify, threshold: float, texts, token
     every = stored(every.join(several, "bucket", "left_semi").select("bucket", "id", "own"), "apart")
     if every.isEmpty():
         return comp
-    rest = stored(texts(every.select(F.col("id").alias("of")).distinct()), "rest")
+    rest = met.join(every.select(F.col("id").alias("of")).distinct(), F.col("id") == F.col("of"), "left_semi")
     last = prefix_pairs(every, rest, tokens, threshold).join(tested.unionByName(got2.select("a", "b")), ["a", "b"], "left_anti")
-    got3 = stored(verify(last), "verified3").where(F.col("sim") >= threshold)
+    got3 = stored(verify(last, met), "verified3").where(F.col("sim") >= threshold)
     if got3.isEmpty():
         return comp
     join = got3.join(label, F.col("a") == F.col("of"), "left").select("a", "b", F.coalesce("label", "a").alias("la"))

@@ -147,10 +147,12 @@ def line_classes(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     members = lines.select("id", "line").mapInArrow(_band_rows, "bucket long, id binary")
 
     def texts(wanted: DataFrame) -> DataFrame:
-        return lines.select("id", F.col("line").alias("text")).join(wanted, F.col("id") == F.col("of"), "left_semi").groupBy("id").agg(F.first("text").alias("text"))
+        return lines.select("id", F.col("line").alias("text")).join(wanted.hint("merge"), F.col("id") == F.col("of"), "left_semi").groupBy("id").agg(F.first("text").alias("text"))
 
-    def verify(pairs: DataFrame) -> DataFrame:
-        found = stored(texts(pairs.select(F.col("a").alias("of")).union(pairs.select("b")).distinct()), "texts")
+    def verify(pairs: DataFrame, met: DataFrame) -> DataFrame:
+        pairs = stored(pairs, "pairs")  # read three times below
+        ids = stored(pairs.select(F.explode(F.array("a", "b")).alias("of")).distinct(), "ids")
+        found = stored(met.join(ids, F.col("id") == F.col("of"), "left_semi"), "texts")
         left, right = found.toDF("ia", "la"), found.toDF("ib", "lb")
         both = pairs.join(left, F.col("a") == F.col("ia")).join(right, F.col("b") == F.col("ib")).select("a", "b", "la", "lb")
         return both.mapInArrow(_compare, "a binary, b binary, sim double")

@@ -226,10 +226,12 @@ def document_classes(docs: DataFrame, threshold: float = THRESHOLD, sketches: in
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(sims, pa.float64())], names=["a", "b", "sim"])
 
     def texts(wanted: DataFrame) -> DataFrame:
-        return keyed.select("id", "text").join(wanted, F.col("id") == F.col("of"), "left_semi").groupBy("id").agg(F.first("text").alias("text"))
+        return keyed.select("id", "text").join(wanted.hint("merge"), F.col("id") == F.col("of"), "left_semi").groupBy("id").agg(F.first("text").alias("text"))
 
-    def verify(pairs: DataFrame) -> DataFrame:
-        found = stored(texts(pairs.select(F.col("a").alias("of")).union(pairs.select("b")).distinct()), "texts")
+    def verify(pairs: DataFrame, met: DataFrame) -> DataFrame:
+        pairs = stored(pairs, "pairs")  # read three times below
+        ids = stored(pairs.select(F.explode(F.array("a", "b")).alias("of")).distinct(), "ids")
+        found = stored(met.join(ids, F.col("id") == F.col("of"), "left_semi"), "texts")
         left, right = found.toDF("ia", "ta"), found.toDF("ib", "tb")
         both = pairs.join(left, F.col("a") == F.col("ia")).join(right, F.col("b") == F.col("ib")).select("a", "b", "ta", "tb")
         return both.mapInArrow(align, "a binary, b binary, sim double")

@@ -229,7 +229,7 @@ def test_half_alike_bucket_loses_no_link(spark, kind):
     all_texts = spark.createDataFrame(list(zip(ids, bodies)), "id binary, text string")
     by_id = dict(zip(ids, bodies))
 
-    def verify(pairs):
+    def verify(pairs, met):
         rows = [(bytes(r.a), bytes(r.b)) for r in pairs.collect()]
         return spark.createDataFrame([(a, b, float(same(by_id[a], by_id[b]))) for a, b in rows], "a binary, b binary, sim double")
 
