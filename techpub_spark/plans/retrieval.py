@@ -21,7 +21,7 @@ def tokenize_terms(spark: SparkSession, sf: str) -> DataFrame:
 
 
 BM25_CTES = f"""
-q AS (SELECT item_id AS query_id, unnest({TOKENS.format('text')}) AS term FROM benchmark WHERE item_id < 5),
+q AS (SELECT item_id AS query_id, unnest({TOKENS.format('text')}) AS term FROM benchmark WHERE item_id % 20 = 0),
 qt AS (SELECT query_id, term, count(*) AS qtf FROM q GROUP BY ALL),
 tok AS (SELECT doc_id, unnest({TOKENS.format('text')}) AS term FROM documents),
 dl AS (SELECT doc_id, len({TOKENS.format('text')}) AS dl FROM documents),
@@ -37,7 +37,7 @@ bm AS (SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY s
 
 
 def _queries(spark: SparkSession, sf: str) -> DataFrame:
-    return read_table(spark, sf, "benchmark").where("item_id < 5").select(F.col("item_id").alias("query_id"), F.col("text").alias("query"))
+    return read_table(spark, sf, "benchmark").where("item_id % 20 = 0").select(F.col("item_id").alias("query_id"), F.col("text").alias("query"))
 
 
 @register("bm25_topk", f"WITH {BM25_CTES} SELECT * FROM bm WHERE rank <= 10")
@@ -49,14 +49,14 @@ KNN = """
 WITH v AS (SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS e FROM embeddings),
 s AS (SELECT q.vec_id AS query_id, v.vec_id AS id, q.label AS ql, v.label AS vl,
       round(list_inner_product(q.e, v.e) / (sqrt(list_inner_product(q.e, q.e)) * sqrt(list_inner_product(v.e, v.e))), 6) AS score
-      FROM v q, v WHERE q.vec_id < 10 {0}),
+      FROM v q, v WHERE q.vec_id % 20 = 0 {0}),
 r AS (SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS INTEGER) AS rank, score, id, ql, vl FROM s)
 """
 
 
 def _vectors(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
     v = read_table(spark, sf, "embeddings")
-    return v.where("vec_id < 10").select(F.col("vec_id").alias("query_id"), "embedding"), v
+    return v.where("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), "embedding"), v
 
 
 @register("knn_cosine", KNN.format("") + "SELECT query_id, rank, score, id FROM r WHERE rank <= 10")
@@ -90,7 +90,7 @@ def rrf_fusion(spark: SparkSession, sf: str) -> DataFrame:
 
 @register("recall_mrr_ndcg", KNN.format("AND q.vec_id <> v.vec_id") + """,
 a AS (SELECT query_id, rank, id FROM r WHERE ql = vl AND rank <= 10),
-n AS (SELECT q.vec_id AS query_id, count(v.vec_id) AS total FROM v q JOIN v ON q.label = v.label AND q.vec_id <> v.vec_id WHERE q.vec_id < 10 GROUP BY 1),
+n AS (SELECT q.vec_id AS query_id, count(v.vec_id) AS total FROM v q JOIN v ON q.label = v.label AND q.vec_id <> v.vec_id WHERE q.vec_id % 20 = 0 GROUP BY 1),
 p AS (SELECT n.query_id, total, count(rank) FILTER (rank <= 1) AS c1, count(rank) FILTER (rank <= 5) AS c5, count(rank) AS c10, min(rank) AS first,
       coalesce(sum(1 / log2(rank + 1)), 0) AS dcg FROM n LEFT JOIN a USING (query_id) GROUP BY n.query_id, total),
 i AS (SELECT *, (SELECT sum(1 / log2(k + 1)) FROM range(1, 11) t(k) WHERE k <= total) AS ideal FROM p)
@@ -102,7 +102,7 @@ def recall_mrr_ndcg(spark: SparkSession, sf: str) -> DataFrame:
     # one place more than needed, as a query finds itself
     near = vector.knn(q, v, k=11).where("id <> query_id")
     ranked = near.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.col("score").desc(), "id"))).where("rank <= 10")
-    own = v.where("vec_id < 10").select(F.col("vec_id").alias("query_id"), "label")
+    own = v.where("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), "label")
     anchors = own.join(v.select("label", F.col("vec_id").alias("anchor")), "label").where("anchor <> query_id").select("query_id", "anchor", F.col("anchor").alias("id"))
     return metrics.summary(metrics.per_query(ranked, anchors))
 
