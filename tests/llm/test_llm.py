@@ -188,6 +188,24 @@ def test_secrets_and_pii_spans(spark):
     assert pii.sanitised(docs).first().sanitised == "[EMAIL][EMAIL] [IP] 256.1.1.1, [CARD], [PHONE]."
 
 
+def test_ip_parts_against_brute_force(spark):
+    """Every spelling of a part: zeros alone, leading zeros, the ends of each branch and what is too large."""
+    parts = ["0", "00", "000", "010", "0000", "1", "9", "10", "99", "100", "199", "200", "249", "250", "255", "0255", "256", "0256", "260", "300", "999", "1000"]
+    rng = random.Random(12)
+    ips = ["10.0.0.1", "192.168.0.1", "127.0.0.1", "0.0.0.0", "00.000.010.0"] + [".".join(rng.choice(parts) for _ in range(4)) for _ in range(300)]
+    ips += [".".join([x if k == i else "7" for k in range(4)]) for x in parts for i in range(4)]
+    text = "at " + " at ".join(ips)
+    want, at = [], 0
+    for x in ips:
+        at = text.index(" " + x, at) + 1
+        if all(int(v) <= 255 for v in x.split(".")):
+            want.append(f"ip:{at}:{at + len(x)}")
+        at += len(x)
+    row = pii.find_pii(table(spark, [text])).first()
+    assert (row.n_ip, [s for s in row.spans.split(",") if s.startswith("ip:")]) == (len(want), want)
+    assert pii.sanitised(table(spark, ["x 10.0.0.1 y"])).first().sanitised == "x [IP] y"
+
+
 def test_quality_rules(spark):
     rng = random.Random(9)
     good = "the " + " the ".join(prose(6, rng) for _ in range(6))
