@@ -1,16 +1,18 @@
 """Personal data: base patterns, and terms that disclose them by corpus co-occurrence.
 
-Protected entities are the base matches (an address, a card, ...).  Over the lines of the whole corpus
+Protected entities are the base matches (an address, a card, ...).  Over the N documents of the corpus
 the information content of an entity is IC(e) = log2(N / c(e)), and what a term tells about it is
-PMI(e; t) = log2(N * c(e, t) / (c(e) * c(t))).  A term of a line with e is disclosing if
-PMI >= ``alpha`` * IC(e) and the two meet in at least ``support`` different lines; it becomes a span of
-kind ``term``.  In the sanitised text a base span is generalised to its kind, a disclosing term is
-generalised to ``[TERM]``, and one that determines the entity (PMI = IC) is removed.
+PMI(e; t) = log2(N * c(e, t) / (c(e) * c(t))), where c counts the documents that hold e, t or both.  A term
+is disclosing if PMI >= ``alpha`` * IC(e) and IC(e) > 0: an entity that every document holds can't be
+disclosed, one of a single document can.  Each place of the term in a document that holds the entity, on
+whatever line, becomes a span of kind ``term``, unless it lies in a base span.  In the sanitised text a
+base span is generalised to its kind, a disclosing term is generalised to ``[TERM]``, and one that
+determines the entity (PMI = IC) is removed.
 
 Native: built-in functions only.  Spark's patterns give strings, not places; a match's place follows
 from the lengths of the pieces between matches.  Patterns use possessive repeats, so that long runs
-cost linear time and no recursion.  Shuffles carry 64-bit term keys and counts, and the few lines that
-hold entities; a corpus-frequent term is pre-aggregated before the shuffle.
+cost linear time and no recursion.  Shuffles carry 64-bit term keys and counts, and the documents that
+hold entities, each different text once; a corpus-frequent term is pre-aggregated before the shuffle.
 
 Defined results: a null text counts as empty; repeated rows get the same spans each; no entities, or an
 empty table, gives no terms; whole texts of any length are read.  Term keys are 64-bit hashes.
@@ -18,10 +20,10 @@ empty table, gives no terms; whole texts of any length are read.  Term keys are
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import let, text_digest
+from .common import let, stored, text_digest
 
 KINDS = ("email", "ip", "card", "phone")
 
@@ -57,8 +59,8 @@ def _passes(kind: str, m: Column) -> Column:
     return F.lit(True)
 
 
-def _places(text: Column, pattern: str) -> Column:
-    """Array of (start, end, value) of the leftmost non-overlapping matches, in code points."""
+def _places(text: Column, pattern: str, wanted=None) -> Column:
+    """Array of (start, end, value) of the leftmost non-overlapping matches, in code points; only those whose value is ``wanted``."""
     kind = "array<struct<s:int,e:int,v:string>>"
 
     def walk(values: Column) -> Column:
@@ -69,7 +71,8 @@ def _places(text: Column, pattern: str) -> Column:
             def add(acc: Column, p: Column) -> Column:
                 s = acc["at"] + p["g"]
                 e = s + F.char_length(p["v"])
-                return F.struct(e.alias("at"), F.array_append(acc["out"], F.struct(s.alias("s"), e.alias("e"), p["v"].alias("v"))).cast(kind).alias("out"))
+                more = F.array_append(acc["out"], F.struct(s.alias("s"), e.alias("e"), p["v"].alias("v"))).cast(kind)
+                return F.struct(e.alias("at"), (more if wanted is None else F.when(wanted(p["v"]), more).otherwise(acc["out"])).alias("out"))
 
             return F.aggregate(pairs, start, add, lambda acc: acc["out"])
 
@@ -94,65 +97,68 @@ def _passing(kind: str, places: Column) -> Column:
     return F.filter(places, lambda m: _passes(kind, m["v"]))
 
 
-def _entities(text: Column) -> Column:
-    """The distinct protected entities of a text, each as kind:value."""
-
-    def named(kind: str, places: Column) -> Column:
-        return F.transform(places, lambda m: F.concat(F.lit(f"{kind}:"), m["v"]))
-
-    return F.array_distinct(F.flatten(F.array(*[named(k, p) for k, p in base_places(text).items()])))
-
-
 def _told(kind: str, places: Column) -> Column:
     return F.transform(places, lambda m: F.concat_ws(":", F.lit(kind), m["s"].cast("string"), m["e"].cast("string")))
 
 
-def _lines(docs: DataFrame) -> DataFrame:
-    """Lines of all documents: text digest, offset of the line in code points, the line."""
-    parts = docs.select(text_digest(F.col("text")).alias("digest"), F.split(F.coalesce("text", F.lit("")), "\n").alias("ls"))
-    return parts.select("digest", F.posexplode("ls").alias("n", "line"))
+def _words(text: Column) -> Column:
+    """The distinct lower-case words of a text."""
+    return F.array_distinct(F.transform(F.regexp_extract_all(text, F.lit(WORD), F.lit(0)), lambda w: F.lower(w)))
 
 
-def disclosing_terms(docs: DataFrame, alpha: float = 0.9, support: int = 3) -> DataFrame:
+def _held(docs: DataFrame) -> DataFrame:
+    """The different texts that hold an entity: digest, rows (n), text, entities (es, as kind:value) and base spans (spots)."""
+    text = F.coalesce(F.col("text"), F.lit(""))
+    marked = docs.select(text_digest(F.col("text")).alias("digest"), text.alias("text")).where(F.contains("text", F.lit("@")) | F.col("text").rlike("[0-9]"))
+    found = marked.select("digest", "text", F.struct(*[p.alias(k) for k, p in base_places(F.col("text")).items()]).alias("b"))
+
+    def named(kind: str) -> Column:
+        return F.transform(F.col(f"b.{kind}"), lambda m: F.concat(F.lit(f"{kind}:"), m["v"]))
+
+    spots = F.concat(*[F.transform(F.col(f"b.{k}"), lambda m: F.struct(m["s"].alias("s"), m["e"].alias("e"))) for k in KINDS])
+    rows = found.select("digest", F.struct("text", F.array_distinct(F.concat(*[named(k) for k in KINDS])).alias("es"), spots.alias("spots")).alias("h")).where(F.size("h.es") > 0)
+    return stored(rows.groupBy("digest").agg(F.count("*").alias("n"), F.first("h").alias("h")).select("digest", "n", "h.*"), "held")
+
+
+def _disclosed(docs: DataFrame, held: DataFrame, alpha: float) -> DataFrame:
+    """(digest, entity, term, pmi, ic): disclosing terms, in each text that holds both."""
+    total = docs.count()
+    of_e = held.select("digest", "n", F.explode("es").alias("entity"))
+    c_e = of_e.groupBy("entity").agg(F.sum("n").alias("c_e"))
+    c_t = docs.select(F.explode(F.transform(_words(F.coalesce(F.col("text"), F.lit(""))), lambda w: F.xxhash64(w))).alias("term_key")).groupBy("term_key").agg(F.count("*").alias("c_t"))
+    # as c(e, t) <= c(e), a term of more documents than this can't be disclosing
+    most = F.pow("c_e", F.lit(alpha)) * F.pow(F.lit(float(total)), F.lit(1 - alpha)) * (1 + 1e-9)
+    of_e = of_e.drop("n").join(c_e, "entity").where(F.col("c_e") < total).select("digest", "entity", "c_e", most.alias("most"))
+    top = of_e.agg(F.max("most").alias("top"))  # one row
+    rare = c_t.join(F.broadcast(top), F.col("c_t") <= F.col("top")).drop("top")
+    words = held.select("digest", "n", F.explode(_words(F.col("text"))).alias("term")).withColumn("term_key", F.xxhash64("term"))
+    pairs = words.join(rare, "term_key").join(of_e, "digest").where("c_t <= most")
+    c_et = F.sum("n").over(Window.partitionBy("entity", "term"))
+    ic = F.log2(F.lit(float(total)) / F.col("c_e"))
+    pmi = F.log2(F.lit(float(total)) * F.col("c_et") / (F.col("c_e") * F.col("c_t")))
+    return pairs.withColumn("c_et", c_et).select("digest", "entity", "term", pmi.alias("pmi"), ic.alias("ic")).where(F.col("pmi") >= alpha * F.col("ic") - 1e-9)
+
+
+def disclosing_terms(docs: DataFrame, alpha: float = 0.9) -> DataFrame:
     """(entity, term, pmi, ic): terms that tell too much about an entity, over the whole corpus."""
-    lines = _lines(docs)
-    marked = lines.where(F.contains("line", F.lit("@")) | F.col("line").rlike("[0-9]"))
-    held = marked.select(F.xxhash64("line").alias("line_key"), _entities(F.col("line")).alias("es"), F.array_distinct(F.regexp_extract_all(F.lower("line"), F.lit(WORD), F.lit(0))).alias("ts")).where(F.size("es") > 0)
-    pairs = (
-        held.select("line_key", F.explode("es").alias("entity"), "ts").select("line_key", "entity", F.explode("ts").alias("term"))
-        .groupBy("entity", "term", "line_key").agg(F.count("*").alias("n"))
-        .groupBy("entity", "term").agg(F.count("*").alias("different"), F.sum("n").alias("c_et")).where(F.col("different") >= support)
-    )
-    c_e = held.select(F.explode("es").alias("entity")).groupBy("entity").agg(F.count("*").alias("c_e"))
-    keys = F.array_distinct(F.transform(F.regexp_extract_all(F.lower("line"), F.lit(WORD), F.lit(0)), lambda w: F.xxhash64(w)))
-    c_t = lines.select(F.explode(keys).alias("term_key")).groupBy("term_key").agg(F.count("*").alias("c_t"))
-    total = lines.agg(F.count("*").alias("n_lines"))  # one row
-    ic = F.log2(F.col("n_lines") / F.col("c_e"))
-    pmi = F.log2(F.col("n_lines") * F.col("c_et") / (F.col("c_e") * F.col("c_t")))
-    return (
-        pairs.join(c_e, "entity").withColumn("term_key", F.xxhash64("term")).join(c_t, "term_key").join(F.broadcast(total))
-        .select("entity", "term", pmi.alias("pmi"), ic.alias("ic")).where(F.col("pmi") >= alpha * F.col("ic"))
-    )
+    return _disclosed(docs, _held(docs), alpha).drop("digest").distinct()
 
 
-def term_places(docs: DataFrame, risky: DataFrame) -> DataFrame:
-    """(digest, terms): places of disclosing terms in the lines that hold their entity, per distinct text."""
-    parts = docs.select(text_digest(F.col("text")).alias("digest"), F.coalesce("text", F.lit("")).alias("text")).where(F.contains("text", F.lit("@")) | F.col("text").rlike("[0-9]"))
-    lines = parts.select("digest", F.posexplode(F.split("text", "\n")).alias("n", "line"), F.split("text", "\n").alias("ls"))
-    marked = lines.where(F.contains("line", F.lit("@")) | F.col("line").rlike("[0-9]"))
-    ahead = F.aggregate(F.transform(F.slice("ls", F.lit(1), F.col("n")), lambda x: F.char_length(x) + 1), F.lit(0), lambda a, x: a + x)
-    held = marked.select("digest", _entities(F.col("line")).alias("es"), "line", "ls", "n").where(F.size("es") > 0)
-    words = held.select("digest", "es", ahead.alias("ahead"), F.explode(_places(F.col("line"), WORD)).alias("w"))
-    each = words.select("digest", F.explode("es").alias("entity"), F.lower("w.v").alias("term"), (F.col("ahead") + F.col("w.s")).alias("s"), (F.col("ahead") + F.col("w.e")).alias("e"))
-    hit = each.join(risky, ["entity", "term"]).groupBy("digest", "s", "e").agg(F.max(F.col("pmi") >= F.col("ic") - 1e-9).alias("remove"))
-    return hit.groupBy("digest").agg(F.sort_array(F.collect_list(F.struct("s", "e", "remove"))).alias("terms"))
+def term_places(docs: DataFrame, alpha: float = 0.9) -> DataFrame:
+    """(digest, terms): all places of disclosing terms in the texts that hold their entity, outside base spans."""
+    held = _held(docs)
+    risky = _disclosed(docs, held, alpha).groupBy(F.col("digest").alias("of")).agg(F.collect_set("term").alias("some"), F.collect_set(F.when(F.col("pmi") >= F.col("ic") - 1e-9, F.col("term"))).alias("sure"))
+    places = _places(F.col("text"), WORD, lambda v: F.array_contains("some", F.lower(v)))
+    free = F.filter(places, lambda m: ~F.exists("spots", lambda p: (p["s"] < m["e"]) & (m["s"] < p["e"])))
+    terms = F.transform(free, lambda m: F.struct(m["s"].alias("s"), m["e"].alias("e"), F.array_contains("sure", F.lower(m["v"])).alias("remove")))
+    return held.join(risky, F.col("digest") == F.col("of")).select("digest", terms.alias("terms")).where(F.size("terms") > 0)
 
 
-def find_pii(docs: DataFrame, alpha: float = 0.9, support: int = 3) -> DataFrame:
+def find_pii(docs: DataFrame, alpha: float = 0.9) -> DataFrame:
     """Per row of ``docs``: counts per base kind, digest of the base spans, all spans."""
     text = F.coalesce(F.col("text"), F.lit(""))
     base = docs.select("doc_id", text_digest(F.col("text")).alias("digest"), F.struct(*[p.alias(k) for k, p in base_places(text).items()]).alias("b"))
-    extra = term_places(docs, disclosing_terms(docs, alpha, support)).withColumnRenamed("digest", "of_digest")
+    extra = term_places(docs, alpha).withColumnRenamed("digest", "of_digest")
     told = F.concat(*[_told(k, F.col(f"b.{k}")) for k in KINDS])
     narrow = base.select("doc_id", "digest", *[F.size(f"b.{k}").cast("long").alias(f"n_{k}") for k in KINDS], told.alias("told"))
     terms = F.coalesce(F.transform("terms", lambda m: F.concat_ws(":", F.lit("term"), m["s"].cast("string"), m["e"].cast("string"))), F.array().cast("array<string>"))
@@ -161,10 +167,10 @@ def find_pii(docs: DataFrame, alpha: float = 0.9, support: int = 3) -> DataFrame
     )
 
 
-def sanitised(docs: DataFrame, alpha: float = 0.9, support: int = 3, out: str = "sanitised") -> DataFrame:
+def sanitised(docs: DataFrame, alpha: float = 0.9, out: str = "sanitised") -> DataFrame:
     """``docs`` with the sanitised text beside its own columns: spans replaced from left to right."""
     work = docs.withColumn(out, F.struct(text_digest(F.col("text")).alias("digest"), F.struct(*[p.alias(k) for k, p in base_places(F.coalesce(F.col("text"), F.lit(""))).items()]).alias("b")))
-    extra = term_places(docs, disclosing_terms(docs, alpha, support)).select(F.col("digest").alias("__of"), F.col("terms").alias("__terms"))
+    extra = term_places(docs, alpha).select(F.col("digest").alias("__of"), F.col("terms").alias("__terms"))
 
     def labelled(kind: str) -> Column:
         return F.transform(F.col(f"{out}.b.{kind}"), lambda m: F.struct(m["s"].alias("s"), m["e"].alias("e"), F.lit(f"[{kind.upper()}]").alias("r")))

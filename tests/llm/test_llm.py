@@ -1,7 +1,9 @@
 """The training-data operators: brute force, round trips and edge cases."""
 
 import hashlib
+import math
 import random
+import re
 import zlib
 
 import pytest
@@ -206,6 +208,47 @@ def test_ip_parts_against_brute_force(spark):
     assert pii.sanitised(table(spark, ["x 10.0.0.1 y"])).first().sanitised == "x [IP] y"
 
 
+def test_disclosing_terms_against_brute_force(spark):
+    """PMI over documents: a name on another line than its address, one elsewhere again, words inside an address."""
+    rng = random.Random(13)
+    words, texts = [w for w in WORDS if len(w) >= 4], []
+    for i in range(80):
+        lines = [" ".join(rng.choice(words[:40]) for _ in range(6)) for _ in range(4)]
+        if i % 4 == 0:
+            name = f"Name{''.join(chr(97 + (i // 4) % 20) for _ in range(4))}"
+            lines += [f"From {name}", f"mail {name.lower()}.inside@host{i % 12}.org or 10.0.0.{i % 3}", f"again {name.upper()}"]
+        texts.append("\n".join(lines))
+    texts += [texts[4], "", None]
+    n = len(texts)
+    bags = [{w.lower() for w in re.findall(r"[^\W\d_]{4,}", t or "")} for t in texts]
+    held = [set(re.findall(r"[\w.]+@[\w.]+|10\.0\.0\.\d", t or "")) for t in texts]
+    told = {}
+    for i, t in enumerate(texts):
+        for e in held[i]:
+            c_e = sum(e in h for h in held)
+            for w in bags[i]:
+                c_t, c_et = sum(w in b for b in bags), sum(w in b and e in h for b, h in zip(bags, held))
+                pmi, ic = math.log2(n * c_et / (c_e * c_t)), math.log2(n / c_e)
+                if pmi >= 0.9 * ic - 1e-9:
+                    told[i, w] = told.get((i, w), False) or pmi >= ic - 1e-9
+    docs = table(spark, texts)
+    got = {r.doc_id: r.spans.split(",") for r in pii.find_pii(docs).collect()}
+    clean = {r.doc_id: r.sanitised for r in pii.sanitised(docs).collect()}
+    assert {e.split(":")[0] for e, in pii.disclosing_terms(docs).select("entity").collect()} == {"email", "ip"}
+    some = 0
+    for i, t in enumerate(texts):
+        base = [m.span() for m in re.finditer(r"[\w.]+@[\w.]+|10\.0\.0\.\d", t or "")]
+        want = [m.span() for m in re.finditer(r"[^\W\d_]{4,}", t or "") if (i, m[0].lower()) in told and not any(s < m.end() and m.start() < e for s, e in base)]
+        assert [x for x in got[i] if x.startswith("term:")] == [f"term:{s}:{e}" for s, e in want]
+        out, at = "", 0
+        for s, e in sorted(base + want):
+            mark = ("[EMAIL]" if "@" in t[s:e] else "[IP]") if (s, e) in base else "" if told[i, t[s:e].lower()] else "[TERM]"
+            out, at = out + t[at:s] + mark, e
+        assert clean[i] == out + (t or "")[at:]
+        some += len(want)
+    assert some >= 40 and "Name" not in clean[0] and "NAME" not in clean[0]
+
+
 def test_quality_rules(spark):
     rng = random.Random(9)
     good = "the " + " the ".join(prose(6, rng) for _ in range(6))
