@@ -9,7 +9,9 @@ can't be within the distance and are skipped, which loses nothing.  A candidate
 alignment with the item has an edit similarity (in words) of at least ``similarity``.
 
 ``reps`` follows from ``target_recall``: it is the number after which items edited at half the allowed
-distance are found at that rate, simulated on the items themselves.
+distance are found at that rate, simulated on the items themselves.  What the walks miss, an exact rest
+finds: an item cut into one piece more than edits are allowed has a piece that no edit touches, so every
+place of a piece is a candidate too, and no place within the distance is lost, up to the threshold itself.
 
 The items are a stated query set: they travel to the tasks in blocks of at most ``block_items`` items,
 one pass over the documents a block, so what is sent has a fixed bound.  No shuffle, no join.
@@ -104,6 +106,35 @@ class Index:
             mine = [k for k in order if len(self.coded[k]) < low * RATIO or len(self.coded[k]) == low]
             order = order[len(mine) :]
             self.classes.append(self._class(mine, low, samples, rng, target_recall, most_reps))
+        self.pieces = self._pieces()
+
+    def most(self, m: int) -> int:
+        """Edits allowed in an item of ``m`` words."""
+        return int((1 - self.similarity) * m + 1e-9)
+
+    def _pieces(self) -> dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """Length -> hashes in order, item and first word of the pieces of all items."""
+        cut: dict[int, list[tuple[int, int]]] = {}
+        for i, c in enumerate(self.coded):
+            n = min(self.most(len(c)) + 1, len(c))
+            ends = [len(c) * k // n for k in range(n + 1)]
+            for a, b in zip(ends, ends[1:]):
+                cut.setdefault(b - a, []).append((i, a))
+        out = {}
+        for size, places in cut.items():
+            sig = self.piece_hashes(np.array([self.coded[i][a : a + size] for i, a in places], np.int32).ravel(), size)[::size]
+            by = np.argsort(sig, kind="stable")
+            out[size] = (sig[by], *(np.array(places, np.int64)[by].T))
+        return out
+
+    @staticmethod
+    def piece_hashes(words: np.ndarray, size: int) -> np.ndarray:
+        """Hash of the ``size`` words from each place; a collision costs a needless alignment only."""
+        out = np.zeros(max(len(words) - size + 1, 0), np.uint64)
+        for k in range(size):
+            out = (out ^ words[k : k + len(out)].astype(np.uint64)) * np.uint64(0x9E3779B97F4A7C15)
+            out ^= out >> np.uint64(29)
+        return out
 
     def _class(self, mine: list[int], size: int, samples: int, rng, target: float, most: int) -> dict:
         steps = 2 * size
@@ -146,7 +177,7 @@ class Index:
         return out
 
     def candidates(self, words: np.ndarray, bounds: np.ndarray) -> set[tuple[int, int]]:
-        """(start, item) pairs of colliding windows.  ``words``: all documents' codes, a 0 after each."""
+        """(start, item) pairs of colliding windows and of whole pieces.  ``words``: all documents' codes, a 0 after each."""
         ahead = np.concatenate([[0], np.cumsum(words > 1)])
         out: set[tuple[int, int]] = set()
         for c in self.classes:
@@ -161,6 +192,12 @@ class Index:
                 left, right = np.searchsorted(walk["sig"], sig, "left"), np.searchsorted(walk["sig"], sig, "right")
                 for k in np.flatnonzero(right > left):
                     out.update((int(live[k]), int(i)) for i in walk["item"][left[k] : right[k]])
+        for size, (sigs, items, firsts) in self.pieces.items():
+            sig = self.piece_hashes(words, size)
+            left, right = np.searchsorted(sigs, sig, "left"), np.searchsorted(sigs, sig, "right")
+            for p in np.flatnonzero(right > left):
+                begin = int(bounds[np.searchsorted(bounds, p, "right") - 1])
+                out.update((max(int(p - firsts[k]), begin), int(items[k])) for k in range(left[p], right[p]))
         return out
 
     def matches(self, texts: list[str]) -> list[tuple[int, int, int, int, int]]:
@@ -179,7 +216,7 @@ class Index:
         for start, item in sorted(self.candidates(words, bounds)):
             doc = int(np.searchsorted(bounds, start, "right")) - 1
             m = len(self.coded[item])
-            most = int((1 - self.similarity) * m + 1e-9)
+            most = self.most(m)
             low, high = max(bounds[doc], start - most), min(bounds[doc] + len(coded[doc]) - 1, start + m + most)
             seen = places.setdefault((doc, item), [])
             if any(s < start - bounds[doc] + m // 2 and start - bounds[doc] < e - m // 2 for _, s, e in seen):

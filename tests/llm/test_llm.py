@@ -113,6 +113,23 @@ def test_decontamination_recall_and_precision(spark):
     assert sorted(r.doc_id for r in decontaminate.drop_leaks(docs, bench).collect()) == list(range(10, 15))
 
 
+def test_decontamination_at_the_threshold():
+    """Items with all allowed edits, also at a document's start and end: what brute force finds is found."""
+    rng = random.Random(14)
+    items = [(i, prose(rng.choice((6, 15, 20, 37, 55)), rng)) for i in range(60)]
+    texts = []
+    for i, t in items:
+        w = t.split()
+        for _ in range(len(w) // 5):
+            p, kind = rng.randrange(len(w)), rng.randrange(3)
+            w[p : p + (kind != 1)] = [rng.choice(WORDS)] * (kind != 0)  # delete, insert, replace
+        texts.append(" ".join([prose(20, rng)] * (i % 3 > 0) + w + [prose(20, rng)] * (i % 3 < 2)))
+    index = decontaminate.Index(items, 0.8, 0.95, 4)
+    got = {(d, i) for d, i, *_ in index.matches(texts)}
+    want = {(d, i) for d, t in enumerate(texts) for i, (_, x) in enumerate(items) if decontaminate.best_place(decontaminate.fold(x), decontaminate.fold(t))[0] <= len(decontaminate.fold(x)) // 5}
+    assert got == want and len(want) >= 60
+
+
 def test_packing_round_trip(spark):
     import public_tokenizers
     from tokenizers import Tokenizer
