@@ -10,17 +10,19 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark import Broadcast
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder that the driver and all executors share (``spark.checkpoint.dir``).
 
-    Only where the setting is absent (a local test session) is a temporary folder used.
+    Only a local session, as in tests, may do without the setting: it gets a temporary folder.
     """
     path = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not path:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         path = getattr(spark, "_techpub_shared", None)
         if path is None:
             path = spark._techpub_shared = "file://" + tempfile.mkdtemp(prefix="techpub-")
@@ -32,11 +34,28 @@ def fresh_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/techpub/{uuid.uuid4().hex}/{name}"
 
 
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` to the shared folder and read it back: cuts lineage and survives lost executors."""
-    path = fresh_path(df.sparkSession, name)
+def stored(df: DataFrame, name: str, heavy: bool = False) -> DataFrame:
+    """Write ``df`` to the shared folder and read it back: cuts lineage and survives lost executors.
+
+    The shuffles that made it are of no more use.  Spark frees their files once the driver's heap is
+    collected, which a large idle heap seldom is; after ``heavy`` ones it is asked to.
+    """
+    spark = df.sparkSession
+    path = fresh_path(spark, name)
     df.write.mode("overwrite").option("compression", "zstd").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    if heavy:
+        spark.sparkContext._jvm.System.gc()
+    out = spark.read.schema(df.schema).parquet(path)
+    out._stored_at = path
+    return out
+
+
+def dropped(*tables: DataFrame) -> None:
+    """Delete tables that ``stored`` wrote and that nothing reads any more."""
+    for t in tables:
+        context = t.sparkSession.sparkContext
+        path = context._jvm.org.apache.hadoop.fs.Path(t._stored_at)
+        path.getFileSystem(context._jsc.hadoopConfiguration()).delete(path.getParent(), True)
 
 
 def text_digest(text: Column) -> Column:
@@ -82,14 +101,17 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
         low = large.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("lu"), "m")
         joined = large.join(low, F.col("a") == F.col("lu"))
         small = joined.select(F.col("b").alias("a"), F.col("m").alias("b")).union(joined.select("a", F.col("m").alias("b"))).where("a <> b").distinct()
-        cur = stored(small, "edges")
+        cur, old = stored(small, "edges"), cur
+        dropped(old)
         now = cur.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if tuple(now) == before:
             break
         before = tuple(now)
     else:
         raise RuntimeError("components did not settle")
-    return cur.select(F.col("a").alias("node"), F.col("b").alias("root")).union(cur.select(F.col("b"), F.col("b")).distinct())
+    out = stored(cur.select(F.col("a").alias("node"), F.col("b").alias("root")).union(cur.select(F.col("b"), F.col("b")).distinct()), "components")
+    dropped(cur)
+    return out
 
 
 #: Slots of the table of token frequencies that orders tokens from rare to frequent: a fixed size, whatever the data.
@@ -113,8 +135,8 @@ def prefix_length(size: int, threshold: float) -> int:
     return size - math.ceil(threshold * size - 1e-9) + 1
 
 
-#: Rarest tokens of a member that travel with each of its prefix tokens: bounds the row.
-HEAD = 128
+#: Bits of the parity sketch of a token set.
+SKETCH = 1024
 
 
 def _images(t: np.ndarray) -> np.ndarray:
@@ -122,105 +144,268 @@ def _images(t: np.ndarray) -> np.ndarray:
     return np.unique((t >> np.uint64(32)).astype(np.uint32))
 
 
+def parity_sketch(t: np.ndarray) -> np.ndarray:
+    """``SKETCH`` bits as 64-bit integers: bit k is the parity of the number of tokens that fall on it.
+
+    The sketches of two sets differ in at most as many bits as the sets differ in tokens.
+    """
+    odd = np.bincount((t % np.uint64(SKETCH)).astype(np.int64), minlength=SKETCH) & 1
+    return np.packbits(odd.astype(np.uint8)).view(np.int64)
+
+
 def _prefixes(tokens, threshold: float, often: Broadcast):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sizes, merged, lists, heads = [], [], [], []
+            sizes, sketches, lists = [], [], []
             for text in batch.column("text").to_pylist():
                 t = tokens(text)
                 x = _images(t)
                 x = x[np.lexsort((x, often.value[x % np.uint32(SLOTS)]))].view(np.int32)
                 sizes.append(len(t))
-                merged.append(len(t) - len(x))
+                sketches.append(parity_sketch(t))
                 lists.append(x[: prefix_length(len(t), threshold)] if len(t) else x)
-                heads.append(x[:HEAD])
-            cols = [batch.column("id"), pa.array(sizes, pa.int32()), pa.array(merged, pa.int32()), pa.array(heads, pa.list_(pa.int32())), pa.array(lists, pa.list_(pa.int32()))]
-            yield pa.RecordBatch.from_arrays(cols, names=["pid", "size", "merged", "head", "prefix"])
+            cols = [batch.column("id"), pa.array(sizes, pa.int32()), pa.array(sketches, pa.list_(pa.int64())), pa.array(lists, pa.list_(pa.int32()))]
+            yield pa.RecordBatch.from_arrays(cols, names=["pid", "size", "sketch", "prefix"])
 
     return run
 
 
-def prefix_pairs(apart: DataFrame, texts: DataFrame, tokens, threshold: float) -> DataFrame:
-    """Pairs (a, b) of one bucket and of different components that can reach ``threshold``; none that can is left out.
+def prefix_pairs(apart: DataFrame, texts: DataFrame, tokens, threshold: float, most_apart) -> DataFrame:
+    """Pairs (a, b) of different components that can reach ``threshold``; none that can is left out.
+
+    ``apart``: ``id``, ``own`` (component); ``texts``: ``id``, ``text``; ``tokens`` maps a text to its different
+    tokens as 64-bit integers.  A link must imply that the two token sets have ``threshold`` of the larger
+    set in common, and that they differ in at most ``most_apart(size, size)`` tokens (of columns).
 
-    ``apart``: ``bucket``, ``id``, ``own`` (component); ``texts``: ``id``, ``text``; ``tokens`` maps a text to
-    its different tokens as 64-bit integers.  A link must imply that the two token sets have
-    ``threshold`` of the larger set in common.  Then, under any fixed order of tokens, the first
-    ``prefix_length`` tokens of both share one; only pairs that share one are looked at.  Of these, a pair
-    is made if its sizes allow the similarity, a bucket is shared, and so do the heads: under the same
-    order, what two sets have in common is at most what their first ``HEAD`` tokens have in common plus
-    what follows the head in one of them.  Rare tokens come first, by a table of ``SLOTS`` counts: what many
-    members have in common stands at the end and joins nothing.  A pair that shares several prefix tokens
-    is made at the first one that the heads share, so that the join gives it once.
+    Under any fixed order of tokens, the first ``prefix_length`` tokens of two linked sets share one; only
+    pairs that share one are looked at.  Rare tokens come first, by a table of ``SLOTS`` counts: what many
+    members have in common stands at the end and joins nothing.  Of the pairs that meet, those are made
+    whose parity sketches differ in no more bits than the sets may differ in tokens: a test of a few
+    integers that rejects nearly all pairs under the threshold and none above it.
 
-    Tokens are compared by 32-bit images, and the order is one of images.  Where two tokens of one text have
-    one image (``merged``), what two texts share may be less by so many, and ``need`` allows for it; a
-    prefix of the same length still holds a shared image.  So images and the table cost speed, not pairs.
+    Prefix tokens are compared by 32-bit images.  Where two tokens of one text have one image, a prefix of
+    the same length still holds a shared image; so images and the table cost speed, not pairs.
     """
     spark = apart.sparkSession
+    members = apart.groupBy("id").agg(F.min("own").alias("own"))
+    texts = stored(texts.join(members.select(F.col("id").alias("of")), F.col("id") == F.col("of"), "left_semi"), "texts")
     counts = texts.mapInArrow(_slot_counts(tokens), "slot long, n long").groupBy("slot").agg(F.sum("n").alias("n")).toArrow()
     often = np.zeros(SLOTS, np.int64)
     often[counts["slot"].to_numpy()] = counts["n"].to_numpy()
-    prefixes = texts.select("id", "text").mapInArrow(_prefixes(tokens, threshold, spark.sparkContext.broadcast(often)), "pid binary, size int, merged int, head array<int>, prefix array<int>")
-    members = apart.groupBy("id", "own").agg(F.collect_set("bucket").alias("buckets"))  # one bucket a sketch or band at most
-    each = stored(members.join(prefixes, F.col("id") == F.col("pid")).drop("pid"), "prefixes")
-    many = each.select("own", F.explode("prefix").alias("k")).groupBy("k").agg(F.min("own").alias("lo"), F.max("own").alias("hi")).where("lo <> hi").select("k")
-    live = each.select("id", "own", "size", "merged", "head", "buckets", F.explode("prefix").alias("key")).join(many, F.col("key") == F.col("k"), "left_semi")
-    live = stored(live.select("key", "id", "own", "size", "merged", "head", "buckets"), "live")
-    left, right = live.toDF("ka", "a", "oa", "sa", "ma", "ha", "ba"), live.toDF("kb", "b", "ob", "sb", "mb", "hb", "bb")
-    most = F.lit(threshold) * F.greatest("sa", "sb") - 1e-9
-    need = most - F.least("ma", "mb")
-    after = F.greatest(F.col("sa") - F.col("ma") - F.size("ha"), F.col("sb") - F.col("mb") - F.size("hb"))
-    shared = F.array_intersect("ha", "hb")  # in the common order
-    able = (F.least("sa", "sb") >= most) & F.arrays_overlap("ba", "bb") & F.coalesce(F.get(shared, F.lit(0)) == F.col("ka"), F.lit(True)) & (F.size(shared) + after >= need)
-    return left.join(right, (F.col("ka") == F.col("kb")) & (F.col("a") < F.col("b")) & (F.col("oa") != F.col("ob")) & able).select("a", "b").distinct()
-
-
-def bucket_components(members: DataFrame, verify, threshold: float, texts, tokens, near_by: int = 4) -> DataFrame:
+    made = texts.select("id", "text").mapInArrow(_prefixes(tokens, threshold, spark.sparkContext.broadcast(often)), "pid binary, size int, sketch array<long>, prefix array<int>")
+    words = [F.get("sketch", F.lit(k)).alias(f"w{k}") for k in range(SKETCH // 64)]
+    each = stored(members.join(made, F.col("id") == F.col("pid")).select("id", "own", "size", *words, "prefix"), "prefixes")
+    live = each.select(F.explode("prefix").alias("key"), "id", "own", "size", *[f"w{k}" for k in range(SKETCH // 64)])
+    names = ["key", "id", "own", "size", *[f"w{k}_" for k in range(SKETCH // 64)]]
+    left, right = live.toDF(*[f"{n}a" for n in names]), live.toDF(*[f"{n}b" for n in names])
+    bits = sum((F.bit_count(F.col(f"w{k}_a").bitwiseXOR(F.col(f"w{k}_b"))) for k in range(SKETCH // 64)), F.lit(0))
+    able = (F.least("sizea", "sizeb") >= F.lit(threshold) * F.greatest("sizea", "sizeb") - 1e-9) & (bits <= most_apart(F.col("sizea"), F.col("sizeb")) + 1e-9)
+    found = left.join(right, (F.col("keya") == F.col("keyb")) & (F.col("ida") < F.col("idb")) & (F.col("owna") != F.col("ownb")) & able)
+    out = stored(found.select(F.col("ida").alias("a"), F.col("idb").alias("b")).distinct(), "pairs")
+    dropped(each, texts)
+    return out
+
+
+#: Bits of the table of wanted ids: a fixed size, whatever the data.  Where it is full it keeps nothing out.
+BITS = 1 << 25
+
+
+def _places(ids: pa.Array) -> np.ndarray:
+    """Bit of each 16-byte id."""
+    return (_halves(ids)[:, 0] % np.uint64(BITS)).astype(np.int64)
+
+
+def _halves(ids: pa.Array) -> np.ndarray:
+    """The two 64-bit halves of each 16-byte id."""
+    if not len(ids):
+        return np.zeros((0, 2), np.uint64)
+    _, ends, data = ids.buffers()
+    first = np.frombuffer(ends, np.int32)[ids.offset]
+    return np.frombuffer(data, np.uint64, 2 * len(ids), int(first)).reshape(-1, 2)
+
+
+def _bit_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    table = np.zeros(BITS // 8, np.uint8)
+    for batch in batches:
+        at = _places(batch.column(0))
+        np.bitwise_or.at(table, at >> 3, np.uint8(1) << (at & 7).astype(np.uint8))
+    words = table.view(np.int64)
+    full = np.flatnonzero(words)
+    yield pa.RecordBatch.from_arrays([pa.array(full), pa.array(words[full])], names=["word", "bits"])
+
+
+def wanted_bits(ids: DataFrame) -> Broadcast:
+    """A table of ``BITS`` bits in which the bits of all ``ids`` (one column of 16-byte ids) are set.
+
+    It lets a scan drop most rows that no id asks for before they are shuffled; an exact join follows it.
+    """
+    words = ids.mapInArrow(_bit_words, "word long, bits long").groupBy("word").agg(F.bit_or("bits").alias("bits")).toArrow()
+    table = np.zeros(BITS // 64, np.int64)
+    table[words["word"].to_numpy()] = words["bits"].to_numpy()
+    return ids.sparkSession.sparkContext.broadcast(table.view(np.uint8))
+
+
+def has_bit(table: np.ndarray, ids: pa.Array) -> np.ndarray:
+    at = _places(ids)
+    return (table[at >> 3] >> (at & 7).astype(np.uint8) & 1).astype(bool)
+
+
+def _star_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (bucket, id) in order to (bucket, centre, id), the centre being the first id of the bucket here.
+
+    The centres of the first and the last bucket also come as (bucket, centre, centre): such a bucket
+    may go on in another partition.
+    """
+    names, kept = ["bucket", "centre", "id"], None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        bucket, ids = batch.column(0).to_numpy(), batch.column(1)
+        if kept is None:
+            kept = (bucket[0], ids[0].as_py(), ids[0].as_py())
+            yield pa.RecordBatch.from_arrays([batch.column(0)[:1], ids[:1], ids[:1]], names=names)
+        every = pa.concat_arrays([pa.array([kept[1], kept[2]], pa.binary()), ids])  # centre so far, last id, then this batch
+        new = np.concatenate([[bucket[0] != kept[0]], bucket[1:] != bucket[:-1]])
+        half = _halves(every)
+        again = (half[2:] == half[1:-1]).all(axis=1)
+        since = np.maximum.accumulate(np.where(new, np.arange(len(new)) + 2, 0))
+        out = np.flatnonzero(~new & ~again)
+        if len(out):
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(out)), every.take(pa.array(since[out])), ids.take(pa.array(out))], names=names)
+        kept = (bucket[-1], every[int(since[-1])].as_py(), ids[-1].as_py())
+    if kept is not None:
+        yield pa.RecordBatch.from_arrays([pa.array([kept[0]], pa.int64()), pa.array([kept[1]], pa.binary()), pa.array([kept[1]], pa.binary())], names=names)
+
+
+def star(members: DataFrame) -> DataFrame:
+    """(bucket, centre, id): every different id of a bucket but one, with an id of the bucket to compare it with.
+
+    Rows are dealt by ranges of (bucket, id), so that a bucket of any size spreads over as many tasks as
+    its rows need; each part has its own centre, and the centres of the parts are compared with the smallest.
+    """
+    dealt = members.repartitionByRange("bucket", "id").sortWithinPartitions("bucket", "id")
+    raw = stored(dealt.mapInArrow(_star_rows, "bucket long, centre binary, id binary"), "parts", heavy=True)
+    ends = raw.where("id = centre").select("bucket", "id").distinct()
+    low = ends.groupBy("bucket").agg(F.min("id").alias("centre"), F.count("*").alias("n")).where("n > 1").select(F.col("bucket").alias("of"), "centre")
+    between = ends.join(low, F.col("bucket") == F.col("of")).where("id <> centre").select("bucket", "centre", "id")
+    out = stored(raw.where("id <> centre").unionByName(between), "star")
+    dropped(raw)
+    return out
+
+
+def _neighbours(near_by: int):
+    """Rows (bucket, part, id, own) in order to pairs (a, b) at most ``near_by`` apart in a part, of different ``own``."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tail = None
+        for batch in batches:
+            table = pa.Table.from_batches([batch])
+            old = 0 if tail is None else tail.num_rows
+            table = (table if tail is None else pa.concat_tables([tail, table])).combine_chunks()
+            if not table.num_rows:
+                continue
+            bucket, part = table["bucket"].to_numpy(), table["part"].to_numpy()
+            ids, own = table["id"].chunk(0), _halves(table["own"].chunk(0))
+            left, right = [], []
+            for k in range(1, near_by + 1):
+                j = np.arange(max(k, old), len(bucket))
+                i = j - k
+                use = (bucket[i] == bucket[j]) & (part[i] == part[j]) & (own[i] != own[j]).any(axis=1)
+                left.append(i[use])
+                right.append(j[use])
+            i, j = np.concatenate(left), np.concatenate(right)
+            if len(i):
+                yield pa.RecordBatch.from_arrays([ids.take(pa.array(i)), ids.take(pa.array(j))], names=["a", "b"])
+            tail = table.slice(max(0, table.num_rows - near_by))
+
+    return run
+
+
+#: Members of a bucket that are put in one random order: larger buckets are split at random.
+PART = 4096
+
+
+def ring(members: DataFrame, near_by: int, seed: int) -> DataFrame:
+    """Pairs (a, b) of members near each other in a random order of their bucket, of different components.
+
+    ``members``: ``bucket``, ``id``, ``own``, ``n`` (members of the bucket).  One order for all buckets, so
+    that neighbours repeat in the buckets that two members share.
+    """
+    h = F.xxhash64("id", F.lit(seed))
+    work = members.select("bucket", F.pmod(h, F.ceil(F.col("n") / PART)).alias("part"), "id", "own", h.alias("h"))
+    work = work.repartition("bucket", "part").sortWithinPartitions("bucket", "part", "h", "id").select("bucket", "part", "id", "own")
+    pairs = work.mapInArrow(_neighbours(near_by), "a binary, b binary")
+    return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+
+
+def merged(labels: DataFrame, links: DataFrame) -> DataFrame:
+    """``labels`` (node, root) after ``links`` (a, b) between nodes, which may be new."""
+    name = labels.select(F.col("node").alias("of"), F.col("root").alias("label"))
+    work = links.join(name, F.col("a") == F.col("of"), "left").select("a", "b", F.coalesce("label", "a").alias("la"))
+    work = stored(work.join(name, F.col("b") == F.col("of"), "left").select("la", F.coalesce("label", "b").alias("lb")), "links")
+    found = components(work.select(F.col("la").alias("a"), F.col("lb").alias("b")))
+    top = found.select(F.col("node").alias("of"), F.col("root").alias("top"))
+    alone = found.join(labels.select(F.col("node").alias("of")), F.col("node") == F.col("of"), "left_anti")
+    out = stored(labels.join(top, F.col("root") == F.col("of"), "left").select("node", F.coalesce("top", "root").alias("root")).unionByName(alone), "labels")
+    dropped(work, labels, found)
+    return out
+
+
+def bucket_components(members: DataFrame, verify, threshold: float, texts, tokens, most_apart, near_by: int = 6, rounds: int = 4) -> DataFrame:
     """Components (``node``, ``root``) of all verified links within buckets, without all pairs.
 
-    ``members``: ``bucket`` and ``id``; ``verify`` maps distinct pairs (a, b) and a table of texts (``id``,
-    ``text``) to (a, b, sim); ``texts`` maps a table of ids (``of``) to ``id``, ``text`` and is called once, with
-    all that met another; ``tokens`` as for ``prefix_pairs``.
+    ``members``: ``bucket`` (long) and ``id`` (16 bytes); ``verify`` maps distinct pairs (a, b) and a table of
+    texts (``id``, ``text``) to (a, b, sim); ``texts`` maps a table of ids (``of``) to ``id``, ``text`` and is
+    called once, with all that met another; ``tokens`` and ``most_apart`` as for ``prefix_pairs``.
 
-    1. Each member is compared with the smallest id of its bucket: a star, linear in the bucket.
-    2. In buckets where some failed, the failed ones are compared with ``near_by`` members that follow or
-       precede them in a random order of the bucket: linear too.  Links so far give components.
-    3. In buckets whose members are still in several components, an exact prefix join finds every pair of
-       different components that can still link; what links, merges the components.
+    1. Each member is compared with one centre of its bucket: a star, linear in the bucket.
+    2. In buckets that are still in several components, members are compared with the ``near_by`` next
+       ones of other components in a random order, up to ``rounds`` times, as long as that links one in
+       50: linear too.  A bucket of at most ``near_by`` + 1 members is compared whole by the first round,
+       and is done.
+    3. In larger buckets that are still apart, an exact prefix join finds every pair of different
+       components that can still link.
 
     Members of one component need no more comparison, so no link that would change a component is lost.
+    The tables made on the way are deleted; the result is a stored table.
     """
-    star = stored(
-        members.withColumn("centre", F.min("id").over(Window.partitionBy("bucket"))).where("id <> centre").select("bucket", "centre", "id").distinct(),
-        "star",
-    )
-    ids = star.select(F.explode(F.array("centre", "id")).alias("of")).distinct()
-    met = stored(texts(ids), "met")
-    got = stored(verify(star.select(F.col("centre").alias("a"), F.col("id").alias("b")).distinct(), met), "verified")
-    scored = star.join(got, (F.col("centre") == F.col("a")) & (F.col("id") == F.col("b"))).select("bucket", "centre", "id", "sim")
-    n, bad = F.count("*").over(Window.partitionBy("bucket")), F.count_if(F.col("sim") < threshold).over(Window.partitionBy("bucket"))
-    ring = stored(scored.withColumn("n", n).withColumn("bad", bad).where("n > 1 and bad > 0").drop("n", "bad"), "ring")
-    w = Window.partitionBy("bucket").orderBy(F.xxhash64("id"), "id")  # one order: neighbours repeat across buckets
-    ahead = F.array(*[F.lead(F.struct("id", "sim"), k).over(w) for k in range(1, near_by + 1)])
-    some = ring.withColumn("ahead", ahead).select("id", "sim", F.explode("ahead").alias("x")).where((F.col("sim") < threshold) | (F.col("x.sim") < threshold))
-    tested = got.select("a", "b")
-    more = some.select(F.least("id", "x.id").alias("a"), F.greatest("id", "x.id").alias("b")).distinct().join(tested, ["a", "b"], "left_anti")
-    got2 = stored(verify(more, met), "verified2")
-    comp = stored(components(got.unionByName(got2).where(F.col("sim") >= threshold).select("a", "b")), "components")
-    label = comp.select(F.col("node").alias("of"), F.col("root").alias("label"))
-    every = stored(ring.join(label, F.col("id") == F.col("of"), "left").select("bucket", "id", F.coalesce("label", "id").alias("own")), "labelled")
-    several = every.groupBy("bucket").agg(F.min("own").alias("lo"), F.max("own").alias("hi")).where("lo <> hi").select("bucket")
-    every = stored(every.join(several, "bucket", "left_semi").select("bucket", "id", "own"), "apart")
-    if every.isEmpty():
-        return comp
-    rest = met.join(every.select(F.col("id").alias("of")).distinct(), F.col("id") == F.col("of"), "left_semi")
-    last = prefix_pairs(every, rest, tokens, threshold).join(tested.unionByName(got2.select("a", "b")), ["a", "b"], "left_anti")
-    got3 = stored(verify(last, met), "verified3").where(F.col("sim") >= threshold)
-    if got3.isEmpty():
-        return comp
-    join = got3.join(label, F.col("a") == F.col("of"), "left").select("a", "b", F.coalesce("label", "a").alias("la"))
-    join = join.join(label, F.col("b") == F.col("of"), "left").select("a", "b", "la", F.coalesce("label", "b").alias("lb"))
-    top = components(join.select(F.col("la").alias("a"), F.col("lb").alias("b"))).select(F.col("node").alias("of"), F.col("root").alias("top"))
-    nodes = comp.unionByName(join.select(F.explode(F.array("la", "lb")).alias("node")).distinct().select("node", F.col("node").alias("root")).join(comp.select("node"), "node", "left_anti"))
-    return nodes.join(top, F.col("root") == F.col("of"), "left").select("node", F.coalesce("top", "root").alias("root"))
+    spark, rays = members.sparkSession, star(members)
+    ids = rays.select(F.explode(F.array("centre", "id")).alias("of")).distinct()
+    ids = stored(ids, "ids")
+    if ids.isEmpty():
+        dropped(rays, ids)
+        return stored(ids.sparkSession.createDataFrame([], "node binary, root binary"), "components")
+    met = stored(texts(ids), "met", heavy=True)
+    got = stored(verify(rays.select(F.col("centre").alias("a"), F.col("id").alias("b")).distinct(), met), "verified", heavy=True)
+    comp = components(got.where(F.col("sim") >= threshold).select("a", "b"))
+    bad = got.where(F.col("sim") < threshold).select("a", "b")
+    torn = rays.join(bad, (F.col("centre") == F.col("a")) & (F.col("id") == F.col("b")), "left_semi").select(F.col("bucket").alias("torn")).distinct()
+    rows = rays.join(torn, F.col("bucket") == F.col("torn"), "left_semi")
+    every = stored(rows.select("bucket", F.explode(F.array("centre", "id")).alias("id")).distinct(), "open")
+    dropped(rays, ids)
+    tested, least, seed, last = got.select("a", "b"), 1, 0, False
+    while True:
+        label = comp.select(F.col("node").alias("of"), F.col("root").alias("label"))
+        named = every.select("bucket", "id").join(label, F.col("id") == F.col("of"), "left").select("bucket", "id", F.coalesce("label", "id").alias("own"))
+        size = named.groupBy("bucket").agg(F.min("own").alias("lo"), F.max("own").alias("hi"), F.count("*").alias("n"))
+        size = size.where((F.col("lo") != F.col("hi")) & (F.col("n") > least)).select(F.col("bucket").alias("of"), "n")
+        old, every = every, stored(named.join(size, F.col("bucket") == F.col("of")).select("bucket", "id", "own", "n"), "apart")
+        dropped(old)
+        if last or not (left := every.count()):
+            break
+        pairs = ring(every, near_by, seed).join(tested, ["a", "b"], "left_anti")
+        more = stored(verify(pairs, met).where(F.col("sim") >= threshold), "verified")
+        if linked := more.count():
+            comp = merged(comp, more.select("a", "b"))
+        dropped(more)
+        seed, least = seed + 1, near_by + 1  # small buckets are done
+        last = seed == rounds or linked * 50 < left
+    if left and not every.isEmpty():
+        pairs = prefix_pairs(every, met, tokens, threshold, most_apart)
+        more = stored(verify(pairs, met).where(F.col("sim") >= threshold), "verified")
+        if not more.isEmpty():
+            comp = merged(comp, more.select("a", "b"))
+        dropped(pairs, more)
+    dropped(met, got, every)
+    spark.sparkContext._jvm.System.gc()
+    return comp

@@ -1,15 +1,16 @@
 """Fuzzy line deduplication: MinHash over character shingles, banding, exact Jaccard, union-find.
 
-Lines that are equal collapse by a 128-bit key.  Each different line gets one-permutation MinHash values
+Lines that are equal collapse by a 128-bit hash.  Each different line gets one-permutation MinHash values
 over its shingles of ``SHINGLE`` characters (empty bins borrow from the next full one), in ``BANDS`` bands
 of ``ROWS`` values: a pair of Jaccard similarity 0.8 meets in some band with probability over 0.98, one of
 0.9 with 0.9999.  Pairs that meet are verified by the exact Jaccard similarity of their shingle sets; what
 is linked forms components by distributed contraction; the first occurrence in the order of (doc_id,
 line) stays, in each component.
 
-Shuffles carry keys; texts are moved once, and only those of lines that met another line are compared.
-A line with very many occurrences is collapsed per batch before the shuffle and counted by a partial
-aggregate.  Chosen style: Arrow batches with numpy for signatures, DataFrame joins for the rest.
+Shuffles carry keys.  One scan makes ids and bands of all lines; a second one picks the texts of lines
+that met another line, by a bit table of fixed size before the shuffle and an exact join after it.
+A line with very many occurrences sends its bands once a task and is counted by a partial aggregate;
+buckets are dealt by ranges, so that a large one spreads.  Chosen style: Arrow batches with numpy for signatures, DataFrame joins for the rest.
 
 Defined results: a line is what stands between line feeds; blank lines are never duplicates and always
 stay; a null text has no lines; a line shorter than a shingle is one shingle, so only equal lines match;
@@ -23,10 +24,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bucket_components, stored
+from .common import bucket_components, dropped, has_bit, stored, wanted_bits
 
 SHINGLE, BANDS, ROWS, THRESHOLD = 8, 8, 4, 0.8
 BINS = BANDS * ROWS
@@ -97,69 +99,137 @@ def signatures(chars: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     return bands
 
 
-def jaccard(a: str, b: str) -> float:
-    """Exact Jaccard similarity of two lines' shingle sets."""
-    x = {a[i : i + SHINGLE] for i in range(max(1, len(a) - SHINGLE + 1))}
-    y = {b[i : i + SHINGLE] for i in range(max(1, len(b) - SHINGLE + 1))}
-    both = len(x & y)
-    return both / (len(x) + len(y) - both)
+def token_sets(texts: list[str]) -> list[np.ndarray]:
+    """The different shingles of each line, as sorted 64-bit hashes."""
+    lengths = np.array([len(t) for t in texts], np.int64)
+    h, line = shingles(np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), np.uint32), lengths)
+    if (lengths < SHINGLE).any():  # their hashes stand at the end
+        by = np.argsort(line, kind="stable")
+        h, line = h[by], line[by]
+    ends = np.searchsorted(line, np.arange(1, len(texts) + 1))
+    out = []
+    for a, b in zip(np.concatenate([[0], ends[:-1]]).tolist(), ends.tolist()):
+        x = np.sort(h[a:b])
+        out.append(x[np.concatenate([[True], x[1:] != x[:-1]])])
+    return out
 
 
 def line_tokens(text: str) -> np.ndarray:
     """The different shingles of a line, as hashes."""
-    chars = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
-    return np.unique(shingles(chars, np.array([len(chars)], np.int64))[0])
+    return token_sets([text])[0]
 
 
-def _band_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def jaccards(left: list[str], right: list[str]) -> list[float]:
+    """Jaccard similarity of the shingle sets of each pair, counted over whole sets of 64-bit shingle hashes."""
+    number: dict[str, int] = {}
+    pairs = [(number.setdefault(a, len(number)), number.setdefault(b, len(number))) for a, b in zip(left, right, strict=True)]
+    sets, out = token_sets(list(number)), []
+    for a, b in pairs:
+        x, y = sets[a], sets[b]
+        if min(len(x), len(y)) < 0.5 * max(len(x), len(y)):
+            out.append(0.0)  # at most one half, whatever they share
+            continue
+        z = np.sort(np.concatenate([x, y]), kind="stable")
+        both = int(np.count_nonzero(z[1:] == z[:-1]))
+        out.append(both / (len(x) + len(y) - both))
+    return out
+
+
+#: Ids of lines that a task remembers, so that lines it has seen are not sent again.
+RECENT = 1 << 17
+
+LINES = "doc_id {}, row_key long, line_no int, id binary, bands array<long>"
+
+
+def _line_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(doc_id, row_key, text) to a row per line that is not blank: its number, id and, once a task, its bands."""
+    recent: set[bytes] = set()
     for batch in batches:
-        keys, lines = batch.column(0), batch.column(1)
-        first = {k: i for i, k in reversed(list(enumerate(keys.to_pylist())))}  # equal lines once a batch
-        pick = sorted(first.values())
-        texts, run, size = lines.take(pa.array(pick)).to_pylist(), [], 0
-        for at, t in enumerate(texts):
-            run.append(at)
-            size += len(t)
-            if size >= BLOCK or at == len(texts) - 1:
-                part = [texts[k] for k in run]
-                chars = np.frombuffer("".join(part).encode("utf-32-le", "surrogatepass"), np.uint32)
-                bands = signatures(chars, np.array([len(t) for t in part], np.int64))
-                ids = np.repeat(np.array([pick[k] for k in run]), BANDS)
-                yield pa.RecordBatch.from_arrays([pa.array(bands.ravel().view(np.int64)), keys.take(pa.array(ids))], names=["bucket", "id"])
-                run, size = [], 0
+        bodies, at = batch.column(2).to_pylist(), 0
+        while at < len(bodies):
+            owner, number, ids, fresh, texts, size = [], [], [], [], [], 0
+            while at < len(bodies) and size < BLOCK:
+                for k, line in enumerate((bodies[at] or "").split("\n")):
+                    if line.strip(" \t\r\x0b\x0c"):
+                        key = xxhash.xxh3_128_digest(line.encode("utf-8", "surrogatepass"))
+                        if key not in recent:
+                            if len(recent) >= RECENT:
+                                recent.clear()
+                            recent.add(key)
+                            fresh.append(len(ids))
+                            texts.append(line)
+                            size += len(line)
+                        owner.append(at)
+                        number.append(k)
+                        ids.append(key)
+                at += 1
+            if not ids:
+                continue
+            count = np.zeros(len(ids) + 1, np.int32)
+            values = np.zeros(0, np.uint64)
+            if texts:
+                chars = np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), np.uint32)
+                values = signatures(chars, np.array([len(t) for t in texts], np.int64)).ravel()
+                count[np.array(fresh) + 1] = BANDS
+            bands = pa.ListArray.from_arrays(pa.array(np.cumsum(count), pa.int32()), pa.array(values.view(np.int64)))
+            take = pa.array(owner)
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(take), batch.column(1).take(take), pa.array(number, pa.int32()), pa.array(ids, pa.binary()), bands], names=["doc_id", "row_key", "line_no", "id", "bands"])
+
+
+def _wanted_lines(table):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        recent: set[bytes] = set()
+        for batch in batches:
+            for body in batch.column(0).to_pylist():
+                lines = list(dict.fromkeys((body or "").split("\n")))
+                ids = pa.array([xxhash.xxh3_128_digest(x.encode("utf-8", "surrogatepass")) for x in lines], pa.binary())
+                found = [(k, lines[i]) for i in np.flatnonzero(has_bit(table.value, ids)).tolist() if (k := ids[i].as_py()) not in recent]
+                if found:
+                    if len(recent) >= RECENT:
+                        recent.clear()
+                    recent.update(k for k, _ in found)
+                    yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in found], pa.binary()), pa.array([t for _, t in found], pa.string())], names=["id", "text"])
+
+    return run
 
 
 def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        sims = [jaccard(x, y) for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)]
+        left, right, sims, at = batch.column(2).to_pylist(), batch.column(3).to_pylist(), [], 0
+        while at < len(left):
+            stop, size = at, 0
+            while stop < len(left) and size < BLOCK:
+                size += len(left[stop]) + len(right[stop])
+                stop += 1
+            sims += jaccards(left[at:stop], right[at:stop])
+            at = stop
         yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(sims, pa.float64())], names=["a", "b", "sim"])
 
 
-def _lines(docs: DataFrame) -> DataFrame:
-    body = docs.select("doc_id", F.xxhash64("doc_id", "text").alias("row_key"), F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
-    return body.where(F.btrim("line", F.lit(" \t\r\x0b\x0c")) != "").withColumn("id", F.unhex(F.md5("line")))
-
-
 def line_classes(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """One row per line that is not blank: doc_id, row_key, line_no, keeper_doc_id, keeper_line, copies, kept."""
-    lines = _lines(docs)
-    seen = stored(lines.select("doc_id", "row_key", "line_no", "id"), "lines")
-    members = lines.select("id", "line").mapInArrow(_band_rows, "bucket long, id binary")
+    """One row per line that is not blank: doc_id, row_key, line_no, keeper_doc_id, keeper_line, copies, kept.
+
+    ``threshold`` is at least one half.
+    """
+    body = docs.select("doc_id", F.xxhash64("doc_id", "text").alias("row_key"), "text")
+    lines = stored(body.mapInArrow(_line_rows, LINES.format(docs.schema["doc_id"].dataType.simpleString())), "lines")
+    members = lines.select(F.explode("bands").alias("bucket"), "id")
 
     def texts(wanted: DataFrame) -> DataFrame:
-        return lines.select("id", F.col("line").alias("text")).join(wanted.hint("merge"), F.col("id") == F.col("of"), "left_semi").groupBy("id").agg(F.first("text").alias("text"))
+        likely = docs.select("text").mapInArrow(_wanted_lines(wanted_bits(wanted)), "id binary, text string")
+        return likely.join(wanted, F.col("id") == F.col("of"), "left_semi").groupBy("id").agg(F.first("text").alias("text"))
 
     def verify(pairs: DataFrame, met: DataFrame) -> DataFrame:
-        pairs = stored(pairs, "pairs")  # read three times below
-        ids = stored(pairs.select(F.explode(F.array("a", "b")).alias("of")).distinct(), "ids")
-        found = stored(met.join(ids, F.col("id") == F.col("of"), "left_semi"), "texts")
-        left, right = found.toDF("ia", "la"), found.toDF("ib", "lb")
+        left, right = met.toDF("ia", "la"), met.toDF("ib", "lb")
         both = pairs.join(left, F.col("a") == F.col("ia")).join(right, F.col("b") == F.col("ib")).select("a", "b", "la", "lb")
         return both.mapInArrow(_compare, "a binary, b binary, sim double")
 
-    comp = bucket_components(members, verify, threshold, texts, line_tokens)
+    comp = bucket_components(members, verify, threshold, texts, line_tokens, lambda x, y: (1 - threshold) / (1 + threshold) * (x + y))
+    seen = lines.select("doc_id", "row_key", "line_no", "id")
     first = seen.groupBy("id").agg(F.min(F.struct("doc_id", "line_no", "row_key")).alias("first"), F.count("*").alias("n"))
     multi = first.join(comp, F.col("id") == F.col("node"), "left").where("n > 1 or root is not null").select("id", F.coalesce("root", "id").alias("root"), "first", "n")
+    multi = stored(multi, "multi", heavy=True)
+    dropped(comp)
     keeper = multi.groupBy("root").agg(F.min("first").alias("keeper"), F.sum("n").alias("copies")).withColumnRenamed("root", "r")
     known = multi.join(keeper, F.col("root") == F.col("r")).select(F.col("id").alias("of"), "keeper", "copies")
     own = F.struct("doc_id", "line_no", "row_key")

@@ -4,13 +4,14 @@ Texts that are equal collapse by a 128-bit digest.  A different text is a sequen
 of ``WORDS`` words are labelled with their number of occurrence, and each of ``sketches`` hash functions
 takes the two smallest and keeps them in text order, so that a collision needs the same content in the
 same order.  Every sketch is a bucket; members of a bucket are verified by a banded alignment of their
-words: similarity = 1 - edit distance / words of the longer, at least ``threshold``.  At a shingle
-similarity of 0.8 a pair is found with a probability over 0.9999, at 0.5 with 0.98.  Components of the
-links are the classes; the smallest doc_id of a class stays.
+words: similarity = 1 - edit distance / words of the longer, at least ``threshold``.  Edits that spread
+over a fifth of the words leave a shingle similarity of about 0.2, which 64 sketches of two still find
+with a probability over 0.9; at 0.3 it is over 0.99.  Components of the links are the classes; the smallest
+doc_id of a class stays.
 
 Signatures are computed where the documents are read, from the bytes of whole texts; the shuffle carries
-(bucket, digest).  Only texts that met another are moved, once, for alignment.  Exact copies, however
-many, are one member.  Chosen style: Arrow batches with numpy, DataFrame joins for the rest.
+(bucket, digest).  Only texts that met another are moved for alignment: a scan picks them by a bit table
+of fixed size, an exact join follows.  Exact copies, however many, are one member.  Chosen style: Arrow batches with numpy, DataFrame joins for the rest.
 
 Defined results: a null text counts as empty; all empty texts are copies of each other; a text with fewer
 than ``WORDS`` words is one shingle, so only equal word sequences match; ties keep the smallest doc_id,
@@ -19,6 +20,7 @@ nulls first; rows that repeat a doc_id and a text are copies; an empty table giv
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -27,10 +29,12 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bucket_components, stored
+from .common import bucket_components, dropped, has_bit, stored, wanted_bits
 from .line_dedup import mix
 
-WORDS, SKETCHES, THRESHOLD, BLOCK = 5, 16, 0.8, 1 << 22
+WORDS, SKETCHES, THRESHOLD, BLOCK = 5, 64, 0.8, 1 << 22
+#: Digests that a task remembers, so that texts it has seen are not sent again.
+RECENT = 1 << 17
 BASE = 0x9E3779B97F4A7C15 | 1
 INVERSE = pow(BASE, -1, 1 << 64)
 FULL = np.uint64(0xFFFFFFFFFFFFFFFF)
@@ -97,8 +101,9 @@ def order_sketches(h: np.ndarray, at: np.ndarray, sketches: int) -> np.ndarray:
     if not len(live):
         return out
     with np.errstate(over="ignore"):
+        mixers = mix(np.arange(1, 2 * sketches + 1, dtype=np.uint64)).reshape(-1, 2)
         for s in range(sketches):
-            v = mix(h * np.uint64((2 * s + 1) * 0x9E3779B97F4A7C15 & 0xFFFFFFFFFFFFFFFF) + np.uint64(s * 7919 + 1))
+            v = (h ^ mixers[s, 0]) * (mixers[s, 1] | np.uint64(1))
             places = []
             for _ in range(2):
                 low = np.minimum.reduceat(v, starts)
@@ -166,12 +171,27 @@ def _band(eq: dict, m: int, b: list, t: int) -> int:
 
 def similarity(a: str, b: str, threshold: float) -> float:
     """1 - edit distance / longer, in words; 0 if it is under ``threshold``."""
-    x, y = a.split(), b.split()
-    longer = max(len(x), len(y))
+    return _similarity(_Words(a), _Words(b), threshold)
+
+
+class _Words:
+    """A text's words and how often each occurs."""
+
+    def __init__(self, text: str):
+        self.words = text.split()
+        self.bag = Counter(self.words)
+
+
+def _similarity(a: _Words, b: _Words, threshold: float) -> float:
+    longer = max(len(a.words), len(b.words))
     if not longer:
         return 1.0
     most = int((1 - threshold) * longer + 1e-9)
-    d = banded_distance(x, y, most)
+    few, many = (a.bag, b.bag) if len(a.bag) < len(b.bag) else (b.bag, a.bag)
+    get = many.get
+    if min(len(a.words), len(b.words)) < longer - most or sum([min(n, get(w, 0)) for w, n in few.items()]) < longer - most:
+        return 0.0  # an edit takes away one common word at most
+    d = banded_distance(a.words, b.words, most)
     return 1 - d / longer if d <= most else 0.0
 
 
@@ -190,56 +210,81 @@ def word_tokens(text: str) -> np.ndarray:
 
 def _sketch_rows(sketches: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        recent: set[bytes] = set()
         for batch in batches:
             keys, texts = batch.column(0), batch.column(1)
-            seen: dict[bytes, int] = {}
+            pick = []
             for i, k in enumerate(keys.to_pylist()):
-                seen.setdefault(k, i)
-            pick = np.array(sorted(seen.values()), np.int64)
+                if k not in recent:
+                    if len(recent) >= RECENT:
+                        recent.clear()
+                    recent.add(k)
+                    pick.append(i)
             part, size = [], 0
-            lengths = np.array([len(texts[int(i)].as_buffer() or b"") for i in pick], np.int64)
-            for at in range(len(pick)):
-                part.append(at)
-                size += lengths[at]
-                if size >= BLOCK or at == len(pick) - 1:
-                    rows = pick[part]
-                    raw = np.frombuffer(b"".join([texts[int(i)].as_buffer().to_pybytes() for i in rows]), np.uint8)
-                    words, first = word_hashes(raw, np.concatenate([[0], np.cumsum(lengths[part])]))
+            for n, i in enumerate(pick):
+                raw = texts[i].as_buffer()
+                part.append((i, raw.to_pybytes() if raw else b""))
+                size += len(part[-1][1])
+                if size >= BLOCK or n == len(pick) - 1:
+                    rows = np.array([i for i, _ in part], np.int64)
+                    words, first = word_hashes(np.frombuffer(b"".join([t for _, t in part]), np.uint8), np.cumsum([0, *[len(t) for _, t in part]]))
                     h, starts = labelled(words, first)
                     sig = order_sketches(h, starts, sketches)
-                    ids = np.repeat(rows[np.diff(starts) > 0], sketches)
-                    yield pa.RecordBatch.from_arrays([pa.array(sig.ravel().view(np.int64)), keys.take(pa.array(ids))], names=["bucket", "id"])
+                    ends = pa.array(np.arange(len(sig) + 1) * sketches, pa.int32())
+                    yield pa.RecordBatch.from_arrays([keys.take(pa.array(rows[np.diff(starts) > 0])), pa.ListArray.from_arrays(ends, pa.array(sig.ravel().view(np.int64)))], names=["id", "buckets"])
                     part, size = [], 0
 
     return run
 
 
+def _wanted_texts(table):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        recent: set[bytes] = set()
+        for batch in batches:
+            pick = []
+            for i in np.flatnonzero(has_bit(table.value, batch.column(0))).tolist():
+                if (k := batch.column(0)[i].as_py()) not in recent:
+                    if len(recent) >= RECENT:
+                        recent.clear()
+                    recent.add(k)
+                    pick.append(i)
+            if pick:
+                yield batch.take(pa.array(pick))
+
+    return run
+
+
 def document_classes(docs: DataFrame, threshold: float = THRESHOLD, sketches: int = SKETCHES) -> DataFrame:
     """One row per row of ``docs``: doc_id, digest, class_id (the doc_id that stays), class_rows, kept, same."""
     keyed = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).withColumn("id", F.unhex(F.md5("text")))
-    seen = stored(keyed.select("doc_id", "id"), "documents")
-    members = keyed.select("id", F.col("text").cast("binary").alias("text")).mapInArrow(_sketch_rows(sketches), "bucket long, id binary")
+    members = keyed.select("id", F.col("text").cast("binary").alias("text")).mapInArrow(_sketch_rows(sketches), "id binary, buckets array<long>")
 
     def align(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sims = [similarity(x, y, threshold) for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)]
+            sims, last = [], ("", _Words(""))
+            for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
+                last = last if last[0] == y else (y, _Words(y))  # pairs come in the order of b
+                sims.append(_similarity(_Words(x), last[1], threshold))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(sims, pa.float64())], names=["a", "b", "sim"])
 
     def texts(wanted: DataFrame) -> DataFrame:
-        return keyed.select("id", "text").join(wanted.hint("merge"), F.col("id") == F.col("of"), "left_semi").groupBy("id").agg(F.first("text").alias("text"))
+        likely = keyed.select("id", "text").mapInArrow(_wanted_texts(wanted_bits(wanted)), "id binary, text string")
+        return likely.join(wanted, F.col("id") == F.col("of"), "left_semi").groupBy("id").agg(F.first("text").alias("text"))
 
     def verify(pairs: DataFrame, met: DataFrame) -> DataFrame:
-        pairs = stored(pairs, "pairs")  # read three times below
-        ids = stored(pairs.select(F.explode(F.array("a", "b")).alias("of")).distinct(), "ids")
-        found = stored(met.join(ids, F.col("id") == F.col("of"), "left_semi"), "texts")
-        left, right = found.toDF("ia", "ta"), found.toDF("ib", "tb")
+        left, right = met.toDF("ia", "ta"), met.toDF("ib", "tb")
         both = pairs.join(left, F.col("a") == F.col("ia")).join(right, F.col("b") == F.col("ib")).select("a", "b", "ta", "tb")
         return both.mapInArrow(align, "a binary, b binary, sim double")
 
-    comp = bucket_components(members, verify, threshold, texts, word_tokens)
+    members = stored(members, "members")  # dealt by ranges, so read twice
+    comp = bucket_components(members.select(F.explode("buckets").alias("bucket"), "id"), verify, threshold, texts, word_tokens, lambda x, y: x + y - 2 * threshold * F.greatest(x, y))
+    dropped(members)
+    seen = stored(keyed.select("doc_id", "id"), "documents")
     rows = seen.groupBy("id", "doc_id").agg(F.count("*").alias("same"))
     first = rows.groupBy("id").agg(F.min(F.struct("doc_id", "id", "same")).alias("first"), F.sum("same").alias("n"))
     multi = first.join(comp, F.col("id") == F.col("node"), "left").where("n > 1 or root is not null").select("id", F.coalesce("root", "id").alias("root"), "first", "n")
+    multi = stored(multi, "multi", heavy=True)
+    dropped(comp)
     keeper = multi.groupBy("root").agg(F.min("first").alias("keeper"), F.sum("n").alias("class_rows")).withColumnRenamed("root", "r")
     known = multi.join(keeper, F.col("root") == F.col("r")).select(F.col("id").alias("of"), "keeper", "class_rows")
     alone = F.col("keeper").isNull()

@@ -6,11 +6,12 @@ import random
 import re
 import zlib
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from techpub_spark.llm import decontaminate, line_dedup, near_dedup, packing, pii, quality, secrets, token_counts, toxicity, warc
-from techpub_spark.llm.common import bucket_components, components, prefix_pairs
+from techpub_spark.llm.common import bucket_components, components, parity_sketch, prefix_pairs, star
 from techpub_spark.llm.common import prefix_length as common_prefix
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, kept int"
@@ -31,6 +32,11 @@ def odd(spark):
     return spark.createDataFrame([(None, None, None, None, None, 1), (1, "", None, None, 0, 1), (2, "same line of some words here\n\n", "en", "s", 5, 1), (2, "same line of some words here\n\n", "en", "s", 5, 1), (3, "é " * 3000, "fr", "s", 6000, 1)], SCHEMA)
 
 
+def brute_jaccard(a, b, n=8):
+    x, y = ({t[i : i + n] for i in range(max(1, len(t) - n + 1))} for t in (a, b))
+    return len(x & y) / len(x | y)
+
+
 def brute_distance(a, b):
     p = list(range(len(b) + 1))
     for i, x in enumerate(a, 1):
@@ -79,7 +85,7 @@ def test_line_dedup_against_brute_force(spark):
     keys = sorted(lines)
     for i, a in enumerate(keys):
         for b in keys[i + 1 :]:
-            if line_dedup.jaccard(lines[a], lines[b]) >= 0.8:
+            if brute_jaccard(lines[a], lines[b]) >= 0.8:
                 x, y = sorted((find(a), find(b)))
                 root[y] = x
     assert {k for k, r in rows.items() if r.kept} == {k for k in keys if find(k) == k}
@@ -302,7 +308,8 @@ def test_half_alike_bucket_loses_no_link(spark, kind):
             words[rng.randrange(len(words))] = rng.choice(WORDS)
         bodies.append(" ".join(words))
     bodies = sorted(set(bodies))
-    same, tokens = (line_dedup.jaccard, line_dedup.line_tokens) if kind == "lines" else (lambda x, y: near_dedup.similarity(x, y, 0.8), near_dedup.word_tokens)
+    apart = (lambda x, y: (x + y) / 9) if kind == "lines" else (lambda x, y: x + y - 1.6 * F.greatest(x, y))
+    same, tokens = (brute_jaccard, line_dedup.line_tokens) if kind == "lines" else (lambda x, y: near_dedup.similarity(x, y, 0.8), near_dedup.word_tokens)
     ids = [hashlib.md5(t.encode()).digest() for t in bodies]
     all_texts = spark.createDataFrame(list(zip(ids, bodies)), "id binary, text string")
     by_id = dict(zip(ids, bodies))
@@ -312,7 +319,7 @@ def test_half_alike_bucket_loses_no_link(spark, kind):
         return spark.createDataFrame([(a, b, float(same(by_id[a], by_id[b]))) for a, b in rows], "a binary, b binary, sim double")
 
     members = all_texts.select(F.lit(1).cast("long").alias("bucket"), "id")
-    comp = bucket_components(members, verify, 0.8, lambda w: all_texts.join(w, F.col("id") == F.col("of"), "left_semi"), tokens, near_by=1)
+    comp = bucket_components(members, verify, 0.8, lambda w: all_texts.join(w, F.col("id") == F.col("of"), "left_semi"), tokens, apart, near_by=1)
     got = {bytes(r.node): bytes(r.root) for r in comp.collect()}
     root = {i: i for i in ids}
 
@@ -326,10 +333,65 @@ def test_half_alike_bucket_loses_no_link(spark, kind):
         x, y = sorted((find(a), find(b)))
         root[y] = x
     assert {i: got.get(i, i) for i in ids} == {i: find(i) for i in ids}
-    pairs = prefix_pairs(members.withColumn("own", F.col("id")), all_texts, tokens, 0.8)
+    pairs = prefix_pairs(members.withColumn("own", F.col("id")), all_texts, tokens, 0.8, apart)
     made = {(bytes(r.a), bytes(r.b)) for r in pairs.collect()}
     assert links and set(links) <= made and len(made) < len(ids) * (len(ids) - 1) // 2
 
 
 def test_prefix_length():
     assert [common_prefix(n, 0.8) for n in (1, 5, 10, 11)] == [1, 2, 3, 3]
+
+
+def test_jaccards_of_whole_batches():
+    rng = random.Random(12)
+    left = ["", "é", "short", "same words here"] + [prose(rng.randrange(1, 30), rng) for _ in range(60)]
+    right = ["", "e", "short", "same words here"] + [t[rng.randrange(4) :] + rng.choice(["", "x", " tail"]) for t in left[4:]]
+    got = line_dedup.jaccards(left, right)
+    assert all(g == pytest.approx(w) if w >= 0.5 else g < 0.5 for g, w in zip(got, map(brute_jaccard, left, right)))
+
+
+def test_parity_sketch_bounds_the_difference():
+    rng = random.Random(13)
+    for _ in range(50):
+        x = [rng.getrandbits(64) for _ in range(rng.randrange(1, 400))]
+        y = x[: rng.randrange(len(x) + 1)] + [rng.getrandbits(64) for _ in range(rng.randrange(100))]
+        a, b = (parity_sketch(np.unique(np.array(t, np.uint64))).view(np.uint64) for t in (x, y))
+        assert sum(int(p ^ q).bit_count() for p, q in zip(a.tolist(), b.tolist())) <= len(set(x) ^ set(y))
+
+
+def test_order_sketches_recall():
+    """Pairs whose edits spread over 10, 15 and 20 % of the words share a bucket."""
+    rng, found = random.Random(14), {}
+    vocabulary = [f"w{k}" for k in range(3000)]
+    for share in (0.1, 0.15, 0.2):
+        texts = []
+        for _ in range(200):
+            words = [rng.choice(vocabulary) for _ in range(200)]
+            texts.append(" ".join(words))
+            for p in rng.sample(range(200), int(200 * share)):
+                words[p] = rng.choice(vocabulary)
+            texts.append(" ".join(words))
+        raw = [t.encode() for t in texts]
+        words, first = near_dedup.word_hashes(np.frombuffer(b"".join(raw), np.uint8), np.cumsum([0, *map(len, raw)]))
+        sig = near_dedup.order_sketches(*near_dedup.labelled(words, first), near_dedup.SKETCHES)
+        found[share] = float((sig[::2] == sig[1::2]).any(axis=1).mean())
+    assert found[0.1] > 0.99 and found[0.15] > 0.98 and found[0.2] >= 0.9, found
+
+
+def test_stars_over_ranges(spark):
+    """Buckets of all sizes over several partitions: every different id but one has a ray, all within reach of one centre."""
+    rng = random.Random(15)
+    rows = [(b, hashlib.md5(f"{b}.{rng.randrange(n)}".encode()).digest()) for b, n in ((1, 1), (2, 2), (3, 700), (-5, 30)) for _ in range(2 * n)]
+    members = spark.createDataFrame(rows, "bucket long, id binary").repartition(7)
+    rays = [(r.bucket, bytes(r.centre), bytes(r.id)) for r in star(members).collect()]
+    for b in (1, 2, 3, -5):
+        ids, mine = {i for x, i in rows if x == b}, [(c, i) for x, c, i in rays if x == b]
+        assert all(c < i for c, i in mine) and {i for _, i in mine} | {c for c, _ in mine} == (ids if len(ids) > 1 else set())
+        up = {i: c for c, i in mine}
+        assert len(mine) == len(up) == len(ids) - 1 and all(_top(up, i) == min(ids) for i in ids)
+
+
+def _top(up, i):
+    while i in up:
+        i = up[i]
+    return i
