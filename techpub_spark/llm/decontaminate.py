@@ -9,16 +9,16 @@ can't be within the distance and are skipped, which loses nothing.  A candidate
 alignment with the item has an edit similarity (in words) of at least ``similarity``.
 
 ``reps`` follows from ``target_recall``: it is the number after which items edited at half the allowed
-distance are found at that rate, simulated on the items themselves.  What the walks miss, an exact rest
-finds: an item cut into one piece more than edits are allowed has a piece that no edit touches, so every
+distance are found at that rate, simulated on the items themselves (at most 24: what the walks miss costs no match).  An exact rest
+finds it: an item cut into one piece more than edits are allowed has a piece that no edit touches, so every
 place of a piece is a candidate too, and no place within the distance is lost, up to the threshold itself.
 
 The items are a stated query set: they travel to the tasks in blocks of at most ``block_items`` items,
 one pass over the documents a block, so what is sent has a fixed bound.  No shuffle, no join.
 Chosen style: Arrow batches with numpy; memory is ``BLOCK_CHARS`` of text at a time (or one document).
 
-Defined results: null and empty texts match nothing; items that are null or have fewer than ``MIN_WORDS``
-words are skipped (they can't be told from chance); repeated rows are judged each; repeated items each
+Defined results: null and empty texts match nothing; items that are null or have no word are skipped; items
+too short to allow an edit (under five words at 0.8) match only exactly; repeated rows are judged each; repeated items each
 give rows; empty tables give an empty result; documents of any length are read whole.
 """
 
@@ -32,7 +32,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-RATIO, MIN_WORDS, BLOCK_CHARS = 1.25, 5, 2_000_000
+RATIO, BLOCK_CHARS = 1.25, 2_000_000
 PUNCTUATION = dict.fromkeys(map(ord, "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~¡¿«»“”„‘’…–—"), " ")
 
 
@@ -89,9 +89,9 @@ def best_place(item: list, text: list) -> tuple[int, int, int]:
 class Index:
     """Length classes of items, their random walks and the hashed samples of their embeddings."""
 
-    def __init__(self, items: list[tuple[object, str]], similarity: float, target_recall: float, samples: int, seed: int = 5, most_reps: int = 24):
+    def __init__(self, items: list[tuple[object, str]], similarity: float, target_recall: float, samples: int, seed: int = 5, most_reps: int = 24, min_words: int = 1):
         self.similarity = similarity
-        self.items = [(i, w) for i, t in items if len(w := fold(t or "")) >= MIN_WORDS]
+        self.items = [(i, w) for i, t in items if len(w := fold(t or "")) >= max(1, min_words)]
         self.vocab: dict[str, int] = {}
         for _, w in self.items:
             for x in w:
@@ -100,7 +100,7 @@ class Index:
         self.bags = [frozenset(c.tolist()) for c in self.coded]
         rng = np.random.default_rng(seed)
         self.classes: list[dict] = []
-        order = sorted(range(len(self.items)), key=lambda k: len(self.coded[k]))
+        order = sorted((k for k in range(len(self.items)) if self.most(len(self.coded[k]))), key=lambda k: len(self.coded[k]))
         while order:
             low = len(self.coded[order[0]])
             mine = [k for k in order if len(self.coded[k]) < low * RATIO or len(self.coded[k]) == low]
@@ -153,7 +153,7 @@ class Index:
         found = np.zeros(len(trials), bool)
         while len(walks) < most and (not walks or found.mean() < target):
             at = np.sort(rng.choice(steps, min(samples, steps), replace=False))
-            walk = {"bits": rng.integers(0, 2, (int(at[-1]) + 1, len(self.vocab) + 2), np.uint8), "at": set(at.tolist()), "mult": int(rng.integers(1 << 62)) * 2 + 1}
+            walk = {"steps": int(at[-1]) + 1, "at": set(at.tolist()), "mult": int(rng.integers(1 << 62)) * 2 + 1}
             sig = self.embed(walk, heads.ravel(), np.arange(len(mine)) * (size + 1), size)
             tried = self.embed(walk, trials.ravel(), np.arange(len(trials)) * (size + 1), size)
             found |= tried == sig[np.arange(len(trials)) % len(mine)]
@@ -167,13 +167,19 @@ class Index:
         """Hash of the sampled positions of the walk over ``size`` words from each start.  A 0 ends a text."""
         at, out = starts.astype(np.int64), np.zeros(len(starts), np.uint64)
         stop, mult = at + size, np.uint64(walk["mult"] & (1 << 64) - 1)
-        for j in range(len(walk["bits"])):
+        codes = np.arange(int(words.max()) + 1 if len(words) else 1, dtype=np.uint64)
+        for j in range(walk["steps"]):
             s = words[np.minimum(at, stop)]
             s = np.where(at < stop, s, 0)
             if j in walk["at"]:
                 out = (out ^ s.astype(np.uint64)) * mult
                 out ^= out >> np.uint64(29)
-            at += np.where(s > 0, walk["bits"][j][s], 0)
+            # the random bit of (step, word): one row at a time, so that memory does not grow with steps and walks
+            x = (codes + np.uint64((j + 1) * 0xD6E8FEB86659FD93 & 0xFFFFFFFFFFFFFFFF)) * mult
+            x = (x ^ x >> np.uint64(32)) * np.uint64(0x9E3779B97F4A7C15)
+            bits = (x >> np.uint64(63)).astype(np.int64)
+            bits[0] = 0  # a text's end stays
+            at += bits[s]
         return out
 
     def candidates(self, words: np.ndarray, bounds: np.ndarray) -> set[tuple[int, int]]:

@@ -34,7 +34,7 @@ WITH d AS (
   SELECT *, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed,
     list_filter([
       CASE WHEN word_chars / greatest(n_words, 1) NOT BETWEEN 1.5 AND 14 THEN 'mean_word_length' END,
-      CASE WHEN n_words / greatest(n_lines, 1) < 1 THEN 'longest_line_words' END,
+      CASE WHEN n_words / greatest(n_lines, 1) < 1.5 THEN 'words_per_line' END,
       CASE WHEN n_symbols / greatest(n_words, 1) > 0.1 THEN 'symbols_per_word' END,
       CASE WHEN n_upper / greatest(word_chars, 1) > 0.5 THEN 'upper_case_letters' END,
       CASE WHEN n_bangs / greatest(n_words, 1) > 0.3 THEN 'exclamations_per_word' END,

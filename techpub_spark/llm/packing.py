@@ -2,8 +2,8 @@
 
 Documents are encoded where they are read.  A document longer than a sequence is cut into full
 sequences and a rest; only (id, start, length, checksum) of each piece is shuffled, never ids or text.
-Pieces are dealt at random over groups of about ``docs_per_group`` documents, and each group is packed
-on its own: largest piece first, into the first bin with room, found by descending a max tree.
+Pieces are dealt by a hash of their document (the same after a lost task, in whatever order its rows come)
+over groups of about ``docs_per_group`` documents, and each group is packed on its own: largest piece first, into the first bin with room, found by descending a max tree.
 
 Chosen style: Arrow batches for encoding, ``applyInPandas`` for packing (one group is a few thousand
 short rows whatever the table's size).
@@ -21,12 +21,13 @@ import re
 import unicodedata
 import zlib
 from array import array
+from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
 
 import pandas as pd
 import pyarrow as pa
-from pyspark import TaskContext
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -138,13 +139,14 @@ def encoded_pieces(docs: DataFrame, capacity: int, end_id: int, groups: int, see
             import public_tokenizers
 
             path = public_tokenizers.path("word_bpe_49k.json")
-        enc, part, n = encoder(path), mixed(seed, (TaskContext.get() and TaskContext.get().partitionId()) or 0), 0
+        enc, equal = encoder(path), Counter()
         for batch in batches:
             keys, starts, lengths, sums, totals, dealt = [], [], [], [], [], []
             for k, text in enumerate(batch.column(1)):
                 ids = enc.encode(text.as_py() or "") + end
                 total = len(ids) // 4
-                n += 1
+                key = xxhash.xxh3_64_intdigest(ids, xxhash.xxh3_64_intdigest(repr(batch.column(0)[k].as_py()), seed))
+                equal[key] += 1  # repeated rows are dealt apart
                 for at in range(0, total, capacity):
                     piece = ids[4 * at : 4 * (at + capacity)]
                     keys.append(k)
@@ -152,7 +154,7 @@ def encoded_pieces(docs: DataFrame, capacity: int, end_id: int, groups: int, see
                     lengths.append(len(piece) // 4)
                     sums.append(zlib.crc32(piece))
                     totals.append(total)
-                    dealt.append(mixed(part, n) % groups)
+                    dealt.append(mixed(key, equal[key] * (total + 1) + at) % groups)
             cols = [batch.column(0).take(pa.array(keys, pa.int64())), *[pa.array(c, pa.int64()) for c in (starts, lengths, sums, totals, dealt)]]
             yield pa.RecordBatch.from_arrays(cols, names=["doc_id", "start", "length", "ids_crc32", "doc_tokens", "pack_group"])
 
@@ -175,11 +177,6 @@ def pack_documents(docs: DataFrame, capacity: int = 4096, end_id: int = 2, docs_
     return pieces.groupBy("pack_group").applyInPandas(place, f"doc_id {id_type}, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long")
 
 
-def pack_stage(docs: DataFrame) -> DataFrame:
-    """Pipeline stage: the pieces of the documents, packed."""
-    return pack_documents(docs)
-
-
 def padding(packed: DataFrame, capacity: int = 4096) -> DataFrame:
     """One row: sequences, tokens and padded tokens (a sequence whose length is a power of two needs none)."""
     per = packed.groupBy("sequence_id").agg(F.sum("length").alias("n"))

@@ -46,7 +46,7 @@ class Rule:
 #: The threshold table. Metrics are columns of the struct that ``measures`` makes.
 RULES = (
     Rule("mean_word_length", "mean_word", 1.5, 14.0),
-    Rule("longest_line_words", "mean_line_words", 1.0, None),
+    Rule("words_per_line", "mean_line_words", 1.5, None),
     Rule("symbols_per_word", "symbol_ratio", None, 0.1),
     Rule("upper_case_letters", "upper_ratio", None, 0.5),
     Rule("exclamations_per_word", "bang_ratio", None, 0.3),

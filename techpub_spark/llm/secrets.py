@@ -3,7 +3,7 @@
 A string that a subword vocabulary must break into very short pieces is unlike text: its ratio of
 characters to tokens is low.  Long runs of key characters are encoded with a tiktoken vocabulary;
 those under ``max_ratio`` become spans of kind ``opaque``, after the known harmless shapes (digests of
-the usual lengths, UUIDs, numbers, plain words and dotted or dashed words) are excluded.  Base spans
+the usual lengths, UUIDs, numbers, and identifiers whose words encode as well as text) are excluded.  Base spans
 always stay, digests or not.  Chosen style: one Arrow batch function, no shuffle; memory is one batch.
 
 Defined results: a null text counts as empty and has no spans; repeated rows are scanned each; an
@@ -15,8 +15,10 @@ from __future__ import annotations
 import base64
 import hashlib
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import accumulate
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -27,14 +29,15 @@ ASSIGN = re.compile(r"""(?:password|passwd|secret|token|api_?key)["']?\x20*[:=]\
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 #: A run of fewer than 24 never passes, and a longer one is matched whole: the same as the run and its length test.
 HEX = re.compile(r"[0-9a-f]{24,}")
-CANDIDATE = re.compile(r"[A-Za-z0-9+/_=-]{20,}")
+CANDIDATE = re.compile(r"[A-Za-z0-9+/_=-]{16,}")
+#: Words of an identifier.
+SEGMENT = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 
-#: Harmless shapes: digests of 32, 40, 56, 64, 96 and 128 digits, UUIDs, numbers, words and joined words.
+#: Harmless shapes: digests of 32, 40, 56, 64, 96 and 128 digits, UUIDs and numbers.
 KNOWN = re.compile(
     r"(?:[0-9a-fA-F]{32}|[0-9a-fA-F]{40}|[0-9a-fA-F]{56}|[0-9a-fA-F]{64}|[0-9a-fA-F]{96}|[0-9a-fA-F]{128}"
     r"|[0-9a-fA-F]{8}-(?:[0-9a-fA-F]{4}-){3}[0-9a-fA-F]{12}"
-    r"|[0-9_+/=-]+"
-    r"|[A-Za-z]?[a-z]+|[A-Z]+|(?:[A-Za-z]?[a-z]*|[A-Z]+|[0-9]*)(?:[-_/=+](?:[A-Za-z]?[a-z]*|[A-Z]+|[0-9]*))+)"
+    r"|[0-9_+/=-]+)"
 )
 
 
@@ -59,15 +62,22 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
 
 def opaque_spans(text: str, taken: list[tuple[int, int, int]], enc, max_ratio: float) -> list[tuple[int, int, int]]:
     """Spans of long runs that the vocabulary encodes at ``max_ratio`` characters a token or fewer."""
-    found = []
+    found, starts = [], [s for s, _, _ in taken]
+    reach = list(accumulate((e for _, _, e in taken), max))  # how far the spans up to here go
     for m in CANDIDATE.finditer(text):
-        if KNOWN.fullmatch(m[0]) or any(s < m.end() and m.start() < e for s, _, e in taken):
+        if (k := bisect_left(starts, m.end())) and reach[k - 1] > m.start() or KNOWN.fullmatch(m[0]):
             continue
-        if len(m[0]) <= max_ratio * len(enc.encode_ordinary(m[0])):
+        if len(m[0]) <= max_ratio * len(enc.encode_ordinary(m[0])) and not identifier(m[0], enc, max_ratio):
             found.append((m.start(), 3, m.end()))
     return found
 
 
+def identifier(run: str, enc, max_ratio: float) -> bool:
+    """True if the words between a run's digits and signs encode as well as text: digits alone make it costly."""
+    words = SEGMENT.findall(run)
+    return sum(map(len, words)) > max_ratio * sum(len(enc.encode_ordinary(w)) for w in words)
+
+
 def told(spans: list[tuple[int, int, int]]) -> str:
     return ",".join(f"{KINDS[k]}:{s}:{e}" for s, k, e in spans)
 

@@ -23,8 +23,10 @@ import math
 import re
 import unicodedata
 import zlib
+from bisect import bisect_right
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import accumulate
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -84,7 +86,9 @@ class Model:
             else:
                 hits.append((end - n + 1, end, w))
         if spared:
-            hits = [h for h in hits if not any(s <= h[0] and h[1] <= e for s, e in spared)]
+            spared.sort()
+            reach = list(accumulate((e for _, e in spared), max))  # how far the phrases up to here go
+            hits = [h for h in hits if not (k := bisect_right(spared, (h[0], math.inf))) or reach[k - 1] < h[1]]
         if not hits:
             return 0.0, 0
         return sum(w for _, _, w in hits) / math.log2(2 + len(folded) / 1000), len(hits)

@@ -45,11 +45,13 @@ def _record(kind: str | Column, rid: Column, date: str, uri: Column, extra: list
     return F.concat(F.concat_ws(EOL, *head), F.lit(EOL + EOL), block)
 
 
-def write_archives(pages: DataFrame, path: str, least: int = 1000, date: str = "2024-01-01T00:00:00Z", records_per_archive: int = 12_288) -> None:
+def write_archives(pages: DataFrame, path: str, least: int = 1000, date: str = "2024-01-01T00:00:00Z", records_per_archive: int = 12_288, archive_bytes: int = 1 << 30) -> None:
     """Write the records of ``pages`` (page_id, url, html) as gzip-compressed WARC archives under ``path``.
 
     Of pages whose payloads are equal and have at least ``least`` bytes, the one with the largest page_id
-    is written as response and the others as revisits that refer to it.
+    is written as response and the others as revisits that refer to it.  An archive has at most
+    ``records_per_archive`` records, and fewer where the longest page would make it more than
+    ``archive_bytes`` (three records of one page at least).
     """
     uri = F.regexp_replace(F.coalesce("url", F.lit("")), "[\\x00-\\x20\\x7f]", "")
     base = pages.select(F.col("page_id"), uri.alias("uri"), F.coalesce("html", F.lit("")).alias("body"))
@@ -68,36 +70,66 @@ def write_archives(pages: DataFrame, path: str, least: int = 1000, date: str = "
     main = _record(F.when(again, F.lit("revisit")).otherwise(F.lit("response")), rid, date, F.col("uri"), [digest, profile, ("WARC-Refers-To", F.when(again, F.col("rep_id")))], "application/http; msgtype=response", F.concat(http, F.when(again, F.lit("")).otherwise(F.col("body"))))
     request = _record("request", _uuid(rid, F.lit("request")), date, F.col("uri"), [("WARC-Concurrent-To", rid)], "application/http; msgtype=request", F.concat(F.lit("GET "), F.col("uri"), F.lit(f" HTTP/1.1{EOL}Accept: text/html{EOL}{EOL}")))
     meta = _record("metadata", _uuid(rid, F.lit("metadata")), date, F.col("uri"), [("WARC-Concurrent-To", rid)], "application/warc-fields", F.concat(F.lit("page_id: "), F.coalesce(F.col("page_id").cast("string"), F.lit("")), F.lit(EOL)))
+    longest = base.agg(F.max("size")).first()[0] or 0
+    records_per_archive = max(3, min(records_per_archive, archive_bytes * 3 // (longest + 4096)))  # one record in three has a page
     (
         rows.select(F.explode(F.array(request, main, meta)).alias("value"))
         .write.option("lineSep", EOL + EOL).option("compression", "gzip").option("maxRecordsPerFile", records_per_archive).text(path)
     )
 
 
-def unpacked(content: bytes) -> bytes:
-    """Archive bytes: plain, or gzip with any number of members."""
-    out = []
-    while content[:2] == b"\x1f\x8b":
-        d = zlib.decompressobj(31)
-        out.append(d.decompress(content))
-        content = d.unused_data
-    return b"".join([*out, content]) if out else content
-
-
-def records_in(raw: bytes) -> Iterator[tuple[dict[str, str], list[str], bytes]]:
-    """(named fields in lower case, concurrent-to ids, block) of each record; blocks end by length, not by text."""
-    at = 0
-    while (at := raw.find(b"WARC/", at)) >= 0:
-        stop = raw.index(b"\r\n\r\n", at)
-        named, beside = {}, []
-        for line in raw[at:stop].decode("utf-8", "replace").split("\r\n")[1:]:
+def unpacked(content: bytes, step: int = 1 << 16) -> Iterator[bytes]:
+    """An archive's bytes, a step at a time: plain, or gzip with any number of members."""
+    if content[:2] != b"\x1f\x8b":
+        yield content
+        return
+    rest, d = memoryview(content), zlib.decompressobj(31)
+    while len(rest) or d.unconsumed_tail:
+        if not d.unconsumed_tail:
+            feed, rest = rest[:step], rest[step:]
+        yield d.decompress(d.unconsumed_tail or feed, 16 * step)
+        if d.eof:
+            tail = d.unused_data  # of the part fed last; the next member starts there
+            rest, d = memoryview(content)[len(content) - len(rest) - len(tail) :], zlib.decompressobj(31)
+            if bytes(rest[:2]) != b"\x1f\x8b":
+                return
+    yield d.flush()
+
+
+def records_in(chunks: Iterator[bytes]) -> Iterator[tuple[dict[str, str], list[str], bytes]]:
+    """(named fields in lower case, concurrent-to ids, block) of each record; blocks end by length, not by text.
+
+    Memory is one record and one chunk.
+    """
+    chunks, held, at = iter(chunks), bytearray(), 0
+
+    def more() -> bool:
+        nonlocal at
+        chunk = next(chunks, None)
+        if chunk is None:
+            return False
+        del held[:at]
+        at = 0
+        held.extend(chunk)
+        return True
+
+    while True:
+        while (start := held.find(b"WARC/", at)) < 0 or (stop := held.find(b"\r\n\r\n", start)) < 0:
+            at = max(at, len(held) - 4) if start < 0 else start
+            if not more():
+                return
+        at, named, beside = start, {}, []
+        for line in bytes(held[at:stop]).decode("utf-8", "replace").split("\r\n")[1:]:
             k, _, v = line.partition(":")
             if k.lower() == "warc-concurrent-to":
                 beside.append(v.strip())
             named[k.strip().lower()] = v.strip()
-        size = int(named["content-length"])
-        yield named, beside, raw[stop + 4 : stop + 4 + size]
-        at = stop + 4 + size
+        head, size = stop + 4 - at, int(named["content-length"])
+        while len(held) - at < head + size:
+            if not more():
+                raise ValueError("a record ends before its length")
+        yield named, beside, bytes(held[at + head : at + head + size])
+        at += head + size
 
 
 def read_records(spark: SparkSession, path: str, with_payload: bool = False) -> DataFrame:
