@@ -82,7 +82,7 @@ def told(spans: list[tuple[int, int, int]]) -> str:
     return ",".join(f"{KINDS[k]}:{s}:{e}" for s, k, e in spans)
 
 
-def scan_secrets(docs: DataFrame, vocabulary: str | None = None, max_ratio: float = 2.0, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def scan_secrets(docs: DataFrame, vocabulary: str | None = None, max_ratio: float = 1.9, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per row of ``docs``: counts per base kind, digest of the base spans, and all spans."""
     id_type = docs.schema[id_col].dataType.simpleString()
 

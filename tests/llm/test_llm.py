@@ -395,3 +395,56 @@ def _top(up, i):
     while i in up:
         i = up[i]
     return i
+
+
+def test_opaque_strings_are_found_and_words_are_not(spark):
+    import string
+
+    rng = random.Random(16)
+    alphabets = (string.ascii_uppercase, string.ascii_letters + string.digits, string.ascii_letters + string.digits + "+/")
+    bodies, want = [], []
+    for k in range(60):
+        before, key = prose(8, rng) + " ", "".join(rng.choice(alphabets[k % 3]) for _ in range(rng.choice((20, 32, 44))))
+        bodies.append(before + key + " " + prose(5, rng))
+        want.append(f"opaque:{len(before)}:{len(before) + len(key)}")
+    calm = ["the quick_brown_fox_jumps_over and internationalization-of-software", "deadbeef" * 4 + " 123e4567-e89b-12d3-a456-426614174000 2024-01-01/2024-12-31", "INVOICE-2024-000123-45678901", None, ""]
+    got = {r.doc_id: r for r in secrets.scan_secrets(table(spark, bodies + calm)).collect()}
+    assert sum(want[i] in got[i].spans.split(",") for i in range(60)) >= 57
+    assert all(got[60 + i].n_opaque == 0 for i in range(len(calm)))
+
+
+def test_opaque_scan_is_linear():
+    import time
+
+    import public_tokenizers
+
+    enc, began = secrets.encoding(public_tokenizers.path("byte_bpe_50k.tiktoken")), time.time()
+    for text in ("A-" * 20000 + "a1b2", "a-" * 20000 + "!", "Aa0" * 20000):
+        secrets.opaque_spans(text, [(2 * k, 0, 2 * k + 1) for k in range(20000)], enc, 1.9)
+    assert time.time() - began < 20
+
+
+def test_archives_of_many_members_and_chunks():
+    import gzip
+
+    blocks = [b"", b"WARC/1.1\r\n\r\n", bytes(range(256)) * 900]
+    whole = [b"WARC/1.1\r\nWARC-Type: metadata\r\nContent-Length: %d\r\n\r\n%s\r\n\r\n" % (len(b), b) for b in blocks]
+    for content in (b"".join(whole), gzip.compress(b"".join(whole)), b"".join(map(gzip.compress, whole))):
+        for step in (7, 1 << 16):
+            assert [b for _, _, b in warc.records_in(warc.unpacked(content, step))] == blocks
+
+
+def test_short_items_match_exactly():
+    index = decontaminate.Index([(1, "alpha beta"), (2, ""), (3, None), (4, "one two three four five six")], 0.8, 0.95, 4)
+    got = {(d, index.items[i][0]) for d, i, *_ in index.matches(["x alpha beta y", "alpha gamma beta", "one two four five six", ""])}
+    assert got == {(0, 1), (2, 4)}
+
+
+def test_packing_groups_do_not_depend_on_the_order(spark):
+    rng = random.Random(17)
+    docs = table(spark, [prose(30, rng) for _ in range(60)] + ["same"] * 3)
+    docs = docs.unionByName(docs.where("doc_id = 3"))
+    key = ["doc_id", "start", "ids_crc32", "pack_group"]
+    one = packing.encoded_pieces(docs.coalesce(1).orderBy("doc_id"), 4096, 2, 5, 17, None).select(key).collect()
+    two = packing.encoded_pieces(docs.coalesce(1).orderBy(F.desc("text")), 4096, 2, 5, 17, None).select(key).collect()
+    assert sorted(map(tuple, one)) == sorted(map(tuple, two)) and len({r.pack_group for r in one}) == 5
