@@ -5,10 +5,13 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-#: Shapes of identifiers.
+#: Shapes of identifiers, and words that deny what follows them in their clause.
 DMC_PATTERN = r"DMC-[A-Z0-9]+(?:-[A-Z0-9]+){6,8}"
-PART_PATTERN = r"[A-Z0-9]+(?:-[A-Z0-9]+)+"
-NEGATIONS = ("not", "no", "never", "without", "nor")
+FULL_CODE = r"\bDMC(?:-[A-Z0-9]+)+\b"
+BARE_CODE = r"\b[0-9]{2}-[0-9]{2}-[0-9]{2}-[0-9]{2}[A-Z]-[0-9]{3}[A-Z]-[A-Z]\b"
+PART_SHAPE = r"\b[A-Z]{1,4}(?:-[A-Z0-9]+){2,}\b"
+HYPHEN_TOKEN = r"\b[A-Z0-9]+(?:-[A-Z0-9]+)+\b"
+NEGATIONS = (r"\bnot\b", r"\bno\b", r"n['’]t\b", r"\bnever\b", r"\binstead\b", r"\brather than\b", r"\bisn\b", r"\bwrong\b")
 
 
 def tokenize(text: Column) -> Column:
@@ -91,14 +94,20 @@ def cosine(a: Column, b: Column) -> Column:
 def affirmed(answer: Column, value: Column) -> Column:
     """Some occurrence of ``value`` stands in a clause without a negation before it.
 
-    A clause starts after the nearest of ``.;,:!?`` before the occurrence.
+    A clause starts after the nearest of ``.;,:!?`` before the occurrence; what an earlier occurrence in the
+    same clause was preceded by counts too.
     """
-    low, needle = F.lower(answer), F.lower(F.trim(value))
-    pieces = F.split(low, F.concat(F.lit("\\Q"), needle, F.lit("\\E")), -1)
-    lead = F.slice(pieces, 1, F.size(pieces) - 1)
-    clause = lambda p: F.element_at(F.split(p, "[.;,:!?]"), -1)
-    neg = r"(?:^|[^a-z])(?:" + "|".join(NEGATIONS) + r"|n't)(?:[^a-z]|$)"
-    return F.exists(lead, lambda p: ~clause(p).rlike(neg))
+    needle = F.lower(F.trim(value))
+    pieces = F.split(F.lower(answer), F.concat(F.lit("\\Q"), needle, F.lit("\\E")), -1)
+    clause = lambda p: F.element_at(F.split(p, "[.;,:!?]", -1), -1)
+
+    def step(acc: Column, piece: Column) -> Column:
+        before = clause(F.concat(acc["tail"], piece))
+        return F.struct(clause(F.concat(before, needle)).alias("tail"), (acc["hit"] | ~before.rlike("|".join(NEGATIONS))).alias("hit"))
+
+    start = F.struct(F.lit("").alias("tail"), F.lit(False).alias("hit"))
+    found = F.aggregate(F.slice(pieces, 1, F.size(pieces) - 1), start, step, lambda acc: acc["hit"])
+    return F.when(needle == "", True).otherwise(found)
 
 
 def answer_object(text: Column) -> Column:

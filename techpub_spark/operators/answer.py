@@ -107,14 +107,25 @@ def consensus(reads: DataFrame, k: int) -> DataFrame:
 
 
 def behaviour(cases: DataFrame) -> DataFrame:
-    """Pass or fail of adversarial cases.  ``cases``: id, category, expected, outcome, answer, cited, must_cite,
-    must_state, must_not_state (arrays)."""
-    forbidden = F.exists("must_not_state", lambda v: affirmed(F.col("answer"), v))
-    cited = F.size(F.array_except("must_cite", "cited")) == 0
-    stated = F.forall("must_state", lambda v: F.contains(F.lower("answer"), F.lower(F.trim(v))))
-    said = (F.col("outcome") == "answered") & F.coalesce(forbidden, F.lit(False))
-    ok = F.when(said, False).when(F.col("expected") == "clarify", True).when(F.col("expected") == "refuse", F.col("outcome") == "refused").otherwise((F.col("outcome") == "answered") & cited & stated)
-    return cases.withColumn("passed", ok)
+    """Pass or fail of adversarial cases, why, and the gate that a wrongly answered one slipped through.
+
+    ``cases``: id, category, expected (answer, refuse, clarify), outcome (answered, refused), answer, must_state,
+    must_not_state (arrays; null counts as empty).
+    """
+    empty = F.array().cast("array<string>")
+    text = F.coalesce("answer", F.lit(""))
+    refused = F.col("outcome") == "refused"
+    wrong = F.exists(F.coalesce("must_not_state", empty), lambda v: affirmed(text, v))
+    stated = F.transform(F.coalesce("must_state", empty), lambda v: F.contains(F.lower(text), F.lower(F.trim(v))))
+    complete = F.forall(stated, lambda x: x)
+    note = (
+        F.when((F.col("expected") == "refuse") & refused, "+refused as required").when(F.col("expected") == "refuse", "-answered what should be refused")
+        .when((F.col("expected") == "answer") & refused, "-refused what can be answered").when((F.col("expected") == "answer") & ~complete, "-a required fact is missing")
+        .when((F.col("expected") == "answer") & wrong, "-affirmed a forbidden value").when(F.col("expected") == "answer", "+answered")
+        .when(refused, "+refused a wrong premise").when(wrong, "-affirmed a wrong premise").when(F.exists(stated, lambda x: x), "+corrected a wrong premise").otherwise("+did not affirm a wrong premise")
+    )
+    out = cases.withColumn("note", F.substring(note, 2, 80)).withColumn("passed", F.startswith(note, F.lit("+")))
+    return out.withColumn("slipped", F.when(~F.col("passed") & (F.col("expected") != "answer") & ~refused, "all gates"))
 
 
 def rates(rows: DataFrame, by: str, flag: str) -> DataFrame:
@@ -135,7 +146,7 @@ def select_repair(candidates: DataFrame, veto: float = 0.5) -> DataFrame:
 
 
 #: Rules whose repairs may be applied after approval.
-APPLICABLE = ("BREX-002", "BREX-004", "XREF-003")
+APPLICABLE = ("BREX-001", "BREX-002", "BREX-003", "BREX-004", "BREX-005", "XREF-001", "XREF-002", "XREF-003", "XREF-005", "XREF-008")
 
 
 def risk_tier(rule: Column) -> Column:
@@ -144,4 +155,4 @@ def risk_tier(rule: Column) -> Column:
 
 def apply_gate(base: DataFrame, preview: DataFrame) -> DataFrame:
     """Findings that the approved set of repairs would introduce; must be empty to apply."""
-    return preview.select(*base.columns).exceptAll(base)
+    return preview.select(*base.columns).subtract(base)

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import chunk_id, sentences, squeeze
+from .validation import references
 
 SIZE, OVERLAP = 800, 100
 
@@ -66,21 +67,61 @@ def sentence_units(dms: DataFrame) -> DataFrame:
     return dms.select("dmc", F.posexplode(sentences(F.col("text"))).alias("pos", "sentence"))
 
 
-#: The elements that make a chunk, by content type.
-BOUNDARIES = {"procedure": "proceduralStep", "fault": "isolationStep", "description": "levelledPara", "ipd": "catalogSeqNumber"}
+_AT = r"(\[[0-9]+\])?"
+_PROCEDURE = "/dmodule/content/procedure/"
+#: Chunk type and path of the elements that make a chunk.
+BOUNDARIES = (
+    ("precondition", rf"^{_PROCEDURE}preliminaryRqmts{_AT}/(reqCondGroup|reqSupportEquips){_AT}$"),
+    ("warning", rf"^{_PROCEDURE}preliminaryRqmts{_AT}/reqSafety{_AT}/safetyRqmts{_AT}/warning{_AT}$"),
+    ("caution", rf"^{_PROCEDURE}preliminaryRqmts{_AT}/reqSafety{_AT}/safetyRqmts{_AT}/caution{_AT}$"),
+    ("step", rf"^{_PROCEDURE}mainProcedure{_AT}/(.*/)?proceduralStep{_AT}$"),
+    ("closeout", rf"^{_PROCEDURE}closeRqmts{_AT}/reqCondGroup{_AT}$"),
+    ("fault", rf"^/dmodule/content/(.*/)?(faultIsolation{_AT}/faultDescription|isolationStep){_AT}$"),
+    ("description", rf"^/dmodule/content/description/levelledPara{_AT}$"),
+    ("ipd", r"^/dmodule/content/illustratedPartsCatalog$"),
+)
 
 
 def structure_chunks(nodes: DataFrame, dms: DataFrame) -> DataFrame:
-    """Chunks at element boundaries; a module without one is a single chunk of its content.
+    """Chunks at element boundaries; a description without paragraphs is one chunk, and so is the content of a
+    module of another kind.  The text of parts data ends with its part numbers, which stand in attributes.
 
-    ``nodes``: the node table; ``dms``: package, file, dmc, dm_title, digest, content_type.
+    ``nodes``: the node table; ``dms``: package, file, dmc, dm_title, digest.  Adds the figures (``icn_refs``) and
+    modules (``dm_refs``) that an element names.
     """
-    own = nodes.join(dms, ["package", "file"])
-    tag = F.create_map(*[x for k, v in BOUNDARIES.items() for x in (F.lit(k), F.lit(v))])
-    hit = own.where(F.col("tag") == F.element_at(tag, F.col("content_type"))).select("package", "file", "dmc", "dm_title", "digest", F.col("content_type").alias("chunk_type"), F.col("xpath").alias("source_path"), "text", F.col("node_id").alias("seq"))
-    whole = own.where("tag = 'content'").join(hit.select("package", "file").distinct(), ["package", "file"], "left_anti").select("package", "file", "dmc", "dm_title", "digest", F.lit("whole").alias("chunk_type"), F.col("xpath").alias("source_path"), "text", F.col("node_id").alias("seq"))
-    all_ = hit.unionByName(whole)
-    return all_.withColumn("strategy", F.lit("structure")).withColumn("chunk_id", chunk_id(F.col("dmc"), F.col("source_path"), F.col("strategy"), F.col("digest")))
+    key = ["package", "file"]
+    body = nodes.where("xpath like '/dmodule/content%'")
+    kind = F.coalesce(*[F.when(F.col("xpath").rlike(p), F.lit(k)) for k, p in BOUNDARIES])
+    hit = body.withColumn("chunk_type", kind).where("chunk_type is not null")
+    flat = body.where("xpath = '/dmodule/content/description'").join(hit.where("chunk_type = 'description'").select(*key), key, "left_anti").withColumn("chunk_type", F.lit("description"))
+    hit = hit.unionByName(flat)
+    whole = body.where("xpath = '/dmodule/content'").join(hit.select(*key), key, "left_anti").withColumn("chunk_type", F.lit("dm"))
+    hit = hit.unionByName(whole).select(*key, "chunk_type", F.col("xpath").alias("source_path"), "text", F.col("node_id").alias("seq"))
+    # an attribute belongs to every chunk whose element is one of its ancestors: an equi-join on the ancestors' paths
+    steps = F.filter(F.split("xpath", "/"), lambda x: x != "")
+    up = F.transform(F.sequence(F.lit(1), F.size(steps)), lambda i: F.concat(F.lit("/"), F.array_join(F.slice(steps, F.lit(1), i), "/")))
+    refs = references(body).select(*key, "ref", "dmc").withColumnRenamed("ref", "node_id")
+    named = body.where("tag = 'dmRefIdent'").join(refs, [*key, "node_id"]).select(*key, "node_id", F.explode(up).alias("source_path"), F.col("dmc").alias("dm"), F.lit(None).cast("string").alias("icn"), F.lit(None).cast("string").alias("part"))
+    marks = body.where("(tag = 'graphic' and attrs['infoEntityIdent'] <> '') or (tag = 'partRef' and attrs['partNumberValue'] <> '')").select(
+        *key, "node_id", F.explode(up).alias("source_path"), F.lit(None).cast("string").alias("dm"),
+        F.when(F.col("tag") == "graphic", F.col("attrs")["infoEntityIdent"]).alias("icn"), F.when(F.col("tag") == "partRef", F.col("attrs")["partNumberValue"]).alias("part"))
+    per = named.unionByName(marks).join(hit.select(*key, "source_path"), [*key, "source_path"], "left_semi").groupBy(*key, "source_path").agg(
+        F.sort_array(F.collect_set("dm")).alias("dm_refs"), _in_order("icn").alias("icn_refs"), _in_order("part").alias("parts"))
+    none = F.array().cast("array<string>")
+    own = hit.join(per, [*key, "source_path"], "left").join(dms.select(*key, "dmc", "dm_title", "digest"), key)
+    folded = F.when((F.col("chunk_type") == "ipd") & (F.size(F.coalesce("parts", none)) > 0), F.concat_ws(" ", "text", F.array_join("parts", " "))).otherwise(F.col("text"))
+    out = own.select(*key, "dmc", "dm_title", "digest", "chunk_type", "source_path", folded.alias("text"), F.coalesce("icn_refs", none).alias("icn_refs"), F.coalesce("dm_refs", none).alias("dm_refs"), "seq")
+    return out.withColumn("strategy", F.lit("structure")).withColumn("chunk_id", chunk_id(F.col("dmc"), F.col("source_path"), F.col("strategy"), F.col("digest")))
+
+
+def _in_order(col: str) -> Column:
+    """The values of ``col`` in document order."""
+    return F.transform(F.sort_array(F.collect_list(F.when(F.col(col).isNotNull(), F.struct("node_id", col)))), lambda x: x[col])
+
+
+def indexed_text(text: Column, dmc: Column, icn_refs: Column, dm_refs: Column) -> Column:
+    """What the lexical index reads: a chunk's text and the identifiers that belong to it."""
+    return F.concat_ws(" ", text, dmc, F.array_join(icn_refs, " "), F.array_join(dm_refs, " "))
 
 
 def dedupe(chunks: DataFrame) -> DataFrame:

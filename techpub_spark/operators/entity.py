@@ -2,43 +2,61 @@
 
 from __future__ import annotations
 
+import re
+
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import DMC_PATTERN, PART_PATTERN, normal_phrase
+from ..functions.text import BARE_CODE, FULL_CODE, HYPHEN_TOKEN, PART_SHAPE, normal_phrase
 
 
 def part_lexicon(chunks: DataFrame) -> DataFrame:
     """(part, dmcs): part numbers of parts-data chunks; a part has a digit and is no document code."""
-    parts = chunks.where("chunk_type = 'ipd'").select("dmc", F.explode(F.regexp_extract_all("text", F.lit(PART_PATTERN), F.lit(0))).alias("part"))
+    parts = chunks.where("chunk_type = 'ipd'").select("dmc", F.explode(F.regexp_extract_all("text", F.lit(PART_SHAPE), F.lit(0))).alias("part"))
     return parts.where(F.col("part").rlike("[0-9]") & ~F.col("part").startswith("DMC-")).groupBy("part").agg(F.sort_array(F.collect_set("dmc")).alias("dmcs"))
 
 
 def phrase_lexicon(chunks: DataFrame) -> DataFrame:
-    """(phrase, dmcs): normal forms, of two words or more, of titles and of their parts around the dash."""
-    raw = chunks.select("dmc", F.explode(F.array_union(F.array("dm_title"), F.split("dm_title", "—"))).alias("t"))
+    """(phrase, dmcs): normal forms, of two words or more, of the parts of titles around the dash."""
+    raw = chunks.select("dmc", F.explode(F.split("dm_title", "—")).alias("t"))
     return raw.select("dmc", normal_phrase(F.col("t")).alias("phrase")).where(F.size(F.split("phrase", " ")) >= 2).groupBy("phrase").agg(F.sort_array(F.collect_set("dmc")).alias("dmcs"))
 
 
+_SHAPES = [re.compile(p, re.ASCII) for p in (FULL_CODE, BARE_CODE, HYPHEN_TOKEN)]
+
+
+def _code_places(query: pd.Series) -> pd.Series:
+    """Places of full codes, bare codes and joined tokens in upper-cased queries, per query in that order."""
+    out = []
+    for text in query.fillna("").str.upper():
+        out.append([(k, m.start(), m.end(), m[0]) for k, shape in enumerate(_SHAPES) for m in shape.finditer(text)])
+    return pd.Series(out)
+
+
 def link(queries: DataFrame, dmcs: DataFrame, parts: DataFrame, phrases: DataFrame) -> DataFrame:
-    """(query_id, kind, surface, dmcs): full codes, bare code suffixes, parts, task phrases.
+    """(query_id, kind, surface, dmcs, place): codes (``dmc``, full or bare), parts and tasks that a query names.
 
-    Codes and parts are joins.  Phrases: candidates come from a join on the first word, then the longest
-    wins and consumes its span, per query.
+    A code that the corpus does not hold links nothing.  A bare code inside a linked full one, and a part
+    inside a linked code, are left out.  Tasks: candidates come from a join on the first word, then the
+    longest wins and consumes its span, per query.  ``place`` orders a query's entities.
     """
-    q = queries.select("query_id", "query", normal_phrase(F.col("query")).alias("norm"))
-    full = q.select("query_id", F.explode(F.array_distinct(F.regexp_extract_all(F.upper("query"), F.lit(DMC_PATTERN), F.lit(0)))).alias("surface"))
-    known = dmcs.select(F.col("dmc").alias("surface")).distinct()
-    exact = full.join(known, "surface").select("query_id", F.lit("dmc").alias("kind"), "surface", F.array("surface").alias("dmcs"))
-    bare = q.select("query_id", F.explode(F.array_distinct(F.regexp_extract_all(F.regexp_replace(F.upper("query"), DMC_PATTERN, " "), F.lit(PART_PATTERN), F.lit(0)))).alias("surface"))
-    # a bare code is a whole-group suffix of a full one: every suffix of a code is a key, so the join is an equi-join
-    tail = dmcs.select("dmc").distinct().withColumn("p", F.split("dmc", "-")).select("dmc", F.explode(F.transform(F.sequence(F.lit(2), F.size("p") - 1), lambda i: F.array_join(F.slice("p", i, F.size("p")), "-"))).alias("surface"))
-    suffix = bare.join(tail, "surface").groupBy("query_id", "surface").agg(F.sort_array(F.collect_set("dmc")).alias("dmcs")).select("query_id", F.lit("bare").alias("kind"), "surface", "dmcs")
-    part = bare.join(parts, F.col("surface") == F.col("part")).select("query_id", F.lit("part").alias("kind"), "surface", "dmcs")
+    kind = queries.schema["query_id"].dataType.simpleString()
+    found = F.pandas_udf(_code_places, "array<struct<k:int,s:int,e:int,surface:string>>")(F.col("query"))
+    at = queries.select("query_id", F.explode(found).alias("p")).select("query_id", "p.*")
+    known = dmcs.select("dmc").distinct()
+    full = at.where("k = 0").join(known, F.col("surface") == F.col("dmc")).select("query_id", "k", "s", "e", "surface", F.array("dmc").alias("dmcs"))
+    # a bare code is a fixed number of trailing groups of a full one, so that the join is an equi-join
+    tail = known.select("dmc", F.concat_ws("-", F.slice(F.split("dmc", "-"), -6, 6)).alias("t")).where(F.size(F.split("dmc", "-")) > 6)
+    bare = at.where("k = 1").join(tail, F.col("surface") == F.col("t")).groupBy("query_id", "k", "s", "e", "surface").agg(F.sort_array(F.collect_set("dmc")).alias("dmcs"))
+    part = at.where("k = 2").join(parts.select("part", "dmcs"), F.col("surface") == F.col("part")).select("query_id", "k", "s", "e", "surface", "dmcs")
+    hits = full.unionByName(bare).unionByName(part).groupBy("query_id").agg(F.sort_array(F.collect_list(F.struct("k", "s", "e", "surface", "dmcs"))).alias("h"))
+    inside = lambda x: F.exists("h", lambda y: (y["k"] < x["k"]) & (y["s"] <= x["s"]) & (x["e"] <= y["e"]))
+    codes = hits.select("query_id", F.explode(F.filter("h", lambda x: ~inside(x))).alias("x"))
+    codes = codes.select("query_id", F.when(F.col("x.k") < 2, "dmc").otherwise("part").alias("kind"), "x.surface", "x.dmcs", (F.col("x.k") * F.lit(1 << 20) + F.col("x.s")).alias("place"))
+    q = queries.select("query_id", normal_phrase(F.col("query")).alias("norm"))
     words = q.select("query_id", "norm", F.explode(F.array_distinct(F.split("norm", " "))).alias("w"))
     cand = words.join(phrases.withColumn("w", F.get(F.split("phrase", " "), 0)), "w").where(F.contains(F.concat(F.lit(" "), "norm", F.lit(" ")), F.concat(F.lit(" "), "phrase", F.lit(" "))))
-    kind = queries.schema["query_id"].dataType.simpleString()
 
     def longest(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
         text, taken, out = f" {rows['norm'].iloc[0]} ", [], []
@@ -48,11 +66,11 @@ def link(queries: DataFrame, dmcs: DataFrame, parts: DataFrame, phrases: DataFra
                 at = text.find(f" {r.phrase} ", at + 1)
             if at >= 0:
                 taken.append((at, at + len(r.phrase) + 1))
-                out.append((key[0], "phrase", r.phrase, list(r.dmcs)))
-        return pd.DataFrame(out, columns=["query_id", "kind", "surface", "dmcs"])
+                out.append((key[0], "task", r.phrase, list(r.dmcs), (3 << 20) + len(out)))
+        return pd.DataFrame(out, columns=["query_id", "kind", "surface", "dmcs", "place"])
 
-    chosen = cand.select("query_id", "norm", "phrase", "dmcs").groupBy("query_id").applyInPandas(longest, f"query_id {kind}, kind string, surface string, dmcs array<string>")
-    return exact.unionByName(suffix).unionByName(part).unionByName(chosen)
+    chosen = cand.select("query_id", "norm", "phrase", "dmcs").groupBy("query_id").applyInPandas(longest, f"query_id {kind}, kind string, surface string, dmcs array<string>, place int")
+    return codes.unionByName(chosen)
 
 
 def graph_arm(discovered: DataFrame, chunks: DataFrame, k: int) -> DataFrame:

@@ -86,11 +86,15 @@ def redacted(neighbours: Column, admitted: Column) -> tuple[Column, Column]:
 
 
 def gaps(declared: DataFrame, own: DataFrame, admitted: DataFrame) -> DataFrame:
-    """Declarations without a target.  ``declared``: owner_admitted, dmc, ...; an admitted declaration looks in the
-    admitted union and its own package, another one in its own package only."""
-    both = admitted.select("dmc").unionByName(own.select("dmc")).distinct()
-    open_ = declared.where("owner_admitted").join(both, "dmc", "left_anti")
-    shut = declared.where(~F.col("owner_admitted")).join(own.select("dmc").distinct(), "dmc", "left_anti")
+    """Declarations without a target, with the ``kind`` of gap.
+
+    ``declared``: package, owner_admitted, dmc, ...; ``own``: package, dmc of every package; ``admitted``: dmc of the
+    admitted ones.  A declaration is met by its own package, and an admitted one by any admitted package.
+    """
+    here = own.select("package", "dmc").distinct()
+    left = declared.join(here, ["package", "dmc"], "left_anti")
+    open_ = left.where("owner_admitted").join(admitted.select("dmc").distinct(), "dmc", "left_anti").select(*declared.columns, F.lit("declared, admitted").alias("kind"))
+    shut = left.where(~F.col("owner_admitted")).select(*declared.columns, F.lit("declared, before admission").alias("kind"))
     return open_.unionByName(shut)
 
 

@@ -7,16 +7,20 @@ the session's checkpoint folder, so that lineage doesn't grow and lost executors
 from __future__ import annotations
 
 import tempfile
+from functools import reduce
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
 def _cut(df: DataFrame) -> DataFrame:
-    """Cut lineage by a reliable checkpoint in the shared folder; a local folder only where none is set."""
+    """Cut lineage by a reliable checkpoint in the shared folder; only a local session may do without one."""
     sc = df.sparkSession.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="techpub-ck-"))
+        shared = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if not shared and not sc.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        sc.setCheckpointDir(shared or "file://" + tempfile.mkdtemp(prefix="techpub-ck-"))
     return df.checkpoint(eager=True)
 
 
@@ -42,7 +46,7 @@ def impact(edges: DataFrame, targets: DataFrame, depth: int, cap: int = 1000) ->
 
 
 def neighbourhood(edges: DataFrame, seeds: DataFrame, depth: int = 2, fan_out: int = 20, cap: int = 100, most_seeds: int = 25) -> DataFrame:
-    """Both directions from the seeds: dmc, hop, direction, via; outgoing before incoming in each hop.
+    """Both directions from the seeds: dmc, hop, direction, via, truncated; outgoing before incoming in each hop.
 
     What the outgoing pass of a hop finds counts as visited in its incoming pass.  Each node passes on at
     most ``fan_out`` new neighbours (smallest first); the first discovery in (via, dmc) order wins.
@@ -65,36 +69,55 @@ def neighbourhood(edges: DataFrame, seeds: DataFrame, depth: int = 2, fan_out: i
         if front.isEmpty():
             break
     order = F.struct("hop", F.when(F.col("direction") == "out", 0).otherwise(1), "via", "dmc")
-    return seen.where("hop > 0").orderBy(order).limit(cap)
+    first = seen.where("hop > 0").withColumn("o", order).orderBy("o").limit(cap + 1)  # a bounded number of rows from here on
+    placed = first.withColumn("rn", F.row_number().over(Window.orderBy("o"))).withColumn("truncated", F.count("*").over(Window.partitionBy(F.lit(1))) > cap)
+    return placed.where(F.col("rn") <= cap).orderBy("rn").select("dmc", "hop", "direction", "via", "truncated")
 
 
-def cycles(edges: DataFrame, max_rounds: int = 30) -> DataFrame:
+def _trimmed(edges: DataFrame) -> DataFrame:
+    """``edges`` without nodes that lack an incoming or outgoing edge, round by round: they can't be in a cycle."""
+    size = edges.count()
+    while size:
+        edges = _cut(edges.join(edges.select(F.col("dst").alias("src")).distinct(), "src", "left_semi").join(edges.select(F.col("src").alias("dst")).distinct(), "dst", "left_semi").select("src", "dst"))
+        size, before = edges.count(), size
+        if size == before:
+            break
+    return edges
+
+
+def cycles(edges: DataFrame) -> DataFrame:
     """Strongly connected components of more than one node, or with a loop: carrier, members.
 
-    Nodes without an incoming or outgoing edge are trimmed first, round by round (they can't be in a
-    cycle); reachability of what is left is closed by squaring, so rounds grow with the logarithm of the
-    longest path.
+    Forward-backward colouring: the smallest node that reaches a node is its colour; what reaches back to
+    that node inside the colour is its component, and leaves the graph.  A round moves each edge once;
+    nothing is closed transitively.
     """
-    core = _cut(edges.where("src is not null and dst is not null").select("src", "dst").distinct())
-    size = core.count()
-    while size:
-        trimmed = core.join(core.select(F.col("dst").alias("src")).distinct(), "src", "left_semi").join(core.select(F.col("src").alias("dst")).distinct(), "dst", "left_semi").select("src", "dst")
-        core = _cut(trimmed)
-        now = core.count()
-        if now == size:
-            break
-        size = now
-    reach, size = core, size
-    for _ in range(max_rounds):
-        step = reach.alias("x").join(reach.alias("y"), F.col("x.dst") == F.col("y.src")).select(F.col("x.src"), F.col("y.dst"))
-        reach = _cut(reach.unionByName(step).distinct())
-        now = reach.count()
-        if now == size:
-            break
-        size = now
-    mutual = reach.alias("x").join(reach.alias("y"), (F.col("x.src") == F.col("y.dst")) & (F.col("x.dst") == F.col("y.src"))).select(F.col("x.src").alias("node"), F.col("x.dst").alias("peer"))
-    group = mutual.groupBy("node").agg(F.min("peer").alias("carrier"))
-    return group.groupBy("carrier").agg(F.sort_array(F.collect_set("node")).alias("members"))
+    left = _trimmed(_cut(edges.where("src is not null and dst is not null").select("src", "dst").distinct()))
+    found = []
+    while not left.isEmpty():
+        nodes = left.select(F.col("src").alias("node")).union(left.select("dst")).distinct()
+        colour, changed = _cut(nodes.withColumn("c", F.col("node"))), 1
+        while changed:
+            seen = left.join(colour, F.col("src") == F.col("node")).groupBy("dst").agg(F.min("c").alias("m"))
+            after = _cut(colour.join(seen, F.col("node") == F.col("dst"), "left").select("node", F.least("c", F.coalesce("m", "c")).alias("c"), (F.col("m") < F.col("c")).alias("moved")))
+            changed, colour = after.where("moved").count(), after.select("node", "c")
+        paint = colour.toDF("p", "pc")
+        inner = left.join(colour, F.col("src") == F.col("node")).join(paint, F.col("dst") == F.col("p")).where("c = pc").select("src", "dst", "c")
+        front = part = _cut(colour.where("node = c"))
+        inner = _cut(inner)
+        while not front.isEmpty():
+            back = inner.join(front.select(F.col("node").alias("dst")), "dst", "left_semi").select(F.col("src").alias("node"), "c").distinct()
+            front = _cut(back.join(part.select("node"), "node", "left_anti"))
+            part = _cut(part.unionByName(front))
+        found.append(part)
+        gone = part.select("node")
+        left = _trimmed(_cut(left.join(gone, F.col("src") == F.col("node"), "left_anti").join(gone, F.col("dst") == F.col("node"), "left_anti")))
+    if not found:
+        return edges.where(F.lit(False)).groupBy(F.col("src").alias("carrier")).agg(F.sort_array(F.collect_set("src")).alias("members"))
+    every = reduce(DataFrame.unionByName, found)
+    loops = edges.where("src = dst").select(F.col("src").alias("carrier")).distinct().withColumn("loop", F.lit(True))
+    group = every.groupBy(F.col("c").alias("carrier")).agg(F.sort_array(F.collect_set("node")).alias("members"))
+    return group.join(loops, "carrier", "left").where((F.size("members") > 1) | F.col("loop")).select("carrier", "members")
 
 
 def facts(nodes: DataFrame, refs: DataFrame, uses: DataFrame, asked: DataFrame) -> DataFrame:

@@ -14,15 +14,16 @@ def first_copies(rows: DataFrame, digest: Column, order_col: str) -> DataFrame:
 
 
 def duplicate_issues(rows: DataFrame, key: str, issue: str, order_col: str) -> DataFrame:
-    """Adjacent copies of a key in issue order: equal issues conflict, a newer one supersedes.
-
-    Non-numeric issues sort before numeric ones.  Returns key, issue, previous, verdict.
+    """Findings on copies of a key (key, issue, order_col, verdict): a copy whose issue equals that of the copy
+    before it in issue order conflicts (XREF-006); the newest copy, if strictly newer than the oldest, supersedes
+    the others (XREF-007, once a key).  Non-numeric issues sort before numeric ones.
     """
-    number = F.coalesce(F.expr(f"try_cast({issue} as int)"), F.lit(-1))
-    w = Window.partitionBy(key).orderBy(number, F.col(issue).cast("string"), order_col)
-    before = F.lag(F.col(issue).cast("string")).over(w)
-    verdict = F.when(before.isNull(), "first").when(before == F.col(issue).cast("string"), "XREF-006").otherwise("XREF-007")
-    return rows.select(F.col(key), F.col(issue), F.col(order_col), before.alias("previous"), verdict.alias("verdict"))
+    place = F.struct(F.coalesce(F.expr(f"try_cast({issue} as int)"), F.lit(-1)).alias("n"), F.col(issue).cast("string").alias("s"))
+    cols = rows.select(key, issue, order_col, place.alias("place"))
+    again = cols.withColumn("before", F.lag("place").over(Window.partitionBy(key).orderBy("place", order_col))).where("before = place")
+    ends = cols.groupBy(key).agg(F.min("place").alias("oldest"), F.max(F.struct("place", order_col, issue)).alias("newest"))
+    newer = ends.where(F.col("newest.place") > F.col("oldest")).select(key, f"newest.{issue}", f"newest.{order_col}", F.lit("XREF-007").alias("verdict"))
+    return again.select(key, issue, order_col, F.lit("XREF-006").alias("verdict")).unionByName(newer)
 
 
 def newest(rows: DataFrame, key: str, issue: str, order_col: str) -> DataFrame:
@@ -49,6 +50,7 @@ def set_compare(left: DataFrame, right: DataFrame, key: str) -> DataFrame:
 
 
 def verify_sets(local: DataFrame, engine: DataFrame, key: str) -> DataFrame:
-    """``local``, or an error when it is read if the two key sets differ (fail closed)."""
-    bad = set_compare(local, engine, key).agg(F.count("*").alias("n"), F.concat_ws(", ", F.slice(F.sort_array(F.collect_list(F.concat_ws(":", "side", F.col(key).cast("string")))), 1, 5)).alias("some"))
-    return local.crossJoin(F.broadcast(bad)).where(F.when(F.col("n") > 0, F.raise_error(F.concat(F.lit("corpus differs: "), "some"))).otherwise(F.lit(True))).drop("n", "some")
+    """``local``, or an error when it is read if the two key sets differ (fail closed).  The error names the first five."""
+    bad = set_compare(local, engine, key).select(F.concat_ws(":", "side", F.col(key).cast("string")).alias("some"))
+    few = bad.orderBy("some").limit(5).agg(F.array_join(F.sort_array(F.collect_list("some")), ", ").alias("some"))  # one row
+    return local.crossJoin(F.broadcast(few)).where(F.when(F.col("some") != "", F.raise_error(F.concat(F.lit("corpus differs: "), "some"))).otherwise(F.lit(True))).drop("some")

@@ -12,12 +12,12 @@ from .graph import cycles
 
 FINDING = ("package", "rule_id", "layer", "severity", "file", "line", "message")
 #: Words of a step that call for a warning.
-HAZARDS = ("high pressure", "high voltage", "hot surface", "toxic", "flammable", "depressurize", "explosive")
+HAZARDS = ("pressur", "nitrogen", "discharge", "voltage", "high current", "flammable", "toxic")
 #: Format of each code attribute.
 CODE_FORMAT = {
-    "modelIdentCode": "^[A-Z0-9]{2,14}$", "systemDiffCode": "^[A-Z0-9]{1,4}$", "systemCode": "^[A-Z0-9]{2,3}$", "subSystemCode": "^[A-Z0-9]$",
-    "subSubSystemCode": "^[A-Z0-9]$", "assyCode": "^[A-Z0-9]{2,4}$", "disassyCode": "^[A-Z0-9]{2}$", "disassyCodeVariant": "^[A-Z0-9]{1,3}$",
-    "infoCode": "^[A-Z0-9]{3}$", "infoCodeVariant": "^[A-Z0-9]$", "itemLocationCode": "^[A-Z]$",
+    "modelIdentCode": "^[A-Z0-9]{2,14}$", "systemDiffCode": "^[A-Z0-9]{1,4}$", "systemCode": "^[0-9]{2}$", "subSystemCode": "^[0-9]$",
+    "subSubSystemCode": "^[0-9]$", "assyCode": "^[0-9]{2}$", "disassyCode": "^[0-9]{2}$", "disassyCodeVariant": "^[A-Z]$",
+    "infoCode": "^[0-9]{3}$", "infoCodeVariant": "^[A-Z]$", "itemLocationCode": "^[A-Z]$",
 }
 
 
@@ -50,7 +50,7 @@ def references(nodes: DataFrame) -> DataFrame:
     ref = nodes.where("tag = 'dmRefIdent'").select("package", "file", F.col("node_id").alias("ref"))
     code = nodes.where("tag = 'dmCode'").select("package", "file", F.col("parent_id").alias("ref"), "line", dmc_string(code_struct(F.col("attrs"))).alias("dmc"))
     issue = nodes.where("tag = 'issueInfo'").select("package", "file", F.col("parent_id").alias("ref"), F.element_at("attrs", "issueNumber").alias("issue_number"))
-    return ref.join(code, ["package", "file", "ref"]).join(issue, ["package", "file", "ref"], "left")
+    return ref.join(code, ["package", "file", "ref"]).join(issue, ["package", "file", "ref"], "left")  # ref: node of the reference
 
 
 def parse_findings(nodes: DataFrame) -> DataFrame:
@@ -60,16 +60,18 @@ def parse_findings(nodes: DataFrame) -> DataFrame:
 
 
 def hazard_steps(nodes: DataFrame) -> DataFrame:
-    """BREX-001: a step that names a hazard with no warning in it, before it, or in the safety section."""
-    steps = nodes.where("tag = 'proceduralStep'").select("package", "file", "node_id", "line", "xpath")
-    inside = nodes.where("tag in ('warning', 'caution', 'para')").select("package", "file", "tag", F.col("xpath").alias("x"), F.col("own_text").alias("para"))
-    safe = nodes.where("tag in ('warning', 'caution') and xpath like '%/reqSafety/%'").select("package", "file").distinct().withColumn("safe", F.lit(True))
-    each = steps.join(inside, ["package", "file"], "left")
-    mine = F.startswith("x", F.concat("xpath", F.lit("/")))
-    hazard = reduce(lambda a, b: a | b, [F.contains(F.lower("para"), F.lit(h)) for h in HAZARDS])
-    per = each.groupBy("package", "file", "node_id", "line").agg(F.max(F.when(mine & F.col("tag").isin("warning", "caution"), 1).otherwise(0)).alias("warned"), F.max(F.when(mine & (F.col("tag") == "para") & hazard, 1).otherwise(0)).alias("hazard"))
+    """BREX-001: a step whose own paragraphs name a hazard, with no warning or caution in it, in an earlier
+    step, or in the safety section of the preliminary requirements."""
+    inside = nodes.where("xpath like '/dmodule/content/procedure/%'")
+    steps = inside.where("tag = 'proceduralStep'").select("package", "file", "node_id", "line")
+    hazard = reduce(lambda a, b: a | b, [F.contains(F.lower("text"), F.lit(h)) for h in HAZARDS])
+    told = inside.where("tag in ('warning', 'caution', 'para')").groupBy("package", "file", F.col("parent_id").alias("node_id")).agg(
+        F.max(F.col("tag") != "para").alias("warned"), F.max((F.col("tag") == "para") & hazard).alias("hazard"))
+    safe = inside.where(F.col("xpath").rlike(r"^/dmodule/content/procedure/preliminaryRqmts(\[1\])?/reqSafety(\[1\])?/safetyRqmts(\[1\])?/(warning|caution)(\[[0-9]+\])?$")).select("package", "file").distinct()
     w = Window.partitionBy("package", "file").orderBy("node_id").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    return finding(per.withColumn("covered", F.max("warned").over(w)).join(safe, ["package", "file"], "left").where("hazard = 1 and covered = 0 and safe is null"), "BREX-001", "L2", "error", F.lit("hazard without a warning"))
+    each = steps.join(told, ["package", "file", "node_id"], "left").withColumn("covered", F.max(F.coalesce("warned", F.lit(False))).over(w))
+    bare = each.where(F.coalesce("hazard", F.lit(False)) & ~F.col("covered")).join(safe, ["package", "file"], "left_anti")
+    return finding(bare, "BREX-001", "L2", "error", F.lit("hazard without a warning before it"))
 
 
 def code_format(dms: DataFrame) -> DataFrame:
@@ -80,9 +82,22 @@ def code_format(dms: DataFrame) -> DataFrame:
 
 
 def procedure_has_steps(nodes: DataFrame) -> DataFrame:
-    """BREX-003: a main procedure has a step as direct child."""
-    main = nodes.where("tag = 'mainProcedure'").select("package", "file", "line", F.col("node_id").alias("p"))
-    return finding(main.join(nodes.where("tag = 'proceduralStep'").select("package", "file", F.col("parent_id").alias("p")), ["package", "file", "p"], "left_anti"), "BREX-003", "L2", "error", F.lit("procedure without steps"))
+    """BREX-003: a procedure has a main procedure with a step as direct child."""
+    key = ["package", "file"]
+    procedure = nodes.where("tag = 'procedure' and xpath = '/dmodule/content/procedure'").select(*key, "line")
+    main = nodes.where("tag = 'mainProcedure' and xpath like '/dmodule/content/procedure/mainProcedure%'").select(*key, F.col("node_id").alias("p"))
+    good = main.join(nodes.where("tag = 'proceduralStep'").select(*key, F.col("parent_id").alias("p")), [*key, "p"], "left_semi").select(*key)
+    return finding(procedure.join(good, key, "left_anti"), "BREX-003", "L2", "error", F.lit("procedure without steps"))
+
+
+def extension_dates(nodes: DataFrame) -> DataFrame:
+    """BREX-005: of a status extension's two dates, the effective one comes first."""
+    dates = nodes.where("tag in ('effectiveDate', 'expiryDate')").select("package", "file", F.col("parent_id").alias("node_id"), "tag", F.try_to_date("text", "yyyy-MM-dd").alias("day"))
+    both = dates.groupBy("package", "file", "node_id").agg(F.min(F.when(F.col("tag") == "effectiveDate", F.col("day"))).alias("since"), F.min(F.when(F.col("tag") == "expiryDate", F.col("day"))).alias("until"))
+    status = nodes.where("tag = 'dmStatus'").select("package", "file", F.col("node_id").alias("parent_id"))
+    own = nodes.where("tag like '%Extension'").select("package", "file", "node_id", "parent_id", "line").join(status, ["package", "file", "parent_id"], "left_semi")
+    late = own.join(both.where("since >= until"), ["package", "file", "node_id"])
+    return finding(late, "BREX-005", "L2", "warning", F.concat(F.lit("effective "), F.col("since").cast("string"), F.lit(" is not before expiry "), F.col("until").cast("string")))
 
 
 def applicability_present(nodes: DataFrame) -> DataFrame:
@@ -109,10 +124,16 @@ def cross_file(nodes: DataFrame, dms: DataFrame, icns: DataFrame) -> DataFrame:
     out.append(finding(listed.join(index, ["package", "dmc"], "left_anti"), "XREF-008", "L3", "error", F.concat(F.lit("registered but missing: "), "dmc")))
     old = listed.join(index, ["package", "dmc"]).where("issue_number <> index_issue").select("package", F.col("index_file").alias("file"), "line", "dmc")
     out.append(finding(old, "XREF-003", "L3", "error", F.concat(F.lit("issue differs from the register: "), "dmc")))
-    w = Window.partitionBy("package", "dmc").orderBy(F.coalesce(F.expr("try_cast(issue_number as int)"), F.lit(-1)), "issue_number", "file")
-    twice = dms.withColumn("before", F.lag("issue_number").over(w)).where("before is not null")
-    out.append(finding(twice.where("before = issue_number"), "XREF-006", "L3", "error", F.concat(F.lit("same issue twice: "), "dmc")))
-    out.append(finding(twice.where("before <> issue_number"), "XREF-007", "L3", "warning", F.concat(F.lit("superseded copy: "), "dmc")))
+    issue = F.concat_ws("-", "issue_number", "in_work")
+    number = F.expr("try_cast(issue_number as int)")
+    order = F.struct(F.coalesce(number, F.lit(-1)).alias("n"), F.when(number.isNull(), F.coalesce("issue_number", F.lit(""))).otherwise(issue).alias("s"))
+    ordered = dms.withColumn("issue", F.when(F.col("issue_number").isNotNull(), issue)).withColumn("place", order)
+    w = Window.partitionBy("package", "dmc").orderBy("place", "file")
+    again = ordered.withColumn("before", F.lag("issue").over(w)).where("before = issue")
+    out.append(finding(again, "XREF-006", "L3", "error", F.concat(F.lit("same issue twice: "), "dmc")))
+    ends = ordered.groupBy("package", "dmc").agg(F.min("place").alias("oldest"), F.max(F.struct("place", "file", "line")).alias("newest"), F.array_sort(F.collect_list(F.concat_ws(" @ ", "file", "issue"))).alias("copies"))
+    newer = ends.where(F.col("newest.place") > F.col("oldest")).select("package", "dmc", F.col("newest.file").alias("file"), F.col("newest.line").alias("line"), "copies")
+    out.append(finding(newer, "XREF-007", "L3", "warning", F.concat(F.lit("superseded copies of "), "dmc", F.lit(": "), F.array_join("copies", ", "))))
     edges = body.join(dms.select("package", "file", F.col("dmc").alias("owner")), ["package", "file"]).join(index, ["package", "dmc"]).select(F.concat_ws("|", "package", "owner").alias("src"), F.concat_ws("|", "package", "dmc").alias("dst"))
     loop = cycles(edges).select(F.substring_index("carrier", "|", 1).alias("package"), F.substring_index("carrier", "|", -1).alias("dmc"), "members").join(index, ["package", "dmc"]).select("package", F.col("index_file").alias("file"), F.lit(None).cast("int").alias("line"), "members")
     out.append(finding(loop, "XREF-005", "L3", "warning", F.concat(F.lit("cycle of "), F.size("members").cast("string"))))
@@ -131,12 +152,39 @@ def validate(nodes: DataFrame, icns: DataFrame, accepted: tuple[str, ...] | None
     dms = data_modules(own)
     l1 = structure_findings(own)
     sound = own.join(l1.select("package", "file").distinct(), ["package", "file"], "left_anti")
-    parts = [parse_findings(nodes), l1, hazard_steps(sound), code_format(dms.join(sound.select("package", "file").distinct(), ["package", "file"], "left_semi")), procedure_has_steps(sound), applicability_present(sound), cross_file(own, dms, icns)]
+    parts = [parse_findings(nodes), l1, hazard_steps(sound), code_format(dms.join(sound.select("package", "file").distinct(), ["package", "file"], "left_semi")), procedure_has_steps(sound), applicability_present(sound), extension_dates(sound), cross_file(own, dms, icns)]
     if accepted:
         parts.append(wrong_model(dms, accepted))
     return reduce(DataFrame.unionByName, parts)
 
 
+def findings_for(findings: DataFrame, files: DataFrame) -> DataFrame:
+    """The findings of the given files (package, file)."""
+    return findings.join(files.select("package", "file").distinct(), ["package", "file"], "left_semi")
+
+
+def inspect(nodes: DataFrame, icns: DataFrame) -> DataFrame:
+    """One row per package: files by kind, modules by content type, references, figures, files that can't be read."""
+    own = nodes.where("error is null")
+    kind = F.upper(F.substring("file", 1, 4))
+    files = nodes.groupBy("package", "file").agg(F.max(F.col("error").isNotNull()).alias("broken")).groupBy("package").agg(
+        F.count_if(kind == "DMC-").alias("data_modules"), F.count_if(kind.startswith("PMC-")).alias("publication_modules"),
+        F.count_if(kind == "DML-").alias("lists"), F.count_if("broken").alias("unreadable"))
+    types = data_modules(own).groupBy("package", F.coalesce("content_type", F.lit("unknown")).alias("t")).agg(F.count("*").alias("n"))
+    types = types.groupBy("package").agg(F.map_from_entries(F.sort_array(F.collect_list(F.struct("t", "n")))).alias("content_types"))
+    refs = references(own).groupBy("package").agg(F.count("*").alias("references"), F.count_distinct("dmc").alias("referenced"))
+    figures = icns.groupBy("package").agg(F.count_distinct("ident").alias("figures"))
+    out = files.join(types, "package", "left").join(refs, "package", "left").join(figures, "package", "left")
+    return out.fillna(0, ["references", "referenced", "figures"])
+
+
+def inbound(nodes: DataFrame, dms: DataFrame) -> DataFrame:
+    """Who refers to each module: package, dmc, referrers (sorted), n; a module that nobody refers to has none."""
+    own = dms.select("package", "file", F.col("dmc").alias("owner"))
+    to = references(nodes).join(own, ["package", "file"]).groupBy("package", "dmc").agg(F.sort_array(F.collect_set("owner")).alias("referrers"))
+    return dms.select("package", "dmc").distinct().join(to, ["package", "dmc"], "left").select("package", "dmc", F.coalesce("referrers", F.array().cast("array<string>")).alias("referrers")).withColumn("n", F.size("referrers"))
+
+
 def report(findings: DataFrame) -> DataFrame:
     """Severity counts per package."""
     return findings.groupBy("package").agg(F.count_if(F.col("severity") == "error").alias("errors"), F.count_if(F.col("severity") == "warning").alias("warnings"))

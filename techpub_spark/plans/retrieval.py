@@ -161,7 +161,7 @@ def sanitize_text(spark: SparkSession, sf: str) -> DataFrame:
     return read_table(spark, sf, "documents").select("doc_id", F.md5(squeeze(t)).alias("squeezed"), F.md5(normal_phrase(t)).alias("phrase"), F.md5(normal_quote(t)).alias("quote"))
 
 
-@register("entity_lexicon", "SELECT part, count(DISTINCT doc_id) AS n_docs, min(doc_id) AS first_doc, max(doc_id) AS last_doc FROM (SELECT doc_id, unnest(regexp_extract_all(text, '[A-Z0-9]+(?:-[A-Z0-9]+)+')) AS part FROM documents) WHERE regexp_matches(part, '[0-9]') AND NOT starts_with(part, 'DMC-') GROUP BY part")
+@register("entity_lexicon", "SELECT part, count(DISTINCT doc_id) AS n_docs, min(doc_id) AS first_doc, max(doc_id) AS last_doc FROM (SELECT doc_id, unnest(regexp_extract_all(text, '\\b[A-Z]{1,4}(?:-[A-Z0-9]+){2,}\\b')) AS part FROM documents) WHERE regexp_matches(part, '[0-9]') AND NOT starts_with(part, 'DMC-') GROUP BY part")
 def entity_lexicon(spark: SparkSession, sf: str) -> DataFrame:
     chunks = read_table(spark, sf, "documents").select(F.col("doc_id").alias("dmc"), "text", F.lit("ipd").alias("chunk_type"))
     return entity.part_lexicon(chunks).select("part", F.size("dmcs").cast("long").alias("n_docs"), F.element_at("dmcs", 1).alias("first_doc"), F.element_at("dmcs", -1).alias("last_doc"))
