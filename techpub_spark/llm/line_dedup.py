@@ -180,15 +180,18 @@ def _wanted_lines(table):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         recent: set[bytes] = set()
         for batch in batches:
-            for body in batch.column(0).to_pylist():
-                lines = list(dict.fromkeys((body or "").split("\n")))
-                ids = pa.array([xxhash.xxh3_128_digest(x.encode("utf-8", "surrogatepass")) for x in lines], pa.binary())
-                found = [(k, lines[i]) for i in np.flatnonzero(has_bit(table.value, ids)).tolist() if (k := ids[i].as_py()) not in recent]
-                if found:
+            lines = [x for body in batch.column(0).to_pylist() if body for x in body.split("\n")]
+            ids = [xxhash.xxh3_128_digest(x.encode("utf-8", "surrogatepass")) for x in lines]
+            keys, texts = [], []
+            for i in np.flatnonzero(has_bit(table.value, pa.array(ids, pa.binary()))).tolist():
+                if ids[i] not in recent:
                     if len(recent) >= RECENT:
                         recent.clear()
-                    recent.update(k for k, _ in found)
-                    yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in found], pa.binary()), pa.array([t for _, t in found], pa.string())], names=["id", "text"])
+                    recent.add(ids[i])
+                    keys.append(ids[i])
+                    texts.append(lines[i])
+            if keys:
+                yield pa.RecordBatch.from_arrays([pa.array(keys, pa.binary()), pa.array(texts, pa.string())], names=["id", "text"])
 
     return run
 
