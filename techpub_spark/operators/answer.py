@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import affirmed, answer_object, normal_quote
+from .figures import figure_ref
 
 SHORTEST_QUOTE = 12
 REPLY = "answerable boolean, answer string, citations array<struct<chunk_id:string,quote:string>>"
@@ -134,6 +135,54 @@ def rates(rows: DataFrame, by: str, flag: str) -> DataFrame:
     return rows.rollup(by).agg(F.count("*").alias("n"), r.alias("rate"))
 
 
+#: Shapes of part numbers and measurements that an answer must not invent.
+PART_TOKEN, MEASURE = r"\b[A-Z]{1,4}-\d+(?:-\d+)+\b", r"(?i)\b\d+(?:\.\d+)?\s?(?:mm|cm|nm|kg|°|deg|degrees?)\b"
+
+
+def invented(answer_: Column, grounding: Column) -> Column:
+    """Part numbers and measurements of an answer that the grounding text does not hold."""
+    found = F.array_union(F.regexp_extract_all(answer_, F.lit(PART_TOKEN), F.lit(0)), F.regexp_extract_all(answer_, F.lit(MEASURE), F.lit(0)))
+    return F.filter(found, lambda t: ~F.contains(F.lower(grounding), F.lower(t)))
+
+
+def shown_citations(gated: DataFrame, evidence: DataFrame) -> DataFrame:
+    """Valid citations for display, the first quote per chunk: query_id, id, quote, and what ``evidence`` knows of it.
+
+    ``gated``: as ``citation_gate`` gives it; ``evidence``: query_id, id, dmc, source_path, chunk_type, icn_refs, text.
+    """
+    first = gated.where("reason is null").groupBy("query_id", F.col("cited").alias("id")).agg(F.min_by("quote", "pos").alias("quote"), F.min("pos").alias("pos"))
+    own = first.join(evidence.select("query_id", "id", "dmc", "source_path", "chunk_type", "icn_refs"), ["query_id", "id"])
+    return own.withColumn("figure_ref", figure_ref(F.col("chunk_type"), F.get("icn_refs", 0), F.col("quote")))
+
+
+def answer_questions(questions: DataFrame, evidence: DataFrame, model: Callable[[str], str], threshold: float) -> DataFrame:
+    """The two-outcome pipeline: query_id, refused, gate, answer, citations.
+
+    ``questions``: query_id, question; ``evidence``: the reranked rows of each, with query_id, rank, id, score, text,
+    dmc, source_path, chunk_type, icn_refs.  Gates in order: no evidence or a best score under ``threshold``;
+    a reply of the wrong shape; the model's own refusal; an answer without citations; a citation that does not
+    hold (one is enough); with figures only, a part number or measure that no cited figure holds.  The model
+    sees only questions that passed the gates before it; what no gate stops is answered.
+    """
+    top = threshold_gate(evidence, threshold)
+    asked = questions.join(top.where(~F.col("refused")).select("query_id"), "query_id", "left_semi")
+    replies = generate(prompts(asked, evidence), model)
+    gated = citation_gate(replies, evidence)
+    bad = gated.groupBy("query_id").agg(F.count("*").alias("n"), F.min_by("reason", F.when(F.col("reason").isNotNull(), F.col("pos"))).alias("why"))
+    shown = shown_citations(gated, evidence)
+    cited = shown.join(evidence.select("query_id", "id", "text"), ["query_id", "id"]).groupBy("query_id").agg(
+        F.sort_array(F.collect_list(F.struct("pos", "id", "dmc", "source_path", "quote", "figure_ref"))).alias("citations"),
+        F.min(F.col("chunk_type") == "figure").alias("figures"), F.concat_ws(" ", F.collect_list("text")).alias("grounding"))
+    every = questions.join(top, "query_id", "left").join(replies, "query_id", "left").join(bad, "query_id", "left").join(cited, "query_id", "left")
+    loose = F.size(invented(F.col("reply.answer"), F.concat_ws(" ", "grounding", "question"))) > 0
+    gate = (
+        F.when(F.coalesce("refused", F.lit(True)), "threshold").when(F.col("reply.answerable").isNull(), "reply").when(~F.col("reply.answerable"), "model")
+        .when((F.trim(F.coalesce("reply.answer", F.lit(""))) == "") | F.col("n").isNull(), "no citation").when(F.col("why").isNotNull(), F.concat(F.lit("citation: "), "why"))
+        .when(F.coalesce("figures", F.lit(False)) & F.coalesce(loose, F.lit(False)), "figure")
+    )
+    return every.select("query_id", gate.isNotNull().alias("refused"), gate.alias("gate"), F.when(gate.isNull(), F.trim("reply.answer")).alias("answer"), F.when(gate.isNull(), F.col("citations")).alias("citations"))
+
+
 def select_repair(candidates: DataFrame, veto: float = 0.5) -> DataFrame:
     """Best verified candidate per finding: least deleted, then role order, then the diff itself.
 

@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def _cut(df: DataFrame) -> DataFrame:
+def cut(df: DataFrame) -> DataFrame:
     """Cut lineage by a reliable checkpoint in the shared folder; only a local session may do without one."""
     sc = df.sparkSession.sparkContext
     if sc.getCheckpointDir() is None:
@@ -31,11 +31,11 @@ def impact(edges: DataFrame, targets: DataFrame, depth: int, cap: int = 1000) ->
     at most ``cap`` rows a target in the order (hops, dmc), with a flag if there were more.
     """
     back = edges.select(F.col("dst").alias("to"), F.col("src").alias("dmc")).distinct()
-    seen = _cut(targets.select("target", F.col("target").alias("dmc"), F.lit(0).alias("hops")).distinct())
+    seen = cut(targets.select("target", F.col("target").alias("dmc"), F.lit(0).alias("hops")).distinct())
     front = seen
     for hop in range(1, depth + 1):
         step = front.select("target", F.col("dmc").alias("to")).join(back, "to").select("target", "dmc").distinct()
-        front = _cut(step.join(seen, ["target", "dmc"], "left_anti").withColumn("hops", F.lit(hop)))
+        front = cut(step.join(seen, ["target", "dmc"], "left_anti").withColumn("hops", F.lit(hop)))
         if front.isEmpty():
             break
         seen = seen.unionByName(front)
@@ -54,7 +54,7 @@ def neighbourhood(edges: DataFrame, seeds: DataFrame, depth: int = 2, fan_out: i
     if seeds.limit(most_seeds + 1).count() > most_seeds:
         raise ValueError(f"more than {most_seeds} seeds")
     kind = edges.schema["src"].dataType.simpleString()
-    seen = _cut(seeds.select(F.col("dmc"), F.lit(0).alias("hop"), F.lit("seed").alias("direction"), F.lit(None).cast(kind).alias("via")).distinct())
+    seen = cut(seeds.select(F.col("dmc"), F.lit(0).alias("hop"), F.lit("seed").alias("direction"), F.lit(None).cast(kind).alias("via")).distinct())
     front = seen
     ways = (("out", edges.select(F.col("src").alias("s"), F.col("dst").alias("n"))), ("in", edges.select(F.col("dst").alias("s"), F.col("src").alias("n"))))
     for hop in range(1, depth + 1):
@@ -62,7 +62,7 @@ def neighbourhood(edges: DataFrame, seeds: DataFrame, depth: int = 2, fan_out: i
         for name, way in ways:
             step = front.select(F.col("dmc").alias("s")).distinct().join(way.distinct(), "s").join(seen.select(F.col("dmc").alias("n")), "n", "left_anti")
             few = step.withColumn("rn", F.row_number().over(Window.partitionBy("s").orderBy("n"))).where(F.col("rn") <= fan_out)
-            found = _cut(few.groupBy("n").agg(F.min("s").alias("via")).select(F.col("n").alias("dmc"), F.lit(hop).alias("hop"), F.lit(name).alias("direction"), "via"))
+            found = cut(few.groupBy("n").agg(F.min("s").alias("via")).select(F.col("n").alias("dmc"), F.lit(hop).alias("hop"), F.lit(name).alias("direction"), "via"))
             seen = seen.unionByName(found)
             new.append(found)
         front = new[0].unionByName(new[1])
@@ -78,7 +78,7 @@ def _trimmed(edges: DataFrame) -> DataFrame:
     """``edges`` without nodes that lack an incoming or outgoing edge, round by round: they can't be in a cycle."""
     size = edges.count()
     while size:
-        edges = _cut(edges.join(edges.select(F.col("dst").alias("src")).distinct(), "src", "left_semi").join(edges.select(F.col("src").alias("dst")).distinct(), "dst", "left_semi").select("src", "dst"))
+        edges = cut(edges.join(edges.select(F.col("dst").alias("src")).distinct(), "src", "left_semi").join(edges.select(F.col("src").alias("dst")).distinct(), "dst", "left_semi").select("src", "dst"))
         size, before = edges.count(), size
         if size == before:
             break
@@ -92,26 +92,26 @@ def cycles(edges: DataFrame) -> DataFrame:
     that node inside the colour is its component, and leaves the graph.  A round moves each edge once;
     nothing is closed transitively.
     """
-    left = _trimmed(_cut(edges.where("src is not null and dst is not null").select("src", "dst").distinct()))
+    left = _trimmed(cut(edges.where("src is not null and dst is not null").select("src", "dst").distinct()))
     found = []
     while not left.isEmpty():
         nodes = left.select(F.col("src").alias("node")).union(left.select("dst")).distinct()
-        colour, changed = _cut(nodes.withColumn("c", F.col("node"))), 1
+        colour, changed = cut(nodes.withColumn("c", F.col("node"))), 1
         while changed:
             seen = left.join(colour, F.col("src") == F.col("node")).groupBy("dst").agg(F.min("c").alias("m"))
-            after = _cut(colour.join(seen, F.col("node") == F.col("dst"), "left").select("node", F.least("c", F.coalesce("m", "c")).alias("c"), (F.col("m") < F.col("c")).alias("moved")))
+            after = cut(colour.join(seen, F.col("node") == F.col("dst"), "left").select("node", F.least("c", F.coalesce("m", "c")).alias("c"), (F.col("m") < F.col("c")).alias("moved")))
             changed, colour = after.where("moved").count(), after.select("node", "c")
         paint = colour.toDF("p", "pc")
         inner = left.join(colour, F.col("src") == F.col("node")).join(paint, F.col("dst") == F.col("p")).where("c = pc").select("src", "dst", "c")
-        front = part = _cut(colour.where("node = c"))
-        inner = _cut(inner)
+        front = part = cut(colour.where("node = c"))
+        inner = cut(inner)
         while not front.isEmpty():
             back = inner.join(front.select(F.col("node").alias("dst")), "dst", "left_semi").select(F.col("src").alias("node"), "c").distinct()
-            front = _cut(back.join(part.select("node"), "node", "left_anti"))
-            part = _cut(part.unionByName(front))
+            front = cut(back.join(part.select("node"), "node", "left_anti"))
+            part = cut(part.unionByName(front))
         found.append(part)
         gone = part.select("node")
-        left = _trimmed(_cut(left.join(gone, F.col("src") == F.col("node"), "left_anti").join(gone, F.col("dst") == F.col("node"), "left_anti")))
+        left = _trimmed(cut(left.join(gone, F.col("src") == F.col("node"), "left_anti").join(gone, F.col("dst") == F.col("node"), "left_anti")))
     if not found:
         return edges.where(F.lit(False)).groupBy(F.col("src").alias("carrier")).agg(F.sort_array(F.collect_set("src")).alias("members"))
     every = reduce(DataFrame.unionByName, found)

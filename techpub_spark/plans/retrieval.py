@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import chunk_id, normal_phrase, normal_quote, squeeze, tokenize
-from ..operators import entity, fusion, lexical, metrics, vector
+from ..operators import entity, evaluation, fusion, lexical, metrics, search, vector
 from ..session import read_table
 from .catalog import register
 
@@ -161,23 +161,121 @@ def sanitize_text(spark: SparkSession, sf: str) -> DataFrame:
     return read_table(spark, sf, "documents").select("doc_id", F.md5(squeeze(t)).alias("squeezed"), F.md5(normal_phrase(t)).alias("phrase"), F.md5(normal_quote(t)).alias("quote"))
 
 
-@register("entity_lexicon", "SELECT part, count(DISTINCT doc_id) AS n_docs, min(doc_id) AS first_doc, max(doc_id) AS last_doc FROM (SELECT doc_id, unnest(regexp_extract_all(text, '\\b[A-Z]{1,4}(?:-[A-Z0-9]+){2,}\\b')) AS part FROM documents) WHERE regexp_matches(part, '[0-9]') AND NOT starts_with(part, 'DMC-') GROUP BY part")
+@register("entity_lexicon", r"""
+SELECT part, count(DISTINCT p_brand) AS n_dmcs, min(p_brand) AS first_dmc, max(p_brand) AS last_dmc
+FROM (SELECT p_brand, unnest(regexp_extract_all('fits LX-' || p_size || '-' || (p_partkey % 100) || ' or A-1, TOOLONG-1-2', '\b[A-Z]{1,4}(?:-[A-Z0-9]+){2,}\b')) AS part FROM part)
+WHERE regexp_matches(part, '[0-9]') AND NOT starts_with(part, 'DMC-') GROUP BY part
+""")
 def entity_lexicon(spark: SparkSession, sf: str) -> DataFrame:
-    chunks = read_table(spark, sf, "documents").select(F.col("doc_id").alias("dmc"), "text", F.lit("ipd").alias("chunk_type"))
-    return entity.part_lexicon(chunks).select("part", F.size("dmcs").cast("long").alias("n_docs"), F.element_at("dmcs", 1).alias("first_doc"), F.element_at("dmcs", -1).alias("last_doc"))
+    text = F.concat(F.lit("fits LX-"), F.col("p_size").cast("string"), F.lit("-"), (F.col("p_partkey") % 100).cast("string"), F.lit(" or A-1, TOOLONG-1-2"))
+    chunks = read_table(spark, sf, "part").select(F.col("p_brand").alias("dmc"), text.alias("text"), F.lit("ipd").alias("chunk_type"))
+    return entity.part_lexicon(chunks).select("part", F.size("dmcs").cast("long").alias("n_dmcs"), F.element_at("dmcs", 1).alias("first_dmc"), F.element_at("dmcs", -1).alias("last_dmc"))
+
+
+def _hashed(text, size: int = 64):
+    """Deterministic stand-in for an embedding: counts of words by hash."""
+    at = F.transform(tokenize(text), lambda w: F.pmod(F.xxhash64(w), F.lit(size)).cast("int"))
+    return F.transform(F.sequence(F.lit(0), F.lit(size - 1)), lambda i: F.size(F.filter(at, lambda x: x == i)).cast("double"))
 
 
 @register("ablation_modes", None)
 def ablation_modes(spark: SparkSession, sf: str) -> DataFrame:
-    """One pass over (mode, query): metrics per retrieval mode from a single ranked table."""
-    q, docs = _queries(spark, sf), read_table(spark, sf, "documents")
-    bm = lexical.bm25(q, docs, "doc_id", "text", 20)
-    cand = bm.join(q, "query_id").select("query_id", "query", "rank", "id")
-    re = fusion.rerank(cand, docs.select(F.col("doc_id").alias("id"), "text"), fusion.overlap_scorer, 20)
-    fused = fusion.rrf([bm, re], k=20)
-    anchors = bm.where("rank = 1").select("query_id", F.col("id").alias("anchor"), "id")
-    out = None
-    for mode, ranked in (("bm25", bm), ("rerank-double", re), ("fusion", fused)):
-        one = metrics.summary(metrics.per_query(ranked.select("query_id", "rank", "id"), anchors)).withColumn("mode", F.lit(mode))
-        out = one if out is None else out.unionByName(one)
-    return out
+    """Every mode on the same queries and anchors: the first half of each benchmark item asks, and the documents that
+    hold the whole item are its anchors, so that no arm makes them.  Modules are sources, linked by language."""
+    from .governed import quote_validation
+
+    docs = read_table(spark, sf, "documents").where("text is not null")
+    chunks = docs.select(
+        F.col("doc_id").alias("chunk_id"), F.concat(F.lit("DMC-"), "source").alias("dmc"), F.concat("source", F.lit(" "), "lang").alias("dm_title"), F.lit("description").alias("chunk_type"),
+        F.col("doc_id").cast("string").alias("source_path"), F.lit("structure").alias("strategy"), "text", _hashed(F.col("text")).alias("embedding"))
+    words = F.split("text", " ")
+    half = F.array_join(F.slice(words, F.lit(1), F.ceil(F.size(words) / 2).cast("int")), " ")
+    q = read_table(spark, sf, "benchmark").where("item_id % 20 = 0").select(F.col("item_id").alias("query_id"), half.alias("query"))
+    q = q.withColumn("embedding", _hashed(F.col("query")))
+    marks = quote_validation(spark, sf).where("item_id % 20 = 0").select(F.col("item_id").alias("query_id"), F.lit(0).alias("anchor"), F.col("doc_id").alias("id"))
+    edges = docs.select(F.concat(F.lit("DMC-"), "source").alias("src"), F.concat(F.lit("DMC-"), "lang").alias("dst")).distinct()
+    return search.ablation(q, marks, chunks, edges=edges)
+
+
+@register("sample_summary", """
+WITH r AS (SELECT quality = 1 AS a, toxic = 1 AS r, doc_id % 3 = 0 AS h FROM labels),
+c AS (SELECT count(*) AS n, count(*) FILTER (a) AS na, count(*) FILTER (NOT a) AS nt, count(*) FILTER (a AND NOT r) AS ans, count(*) FILTER (a AND NOT r AND h) AS cov, count(*) FILTER (a AND r) AS fr, count(*) FILTER (NOT a AND r) AS tr FROM r)
+SELECT n AS n_sampled, na AS n_answerable, nt AS n_traps, round(cov / na, 4) AS answerable_success, round(fr / na, 4) AS false_refusal_rate, round(tr / nt, 4) AS trap_refusal_rate, round(cov / ans, 4) AS coverage_when_answered FROM c
+""")
+def sample_summary(spark: SparkSession, sf: str) -> DataFrame:
+    l = read_table(spark, sf, "labels")
+    return evaluation.sample_summary(l.select((F.col("quality") == 1).alias("answerable"), (F.col("toxic") == 1).alias("refused"), (F.col("doc_id") % 3 == 0).alias("hit")))
+
+
+@register("refusal_threshold", """
+WITH s AS (SELECT o_orderstatus = 'F' AS a, o_totalprice::DOUBLE AS t FROM orders), m AS (SELECT min(t) FILTER (a) AS threshold FROM s)
+SELECT threshold, count(*) FILTER (NOT a) AS n_traps, count(*) FILTER (NOT a AND t < threshold) AS traps_below FROM s, m GROUP BY threshold
+""")
+def refusal_threshold(spark: SparkSession, sf: str) -> DataFrame:
+    return evaluation.refusal_threshold(read_table(spark, sf, "orders").select((F.col("o_orderstatus") == "F").alias("answerable"), F.col("o_totalprice").cast("double").alias("top1")))
+
+
+@register("gate_regressions", """
+SELECT l_orderkey AS query_id, max(l_linestatus = 'F') FILTER (l_linenumber = 1) AS before, max(l_linestatus = 'F') FILTER (l_linenumber = 2) AS after,
+       coalesce(max(l_linestatus = 'F') FILTER (l_linenumber = 1) AND NOT max(l_linestatus = 'F') FILTER (l_linenumber = 2), false) AS regression
+FROM lineitem WHERE l_linenumber <= 2 GROUP BY 1
+""")
+def gate_regressions(spark: SparkSession, sf: str) -> DataFrame:
+    li = read_table(spark, sf, "lineitem").where("l_linenumber <= 2")  # two modes
+    return evaluation.gate_regressions(li.select(F.col("l_orderkey").alias("query_id"), F.when(F.col("l_linenumber") == 1, "hybrid").otherwise("hybrid-graph").alias("mode"), (F.col("l_linestatus") == "F").alias("refused")))
+
+
+@register("read_stability", """
+WITH p AS (SELECT l_linenumber AS scale, count(*) AS calls, count(*) FILTER (l_returnflag = 'R') AS flaky, count(*) FILTER (l_returnflag = 'A') AS exact FROM lineitem GROUP BY 1),
+q AS (SELECT *, round(flaky / calls, 3) AS instability, coalesce(round(exact / nullif(calls - flaky, 0), 3), 0) AS accuracy FROM p)
+SELECT scale, calls, flaky, exact, instability, accuracy, CASE WHEN instability <= 0.34 THEN 2 ELSE 3 END AS k,
+       row_number() OVER (ORDER BY (accuracy = 1) DESC, CASE WHEN accuracy = 1 THEN scale END, accuracy DESC, scale) = 1 AS chosen FROM q
+""")
+def read_stability(spark: SparkSession, sf: str) -> DataFrame:
+    outcome = F.when(F.col("l_returnflag") == "R", "flaky").when(F.col("l_returnflag") == "A", "exact").otherwise("wrong")
+    return evaluation.read_stability(read_table(spark, sf, "lineitem").select(F.col("l_linenumber").alias("scale"), outcome.alias("outcome")))
+
+
+@register("timing_speedup", """
+WITH p AS (SELECT l_returnflag AS package, l_linenumber - 1 AS workers, quantile_cont(l_quantity::DOUBLE, 0.5) AS median, min(l_quantity)::DOUBLE AS least, max(l_quantity)::DOUBLE AS most FROM lineitem GROUP BY ALL),
+s AS (SELECT p.*, b.median AS serial, p.median AS m FROM p JOIN p b ON p.package = b.package AND b.workers = 0 WHERE p.workers > 0),
+v AS (SELECT package, workers, median, least, most, round(serial / m, 3) AS speedup, round(serial / m / least(workers, 4), 3) AS efficiency FROM s)
+SELECT *, CASE WHEN max(speedup) OVER (PARTITION BY package) < 1.05 THEN 'no speedup' WHEN speedup = max(speedup) OVER (PARTITION BY package) THEN 'best' ELSE 'slower' END AS verdict FROM v
+""")
+def timing_speedup(spark: SparkSession, sf: str) -> DataFrame:
+    li = read_table(spark, sf, "lineitem").select(F.col("l_returnflag").alias("package"), (F.col("l_linenumber") - 1).alias("workers"), F.lit(4).alias("shards"), F.col("l_quantity").cast("double").alias("seconds"))
+    return evaluation.timing(li).select("package", "workers", "median", "least", "most", "speedup", "efficiency", "verdict")
+
+
+@register("majority_vote", """
+SELECT user_id AS case_id, count(*) FILTER (value > 0.5) AS k, count(*) AS n, count(*) * 7 AS tokens, count(*) FILTER (value > 0.5) * 2 > count(*) AS majority,
+       count(*) FILTER (value > 0.5) BETWEEN 1 AND count(*) - 1 AS unstable FROM events GROUP BY 1
+""")
+def majority_vote(spark: SparkSession, sf: str) -> DataFrame:
+    e = read_table(spark, sf, "events")
+    return evaluation.majority(e.select(F.col("user_id").alias("case_id"), (F.col("value") > 0.5).alias("passed"), F.lit(7).cast("long").alias("tokens")))
+
+
+@register("repair_report", """
+SELECT count(*) FILTER (o_orderstatus IN ('O', 'P')) AS fixed, count(*) FILTER (o_orderstatus = 'O') AS applied, count(*) FILTER (o_orderstatus = 'F') AS refused, count(*) FILTER (o_orderstatus = 'F') = 0 AS all_resolved FROM orders
+""")
+def repair_report(spark: SparkSession, sf: str) -> DataFrame:
+    status = F.when(F.col("o_orderstatus") == "O", "APPLIED").when(F.col("o_orderstatus") == "P", "PATCHED").otherwise("REFUSED")
+    return evaluation.repair_report(read_table(spark, sf, "orders").select(status.alias("status")))
+
+
+@register("repeat_stats", "SELECT doc_id % 10 AS case_id, count(*) AS failures FROM labels WHERE quality = 0 GROUP BY 1")
+def repeat_stats(spark: SparkSession, sf: str) -> DataFrame:
+    l = read_table(spark, sf, "labels")
+    return evaluation.repeat_stats(l.select((F.col("doc_id") % 5).alias("run"), (F.col("doc_id") % 10).alias("case_id"), (F.col("quality") != 0).alias("passed")))[1]
+
+
+@register("governed_search", f"""
+WITH d AS (SELECT * FROM documents WHERE doc_id % 7 BETWEEN 1 AND 3), {BM25_CTES.replace('FROM documents', 'FROM d')} SELECT * FROM bm WHERE rank <= 10
+""")
+def governed_search(spark: SparkSession, sf: str) -> DataFrame:
+    """Lexical search under a clearance: statistics and ranks are those of the admitted corpus."""
+    d = read_table(spark, sf, "documents")
+    none = F.array().cast("array<string>")
+    chunks = d.select(F.col("doc_id").alias("chunk_id"), F.lit("").alias("dmc"), none.alias("icn_refs"), none.alias("dm_refs"), "text", F.concat(F.lit("0"), (F.col("doc_id") % 7).cast("string")).alias("label"))
+    return search.search(_queries(spark, sf), chunks, 10, "bm25", clearance="03")
