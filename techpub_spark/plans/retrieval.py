@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import chunk_id, normal_phrase, normal_quote, squeeze, tokenize
-from ..operators import entity, evaluation, fusion, lexical, metrics, search, vector
+from ..operators import entity, evaluation, fusion, graph, lexical, metrics, search, vector
 from ..session import read_table
 from .catalog import register
 
@@ -194,7 +194,7 @@ def ablation_modes(spark: SparkSession, sf: str) -> DataFrame:
     q = q.withColumn("embedding", _hashed(F.col("query")))
     marks = quote_validation(spark, sf).where("item_id % 20 = 0").select(F.col("item_id").alias("query_id"), F.lit(0).alias("anchor"), F.col("doc_id").alias("id"))
     edges = docs.select(F.concat(F.lit("DMC-"), "source").alias("src"), F.concat(F.lit("DMC-"), "lang").alias("dst")).distinct()
-    return search.ablation(q, marks, chunks, edges=edges)
+    return search.ablation(q, marks, graph.cut(chunks), edges=graph.cut(edges))
 
 
 @register("sample_summary", """
