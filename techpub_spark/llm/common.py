@@ -181,7 +181,8 @@ def prefix_pairs(apart: DataFrame, texts: DataFrame, tokens, threshold: float, m
     pairs that share one are looked at.  Rare tokens come first, by a table of ``SLOTS`` counts: what many
     members have in common stands at the end and joins nothing.  Of the pairs that meet, those are made
     whose parity sketches differ in no more bits than the sets may differ in tokens: a test of a few
-    integers that rejects nearly all pairs under the threshold and none above it.
+    integers that rejects nearly all pairs under the threshold and none above it.  A pair is made at the
+    first token that its prefixes share, so that the join gives it once.
 
     Prefix tokens are compared by 32-bit images.  Where two tokens of one text have one image, a prefix of
     the same length still holds a shared image; so images and the table cost speed, not pairs.
@@ -195,11 +196,13 @@ def prefix_pairs(apart: DataFrame, texts: DataFrame, tokens, threshold: float, m
     made = texts.select("id", "text").mapInArrow(_prefixes(tokens, threshold, spark.sparkContext.broadcast(often)), "pid binary, size int, sketch array<long>, prefix array<int>")
     words = [F.get("sketch", F.lit(k)).alias(f"w{k}") for k in range(SKETCH // 64)]
     each = stored(members.join(made, F.col("id") == F.col("pid")).select("id", "own", "size", *words, "prefix"), "prefixes")
-    live = each.select(F.explode("prefix").alias("key"), "id", "own", "size", *[f"w{k}" for k in range(SKETCH // 64)])
-    names = ["key", "id", "own", "size", *[f"w{k}_" for k in range(SKETCH // 64)]]
+    live = each.select(F.posexplode("prefix").alias("at", "key"), "prefix", "id", "own", "size", *[f"w{k}" for k in range(SKETCH // 64)])
+    live = live.select("key", F.slice("prefix", F.lit(1), F.col("at")).alias("before"), "id", "own", "size", *[f"w{k}" for k in range(SKETCH // 64)])
+    names = ["key", "before", "id", "own", "size", *[f"w{k}_" for k in range(SKETCH // 64)]]
     left, right = live.toDF(*[f"{n}a" for n in names]), live.toDF(*[f"{n}b" for n in names])
     bits = sum((F.bit_count(F.col(f"w{k}_a").bitwiseXOR(F.col(f"w{k}_b"))) for k in range(SKETCH // 64)), F.lit(0))
     able = (F.least("sizea", "sizeb") >= F.lit(threshold) * F.greatest("sizea", "sizeb") - 1e-9) & (bits <= most_apart(F.col("sizea"), F.col("sizeb")) + 1e-9)
+    able = able & ~F.arrays_overlap("beforea", "beforeb")  # last: few pairs get so far
     found = left.join(right, (F.col("keya") == F.col("keyb")) & (F.col("ida") < F.col("idb")) & (F.col("owna") != F.col("ownb")) & able)
     out = stored(found.select(F.col("ida").alias("a"), F.col("idb").alias("b")).distinct(), "pairs")
     dropped(each, texts)
