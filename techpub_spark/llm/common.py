@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import math
 import tempfile
 import uuid
@@ -44,12 +45,18 @@ def stored(df: DataFrame, name: str, heavy: bool = False) -> DataFrame:
     path = fresh_path(spark, name)
     df.write.mode("overwrite").option("compression", "zstd").parquet(path)
     if heavy:
-        spark.sparkContext._jvm.System.gc()
+        freed(spark)
     out = spark.read.schema(df.schema).parquet(path)
     out._stored_at = path
     return out
 
 
+def freed(spark: SparkSession) -> None:
+    """Let Spark delete the files of shuffles that nothing refers to any more."""
+    gc.collect()  # Python's references to plans keep theirs
+    spark.sparkContext._jvm.System.gc()
+
+
 def dropped(*tables: DataFrame) -> None:
     """Delete tables that ``stored`` wrote and that nothing reads any more."""
     for t in tables:
@@ -101,7 +108,7 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
         low = large.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("lu"), "m")
         joined = large.join(low, F.col("a") == F.col("lu"))
         small = joined.select(F.col("b").alias("a"), F.col("m").alias("b")).union(joined.select("a", F.col("m").alias("b"))).where("a <> b").distinct()
-        cur, old = stored(small, "edges"), cur
+        cur, old = stored(small, "edges", heavy=True), cur
         dropped(old)
         now = cur.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if tuple(now) == before:
@@ -204,7 +211,7 @@ def prefix_pairs(apart: DataFrame, texts: DataFrame, tokens, threshold: float, m
     able = (F.least("sizea", "sizeb") >= F.lit(threshold) * F.greatest("sizea", "sizeb") - 1e-9) & (bits <= most_apart(F.col("sizea"), F.col("sizeb")) + 1e-9)
     able = able & ~F.arrays_overlap("beforea", "beforeb")  # last: few pairs get so far
     found = left.join(right, (F.col("keya") == F.col("keyb")) & (F.col("ida") < F.col("idb")) & (F.col("owna") != F.col("ownb")) & able)
-    out = stored(found.select(F.col("ida").alias("a"), F.col("idb").alias("b")).distinct(), "pairs")
+    out = stored(found.select(F.col("ida").alias("a"), F.col("idb").alias("b")).distinct(), "pairs", heavy=True)
     dropped(each, texts)
     return out
 
@@ -351,6 +358,7 @@ def merged(labels: DataFrame, links: DataFrame) -> DataFrame:
     alone = found.join(labels.select(F.col("node").alias("of")), F.col("node") == F.col("of"), "left_anti")
     out = stored(labels.join(top, F.col("root") == F.col("of"), "left").select("node", F.coalesce("top", "root").alias("root")).unionByName(alone), "labels")
     dropped(work, labels, found)
+    freed(labels.sparkSession)
     return out
 
 
@@ -392,7 +400,7 @@ def bucket_components(members: DataFrame, verify, threshold: float, texts, token
         named = every.select("bucket", "id").join(label, F.col("id") == F.col("of"), "left").select("bucket", "id", F.coalesce("label", "id").alias("own"))
         size = named.groupBy("bucket").agg(F.min("own").alias("lo"), F.max("own").alias("hi"), F.count("*").alias("n"))
         size = size.where((F.col("lo") != F.col("hi")) & (F.col("n") > least)).select(F.col("bucket").alias("of"), "n")
-        old, every = every, stored(named.join(size, F.col("bucket") == F.col("of")).select("bucket", "id", "own", "n"), "apart")
+        old, every = every, stored(named.join(size, F.col("bucket") == F.col("of")).select("bucket", "id", "own", "n"), "apart", heavy=True)
         dropped(old)
         if last or not (left := every.count()):
             break
@@ -410,5 +418,5 @@ def bucket_components(members: DataFrame, verify, threshold: float, texts, token
             comp = merged(comp, more.select("a", "b"))
         dropped(pairs, more)
     dropped(met, got, every)
-    spark.sparkContext._jvm.System.gc()
+    freed(spark)
     return comp
