@@ -113,8 +113,40 @@ def citation_status(cited: DataFrame, registry: DataFrame) -> DataFrame:
     return cited.join(last, "dmc", "left").select(*cited.columns, "registered", status.alias("status"))
 
 
+#: What would resolve a refusal, by the gate that refused.
+RESOLUTIONS = {
+    "threshold": "add a data module on this topic and index again, or confirm that the publication does not cover it",
+    "llm": "add a data module that states the answer and index again",
+    "llm-contract": "a fault of the service, not of the corpus: look at the model endpoint and ask again",
+    "citation-validation": "nothing for a subject expert; if it recurs, look at the prompt or the model",
+    "figure-out-of-description": "describe the figure again, or state the detail in the text of a data module",
+}
+
+
 def route_refusals(questions: DataFrame, gaps_: DataFrame) -> DataFrame:
-    """The first mentioned code of a refused question that is a known gap.  ``gaps_``: signature, action."""
+    """What would resolve each refusal, and who owns it.
+
+    ``questions``: query_id, gate, question; ``gaps_``: signature, kind (as ``gaps`` names it), owner, owner_reason.
+    The first code in the question that is a gap of an admitted package gives code, owner and owner_reason (of equal
+    signatures, the smallest owner).  Otherwise the owner is null and owner_reason is one of three: no code is named,
+    a named one is a gap before admission only (the smallest), or no named one is a gap (the first).
+    """
     codes = questions.select("query_id", F.posexplode(F.regexp_extract_all(F.upper("question"), F.lit(DMC_PATTERN), F.lit(0))).alias("pos", "code"))
-    hit = codes.join(gaps_.select(F.upper("signature").alias("code"), "action"), "code").groupBy("query_id").agg(F.min_by(F.struct("code", "action"), F.struct("pos", "action")).alias("h"))
-    return questions.join(hit, "query_id", "left").select("query_id", F.col("h.code").alias("code"), F.coalesce("h.action", F.lit("no open gap is mentioned")).alias("action"))
+    known = gaps_.groupBy(F.upper("signature").alias("code")).agg(
+        F.min(F.when(F.col("kind") == "declared, admitted", F.struct(F.col("owner").isNull(), "owner", "owner_reason", "signature"))).alias("admitted"),
+        F.max((F.col("kind") == "declared, before admission").cast("int")).alias("shut"),
+    )
+    named = codes.join(known, "code", "left").groupBy("query_id").agg(
+        F.min(F.when(F.col("admitted").isNotNull(), F.struct("pos", "admitted"))).alias("hit"),
+        F.min(F.when(F.col("shut") == 1, F.col("code"))).alias("shut"),
+        F.min_by("code", "pos").alias("first"),
+    )
+    hit = F.col("hit.admitted")
+    why = (
+        F.when(F.col("first").isNull(), "the question names no module code")
+        .when(hit.isNotNull(), hit["owner_reason"])
+        .when(F.col("shut").isNotNull(), F.concat(F.col("shut"), F.lit(" is a gap of a package that was not admitted, whose owners do not count")))
+        .otherwise(F.concat(F.col("first"), F.lit(" is not a gap")))
+    )
+    resolution = F.coalesce(F.create_map(*[F.lit(x) for pair in RESOLUTIONS.items() for x in pair])[F.col("gate")], F.concat(F.lit("no resolution is known for gate "), F.col("gate")))
+    return questions.join(named, "query_id", "left").select("query_id", "gate", resolution.alias("resolution"), hit["signature"].alias("code"), hit["owner"].alias("owner"), why.alias("owner_reason"))

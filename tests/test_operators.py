@@ -256,3 +256,19 @@ def test_structure_chunks(spark, tmp_path):
         ("fault", "drips"), ("fault", "look"), ("description", "flat"), ("ipd", "bolt LX-2-9 LX-1-8"), ("dm", "kept")]
     assert got[4].dm_refs == ["DMC-LX-A-29-10-00-00A-520A-Z"] and got[5].dm_refs == [] and got[10].icn_refs == ["ICN-1"]
     assert {r.dmc: r.referrers for r in validation.inbound(nodes, validation.data_modules(nodes)).collect()}["DMC-LX-A-29-10-00-00A-520A-A"] == []
+
+
+def test_route_refusals(spark):
+    x, y, z = (f"DMC-LA100-A-{n}-10-00-00A-520A-A" for n in (29, 30, 31))
+    asked = [(1, "threshold", "how?"), (2, "llm", f"see {z} then {x.lower()}"), (3, "llm", f"see {y}"), (4, "other", f"see {z}"), (5, "llm", f"{y} and {x}"), (6, "llm", None)]
+    questions = spark.createDataFrame(asked, "query_id int, gate string, question string")
+    rows = [(x, "declared, admitted", "anna", None), (x, "declared, before admission", "bert", None), (y, "declared, before admission", "bert", None)]
+    gaps_ = spark.createDataFrame(rows, "signature string, kind string, owner string, owner_reason string")
+    got = {r.query_id: r for r in governance.route_refusals(questions, gaps_).collect()}
+    assert len(got) == 6 and [got[k].owner for k in range(1, 7)] == [None, "anna", None, None, "anna", None]
+    assert got[2].code == x and got[2].owner_reason is None and got[3].code is None
+    assert got[1].owner_reason == got[6].owner_reason == "the question names no module code"
+    assert "not admitted" in got[3].owner_reason and got[4].owner_reason.endswith("is not a gap")
+    assert got[1].resolution == governance.RESOLUTIONS["threshold"] and got[4].resolution.endswith("other")
+    empty = governance.route_refusals(questions, gaps_.limit(0)).collect()
+    assert len(empty) == 6 and all(r.owner is None for r in empty)
