@@ -59,5 +59,69 @@ SELECT page_id, payload_bytes, payload_digest, CASE WHEN rep = page_id THEN 'res
 FROM w
 """
 
+_LOWER = "'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'"
+
+OP11 = f"""
+WITH d AS (
+  SELECT row_number() OVER () AS r, coalesce(text, '') AS text, coalesce(lang, '') AS lang, coalesce(source, '') AS source FROM documents
+), t AS (
+  SELECT r, lang, source, translate(unnest(regexp_extract_all(text, '[^\\x00-\\x40\\x5B-\\x60\\x7B-\\x7F]+')), {_LOWER}) AS term FROM d
+), kept AS (
+  SELECT lang, term, count(*) AS ln FROM t GROUP BY ALL HAVING count(DISTINCT r) >= 30
+), n AS (
+  SELECT lang, source, term, count(*) AS n FROM t JOIN kept USING (lang, term) GROUP BY ALL
+), v AS (
+  SELECT lang, count(*) AS v, sum(ln) AS ln FROM kept GROUP BY lang
+), g AS (
+  SELECT lang, source, coalesce(any_value(v), 0) AS v, coalesce(sum(n), 0) AS gn
+  FROM (SELECT DISTINCT lang, source FROM d) LEFT JOIN n USING (lang, source) LEFT JOIN v USING (lang) GROUP BY ALL
+), p AS (
+  SELECT lang, source, term, coalesce(n, 0) AS n,
+         1 + (1000000000::HUGEINT * (coalesce(n, 0) + 5)) // (gn + 5 * g.v)::HUGEINT AS p,
+         1 + (1000000000::HUGEINT * (kept.ln + 5)) // (v.ln + 5 * v.v)::HUGEINT AS q
+  FROM g JOIN kept USING (lang) JOIN v USING (lang) LEFT JOIN n USING (lang, source, term)
+), f AS (
+  SELECT a.lang, a.source, b.source AS item, sum(abs(a.p - b.p)) AS value
+  FROM p a JOIN p b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY ALL
+), pair AS (
+  SELECT a.lang, a.source, 'pair' AS part, b.source AS item, coalesce(value, 0) AS value
+  FROM g a JOIN g b ON a.lang = b.lang AND a.source <> b.source
+  LEFT JOIN f ON f.lang = a.lang AND f.source = a.source AND f.item = b.source
+), both_parts AS (
+  SELECT * FROM pair UNION ALL SELECT lang, source, 'term', term, p - q FROM p WHERE n > 0 AND p > q
+)
+SELECT lang, source, part, item, value::BIGINT AS value,
+       row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item ASC)::INTEGER AS rank
+FROM both_parts QUALIFY part = 'pair' OR rank <= 50
+"""
+
+OP12 = f"""
+WITH d AS (
+  SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS text FROM documents
+), t AS (
+  SELECT r, translate(unnest(regexp_extract_all(text, '[^\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+')), {_LOWER}) AS term FROM d
+), tf AS (
+  SELECT r, term, count(*) AS tf FROM t GROUP BY ALL
+), s AS (
+  SELECT r, sum(tf)::BIGINT AS n FROM tf GROUP BY r
+), a AS (
+  SELECT count(*)::BIGINT AS docs, sum(n)::BIGINT AS l FROM s
+), m AS (
+  SELECT r, 25 + (75 * n * docs) // l AS m FROM s, a
+), q AS (
+  SELECT i, item_id, term, count(*) AS times
+  FROM (SELECT row_number() OVER () AS i, item_id,
+               translate(unnest(regexp_extract_all(coalesce(text, ''), '[^\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+')), {_LOWER}) AS term
+        FROM benchmark) GROUP BY ALL
+), w AS (
+  SELECT term, floor(1000 * ln((2 * docs + 2)::DOUBLE / (2 * count(*) + 1)::DOUBLE))::BIGINT AS w FROM tf, a GROUP BY term, docs
+), sc AS (
+  SELECT i, item_id, doc_id, r, sum(times * w * ((1000000000 * tf) // (1000 * tf + 8 * m)))::BIGINT AS score
+  FROM q JOIN w USING (term) JOIN tf USING (term) JOIN m USING (r) JOIN d USING (r) GROUP BY ALL
+)
+SELECT item_id, row_number() OVER (PARTITION BY i ORDER BY score DESC, doc_id ASC NULLS FIRST)::INTEGER AS rank, doc_id, score
+FROM sc WHERE score > 0 QUALIFY rank <= 10
+"""
+
 #: Query name -> SQL.
-ORACLES = {"op4_warc": OP4, "op9_quality_rules": OP9}
+ORACLES = {"op4_warc": OP4, "op9_quality_rules": OP9, "op11_source_divergence": OP11, "op12_ranked_search": OP12}
