@@ -110,6 +110,26 @@ def affirmed(answer: Column, value: Column) -> Column:
     return F.when(needle == "", True).otherwise(found)
 
 
+def balanced_objects(text: Column) -> Column:
+    """All outermost ``{...}`` of a text, in order: braces are counted, those inside JSON strings are not."""
+    start = F.expr("named_struct('depth', 0, 'quoted', false, 'escaped', false, 'from', 0, 'at', 0, 'found', cast(array() as array<struct<a:int,b:int>>))")
+
+    def step(s: Column, c: Column) -> Column:
+        at = s["at"] + 1
+        opens, closes = ~s["quoted"] & (c == "{"), ~s["quoted"] & (c == "}") & (s["depth"] > 0)
+        whole = closes & (s["depth"] == 1)
+        return F.struct(
+            (s["depth"] + opens.cast("int") - closes.cast("int")).alias("depth"),
+            F.when(s["quoted"], s["escaped"] | (c != '"')).otherwise(c == '"').alias("quoted"),
+            (s["quoted"] & ~s["escaped"] & (c == "\\")).alias("escaped"),
+            F.when(opens & (s["depth"] == 0), at).otherwise(s["from"]).alias("from"), at.alias("at"),
+            F.when(whole, F.array_append(s["found"], F.struct(s["from"].alias("a"), at.alias("b")))).otherwise(s["found"]).alias("found"),
+        )
+
+    found = F.aggregate(F.split(text, ""), start, step, lambda s: s["found"])
+    return F.transform(found, lambda p: F.substring(text, p["a"], p["b"] - p["a"] + 1))
+
+
 def answer_object(text: Column) -> Column:
     """The JSON object of a model's reply: thinking block and code fence removed; null if there is none."""
     body = F.regexp_replace(text, r"(?s)<think>.*?</think>", "")

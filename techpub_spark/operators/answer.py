@@ -87,11 +87,28 @@ def citation_gate(replies: DataFrame, evidence: DataFrame) -> DataFrame:
     return per.select("query_id", "pos", "cited", "quote", why.alias("reason"))
 
 
+#: Words of an answer that claim nothing about a figure.
+PLAIN_WORDS = (
+    "a an the this that these those is are was were be been being of to in on at for and or but not no its it their there here as with from by "
+    "into onto per each any one two three four five six seven eight nine ten zero first second third only both which what where when who whom how "
+    "many much number numbers value values figure figures illustration illustrations image images diagram drawing shown show shows showing "
+    "depicts depicted marks marked mark called call callout callouts identified identifies identify labelled labeled label labels part parts "
+    "hotspot hotspots item items component components section point points area areas "
+).split()
+WORD = "[a-z][a-z-]+"
+
+
 def ungrounded(answer_words: Column, pool_words: Column, stop: Column) -> Column:
     """Words of an answer that neither the evidence, nor the question, nor the stop words hold."""
     return F.array_except(F.array_except(answer_words, stop), pool_words)
 
 
+def figure_claims(answer_: Column, grounding: Column) -> Column:
+    """What an answer from figures says that ``grounding`` (their texts and the question) does not: words, part numbers, measures."""
+    words = lambda c: F.regexp_extract_all(F.lower(c), F.lit(WORD), F.lit(0))
+    return F.array_union(F.array_distinct(ungrounded(words(answer_), words(grounding), F.lit(PLAIN_WORDS))), invented(answer_, grounding))
+
+
 def figure_verified(described: Column, declared: Column, parts: Column, read_text: Column, refused: Column) -> Column:
     """The described and declared ids are the same set and each declared part is a whole token of the text read."""
     tokens = F.transform(F.split(read_text, r"\s+"), lambda t: F.regexp_replace(t, r"^[^A-Za-z0-9]+|[^A-Za-z0-9]+$", ""))
@@ -142,7 +159,8 @@ PART_TOKEN, MEASURE = r"\b[A-Z]{1,4}-\d+(?:-\d+)+\b", r"(?i)\b\d+(?:\.\d+)?\s?(?
 def invented(answer_: Column, grounding: Column) -> Column:
     """Part numbers and measurements of an answer that the grounding text does not hold."""
     found = F.array_union(F.regexp_extract_all(answer_, F.lit(PART_TOKEN), F.lit(0)), F.regexp_extract_all(answer_, F.lit(MEASURE), F.lit(0)))
-    return F.filter(found, lambda t: ~F.contains(F.lower(grounding), F.lower(t)))
+    flat = lambda c: F.lower(F.trim(F.regexp_replace(c, r"\s+", " ")))
+    return F.filter(found, lambda t: ~F.contains(flat(grounding), flat(t)))
 
 
 def shown_citations(gated: DataFrame, evidence: DataFrame) -> DataFrame:
@@ -156,13 +174,15 @@ def shown_citations(gated: DataFrame, evidence: DataFrame) -> DataFrame:
 
 
 def answer_questions(questions: DataFrame, evidence: DataFrame, model: Callable[[str], str], threshold: float) -> DataFrame:
-    """The two-outcome pipeline: query_id, refused, gate, answer, citations.
+    """The two-outcome pipeline: query_id, refused, gate, detail, answer, citations.
 
     ``questions``: query_id, question; ``evidence``: the reranked rows of each, with query_id, rank, id, score, text,
-    dmc, source_path, chunk_type, icn_refs.  Gates in order: no evidence or a best score under ``threshold``;
-    a reply of the wrong shape; the model's own refusal; an answer without citations; a citation that does not
-    hold (one is enough); with figures only, a part number or measure that no cited figure holds.  The model
-    sees only questions that passed the gates before it; what no gate stops is answered.
+    dmc, source_path, chunk_type, icn_refs.  Gates in order, by the names that ``governance.RESOLUTIONS`` knows:
+    ``threshold`` (no evidence, or a best score under it); ``llm-contract`` (a reply of the wrong shape); ``llm`` (the
+    model's own refusal); ``citation-validation`` (no answer, no citation, or one that does not hold: one is enough);
+    ``figure-out-of-description`` (only figures are cited and they, with the question, do not hold a word, part number
+    or measure of the answer; and instead of the two before it where the best evidence is a figure).  ``detail``
+    says what was wrong.  The model sees only questions that passed the gates before it.
     """
     top = threshold_gate(evidence, threshold)
     asked = questions.join(top.where(~F.col("refused")).select("query_id"), "query_id", "left_semi")
@@ -174,34 +194,30 @@ def answer_questions(questions: DataFrame, evidence: DataFrame, model: Callable[
         F.sort_array(F.collect_list(F.struct("pos", "id", "dmc", "source_path", "quote", "figure_ref"))).alias("citations"),
         F.min(F.col("chunk_type") == "figure").alias("figures"), F.concat_ws(" ", F.collect_list("text")).alias("grounding"))
     every = questions.join(top, "query_id", "left").join(replies, "query_id", "left").join(bad, "query_id", "left").join(cited, "query_id", "left")
-    loose = F.size(invented(F.col("reply.answer"), F.concat_ws(" ", "grounding", "question"))) > 0
+    best = evidence.groupBy("query_id").agg((F.min_by("chunk_type", "rank") == "figure").alias("pictured"))
+    every = every.join(best, "query_id", "left")
+    loose = figure_claims(F.col("reply.answer"), F.concat_ws(" ", "grounding", "question"))
+    silent = (F.trim(F.coalesce("reply.answer", F.lit(""))) == "") | F.col("n").isNull()
+    figure, pictured = F.lit("figure-out-of-description"), F.coalesce("pictured", F.lit(False))
     gate = (
-        F.when(F.coalesce("refused", F.lit(True)), "threshold").when(F.col("reply.answerable").isNull(), "reply").when(~F.col("reply.answerable"), "model")
-        .when((F.trim(F.coalesce("reply.answer", F.lit(""))) == "") | F.col("n").isNull(), "no citation").when(F.col("why").isNotNull(), F.concat(F.lit("citation: "), "why"))
-        .when(F.coalesce("figures", F.lit(False)) & F.coalesce(loose, F.lit(False)), "figure")
+        F.when(F.coalesce("refused", F.lit(True)), "threshold").when(F.col("reply.answerable").isNull(), "llm-contract")
+        .when(~F.col("reply.answerable"), F.when(pictured, figure).otherwise("llm"))
+        .when(silent | F.col("why").isNotNull(), F.when(pictured, figure).otherwise("citation-validation"))
+        .when(F.coalesce("figures", F.lit(False)) & F.coalesce(F.size(loose) > 0, F.lit(False)), figure)
     )
-    return every.select("query_id", gate.isNotNull().alias("refused"), gate.alias("gate"), F.when(gate.isNull(), F.trim("reply.answer")).alias("answer"), F.when(gate.isNull(), F.col("citations")).alias("citations"))
+    asked_ = F.col("reply.answerable")
+    detail = F.when(asked_ & silent, "no answer with a citation").when(asked_ & F.col("why").isNotNull(), F.col("why")).when(asked_, F.concat(F.lit("not in the figures: "), F.array_join(F.array_sort(loose), ", ")))
+    return every.select("query_id", gate.isNotNull().alias("refused"), gate.alias("gate"), F.when(gate.isNotNull(), detail).alias("detail"), F.when(gate.isNull(), F.trim("reply.answer")).alias("answer"), F.when(gate.isNull(), F.col("citations")).alias("citations"))
 
 
 def select_repair(candidates: DataFrame, veto: float = 0.5) -> DataFrame:
     """Best verified candidate per finding: least deleted, then role order, then the diff itself.
 
-    ``candidates``: finding, role_order, diff, source_lines, verified.
+    ``candidates``: finding, role_order, diff, source_lines, verified.  One that deletes more than ``veto`` of its
+    source is out, and so is one whose source is not known (null).
     """
     lines = F.split("diff", "\n")
     gone = F.size(F.filter(lines, lambda x: F.startswith(x, F.lit("-")) & ~F.startswith(x, F.lit("---"))))
-    ok = candidates.withColumn("deleted", gone / F.greatest("source_lines", F.lit(1))).where(F.col("verified") & (F.col("deleted") <= veto))
+    read = F.when(F.col("source_lines").isNotNull(), F.greatest("source_lines", F.lit(1)))
+    ok = candidates.withColumn("deleted", gone / read).where(F.col("verified") & (F.col("deleted") <= veto))
     return ok.groupBy("finding").agg(F.min(F.struct("deleted", "role_order", "diff")).alias("best")).select("finding", "best.*")
-
-
-#: Rules whose repairs may be applied after approval.
-APPLICABLE = ("BREX-001", "BREX-002", "BREX-003", "BREX-004", "BREX-005", "XREF-001", "XREF-002", "XREF-003", "XREF-005", "XREF-008")
-
-
-def risk_tier(rule: Column) -> Column:
-    return F.when(rule.isin(*APPLICABLE), "apply").otherwise("dry-run")
-
-
-def apply_gate(base: DataFrame, preview: DataFrame) -> DataFrame:
-    """Findings that the approved set of repairs would introduce; must be empty to apply."""
-    return preview.select(*base.columns).subtract(base)

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.text import balanced_objects
+
 #: The verdicts of a judge.
 VERDICTS = ("grounded", "hallucinated")
 
@@ -107,7 +109,7 @@ def majority(runs: DataFrame) -> DataFrame:
 def repair_report(patches: DataFrame) -> DataFrame:
     """``patches``: status -> fixed (patched or applied), applied, refused (or out of budget), all_resolved."""
     s = F.lower("status")
-    c = patches.agg(F.count_if(s.isin("patched", "applied")).alias("fixed"), F.count_if(s == "applied").alias("applied"), F.count_if(s.isin("refused", "budget_exhausted")).alias("refused"))
+    c = patches.agg(F.count_if(s.isin("patched", "applied")).alias("fixed"), F.count_if(s == "applied").alias("applied"), F.count_if(s.isin("refused", "budget-exhausted")).alias("refused"))
     return c.withColumn("all_resolved", F.col("refused") == 0)
 
 
@@ -131,20 +133,30 @@ def shards(rows: DataFrame, n: int, order_col: str) -> DataFrame:
     return rows.withColumn("shard", F.ntile(max(1, min(n, total))).over(Window.orderBy(order_col)) - 1)
 
 
-def verdict(reply: Column) -> Column:
-    """A judge's JSON reply, strictly: verdict (null if off contract), groundedness, supported, claims.
+def verdict(reply: Column, nonce: Column | None = None) -> Column:
+    """A judge's verdict from all it said, strictly: verdict (null if off contract), groundedness, supported, claims.
 
-    A claim is supported only by the JSON value ``true``; groundedness is a JSON number, else the share of
-    supported claims, else null.
+    Of the outermost JSON objects the last counts whose ``verdict`` is exactly one of ``VERDICTS`` and, where a nonce
+    was asked for, whose ``nonce`` is it.  A claim is an object, supported only by the JSON value ``true``;
+    groundedness is a JSON number, else the share of supported claims, else null.
     """
-    v = F.get_json_object(reply, "$.verdict")
-    raw = F.from_json(reply, "struct<claims:array<string>,groundedness:string>")
-    claims = F.filter(F.coalesce(raw["claims"], F.array().cast("array<string>")), lambda c: F.startswith(F.ltrim(c), F.lit("{")))
-    quoted = reply.rlike(r'"groundedness"\s*:\s*"')
-    number = F.when(~quoted, raw["groundedness"].try_cast("double"))
-    yes = F.size(F.filter(claims, lambda c: c.rlike(r'"supported"\s*:\s*true\b')))
-    share = F.when(F.size(claims) > 0, yes / F.size(claims))
-    return F.when(v.isin(*VERDICTS), F.struct(v.alias("verdict"), F.coalesce(number, share).alias("groundedness"), yes.alias("supported"), F.size(claims).alias("claims")))
+    get = lambda v, path, kind: F.try_variant_get(v, path, kind)
+    named = lambda v, path: F.coalesce(F.schema_of_variant(get(v, path, "variant")), F.lit("VOID"))
+
+    def fits(v: Column) -> Column:
+        ok = (named(v, "$.verdict") == "STRING") & get(v, "$.verdict", "string").isin(*VERDICTS)
+        return F.coalesce(ok if nonce is None else ok & (named(v, "$.nonce") == "STRING") & (get(v, "$.nonce", "string") == nonce), F.lit(False))
+
+    able = F.filter(F.transform(balanced_objects(reply), F.try_parse_json), fits)
+
+    def read(v: Column) -> Column:
+        claims = F.filter(F.coalesce(get(v, "$.claims", "array<variant>"), F.expr("cast(array() as array<variant>)")), lambda c: F.coalesce(F.startswith(F.schema_of_variant(c), F.lit("OBJECT")), F.lit(False)))
+        yes = F.size(F.filter(claims, lambda c: F.coalesce((named(c, "$.supported") == "BOOLEAN") & get(c, "$.supported", "boolean"), F.lit(False))))
+        number = F.when(named(v, "$.groundedness").rlike("^(BIGINT|DOUBLE|FLOAT|DECIMAL.*)$"), get(v, "$.groundedness", "double"))
+        share = F.when(F.size(claims) > 0, yes / F.size(claims))
+        return F.struct(get(v, "$.verdict", "string").alias("verdict"), F.coalesce(number, share).alias("groundedness"), yes.alias("supported"), F.size(claims).alias("claims"))
+
+    return F.get(F.transform(F.slice(able, -1, 1), read), F.lit(0))
 
 
 def aggregate(rows: DataFrame) -> DataFrame:

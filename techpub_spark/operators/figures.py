@@ -63,10 +63,11 @@ def images(files: DataFrame) -> DataFrame:
 def figure_chunks(records: DataFrame, hotspots: DataFrame, pictures: DataFrame, strategy: str = "structure") -> DataFrame:
     """Chunks of verified records that still agree with module and image; any drift withholds the figure.
 
-    ``records``: dmc, icn, sha256, declared_hotspots, described_hotspots, declared_map (arrays), verified;
+    ``records``: as ``sources.jsonl.figures`` reads them (or dmc and icn for source_dm and icn_id): sha256, declared_hotspots, described_hotspots, declared_map (arrays), verified;
     ``hotspots``: as ``declared`` gives them; ``pictures``: as ``images``.  If several packages hold the
     figure, the first by name counts.
     """
+    records = records.withColumnsRenamed({"source_dm": "dmc", "icn_id": "icn"})
     now = records.where("verified").join(hotspots, ["dmc", "icn"]).join(pictures.withColumnRenamed("sha256", "now_sha"), ["package", "icn"])
     ids = F.array_sort(F.array_distinct(F.transform("hotspots", lambda h: h["id"])))
     lines = declared_map(F.col("hotspots"))

@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import tokenize, xpath_related
-from . import chunking, entity, fusion, governance, graph, lexical, metrics, vector
+from . import chunking, entity, fusion, governance, graph, lexical, metrics, paths, vector
 
 #: The modes of a search.
 MODES = ("bm25", "dense", "hybrid", "hybrid-rerank", "hybrid-graph", "hybrid-graph-rerank")
@@ -66,7 +66,7 @@ def _needed(mode: str) -> tuple[str, ...]:
     """The arms of a mode; an unknown mode is an error."""
     if mode not in MODES:
         raise ValueError(f"unknown mode {mode!r}; choose from {MODES}")
-    return {"bm25": ("lexical",), "dense": ("near",)}.get(mode, ("lexical", "near", "graph") if "graph" in mode else ("lexical", "near"))
+    return {"bm25": ("lexical",), "dense": ("near",)}.get(mode, ("graph", "lexical", "near") if "graph" in mode else ("lexical", "near"))
 
 
 def _arm(name: str, queries: DataFrame, chunks: DataFrame, depth: int, edges: DataFrame | None) -> DataFrame:
@@ -78,7 +78,7 @@ def _arm(name: str, queries: DataFrame, chunks: DataFrame, depth: int, edges: Da
         raise ValueError("the graph arm needs edges")
     else:
         links = entity.link(queries, chunks, entity.part_lexicon(chunks), entity.phrase_lexicon(chunks))
-        out = entity.graph_arm(discover(links, edges), chunks, depth).withColumn("score", F.lit(0.0))
+        return entity.graph_arm(discover(links, edges), chunks, depth).select("query_id", "rank", F.lit(0.0).alias("score"), "id", "hop", "direction")
     return out.select("query_id", "rank", "score", "id")
 
 
@@ -87,21 +87,24 @@ def _combined(mode: str, made: dict[str, DataFrame], queries: DataFrame, chunks:
     if len(parts) == 1:
         return parts[0].where(F.col("rank") <= k)
     fused = fusion.rrf(parts, depth).select("query_id", "rank", "score", "id")
+    way = made["graph"].select("query_id", "id", "hop", "direction") if "graph" in _needed(mode) else None
+    known = lambda out: out if way is None else out.join(way, ["query_id", "id"], "left").select("query_id", "rank", "score", "id", "hop", "direction")
     if not mode.endswith("rerank"):
-        return fused
+        return known(fused)
     cand = fused.join(queries.select("query_id", "query"), "query_id").select("query_id", "query", "rank", "id")
-    return fusion.rerank(cand, chunks.select(F.col("chunk_id").alias("id"), "text"), scorer, k)
+    return known(fusion.rerank(cand, chunks.select(F.col("chunk_id").alias("id"), "text"), scorer, k))
 
 
 def arms(queries: DataFrame, chunks: DataFrame, mode: str, k: int, edges: DataFrame | None = None, scorer: Callable = fusion.overlap_scorer) -> DataFrame:
-    """(query_id, rank, score, id) of a mode.  Arms that are fused go ``max(k, ARM_DEPTH)`` deep."""
+    """(query_id, rank, score, id) of a mode, and with a graph arm the hop and direction by which it found a chunk (null: it
+    did not).  The graph arm comes first, so that it goes first among equal sums.  Arms that are fused go ``max(k, ARM_DEPTH)`` deep."""
     names = _needed(mode)
     depth = max(k, fusion.ARM_DEPTH) if len(names) > 1 else k
     return _combined(mode, {x: _arm(x, queries, chunks, depth, edges) for x in names}, queries, chunks, k, depth, scorer)
 
 
 def search(queries: DataFrame, chunks: DataFrame, k: int = 10, mode: str = "bm25", context: dict[str, str] | None = None, clearance: str | None = None, edges: DataFrame | None = None, scorer: Callable = fusion.overlap_scorer) -> DataFrame:
-    """Top ``k`` per query under clearance and applicability: query_id, rank, score, id.
+    """Top ``k`` per query under clearance and applicability: query_id, rank, score, id (and hop, direction, see ``arms``).
 
     What the clearance withholds leaves the corpus before any statistic, index or candidate is made.  The
     applicability ``context`` filters before scoring in mode bm25, so that its statistics are those of the
@@ -134,7 +137,7 @@ def search(queries: DataFrame, chunks: DataFrame, k: int = 10, mode: str = "bm25
         if context:
             ranked = ranked.where(governance.applies(F.col("asserts"), context))
     w = Window.partitionBy("query_id").orderBy("rank")
-    return ranked.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select("query_id", "rank", F.lit(0.0).alias("score"), "id")
+    return ranked.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select("query_id", "rank", F.lit(0.0).alias("score"), "id", *[c for c in ("hop", "direction") if c in ranked.columns])
 
 
 def golden_anchors(golden: DataFrame) -> DataFrame:
@@ -143,20 +146,17 @@ def golden_anchors(golden: DataFrame) -> DataFrame:
 
 
 def resolve_anchors(anchors: DataFrame, nodes: DataFrame, dms: DataFrame) -> DataFrame:
-    """(dmc, path, canonical, text): anchors that select exactly one element of one module.
+    """(dmc, path, canonical, text): anchors that select exactly one element of a module.
 
-    A path is absolute; a step without a number stands for all its siblings, so that it selects one element
-    only where there is one.  Any other expression, and one that selects none or several, is not resolved.
+    ``paths`` says which paths there are.  Where a module has several files, the last by package and name in
+    which the path selects exactly one element counts.  A path that can't be used, and one that selects
+    attributes, texts, a number, none or several elements, is not resolved.
     """
-    steps = lambda p: F.filter(F.split(p, "/"), lambda x: x != "")
-    bare = lambda p: F.regexp_replace(p, r"\[[0-9]+\]", "")
-    want = anchors.select("dmc", "path").distinct().where(F.col("path").rlike(r"^(/[A-Za-z_][\w.-]*(\[[0-9]+\])?)+$"))
-    have = nodes.join(dms.select("package", "file", "dmc"), ["package", "file"]).select("dmc", "xpath", "text", "file")
-    number = lambda x: F.coalesce(F.nullif(F.regexp_extract(x, r"\[([0-9]+)\]$", 1), F.lit("")), F.lit("1"))
-    fits = F.forall(F.zip_with(steps(F.col("path")), steps(F.col("xpath")), lambda a, b: ~a.rlike(r"\]$") | (number(a) == number(b))), lambda x: x)
-    met = want.withColumn("bare", bare(F.col("path"))).join(have.withColumn("bare", bare(F.col("xpath"))), ["dmc", "bare"]).where(fits)
-    one = met.groupBy("dmc", "path").agg(F.count("*").alias("n"), F.min("xpath").alias("canonical"), F.min("text").alias("text"))
-    return one.where("n = 1").drop("n")
+    wanted = anchors.select("dmc", "path").distinct().join(dms.select("package", "file", "dmc").distinct(), "dmc")
+    found, _ = paths.select_nodes(nodes, wanted)
+    one = found.groupBy("package", "file", "path").agg(F.count("*").alias("n"), F.min("kind").alias("kind"), F.min("xpath").alias("canonical"), F.min("text").alias("text"))
+    one = wanted.join(one.where("n = 1 and kind = 'element'"), ["package", "file", "path"])
+    return one.groupBy("dmc", "path").agg(F.max_by(F.struct("canonical", "text"), F.struct("package", "file")).alias("r")).select("dmc", "path", "r.canonical", "r.text")
 
 
 def unresolved(anchors: DataFrame, resolved: DataFrame) -> DataFrame:

@@ -145,19 +145,30 @@ def wrong_model(dms: DataFrame, accepted: tuple[str, ...]) -> DataFrame:
     return finding(dms.where(~F.coalesce(F.element_at("attrs", "modelIdentCode"), F.lit("?")).isin(*accepted)), "XREF-004", "L3", "error", F.lit("foreign model code"))
 
 
-def validate(nodes: DataFrame, icns: DataFrame, accepted: tuple[str, ...] | None = None) -> DataFrame:
-    """All findings of the packages in ``nodes``; byte-equal copies of a file count once (the first by name)."""
-    first = nodes.where("digest is not null").groupBy("package", "digest").agg(F.min("file").alias("file"))
-    own = nodes.where("error is null").join(first.select("package", "file"), ["package", "file"], "left_semi")
+def first_copies(digests: DataFrame) -> DataFrame:
+    """(package, file) without byte-equal copies: of each digest the first by name.  ``digests``: package, file, digest."""
+    return digests.where("digest is not null").groupBy("package", "digest").agg(F.min("file").alias("file")).select("package", "file")
+
+
+def file_findings(nodes: DataFrame, accepted: tuple[str, ...] | None = None) -> DataFrame:
+    """Findings that need one file only, of every file: L0, L1, and L2 where L1 passes."""
+    own = nodes.where("error is null")
     dms = data_modules(own)
     l1 = structure_findings(own)
     sound = own.join(l1.select("package", "file").distinct(), ["package", "file"], "left_anti")
-    parts = [parse_findings(nodes), l1, hazard_steps(sound), code_format(dms.join(sound.select("package", "file").distinct(), ["package", "file"], "left_semi")), procedure_has_steps(sound), applicability_present(sound), extension_dates(sound), cross_file(own, dms, icns)]
+    parts = [parse_findings(nodes), l1, hazard_steps(sound), code_format(dms.join(sound.select("package", "file").distinct(), ["package", "file"], "left_semi")), procedure_has_steps(sound), applicability_present(sound), extension_dates(sound)]
     if accepted:
         parts.append(wrong_model(dms, accepted))
     return reduce(DataFrame.unionByName, parts)
 
 
+def validate(nodes: DataFrame, icns: DataFrame, accepted: tuple[str, ...] | None = None) -> DataFrame:
+    """All findings of the packages in ``nodes``; byte-equal copies of a file count once (the first by name)."""
+    own = nodes.where("error is null").join(first_copies(nodes.where("node_id = 0")), ["package", "file"], "left_semi")
+    broken = nodes.where("error is not null")
+    return file_findings(own.unionByName(broken), accepted).unionByName(cross_file(own, data_modules(own), icns))
+
+
 def findings_for(findings: DataFrame, files: DataFrame) -> DataFrame:
     """The findings of the given files (package, file)."""
     return findings.join(files.select("package", "file").distinct(), ["package", "file"], "left_semi")

@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 GOLDEN = "query_id string, query string, category string, relevant array<struct<dmc:string,source_path:string>>"
 CASE = "id string, category string, question string, expected_behavior string, anchor struct<must_cite_dmc:array<string>,must_state:array<string>,must_not_state:array<string>>"
-FIGURE = "icn_ident string, source_dm string, sha256 string, described_ids array<string>, declared map<string,string>, read_text string, verified boolean"
+#: Fields of a figure record; all but the last must be there.
+FIGURE = "icn_id string, source_dm string, png_path string, sha256 string, declared_hotspots array<string>, described_hotspots array<string>, part_numbers array<string>, declared_map array<string>, summary string, safety_warnings array<string>, hotspots_matched boolean, corroborated boolean, verified boolean, degraded_reason string"
 TRACE_VERSIONS = (1, 2)
 
 
@@ -38,12 +39,23 @@ def owner_map(spark: SparkSession, text: str | None) -> tuple[DataFrame, str]:
 
 
 def figures(spark: SparkSession, path: str) -> DataFrame:
-    """Figure records, one JSON document a file; unknown or missing columns are refused."""
-    names = {f.strip().split()[0] for f in FIGURE.replace("map<string,string>", "m").split(",")}
-    seen = set(spark.read.option("multiLine", "true").json(path).columns)
-    if extra := seen - names - {"_corrupt_record"}:
+    """Figure records, one JSON document a file; an unknown field is refused, and reading fails where a field is missing."""
+    names = [f.split()[0] for f in FIGURE.split(", ")]
+    files = lambda: spark.read.option("multiLine", "true").option("recursiveFileLookup", "true")
+    seen = set(files().json(path).columns)
+    if extra := seen - set(names) - {"_corrupt_record"}:
         raise ValueError(f"unknown fields: {sorted(extra)}")
-    return spark.read.schema(FIGURE).option("multiLine", "true").option("mode", "FAILFAST").json(path)
+    rows = files().schema(FIGURE).option("mode", "FAILFAST").json(path)
+    lacking = F.array_compact(F.array(*[F.when(F.col(n).isNull(), F.lit(n)) for n in names[:-1]]))
+    whole = rows.where(F.when(F.size(lacking) > 0, F.raise_error(F.concat(F.lit("a figure record lacks "), F.array_join(lacking, ", ")))).otherwise(F.lit(True)))
+    return whole.fillna("", ["degraded_reason"])
+
+
+def write_figures(records: DataFrame, path: str) -> None:
+    """Figure records as one JSON document each, in a folder per figure; the records that are there are replaced."""
+    folder = F.concat(F.regexp_replace("icn_id", r"[^A-Za-z0-9._-]", "_"), F.lit("@"), F.substring(F.sha2("source_dm", 256), 1, 8))
+    out = records.select(*[f.split()[0] for f in FIGURE.split(", ")], folder.alias("record"))
+    out.repartition("record").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").option("maxRecordsPerFile", 1).partitionBy("record").json(path)
 
 
 def write_partitioned_json(df: DataFrame, path: str, by: str) -> None:

@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 MOST_BYTES = 50 * 1024 * 1024
 PREFIX = r"(?i)^(DMC|PMC|DML)-.*\.xml$"
 
-NODES = "package string, file string, digest string, node_id int, parent_id int, depth int, tag string, xpath string, line int, attrs map<string,string>, text string, own_text string, error string"
+NODES = "package string, file string, digest string, node_id int, parent_id int, depth int, tag string, xpath string, line int, attrs map<string,string>, text string, own_text string, last_id int, lead string, error string"
 
 
 class NotAPackageError(ValueError):
@@ -47,7 +47,8 @@ def icn_idents(spark: SparkSession, path: str) -> DataFrame:
 
 
 def shred(content: bytes) -> list[dict]:
-    """Nodes of a document in document order; raises ``ValueError`` where it is refused or broken."""
+    """Nodes of a document in document order; ``last`` is the last of a node's subtree, ``lead`` the text before
+    its first child; raises ``ValueError`` where it is refused or broken."""
     parser = expat.ParserCreate()
     nodes: list[dict] = []
     stack: list[int] = []
@@ -57,19 +58,24 @@ def shred(content: bytes) -> list[dict]:
         raise ValueError("document type declarations are refused")
 
     def start(tag: str, attrs: dict) -> None:
-        n = {"node_id": len(nodes), "parent_id": stack[-1] if stack else None, "depth": len(stack), "tag": tag, "line": parser.CurrentLineNumber, "attrs": attrs, "parts": [], "own": []}
+        n = {"node_id": len(nodes), "parent_id": stack[-1] if stack else None, "depth": len(stack), "tag": tag, "line": parser.CurrentLineNumber, "attrs": attrs, "parts": [], "own": [], "lead": []}
         children.setdefault(stack[-1] if stack else -1, []).append(len(nodes))
         stack.append(len(nodes))
         nodes.append(n)
 
+    def end(_tag: str) -> None:
+        nodes[stack.pop()]["last"] = len(nodes) - 1
+
     def data(text: str) -> None:
         nodes[stack[-1]]["own"].append(text)
+        if stack[-1] == len(nodes) - 1:
+            nodes[-1]["lead"].append(text)
         for i in stack:
             nodes[i]["parts"].append(text)
 
     parser.StartDoctypeDeclHandler = refuse
     parser.StartElementHandler, parser.CharacterDataHandler = start, data
-    parser.EndElementHandler = lambda _tag: stack.pop()
+    parser.EndElementHandler = end
     try:
         parser.Parse(content, True)
     except expat.ExpatError as e:
@@ -100,12 +106,12 @@ def xml_nodes(files: DataFrame) -> DataFrame:
                     if r.content is None:
                         raise ValueError("PARSE-002: file over the size cap")
                     digest = hashlib.md5(r.content).hexdigest()
-                    rows = [(*base, digest, n["node_id"], n["parent_id"], n["depth"], n["tag"], n["xpath"], n["line"], n["attrs"], re.sub(r"\s+", " ", "".join(n["parts"])).strip(), re.sub(r"\s+", " ", "".join(n["own"])).strip(), None) for n in shred(r.content)]
+                    rows = [(*base, digest, n["node_id"], n["parent_id"], n["depth"], n["tag"], n["xpath"], n["line"], n["attrs"], re.sub(r"\s+", " ", "".join(n["parts"])).strip(), re.sub(r"\s+", " ", "".join(n["own"])).strip(), n["last"], "".join(n["lead"]).strip(), None) for n in shred(r.content)]
                 except ValueError as e:
                     said = str(e) if str(e).startswith("PARSE-") else f"PARSE-001: {e}"
-                    rows = [(*base, None, None, None, None, None, None, None, None, None, None, said)]
+                    rows = [(*base, None, None, None, None, None, None, None, None, None, None, None, None, said)]
                 out = pd.DataFrame(rows, columns=cols)
-                for c in ("node_id", "parent_id", "depth", "line"):
+                for c in ("node_id", "parent_id", "depth", "line", "last_id"):
                     out[c] = out[c].astype("Int32")
                 yield out
 

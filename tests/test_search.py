@@ -5,7 +5,7 @@ import hashlib
 import pytest
 from pyspark.sql import functions as F
 
-from techpub_spark.operators import answer, evaluation, figures, repair, search
+from techpub_spark.operators import answer, evaluation, figures, search
 
 CHUNK = "chunk_id string, package string, dmc string, dm_title string, chunk_type string, source_path string, strategy string, text string, label string, asserts array<struct<property_ident:string,values:string>>, embedding array<double>"
 
@@ -56,7 +56,10 @@ NODE = "package string, file string, node_id int, parent_id int, tag string, xpa
 
 def test_golden_anchors(spark, corpus):
     base = "/dmodule/content/procedure/mainProcedure/proceduralStep"
-    nodes = spark.createDataFrame([("p", "f", 1, 0, "proceduralStep", base + "[1]", "remove the hydraulic pump bolts", None), ("p", "f", 2, 0, "proceduralStep", base + "[2]", "drain", None), ("p", "f", 3, 1, "para", base + "[1]/para", "remove bolts", None)], NODE)
+    from techpub_spark.sources.xmlnodes import xml_nodes
+
+    doc = "<dmodule><content><procedure><mainProcedure><proceduralStep><para>remove bolts</para> the hydraulic pump</proceduralStep><proceduralStep>drain</proceduralStep></mainProcedure></procedure></content></dmodule>"
+    nodes = xml_nodes(spark.createDataFrame([("p", "f", len(doc), bytearray(doc.encode()))], "package string, file string, length long, content binary"))
     dms = spark.createDataFrame([("p", "f", "DMC-LX-A")], "package string, file string, dmc string")
     paths = [base + "[1]", base, base + "[1]/para[1]", "/dmodule/none", "count(//x)"]
     golden = spark.createDataFrame([(1, "bolts", [("DMC-LX-A", x) for x in paths]), (2, "nothing at all", [])], "query_id int, query string, relevant array<struct<dmc:string,source_path:string>>")
@@ -102,7 +105,13 @@ def test_answer_questions(spark):
                 "6": json.dumps(good | {"answer": "30 mm"}), "7": json.dumps(good | {"citations": [{"chunk_id": "e7", "quote": "loosen every bolt"}]})}.get(q, "boom")
 
     got = {r.query_id: r for r in answer.answer_questions(questions, evidence, model, 0.5).collect()}
-    assert {q: r.gate for q, r in got.items()} == {1: None, 2: "threshold", 3: "reply", 4: "model", 5: "no citation", 6: "figure", 7: "citation: quote not in chunk", 8: "threshold"}
+    assert {q: r.gate for q, r in got.items()} == {1: None, 2: "threshold", 3: "llm-contract", 4: "llm", 5: "citation-validation", 6: "figure-out-of-description", 7: "citation-validation", 8: "threshold"}
+    assert got[7].detail == "quote not in chunk" and got[6].detail == "not in the figures: 30 mm, mm" and got[1].detail is None
+    from techpub_spark.operators import governance
+
+    gaps_ = spark.createDataFrame([], "signature string, kind string, owner string, owner_reason string")
+    routed = governance.route_refusals(questions.join(spark.createDataFrame([(q, r.gate) for q, r in got.items() if r.gate], "query_id int, gate string"), "query_id"), gaps_).collect()
+    assert len(routed) == 7 and {r.resolution for r in routed} <= set(governance.RESOLUTIONS.values())
     assert got[1].answer == "25 Nm" and got[1].citations[0].id == "e1" and all(got[q].answer is None for q in got if q != 1)
 
 
@@ -126,26 +135,70 @@ def test_figures(spark):
     assert sorted(tokens) == ["A-10", "LX-1-2", "x"]
 
 
-def test_edits(spark):
-    doc = b"<a><b k='1'>x</b>tail<b>y</b><c/></a>"
-    run = lambda **e: repair.edited(doc, [e]).split(b"?>")[1].strip()
-    assert run(op="set_attr", xpath="/a/b[1]", attr="k", value="2") == b'<a><b k="2">x</b>tail<b>y</b><c /></a>'
-    assert run(op="set_text", xpath="/a/c", value="z") == b'<a><b k="1">x</b>tail<b>y</b><c>z</c></a>'
-    assert run(op="remove_element", xpath="/a/b[1]") == b"<a>tail<b>y</b><c /></a>"
-    assert run(op="insert_element", xpath="/a/c", xml="<d/>", position="before") == b'<a><b k="1">x</b>tail<b>y</b><d /><c /></a>'
-    for bad in ({"op": "set_text", "xpath": "/a/b", "value": "z"}, {"op": "remove_element", "xpath": "/a"}, {"op": "insert_element", "xpath": "/a", "xml": "<d"}, {"op": "burn", "xpath": "/a"}, {"op": "set_text", "xpath": "/a/zz", "value": "z"}):
-        with pytest.raises(ValueError):
-            run(**bad)
-    files = spark.createDataFrame([("p", "f", doc), ("p", "g", doc)], "package string, file string, content binary")
-    edits = spark.createDataFrame([("p", "f", 1, "set_text", "/a/c", None, "z", None, None), ("p", "f", 2, "set_text", "/a/b", None, "z", None, None)], "package string, file string, seq int, op string, xpath string, attr string, value string, xml string, position string")
-    got = {r.file: r for r in repair.apply_edits(files, edits).collect()}
-    assert "selects 2" in got["f"].error and bytes(got["f"].content) == doc and got["g"].error is None
-
-
-def test_repair_loop():
-    assert repair.propose_until({}, lambda f, s: (f"d{len(s)}", 10), lambda d: None if d == "d2" else f"bad {d}") == ("d2", "patched")
-    assert repair.propose_until({}, lambda f, s: ("d", 10), lambda d: "same") == (None, "refused")
-    assert repair.propose_until({}, lambda f, s: (f"d{len(s)}", 40_000), lambda d: d) == (None, "budget_exhausted")
+def test_figure_claims(spark):
+    text = "Figure ICN-AB1.\nHotspot 1: Pump — part LX-2-9. 25\n mm"
+    for said, want in (
+        ("Three hotspots are called out: the pump, part LX-2-9, 25 mm", []), ("the blue pump", ["blue"]), ("a steel bolt, LX-2-8", ["LX-2-8", "bolt", "steel"]), ("pump 30 mm", ["30 mm"]), ("", []),
+    ):
+        got = spark.range(1).select(F.array_sort(answer.figure_claims(F.lit(said), F.lit(text + " called out"))).alias("x")).first().x
+        assert got == want, said
+
+
+def test_figure_gates(spark):
+    import json
+
+    evidence = spark.createDataFrame([(q, 1, f"e{q}", 0.9, "Hotspot 1: Pump", "D", "/x", "figure", ["ICN-A1"]) for q in (1, 2, 3)], "query_id int, rank int, id string, score double, text string, dmc string, source_path string, chunk_type string, icn_refs array<string>")
+    questions = spark.createDataFrame([(q, f"question {q}") for q in (1, 2, 3)], "query_id int, question string")
+    replies = {"1": {"answerable": False}, "2": {"answerable": True, "answer": "pump", "citations": []}, "3": {"answerable": True, "answer": "the blue pump", "citations": [{"chunk_id": "e3", "quote": "Hotspot 1: Pump"}]}}
+    got = {r.query_id: r for r in answer.answer_questions(questions, evidence, lambda p: json.dumps(replies[p.split("question ")[1][0]]), 0.5).collect()}
+    assert {r.gate for r in got.values()} == {"figure-out-of-description"} and got[3].detail == "not in the figures: blue"
+
+
+def test_figure_records(spark, tmp_path):
+    from techpub_spark.sources import jsonl
+
+    one = ("ICN-AB1", "D", "x.png", "ab" * 32, ["1"], ["1"], ["LX-2-9"], ["1|Pump|LX-2-9"], "s", [], True, True, True, "")
+    rows = spark.createDataFrame([one, ("ICN-AB/2", *one[1:])], jsonl.FIGURE)
+    path = str(tmp_path / "f")
+    jsonl.write_figures(rows, path)
+    jsonl.write_figures(rows.where("icn_id = 'ICN-AB1'").withColumn("summary", F.lit("new")), path)
+    got = {r.icn_id: r for r in jsonl.figures(spark, path).collect()}
+    assert got["ICN-AB1"].summary == "new" and got["ICN-AB/2"][1:] == one[1:] and len(got) == 2
+    hot = spark.createDataFrame([("p", "D", "ICN-AB1", [("1", "Pump", "LX-2-9")])], "package string, dmc string, icn string, hotspots array<struct<id:string,label:string,part:string>>")
+    pics = spark.createDataFrame([("p", "ICN-AB1", "ab" * 32)], "package string, icn string, sha256 string")
+    assert figures.figure_chunks(jsonl.figures(spark, path), hot, pics).first().text.startswith("Figure ICN-AB1.")
+    (tmp_path / "bad").mkdir()
+    (tmp_path / "bad" / "x.json").write_text('{"icn_id": "ICN-AB1", "extra": 1}')
+    with pytest.raises(ValueError, match="extra"):
+        jsonl.figures(spark, str(tmp_path / "bad"))
+    (tmp_path / "bad" / "x.json").write_text('{"icn_id": "ICN-AB1"}')
+    with pytest.raises(Exception, match="lacks source_dm"):
+        jsonl.figures(spark, str(tmp_path / "bad")).collect()
+
+
+def test_balanced_objects(spark):
+    from techpub_spark.functions.text import balanced_objects
+
+    for said, want in (
+        ('a {"x": {"y": 1}} b {}', ['{"x": {"y": 1}}', "{}"]), ('{"x": "}"} }{', ['{"x": "}"}']), (r'{"x": "\"}"}', [r'{"x": "\"}"}']), (r'"{" {"a": "\\"}', [r'{"a": "\\"}']), ("é{é}😀{}", ["{é}", "{}"]), ("", []), ("{{", []), ('" {}', []),
+    ):
+        assert spark.range(1).select(balanced_objects(F.lit(said)).alias("x")).first().x == want, said
+
+
+def test_last_verdict_with_its_nonce(spark):
+    echo = '{"nonce": "n1", "verdict": "grounded|hallucinated"}'
+    real = '{"nonce": "n1", "verdict": "hallucinated", "claims": [{"supported": {"supported": true}}, {"supported": true}, 7], "groundedness": true}'
+    for said, want in (
+        (f"I say {echo} then {real} done {{}}", ("hallucinated", 0.5, 1, 2)), (real.replace("n1", "n2"), None), (real + real.replace("n1", "n2"), ("hallucinated", 0.5, 1, 2)), (real + '{"nonce": "n1", "verdict": "grounded"}', ("grounded", None, 0, 0)),
+        (echo, None), ('{"nonce": "n1", "verdict": "grounded", "claims": "x", "groundedness": 1}', ("grounded", 1.0, 0, 0)), (None, None), ("{broken " + real, None),
+    ):
+        got = spark.createDataFrame([(said,)], "r string").select(evaluation.verdict(F.col("r"), F.lit("n1")).alias("v")).first().v
+        assert (got and tuple(got)) == want, said
+
+
+def test_repair_report(spark):
+    rows = spark.createDataFrame([(s,) for s in ("patched", "applied", "declined", "dry-run-only", "refused", "budget-exhausted")], "status string")
+    assert tuple(evaluation.repair_report(rows).first()) == (2, 1, 2, False) and evaluation.repair_report(rows.limit(0)).first().all_resolved
 
 
 def test_verdicts(spark):
