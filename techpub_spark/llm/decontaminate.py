@@ -223,16 +223,27 @@ class Index:
             doc = int(np.searchsorted(bounds, start, "right")) - 1
             m = len(self.coded[item])
             most = self.most(m)
-            low, high = max(bounds[doc], start - most), min(bounds[doc] + len(coded[doc]) - 1, start + m + most)
             seen = places.setdefault((doc, item), [])
-            if any(s < start - bounds[doc] + m // 2 and start - bounds[doc] < e - m // 2 for _, s, e in seen):
+            here = start - bounds[doc]
+            near = lambda s, e: s < here + m // 2 and here < e - m // 2  # noqa: B023, E731
+            if any(near(s, e) for _, s, e in seen):
                 continue  # inside a place that is already found
-            part = words[low:high].tolist()
-            if len(self.bags[item].intersection(part)) < len(self.bags[item]) - most:
-                continue
-            d, s, e = best_place(self.coded[item].tolist(), part)
-            if d <= most:
-                seen.append((d, int(low - bounds[doc] + s), int(low - bounds[doc] + e)))
+            # a start is mostly within ``most`` words, and an end as many more; an own place is not given up for a neighbour's
+            first, last = int(bounds[doc]), int(bounds[doc]) + len(coded[doc]) - 1
+            for room in (2 * most, most):
+                low, high = max(first, start - room), min(last, start + m + room)
+                if len(self.bags[item].intersection(words[low:high].tolist())) < len(self.bags[item]) - most:
+                    break
+                while True:
+                    d, s, e = best_place(self.coded[item].tolist(), words[low:high].tolist())
+                    s, e = low + s, low + e
+                    if d > most or not (s == low > first or e == high < last):
+                        break
+                    low, high = max(first, low - most), min(last, high + most)  # it may go on beyond the part
+                if d <= most and (d, s - first, e - first) not in seen:
+                    seen.append((d, s - first, e - first))
+                if d > most or near(s - first, e - first):
+                    break
         return [(doc, item, s, e, d) for (doc, item), found in places.items() for d, s, e in found]
 
 

@@ -448,3 +448,24 @@ def test_packing_groups_do_not_depend_on_the_order(spark):
     one = packing.encoded_pieces(docs.coalesce(1).orderBy("doc_id"), 4096, 2, 5, 17, None).select(key).collect()
     two = packing.encoded_pieces(docs.coalesce(1).orderBy(F.desc("text")), 4096, 2, 5, 17, None).select(key).collect()
     assert sorted(map(tuple, one)) == sorted(map(tuple, two)) and len({r.pack_group for r in one}) == 5
+
+
+def test_leaks_have_the_least_distance():
+    """Each place's distance is that of the best place of the whole text, wherever the candidate began."""
+    r = random.Random(11)
+    vocab = [f"w{i}" for i in range(400)]
+    items = [(i, " ".join(r.choice(vocab) for _ in range(r.choice([12, 20, 35, 60])))) for i in range(40)]
+    index, wrong, exact = decontaminate.Index(items, 0.8, 0.95, 4), [], 0
+    for i, (_, text) in enumerate(items):
+        for _ in range(25):
+            w = text.split()
+            for _ in range(r.randrange(len(w) // 5 + 1)):
+                p = r.randrange(len(w))
+                w[p : p + r.randrange(2)] = [r.choice(vocab)] * r.randrange(2)
+            doc = [r.choice(vocab) for _ in range(r.randrange(30))] + w + [r.choice(vocab) for _ in range(r.randrange(30))]
+            want = decontaminate.best_place(text.split(), doc)
+            got = [m for m in index.matches([" ".join(doc)]) if m[1] == i]
+            exact += want[0] == 0
+            if want[0] <= len(text.split()) // 5 and (not got or min(m[4] for m in got) != want[0]):
+                wrong.append((i, want, got))
+    assert not wrong and exact > 20
