@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
+from typing import NamedTuple
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import dmc_string
+from . import structure
 from .graph import cycles
 
 FINDING = ("package", "rule_id", "layer", "severity", "file", "line", "message")
@@ -107,12 +111,73 @@ def applicability_present(nodes: DataFrame) -> DataFrame:
 
 
 def structure_findings(nodes: DataFrame) -> DataFrame:
-    """SCHEMA-001: a data module needs its code, title and content; one finding per missing part."""
+    """SCHEMA-001: one finding per deviation from the content models, with its line and path."""
+    found = structure.deviations(nodes)
+    return finding(found, "SCHEMA-001", "L1", "error", F.concat(F.col("path"), F.lit(": "), F.col("message")))
+
+
+def presence_findings(nodes: DataFrame) -> DataFrame:
+    """SCHEMA-001 for packages that follow no content model: a data module needs its code, title and content."""
     need = {"dmCode": "/dmodule/identAndStatusSection/dmAddress/dmIdent/dmCode", "techName": "/dmodule/identAndStatusSection/dmAddress/dmAddressItems/dmTitle/techName", "content": "/dmodule/content"}
     roots = nodes.where("tag = 'dmodule' and depth = 0").select("package", "file", "line")
     return reduce(DataFrame.unionByName, [finding(roots.join(nodes.where(F.col("xpath") == x).select("package", "file").distinct(), ["package", "file"], "left_anti"), "SCHEMA-001", "L1", "error", F.lit(f"missing {k}")) for k, x in need.items()])
 
 
+def model_findings(nodes: DataFrame) -> DataFrame:
+    """MODEL-001: a data module without a code can't be built, enters no index, and no rule is tried on it."""
+    code = nodes.where("xpath rlike '^/[^/]+/identAndStatusSection/dmAddress/dmIdent/dmCode(.1.)?$'").select("package", "file").distinct()
+    lost = nodes.where("node_id = 0 and upper(file) like 'DMC-%'").join(code, ["package", "file"], "left_anti")
+    return finding(lost.withColumn("line", F.lit(None).cast("int")), "MODEL-001", "L1", "error", F.lit("no dmIdent/dmCode"))
+
+
+class Rule(NamedTuple):
+    """A business rule: ``check`` maps (node table, data modules) of sound files to findings."""
+
+    rule_id: str
+    check: Callable[[DataFrame, DataFrame], DataFrame]
+
+
+def file_rule(rule_id: str, severity: str, check: Callable[[list[dict]], list[tuple[int | None, str]]]) -> Rule:
+    """A rule in Python over one file's nodes (dicts in document order), giving (line, message) of each violation.
+
+    It is evaluated guarded, file by file: where it raises, the file gets BREX-999 and the others their findings.
+    """
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        rows = pdf.sort_values("node_id").to_dict("records")
+        base = (rows[0]["package"], rows[0]["file"])
+        try:
+            out = [(*base, line, message, rule_id, severity) for line, message in check(rows)]
+        except Exception as e:  # noqa: BLE001 - any fault of a rule is a finding
+            out = [(*base, None, f"rule {rule_id} raised: {e}", "BREX-999", "error")]
+        return pd.DataFrame(out, columns=["package", "file", "line", "message", "rule_id", "severity"]).astype({"line": "Int32"})
+
+    def findings(nodes: DataFrame, _dms: DataFrame) -> DataFrame:
+        found = nodes.where("upper(file) like 'DMC-%'").groupBy("package", "file").applyInPandas(run, "package string, file string, line int, message string, rule_id string, severity string")
+        return found.select("package", "rule_id", F.lit("L2").alias("layer"), "severity", "file", "line", "message")
+
+    return Rule(rule_id, findings)
+
+
+def checked(rules: tuple[Rule, ...], nodes: DataFrame, dms: DataFrame) -> DataFrame:
+    """Findings of all rules; a rule that can't be planned gives BREX-999 for every file instead of an end."""
+    out = [finding(dms.limit(0), "", "L2", "error", F.lit(""))]
+    for rule in rules:
+        try:
+            out.append(rule.check(nodes, dms).select(*FINDING))
+        except Exception as e:  # noqa: BLE001 - any fault of a rule is a finding
+            said = f"rule {rule.rule_id} raised: {str(e).splitlines()[0] if str(e) else type(e).__name__}"
+            out.append(finding(dms.withColumn("line", F.lit(None).cast("int")), "BREX-999", "L2", "error", F.lit(said)))
+    return reduce(DataFrame.unionByName, out)
+
+
+#: The business rules; a caller may add its own.
+RULES = (
+    Rule("BREX-001", lambda nodes, _: hazard_steps(nodes)), Rule("BREX-002", lambda _, dms: code_format(dms)), Rule("BREX-003", lambda nodes, _: procedure_has_steps(nodes)),
+    Rule("BREX-004", lambda nodes, _: applicability_present(nodes)), Rule("BREX-005", lambda nodes, _: extension_dates(nodes)),
+)
+
+
 def cross_file(nodes: DataFrame, dms: DataFrame, icns: DataFrame) -> DataFrame:
     """XREF rules.  ``icns``: package, ident."""
     index = dms.groupBy("package", "dmc").agg(F.max_by(F.struct("file", "issue_number"), F.struct(F.coalesce(F.expr("try_cast(issue_number as int)"), F.lit(-1)), "issue_number", "file")).alias("i")).select("package", "dmc", F.col("i.file").alias("index_file"), F.col("i.issue_number").alias("index_issue"))
@@ -150,23 +215,23 @@ def first_copies(digests: DataFrame) -> DataFrame:
     return digests.where("digest is not null").groupBy("package", "digest").agg(F.min("file").alias("file")).select("package", "file")
 
 
-def file_findings(nodes: DataFrame, accepted: tuple[str, ...] | None = None) -> DataFrame:
+def file_findings(nodes: DataFrame, accepted: tuple[str, ...] | None = None, rules: tuple[Rule, ...] = RULES, shape: Callable[[DataFrame], DataFrame] = structure_findings) -> DataFrame:
     """Findings that need one file only, of every file: L0, L1, and L2 where L1 passes."""
     own = nodes.where("error is null")
     dms = data_modules(own)
-    l1 = structure_findings(own)
-    sound = own.join(l1.select("package", "file").distinct(), ["package", "file"], "left_anti")
-    parts = [parse_findings(nodes), l1, hazard_steps(sound), code_format(dms.join(sound.select("package", "file").distinct(), ["package", "file"], "left_semi")), procedure_has_steps(sound), applicability_present(sound), extension_dates(sound)]
+    l1 = shape(own).unionByName(model_findings(own))
+    bad = l1.select("package", "file").distinct()
+    parts = [parse_findings(nodes), l1, checked(rules, own.join(bad, ["package", "file"], "left_anti"), dms.join(bad, ["package", "file"], "left_anti"))]
     if accepted:
         parts.append(wrong_model(dms, accepted))
     return reduce(DataFrame.unionByName, parts)
 
 
-def validate(nodes: DataFrame, icns: DataFrame, accepted: tuple[str, ...] | None = None) -> DataFrame:
+def validate(nodes: DataFrame, icns: DataFrame, accepted: tuple[str, ...] | None = None, rules: tuple[Rule, ...] = RULES, shape: Callable[[DataFrame], DataFrame] = structure_findings) -> DataFrame:
     """All findings of the packages in ``nodes``; byte-equal copies of a file count once (the first by name)."""
     own = nodes.where("error is null").join(first_copies(nodes.where("node_id = 0")), ["package", "file"], "left_semi")
     broken = nodes.where("error is not null")
-    return file_findings(own.unionByName(broken), accepted).unionByName(cross_file(own, data_modules(own), icns))
+    return file_findings(own.unionByName(broken), accepted, rules, shape).unionByName(cross_file(own, data_modules(own), icns))
 
 
 def findings_for(findings: DataFrame, files: DataFrame) -> DataFrame:

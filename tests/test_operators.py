@@ -91,7 +91,7 @@ def test_answer_prefix_at_every_cut():
 
 
 def test_package_validation(spark, tmp_path):
-    from techpub_spark.operators.validation import validate
+    from techpub_spark.operators.validation import presence_findings, validate
     from techpub_spark.sources.xmlnodes import package_files, xml_nodes
 
     code = 'modelIdentCode="LX" systemDiffCode="A" systemCode="29" subSystemCode="1" subSubSystemCode="0" assyCode="00" disassyCode="00" disassyCodeVariant="A" infoCode="520" infoCodeVariant="A" itemLocationCode="{0}"'
@@ -108,7 +108,7 @@ def test_package_validation(spark, tmp_path):
     (pack / "DMC-BAD.xml").write_text("<!DOCTYPE x><x/>")
     nodes = xml_nodes(package_files(spark, str(pack)))
     icns = spark.createDataFrame([], "package string, ident string")
-    assert sorted(r.rule_id for r in validate(nodes, icns).collect()) == ["BREX-001", "PARSE-001", "XREF-001", "XREF-005"]
+    assert sorted(r.rule_id for r in validate(nodes, icns, shape=presence_findings).collect()) == ["BREX-001", "PARSE-001", "XREF-001", "XREF-005"]
 
 
 @pytest.mark.parametrize("said,want", [
@@ -232,7 +232,7 @@ def test_business_rules(spark, tmp_path):
         "10": ("H", "001", "01", "", "<description><para>z</para></description>"),
     })
     icns = spark.createDataFrame([], "package string, ident string")
-    got = sorted((r.rule_id, r.file.split("-A_")[0][27:28] or r.file[27:28]) for r in validation.validate(nodes, icns).collect())
+    got = sorted((r.rule_id, r.file.split("-A_")[0][27:28] or r.file[27:28]) for r in validation.validate(nodes, icns, shape=validation.presence_findings).collect())
     assert got == [("BREX-001", "A"), ("BREX-001", "C"), ("BREX-003", "F"), ("BREX-005", "G"), ("XREF-006", "H"), ("XREF-007", "H")]
     seen = validation.inspect(nodes, icns).first()
     assert (seen.data_modules, seen.unreadable, seen.content_types) == (10, 0, {"description": 4, "procedure": 6})

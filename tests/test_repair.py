@@ -75,9 +75,12 @@ def test_edits_of_many_files(spark):
 CODE = 'modelIdentCode="LX" systemDiffCode="A" systemCode="29" subSystemCode="1" subSubSystemCode="0" assyCode="00" disassyCode="00" disassyCodeVariant="A" infoCode="520" infoCodeVariant="A" itemLocationCode="{0}"'
 
 
-def module(loc, body="<description><para>x</para></description>", applic="<applic/>"):
-    return (f'<dmodule><identAndStatusSection><dmAddress><dmIdent><dmCode {CODE.format(loc)}/><issueInfo issueNumber="001" inWork="00"/></dmIdent>'
-            f"<dmAddressItems><dmTitle><techName>T</techName></dmTitle></dmAddressItems></dmAddress><dmStatus>{applic}</dmStatus></identAndStatusSection><content>{body}</content></dmodule>")
+APPLIC = "<applic><displayText><simplePara>All</simplePara></displayText></applic>"
+
+
+def module(loc, body="<description><levelledPara><para>x</para></levelledPara></description>", applic=APPLIC):
+    return (f'<dmodule><identAndStatusSection><dmAddress><dmIdent><dmCode {CODE.format(loc)}/><language languageIsoCode="en" countryIsoCode="US"/><issueInfo issueNumber="001" inWork="00"/></dmIdent>'
+            f'<dmAddressItems><issueDate year="2024" month="01" day="01"/><dmTitle><techName>T</techName></dmTitle></dmAddressItems></dmAddress><dmStatus><security securityClassification="01"/>{applic}</dmStatus></identAndStatusSection><content>{body}</content></dmodule>')
 
 
 def name(loc):
@@ -90,7 +93,7 @@ LINK = "<dmRef><dmRefIdent><dmCode {0}/></dmRefIdent></dmRef>"
 @pytest.fixture(scope="module")
 def pack(spark):
     """A dangling reference in A, a missing applicability in B, a sound C and its copy, in two equal packages."""
-    docs = {name("A"): module("A", f"<description><para>see {LINK.format(CODE.format('Z'))}</para></description>"), name("B"): module("B", applic=""), name("C"): module("C"), "DMC-LX-COPY.xml": module("C")}
+    docs = {name("A"): module("A", f"<description><levelledPara><para>see {LINK.format(CODE.format('Z'))}</para></levelledPara></description>"), name("B"): module("B", applic=""), name("C"): module("C"), "DMC-LX-COPY.xml": module("C")}
     rows = [(p, f, len(d), bytearray(d.encode())) for p in ("p", "q") for f, d in docs.items()]
     return spark.createDataFrame(rows, "package string, file string, length long, content binary"), spark.createDataFrame([], "package string, ident string")
 
@@ -101,11 +104,11 @@ def test_candidates(spark, pack):
     keys = {(r.package, r.rule_id): r.key for r in found.collect()}
     assert sorted(keys) == [(p, x) for p in "pq" for x in ("BREX-004", "XREF-001")]  # the copy of C does not count
     to = {"op": "set_attr", "xpath": "//dmRef/dmRefIdent/dmCode", "attr": "itemLocationCode", "value": "C"}
-    applic = {"op": "insert_element", "xpath": "//dmStatus", "xml": "<applic/>", "position": "append-child"}
+    applic = {"op": "insert_element", "xpath": "//dmStatus", "xml": APPLIC, "position": "append-child"}
     cands = {
         "good": ("p", "XREF-001", [(name("A"), to)]), "wrong target": ("p", "BREX-004", [(name("A"), to)]), "new finding": ("p", "BREX-004", [(name("B"), applic), (name("B"), {"op": "set_attr", "xpath": "//dmCode", "attr": "infoCode", "value": "x"})]),
         "other package": ("q", "BREX-004", [(name("B"), applic)]), "broken path": ("p", "XREF-001", [(name("A"), to | {"xpath": "//nothing"})]), "no edits": ("p", "XREF-001", []), "two files": ("p", None, [(name("A"), to), (name("B"), applic)]),
-        "copy": ("p", None, [("DMC-LX-COPY.xml", {"op": "set_text", "xpath": "//para", "value": "y"})]), "no file": ("p", None, [("DMC-none.xml", applic)]),
+        "copy": ("p", None, [("DMC-LX-COPY.xml", {"op": "set_text", "xpath": "//para", "value": "y"})]), "no file": ("p", None, [("DMC-none.xml", applic)]), "bad structure": ("p", "BREX-004", [(name("B"), applic | {"xml": "<applic/>"})]),
     }
     candidates = spark.createDataFrame([(c, p, keys.get((p, t))) for c, (p, t, _) in cands.items()], "candidate string, package string, target string")
     edits = edits_of(spark, [((c, f), n, e) for c, (_, _, es) in cands.items() for n, (f, e) in enumerate(es)], "candidate string, file string")
@@ -114,6 +117,7 @@ def test_candidates(spark, pack):
     assert got["good"].cleared == [keys["p", "XREF-001"]] and (got["good"].before, got["good"].after) == (2, 1) and got["good"].introduced == []
     assert "\n-<dmodule" in got["good"].diff and 'itemLocationCode="C"' in got["good"].diff and got["good"].source_lines == 1
     assert got["wrong target"].introduced == [] and got["new finding"].cleared == [keys["p", "BREX-004"]] and len(got["new finding"].introduced) >= 1
+    assert [k.split("@")[0] for k in got["bad structure"].introduced] == ["SCHEMA-001"]
     assert any(k.startswith("BREX-002") for k in got["copy"].introduced)  # no copy any more
     assert "selects 0" in got["broken path"].error and got["no edits"].error == "no edits" and got["no file"].error == "no such file"
     # each candidate alone, through the whole package, gives the same
