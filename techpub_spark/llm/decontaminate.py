@@ -25,20 +25,22 @@ give rows; empty tables give an empty result; documents of any length are read w
 from __future__ import annotations
 
 import math
+import re
 from collections.abc import Iterator
 from functools import reduce
+from itertools import chain, repeat
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
 RATIO, BLOCK_CHARS = 1.25, 2_000_000
-PUNCTUATION = dict.fromkeys(map(ord, "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~¡¿«»“”„‘’…–—"), " ")
+PUNCTUATION = re.compile("[" + re.escape("!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~¡¿«»“”„‘’…–—") + "]+")
 
 
 def fold(text: str) -> list[str]:
     """Lower-case words without punctuation."""
-    return text.lower().translate(PUNCTUATION).split()
+    return PUNCTUATION.sub(" ", text.lower()).split()
 
 
 def edit_distance(a: list, b: list) -> int:
@@ -165,21 +167,21 @@ class Index:
     @staticmethod
     def embed(walk: dict, words: np.ndarray, starts: np.ndarray, size: int) -> np.ndarray:
         """Hash of the sampled positions of the walk over ``size`` words from each start.  A 0 ends a text."""
-        at, out = starts.astype(np.int64), np.zeros(len(starts), np.uint64)
-        stop, mult = at + size, np.uint64(walk["mult"] & (1 << 64) - 1)
+        at, out = starts.astype(np.int32 if len(words) < 1 << 30 else np.int64), np.zeros(len(starts), np.uint64)
+        stop, mult = at + at.dtype.type(size), np.uint64(walk["mult"] & (1 << 64) - 1)
         codes = np.arange(int(words.max()) + 1 if len(words) else 1, dtype=np.uint64)
         for j in range(walk["steps"]):
-            s = words[np.minimum(at, stop)]
-            s = np.where(at < stop, s, 0)
+            s = words.take(np.minimum(at, stop))
+            s *= at < stop
             if j in walk["at"]:
                 out = (out ^ s.astype(np.uint64)) * mult
                 out ^= out >> np.uint64(29)
             # the random bit of (step, word): one row at a time, so that memory does not grow with steps and walks
             x = (codes + np.uint64((j + 1) * 0xD6E8FEB86659FD93 & 0xFFFFFFFFFFFFFFFF)) * mult
             x = (x ^ x >> np.uint64(32)) * np.uint64(0x9E3779B97F4A7C15)
-            bits = (x >> np.uint64(63)).astype(np.int64)
+            bits = (x >> np.uint64(63)).astype(at.dtype)
             bits[0] = 0  # a text's end stays
-            at += bits[s]
+            at += bits.take(s)
         return out
 
     def candidates(self, words: np.ndarray, bounds: np.ndarray) -> set[tuple[int, int]]:
@@ -211,7 +213,8 @@ class Index:
         coded, bounds, at = [], [], 0
         get = self.vocab.get
         for t in texts:
-            c = np.array([get(w, 1) for w in fold(t)] + [0], np.int32)
+            w = fold(t)
+            c = np.fromiter(chain(map(get, w, repeat(1)), (0,)), np.int32, len(w) + 1)
             coded.append(c)
             bounds.append(at)
             at += len(c)
