@@ -16,8 +16,8 @@ TOKENS = """flatten(list_transform(regexp_extract_all({0}, '[A-Za-z0-9]+(?:[-/_]
 
 @register("tokenize_terms", f"SELECT term, count(*) AS n, count(DISTINCT doc_id) AS docs FROM (SELECT doc_id, unnest({TOKENS.format('text')}) AS term FROM documents) GROUP BY term")
 def tokenize_terms(spark: SparkSession, sf: str) -> DataFrame:
-    each = read_table(spark, sf, "documents").select("doc_id", F.explode(tokenize(F.col("text"))).alias("term")).groupBy("doc_id", "term").agg(F.count("*").alias("tf"))
-    return each.groupBy("term").agg(F.sum("tf").alias("n"), F.count("*").alias("docs"))
+    words = lexical.vocabulary(read_table(spark, sf, "documents"), "doc_id", "text")
+    return words.where("term is not null").select("term", F.col("length").alias("n"), F.col("df").alias("docs"))
 
 
 BM25_CTES = f"""
