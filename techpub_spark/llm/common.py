@@ -65,6 +65,12 @@ def dropped(*tables: DataFrame) -> None:
         path.getFileSystem(context._jsc.hadoopConfiguration()).delete(path.getParent(), True)
 
 
+def sorted_join(left: DataFrame, right: DataFrame, on, how: str = "inner") -> DataFrame:
+    """A join that sorts both sides.  Neither is broadcast, whatever its size: a broadcast is built in the driver's
+    memory, and dozens of tables that are each just small enough for it are more than a driver holds."""
+    return left.join(right.hint("merge"), on, how)
+
+
 def text_digest(text: Column) -> Column:
     """128-bit key of a text, as 32 hex digits; equal texts and only they (up to md5) share it."""
     return F.md5(F.coalesce(text, F.lit("")))
@@ -78,7 +84,7 @@ def let(value: Column, body) -> Column:
 def _is_stars(edges: DataFrame) -> bool:
     """Every node points at one root, and no root points anywhere."""
     many = edges.groupBy("a").agg(F.count("*").alias("n")).where("n > 1").select("a")
-    return many.unionByName(edges.select(F.col("b").alias("a")).join(edges.select("a"), "a", "left_semi")).isEmpty()
+    return many.unionByName(sorted_join(edges.select(F.col("b").alias("a")), edges.select("a"), "a", "left_semi")).isEmpty()
 
 
 def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
@@ -103,10 +109,10 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
         # large star: every larger neighbour points at the smallest of the neighbourhood
         both = cur.union(cur.select(F.col("b"), F.col("a"))).toDF("u", "v")
         low = both.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("lu"), F.least("u", "m").alias("m"))
-        large = both.join(low, F.col("u") == F.col("lu")).where("v > u").select(F.col("v").alias("a"), F.col("m").alias("b")).distinct()
+        large = sorted_join(both, low, F.col("u") == F.col("lu")).where("v > u").select(F.col("v").alias("a"), F.col("m").alias("b")).distinct()
         # small star: smaller neighbours and the node itself point at the smallest one
         low = large.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("lu"), "m")
-        joined = large.join(low, F.col("a") == F.col("lu"))
+        joined = sorted_join(large, low, F.col("a") == F.col("lu"))
         small = joined.select(F.col("b").alias("a"), F.col("m").alias("b")).union(joined.select("a", F.col("m").alias("b"))).where("a <> b").distinct()
         cur, old = stored(small, "edges", heavy=True), cur
         dropped(old)
@@ -137,6 +143,37 @@ def _slot_counts(tokens):
     return run
 
 
+def _marks(tokens):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sizes, sketches = [], []
+            for text in batch.column("text").to_pylist():
+                t = tokens(text)
+                sizes.append(len(t))
+                sketches.append(parity_sketch(t))
+            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(sizes, pa.int32()), pa.array(sketches, pa.list_(pa.int64()))], names=["id", "size", "sketch"])
+
+    return run
+
+
+def _able(threshold: float, most_apart) -> Column:
+    """Whether (sizea, w0_a, ...) and (sizeb, w0_b, ...) can reach ``threshold``: sizes, then bits of the parity sketches."""
+    bits = sum((F.bit_count(F.col(f"w{k}_a").bitwiseXOR(F.col(f"w{k}_b"))) for k in range(SKETCH // 64)), F.lit(0))
+    return (F.least("sizea", "sizeb") >= F.lit(threshold) * F.greatest("sizea", "sizeb") - 1e-9) & (bits <= most_apart(F.col("sizea"), F.col("sizeb")) + 1e-9)
+
+
+def able_pairs(pairs: DataFrame, marks: DataFrame, threshold: float, most_apart) -> DataFrame:
+    """Those of the pairs (a, b) that their sizes and parity sketches (``marks``) don't rule out; none that links is left out.
+
+    Pairs meet the marks of b as one row per b, which has few partners, and those of a under the test, so
+    that only pairs that pass it are made and get their texts.
+    """
+    side = lambda s: marks.select(F.col("id").alias(f"i{s}"), F.col("size").alias(f"size{s}"), *[F.get("sketch", F.lit(k)).alias(f"w{k}_{s}") for k in range(SKETCH // 64)])
+    heads = sorted_join(pairs.groupBy("b").agg(F.collect_set("a").alias("partners")), side("b"), F.col("b") == F.col("ib"))
+    met = heads.withColumn("a", F.explode("partners")).drop("partners", "ib")
+    return sorted_join(met, side("a"), (F.col("a") == F.col("ia")) & _able(threshold, most_apart)).select("a", "b")
+
+
 def prefix_length(size: int, threshold: float) -> int:
     """Tokens of a set of ``size`` of which one is shared with every set that has ``threshold`` of the larger in common."""
     return size - math.ceil(threshold * size - 1e-9) + 1
@@ -196,21 +233,19 @@ def prefix_pairs(apart: DataFrame, texts: DataFrame, tokens, threshold: float, m
     """
     spark = apart.sparkSession
     members = apart.groupBy("id").agg(F.min("own").alias("own"))
-    texts = stored(texts.join(members.select(F.col("id").alias("of")), F.col("id") == F.col("of"), "left_semi"), "texts")
+    texts = stored(sorted_join(texts, members.select(F.col("id").alias("of")), F.col("id") == F.col("of"), "left_semi"), "texts")
     counts = texts.mapInArrow(_slot_counts(tokens), "slot long, n long").groupBy("slot").agg(F.sum("n").alias("n")).toArrow()
     often = np.zeros(SLOTS, np.int64)
     often[counts["slot"].to_numpy()] = counts["n"].to_numpy()
     made = texts.select("id", "text").mapInArrow(_prefixes(tokens, threshold, spark.sparkContext.broadcast(often)), "pid binary, size int, sketch array<long>, prefix array<int>")
     words = [F.get("sketch", F.lit(k)).alias(f"w{k}") for k in range(SKETCH // 64)]
-    each = stored(members.join(made, F.col("id") == F.col("pid")).select("id", "own", "size", *words, "prefix"), "prefixes")
+    each = stored(sorted_join(members, made, F.col("id") == F.col("pid")).select("id", "own", "size", *words, "prefix"), "prefixes")
     live = each.select(F.posexplode("prefix").alias("at", "key"), "prefix", "id", "own", "size", *[f"w{k}" for k in range(SKETCH // 64)])
     live = live.select("key", F.slice("prefix", F.lit(1), F.col("at")).alias("before"), "id", "own", "size", *[f"w{k}" for k in range(SKETCH // 64)])
     names = ["key", "before", "id", "own", "size", *[f"w{k}_" for k in range(SKETCH // 64)]]
     left, right = live.toDF(*[f"{n}a" for n in names]), live.toDF(*[f"{n}b" for n in names])
-    bits = sum((F.bit_count(F.col(f"w{k}_a").bitwiseXOR(F.col(f"w{k}_b"))) for k in range(SKETCH // 64)), F.lit(0))
-    able = (F.least("sizea", "sizeb") >= F.lit(threshold) * F.greatest("sizea", "sizeb") - 1e-9) & (bits <= most_apart(F.col("sizea"), F.col("sizeb")) + 1e-9)
-    able = able & ~F.arrays_overlap("beforea", "beforeb")  # last: few pairs get so far
-    found = left.join(right, (F.col("keya") == F.col("keyb")) & (F.col("ida") < F.col("idb")) & (F.col("owna") != F.col("ownb")) & able)
+    able = _able(threshold, most_apart) & ~F.arrays_overlap("beforea", "beforeb")  # last: few pairs get so far
+    found = sorted_join(left, right, (F.col("keya") == F.col("keyb")) & (F.col("ida") < F.col("idb")) & (F.col("owna") != F.col("ownb")) & able)
     out = stored(found.select(F.col("ida").alias("a"), F.col("idb").alias("b")).distinct(), "pairs", heavy=True)
     dropped(each, texts)
     return out
@@ -297,7 +332,7 @@ def star(members: DataFrame) -> DataFrame:
     raw = stored(dealt.mapInArrow(_star_rows, "bucket long, centre binary, id binary"), "parts", heavy=True)
     ends = raw.where("id = centre").select("bucket", "id").distinct()
     low = ends.groupBy("bucket").agg(F.min("id").alias("centre"), F.count("*").alias("n")).where("n > 1").select(F.col("bucket").alias("of"), "centre")
-    between = ends.join(low, F.col("bucket") == F.col("of")).where("id <> centre").select("bucket", "centre", "id")
+    between = sorted_join(ends, low, F.col("bucket") == F.col("of")).where("id <> centre").select("bucket", "centre", "id")
     out = stored(raw.where("id <> centre").unionByName(between), "star")
     dropped(raw)
     return out
@@ -351,12 +386,12 @@ def ring(members: DataFrame, near_by: int, seed: int) -> DataFrame:
 def merged(labels: DataFrame, links: DataFrame) -> DataFrame:
     """``labels`` (node, root) after ``links`` (a, b) between nodes, which may be new."""
     name = labels.select(F.col("node").alias("of"), F.col("root").alias("label"))
-    work = links.join(name, F.col("a") == F.col("of"), "left").select("a", "b", F.coalesce("label", "a").alias("la"))
-    work = stored(work.join(name, F.col("b") == F.col("of"), "left").select("la", F.coalesce("label", "b").alias("lb")), "links")
+    work = sorted_join(links, name, F.col("a") == F.col("of"), "left").select("a", "b", F.coalesce("label", "a").alias("la"))
+    work = stored(sorted_join(work, name, F.col("b") == F.col("of"), "left").select("la", F.coalesce("label", "b").alias("lb")), "links")
     found = components(work.select(F.col("la").alias("a"), F.col("lb").alias("b")))
     top = found.select(F.col("node").alias("of"), F.col("root").alias("top"))
-    alone = found.join(labels.select(F.col("node").alias("of")), F.col("node") == F.col("of"), "left_anti")
-    out = stored(labels.join(top, F.col("root") == F.col("of"), "left").select("node", F.coalesce("top", "root").alias("root")).unionByName(alone), "labels")
+    alone = sorted_join(found, labels.select(F.col("node").alias("of")), F.col("node") == F.col("of"), "left_anti")
+    out = stored(sorted_join(labels, top, F.col("root") == F.col("of"), "left").select("node", F.coalesce("top", "root").alias("root")).unionByName(alone), "labels")
     dropped(work, labels, found)
     freed(labels.sparkSession)
     return out
@@ -387,27 +422,28 @@ def bucket_components(members: DataFrame, verify, threshold: float, texts, token
         dropped(rays, ids)
         return stored(ids.sparkSession.createDataFrame([], "node binary, root binary"), "components")
     met = stored(texts(ids), "met", heavy=True)
-    got = stored(verify(rays.select(F.col("centre").alias("a"), F.col("id").alias("b")).distinct(), met), "verified", heavy=True)
-    comp = components(got.where(F.col("sim") >= threshold).select("a", "b"))
-    bad = got.where(F.col("sim") < threshold).select("a", "b")
-    torn = rays.join(bad, (F.col("centre") == F.col("a")) & (F.col("id") == F.col("b")), "left_semi").select(F.col("bucket").alias("torn")).distinct()
-    rows = rays.join(torn, F.col("bucket") == F.col("torn"), "left_semi")
+    marks = stored(met.select("id", "text").mapInArrow(_marks(tokens), "id binary, size int, sketch array<long>"), "marks")
+    tested = stored(rays.select(F.col("centre").alias("a"), F.col("id").alias("b")).distinct(), "tested", heavy=True)
+    checked = lambda pairs: verify(able_pairs(pairs, marks, threshold, most_apart), met).where(F.col("sim") >= threshold).select("a", "b")
+    got = stored(checked(tested), "verified", heavy=True)
+    comp = components(got)
+    torn = sorted_join(rays, got, (F.col("centre") == F.col("a")) & (F.col("id") == F.col("b")), "left_anti").select(F.col("bucket").alias("torn")).distinct()
+    rows = sorted_join(rays, torn, F.col("bucket") == F.col("torn"), "left_semi")
     every = stored(rows.select("bucket", F.explode(F.array("centre", "id")).alias("id")).distinct(), "open")
     dropped(rays, ids)
-    tested, least, seed, last = got.select("a", "b"), 1, 0, False
+    least, seed, last = 1, 0, False
     while True:
         label = comp.select(F.col("node").alias("of"), F.col("root").alias("label"))
-        named = every.select("bucket", "id").join(label, F.col("id") == F.col("of"), "left").select("bucket", "id", F.coalesce("label", "id").alias("own"))
+        named = sorted_join(every.select("bucket", "id"), label, F.col("id") == F.col("of"), "left").select("bucket", "id", F.coalesce("label", "id").alias("own"))
         size = named.groupBy("bucket").agg(F.min("own").alias("lo"), F.max("own").alias("hi"), F.count("*").alias("n"))
         size = size.where((F.col("lo") != F.col("hi")) & (F.col("n") > least)).select(F.col("bucket").alias("of"), "n")
-        old, every = every, stored(named.join(size, F.col("bucket") == F.col("of")).select("bucket", "id", "own", "n"), "apart", heavy=True)
+        old, every = every, stored(sorted_join(named, size, F.col("bucket") == F.col("of")).select("bucket", "id", "own", "n"), "apart", heavy=True)
         dropped(old)
         if last or not (left := every.count()):
             break
-        pairs = ring(every, near_by, seed).join(tested, ["a", "b"], "left_anti")
-        more = stored(verify(pairs, met).where(F.col("sim") >= threshold), "verified")
+        more = stored(checked(sorted_join(ring(every, near_by, seed), tested, ["a", "b"], "left_anti")), "verified", heavy=True)
         if linked := more.count():
-            comp = merged(comp, more.select("a", "b"))
+            comp = merged(comp, more)
         dropped(more)
         seed, least = seed + 1, near_by + 1  # small buckets are done
         last = seed == rounds or linked * 50 < left
@@ -417,6 +453,6 @@ def bucket_components(members: DataFrame, verify, threshold: float, texts, token
         if not more.isEmpty():
             comp = merged(comp, more.select("a", "b"))
         dropped(pairs, more)
-    dropped(met, got, every)
+    dropped(met, marks, tested, got, every)
     freed(spark)
     return comp

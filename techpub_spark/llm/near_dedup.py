@@ -29,7 +29,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bucket_components, dropped, has_bit, stored, wanted_bits
+from .common import bucket_components, dropped, has_bit, sorted_join, stored, wanted_bits
 from .line_dedup import mix
 
 WORDS, SKETCHES, THRESHOLD, BLOCK = 5, 64, 0.8, 1 << 22
@@ -269,11 +269,11 @@ def document_classes(docs: DataFrame, threshold: float = THRESHOLD, sketches: in
 
     def texts(wanted: DataFrame) -> DataFrame:
         likely = keyed.select("id", "text").mapInArrow(_wanted_texts(wanted_bits(wanted)), "id binary, text string")
-        return likely.join(wanted, F.col("id") == F.col("of"), "left_semi").groupBy("id").agg(F.first("text").alias("text"))
+        return sorted_join(likely, wanted, F.col("id") == F.col("of"), "left_semi").groupBy("id").agg(F.first("text").alias("text"))
 
     def verify(pairs: DataFrame, met: DataFrame) -> DataFrame:
         left, right = met.toDF("ia", "ta"), met.toDF("ib", "tb")
-        both = pairs.join(left, F.col("a") == F.col("ia")).join(right, F.col("b") == F.col("ib")).select("a", "b", "ta", "tb")
+        both = sorted_join(sorted_join(pairs, left, F.col("a") == F.col("ia")), right, F.col("b") == F.col("ib")).select("a", "b", "ta", "tb")
         return both.mapInArrow(align, "a binary, b binary, sim double")
 
     members = stored(members, "members")  # dealt by ranges, so read twice
@@ -282,13 +282,13 @@ def document_classes(docs: DataFrame, threshold: float = THRESHOLD, sketches: in
     seen = stored(keyed.select("doc_id", "id"), "documents")
     rows = seen.groupBy("id", "doc_id").agg(F.count("*").alias("same"))
     first = rows.groupBy("id").agg(F.min(F.struct("doc_id", "id", "same")).alias("first"), F.sum("same").alias("n"))
-    multi = first.join(comp, F.col("id") == F.col("node"), "left").where("n > 1 or root is not null").select("id", F.coalesce("root", "id").alias("root"), "first", "n")
+    multi = sorted_join(first, comp, F.col("id") == F.col("node"), "left").where("n > 1 or root is not null").select("id", F.coalesce("root", "id").alias("root"), "first", "n")
     multi = stored(multi, "multi", heavy=True)
     dropped(comp)
     keeper = multi.groupBy("root").agg(F.min("first").alias("keeper"), F.sum("n").alias("class_rows")).withColumnRenamed("root", "r")
-    known = multi.join(keeper, F.col("root") == F.col("r")).select(F.col("id").alias("of"), "keeper", "class_rows")
+    known = sorted_join(multi, keeper, F.col("root") == F.col("r")).select(F.col("id").alias("of"), "keeper", "class_rows")
     alone = F.col("keeper").isNull()
-    return seen.join(known, F.col("id") == F.col("of"), "left").select(
+    return sorted_join(seen, known, F.col("id") == F.col("of"), "left").select(
         "doc_id", F.col("id").alias("digest"),
         F.when(alone, F.col("doc_id")).otherwise(F.col("keeper.doc_id")).alias("class_id"),
         F.coalesce("class_rows", F.lit(1)).alias("class_rows"),
@@ -303,6 +303,6 @@ def keep_one(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     names = [f"c{i}" for i in range(len(docs.columns))]
     doc, text = (names[docs.columns.index(c)] for c in ("doc_id", "text"))
     body = F.unhex(F.md5(F.coalesce(F.col(text), F.lit(""))))
-    out = docs.toDF(*names).join(kept, (body == F.col("__id")) & F.col(doc).eqNullSafe(F.col("__doc")))
+    out = sorted_join(docs.toDF(*names), kept, (body == F.col("__id")) & F.col(doc).eqNullSafe(F.col("__doc")))
     single, again = out.where("__same = 1"), out.where("__same > 1").dropDuplicates(["__doc", "__id"])  # repeated rows are rare
     return single.unionByName(again).select(*[F.col(n).alias(c) for n, c in zip(names, docs.columns, strict=True)])

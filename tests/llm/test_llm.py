@@ -469,3 +469,33 @@ def test_leaks_have_the_least_distance():
             if want[0] <= len(text.split()) // 5 and (not got or min(m[4] for m in got) != want[0]):
                 wrong.append((i, want, got))
     assert not wrong and exact > 20
+
+
+def test_classes_join_without_a_broadcast(spark):
+    """What a join of classes reads grows with the documents, so no side of it may be built in the driver."""
+    docs = spark.createDataFrame([(i, f"one two three four five six seven w{i // 2}") for i in range(8)], "doc_id long, text string")
+    for made in (near_dedup.document_classes(docs), near_dedup.keep_one(docs), line_dedup.line_classes(docs)):
+        assert "Broadcast" not in made._jdf.queryExecution().executedPlan().toString()
+
+
+def test_hopeless_pairs_are_not_aligned(spark):
+    """Pairs that sizes and parity sketches rule out get no texts; the others all do."""
+    rng = random.Random(5)
+    base = prose(60, rng).split()
+    bodies = [" ".join(base[:-k] + [f"x{k}y{j}" for j in range(k)]) for k in range(1, 40)]
+    ids = [hashlib.md5(t.encode()).digest() for t in bodies]
+    by_id = dict(zip(ids, bodies))
+    texts = spark.createDataFrame(list(zip(ids, bodies)), "id binary, text string")
+    asked = set()
+
+    def verify(pairs, met):
+        rows = [(bytes(r.a), bytes(r.b)) for r in pairs.collect()]
+        asked.update(rows)
+        return spark.createDataFrame([(a, b, near_dedup.similarity(by_id[a], by_id[b], 0.8)) for a, b in rows], "a binary, b binary, sim double")
+
+    members = texts.select(F.lit(1).cast("long").alias("bucket"), "id")
+    bucket_components(members, verify, 0.8, lambda w: texts.join(w, F.col("id") == F.col("of"), "left_semi"), near_dedup.word_tokens, lambda x, y: x + y - 1.6 * F.greatest(x, y)).unpersist()
+    centre = min(ids)
+    links = {i for i in ids if i != centre and near_dedup.similarity(by_id[centre], by_id[i], 0.8) >= 0.8}
+    assert links <= {b for a, b in asked if a == centre}
+    assert any(i != centre and (centre, i) not in asked for i in ids)
