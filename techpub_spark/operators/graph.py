@@ -13,6 +13,10 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
+#: Rows that a task of a search takes on average.
+TASK_ROWS = 1 << 19
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Cut lineage by a reliable checkpoint in the shared folder; only a local session may do without one."""
     sc = df.sparkSession.sparkContext
@@ -28,18 +32,23 @@ def impact(edges: DataFrame, targets: DataFrame, depth: int, cap: int = 1000) ->
     """Who depends on each target, by reverse breadth-first search: target, dmc, hops, truncated.
 
     ``targets``: one column ``target``.  A node is reported at its smallest hop, the target itself never;
-    at most ``cap`` rows a target in the order (hops, dmc), with a flag if there were more.
+    at most ``cap`` rows a target in the order (hops, dmc), with a flag if there were more.  So no more than
+    ``cap`` + 1 of them are kept, nor is a target followed further that has them: later hops only come after.
     """
-    back = edges.select(F.col("dst").alias("to"), F.col("src").alias("dmc")).distinct()
+    back = cut(edges.select(F.col("dst").alias("to"), F.col("src").alias("dmc")).distinct())
+    degree = back.groupBy("to").agg(F.count("*").alias("n"))
     seen = cut(targets.select("target", F.col("target").alias("dmc"), F.lit(0).alias("hops")).distinct())
-    front = seen
+    w = Window.partitionBy("target").orderBy("hops", "dmc")
     for hop in range(1, depth + 1):
-        step = front.select("target", F.col("dmc").alias("to")).join(back, "to").select("target", "dmc").distinct()
-        front = cut(step.join(seen, ["target", "dmc"], "left_anti").withColumn("hops", F.lit(hop)))
-        if front.isEmpty():
+        full = seen.groupBy("target").agg(F.count("*").alias("n")).where(F.col("n") > cap + 1).select("target")
+        front = seen.where(F.col("hops") == hop - 1).join(full, "target", "left_anti").select("target", F.col("dmc").alias("to"))
+        rows = front.join(degree, "to").agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+        if not rows:
             break
-        seen = seen.unionByName(front)
-    w = Window.partitionBy("target").orderBy("hops", "dmc")
+        step = front.join(back, "to").select("target", "dmc", F.lit(hop).alias("hops"))
+        every = seen.unionByName(step).repartition(-(-rows // TASK_ROWS) + 1, "target")  # many small tasks, each with whole targets
+        least = every.groupBy("target", "dmc").agg(F.min("hops").alias("hops"))
+        seen = cut(least.withColumn("rn", F.row_number().over(w)).where(F.col("rn") <= cap + 2).drop("rn"))
     n = seen.where("hops > 0").withColumn("rn", F.row_number().over(w))
     more = n.where(F.col("rn") == cap + 1).select("target", F.lit(True).alias("truncated"))
     return n.where(F.col("rn") <= cap).join(more, "target", "left").select("target", "dmc", "hops", F.coalesce("truncated", F.lit(False)).alias("truncated"))
