@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from bisect import bisect_left, bisect_right
+from itertools import accumulate
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -11,34 +15,29 @@ from .validation import references
 SIZE, OVERLAP = 800, 100
 
 
+def packed(text: str, size: int, overlap: int) -> list[str]:
+    """Windows of a squeezed text, each found by two searches in the places of its words."""
+    words = [w[i : i + size] for w in text.split(" ") if w for i in range(0, len(w), size)]
+    ends = list(accumulate((len(w) + 1 for w in words), initial=0))  # a word's first place is the end of the one before
+    joined, out, first, last = " ".join(words), [], 0, 0
+    while last < len(words):
+        last = bisect_right(ends, ends[first] + size + 1, last + 1) - 1
+        out.append(joined[ends[first] : ends[last] - 1])
+        if last < len(words):
+            room = min(overlap, size - len(words[last]) - 1)
+            first = min(bisect_left(ends, ends[last] - 1 - room, first), last)
+    return out
+
+
 def windows(text: Column, size: int = SIZE, overlap: int = OVERLAP) -> Column:
     """Windows of whole words: greedy packing to ``size`` characters; the next window starts with the trailing
     words of the last that total at most ``overlap``.  A word longer than a window is cut."""
-    words = F.filter(F.flatten(F.transform(F.split(squeeze(text), " "), lambda w: F.when(F.char_length(w) <= size, F.array(w)).otherwise(F.regexp_extract_all(w, F.lit("(?s).{1," + str(size) + "}"), F.lit(0))))), lambda w: w != "")
-    none = F.array().cast("array<string>")
-    start = F.struct(none.alias("out"), none.alias("cur"), F.lit(0).alias("n"))
-
-    def tail(cur: Column, room: Column) -> Column:
-        """Longest run of trailing words that fits the overlap and leaves ``room``."""
-        t0 = F.struct(none.alias("kept"), F.lit(0).alias("n"), F.lit(True).alias("open"))
-
-        def back(a: Column, w: Column) -> Column:
-            n = a["n"] + F.char_length(w) + F.when(a["n"] > 0, 1).otherwise(0)
-            fits = a["open"] & (n <= overlap) & (n + 1 <= room)
-            return F.struct(F.when(fits, F.array_prepend(a["kept"], w)).otherwise(a["kept"]).alias("kept"), F.when(fits, n).otherwise(a["n"]).alias("n"), fits.alias("open"))
-
-        return F.aggregate(F.reverse(cur), t0, back)
 
-    def add(a: Column, w: Column) -> Column:
-        n = a["n"] + F.char_length(w) + F.when(a["n"] > 0, 1).otherwise(0)
-        t = tail(a["cur"], F.lit(size) - F.char_length(w))
-        full = F.struct(
-            F.array_append(a["out"], F.array_join(a["cur"], " ")).alias("out"), F.array_append(t["kept"], w).alias("cur"),
-            (t["n"] + F.char_length(w) + F.when(t["n"] > 0, 1).otherwise(0)).alias("n"),
-        )
-        return F.when(n <= size, F.struct(a["out"].alias("out"), F.array_append(a["cur"], w).alias("cur"), n.alias("n"))).otherwise(full)
+    def run(texts: pa.Array) -> pa.Array:
+        return pa.array([None if t is None else packed(t, size, overlap) for t in (x.as_py() for x in texts)], pa.list_(pa.string()))
 
-    return F.aggregate(words, start, add, lambda a: F.when(F.size(a["cur"]) > 0, F.array_append(a["out"], F.array_join(a["cur"], " "))).otherwise(a["out"]))
+    run.__annotations__ = {"texts": pa.Array, "return": pa.Array}  # types, not their names
+    return F.arrow_udf(run, "array<string>")(squeeze(text))
 
 
 def recursive_chunks(dms: DataFrame, size: int = SIZE, overlap: int = OVERLAP) -> DataFrame:
