@@ -219,3 +219,13 @@ def test_evaluation_vectors(spark):
     passed = evaluation.figure_case_passed(*[F.col(c) for c in "eracypfz"])
     assert [r.x for r in cases.orderBy("i").select(passed.alias("x")).collect()] == [True, True, True, False]
     assert sorted(r.shard for r in evaluation.shards(spark.range(5), 3, "id").collect()) == [0, 0, 1, 1, 2]
+
+
+def test_embedding_counts_words_once(spark, monkeypatch):
+    """A text's places are computed once, not once for each of its 64 counts."""
+    from techpub_spark.plans import retrieval
+
+    rows = spark.createDataFrame([("a b a",), ("",), (None,), (" ".join(["w"] * 30000),)], "t string").select("t", retrieval._hashed(F.col("t")).alias("e"))
+    got = {r.t: r.e for r in rows.collect()}
+    assert sorted(x for x in got["a b a"] if x) in ([1.0, 2.0], [3.0]) and sum(got[""]) == sum(got[None]) == 0 and max(got[" ".join(["w"] * 30000)]) == 30000
+    assert all(len(e) == 64 for e in got.values()) and "sequence" not in rows._jdf.queryExecution().optimizedPlan().toString()
