@@ -14,10 +14,13 @@ HYPHEN_TOKEN = r"\b[A-Z0-9]+(?:-[A-Z0-9]+)+\b"
 NEGATIONS = (r"\bnot\b", r"\bno\b", r"n['’]t\b", r"\bnever\b", r"\binstead\b", r"\brather than\b", r"\bisn\b", r"\bwrong\b")
 
 
+#: A word that nothing is joined to; a joined run with a digit, whole, looked for at the start of a run only; another word.
+TOKEN = r"[A-Za-z]++(?![-/_0-9])|(?<![A-Za-z0-9][-/_])(?:[A-Za-z]++(?:[-/_][A-Za-z]++)*+[-/_]?)?[0-9][A-Za-z0-9]*+(?:[-/_][A-Za-z0-9]++)*+|[A-Za-z]++"
+
+
 def tokenize(text: Column) -> Column:
     """Lower-case ASCII words; a joined run (``-``, ``/``, ``_``) with a digit stays one token, others are split."""
-    runs = F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(r"[A-Za-z0-9]+(?:[-/_][A-Za-z0-9]+)*"), F.lit(0))
-    return F.flatten(F.transform(runs, lambda r: F.when(r.rlike("[-/_]") & r.rlike("[0-9]"), F.array(F.lower(r))).otherwise(F.split(F.lower(r), "[-/_]"))))
+    return F.transform(F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(TOKEN), F.lit(0)), F.lower)
 
 
 def squeeze(text: Column) -> Column:
