@@ -10,6 +10,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -82,9 +83,10 @@ def let(value: Column, body) -> Column:
 
 
 def _is_stars(edges: DataFrame) -> bool:
-    """Every node points at one root, and no root points anywhere."""
-    many = edges.groupBy("a").agg(F.count("*").alias("n")).where("n > 1").select("a")
-    return many.unionByName(sorted_join(edges.select(F.col("b").alias("a")), edges.select("a"), "a", "left_semi")).isEmpty()
+    """Every node points at one root, and no root points anywhere: one aggregate."""
+    ends = edges.select(F.col("a").alias("node"), F.lit(1).alias("up"), F.lit(0).alias("down")).union(edges.select("b", F.lit(0), F.lit(1)))
+    odd = ends.groupBy("node").agg(F.sum("up").alias("up"), F.max("down").alias("down")).where("up > 1 or (up = 1 and down = 1)")
+    return odd.count() == 0
 
 
 def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
@@ -93,8 +95,9 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     ``edges``: columns ``a`` and ``b`` of one orderable type; loops and nulls are dropped, direction and
     repeats do not matter.  Returns ``node``, ``root`` (the smallest node of its component) for every
     node that has an edge; an empty input gives an empty table.  Each round is one job of distributed
-    joins and aggregates written to the shared folder; nothing is collected but one checksum row, and a
-    node with very many neighbours is only ever the key of a minimum or of a splittable join.
+    joins and aggregates written to the shared folder; it ends once the edges are stars.  Nothing is
+    collected but one count, and a node with very many neighbours is only ever the key of a minimum or of
+    a splittable join.
     """
     cur = stored(
         edges.where("a is not null and b is not null and a <> b")
@@ -102,24 +105,19 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
         .distinct(),
         "edges",
     )
-    before = None
     for _ in range(max_rounds):
-        if before is None and _is_stars(cur):
+        if _is_stars(cur):
             break
         # large star: every larger neighbour points at the smallest of the neighbourhood
         both = cur.union(cur.select(F.col("b"), F.col("a"))).toDF("u", "v")
         low = both.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("lu"), F.least("u", "m").alias("m"))
-        large = sorted_join(both, low, F.col("u") == F.col("lu")).where("v > u").select(F.col("v").alias("a"), F.col("m").alias("b")).distinct()
+        large = sorted_join(both, low, F.col("u") == F.col("lu")).where("v > u").select(F.col("v").alias("a"), F.col("m").alias("b"))  # no more rows than edges
         # small star: smaller neighbours and the node itself point at the smallest one
         low = large.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("lu"), "m")
         joined = sorted_join(large, low, F.col("a") == F.col("lu"))
-        small = joined.select(F.col("b").alias("a"), F.col("m").alias("b")).union(joined.select("a", F.col("m").alias("b"))).where("a <> b").distinct()
+        small = joined.select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").union(low).distinct()
         cur, old = stored(small, "edges", heavy=True), cur
         dropped(old)
-        now = cur.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
-        if tuple(now) == before:
-            break
-        before = tuple(now)
     else:
         raise RuntimeError("components did not settle")
     out = stored(cur.select(F.col("a").alias("node"), F.col("b").alias("root")).union(cur.select(F.col("b"), F.col("b")).distinct()), "components")
@@ -131,12 +129,20 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
 SLOTS = 1 << 18
 
 
+def _token_sets(tokens, texts: pa.Array) -> Iterator[np.ndarray]:
+    """The tokens of each text; ``tokens.many``, if there is one, makes those of a list of texts at once."""
+    many = getattr(tokens, "many", None)
+    for at in range(0, len(texts), 256):
+        some = texts.slice(at, 256).to_pylist()
+        yield from many(some) if many else map(tokens, some)
+
+
 def _slot_counts(tokens):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(SLOTS, np.int64)
         for batch in batches:
-            for text in batch.column("text").to_pylist():
-                np.add.at(total, (_images(tokens(text)) % np.uint32(SLOTS)).astype(np.int64), 1)
+            for t in _token_sets(tokens, batch.column("text")):
+                np.add.at(total, (_images(t) % np.uint32(SLOTS)).astype(np.int64), 1)
         at = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], names=["slot", "n"])
 
@@ -147,8 +153,7 @@ def _marks(tokens):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             sizes, sketches = [], []
-            for text in batch.column("text").to_pylist():
-                t = tokens(text)
+            for t in _token_sets(tokens, batch.column("text")):
                 sizes.append(len(t))
                 sketches.append(parity_sketch(t))
             yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(sizes, pa.int32()), pa.array(sketches, pa.list_(pa.int64()))], names=["id", "size", "sketch"])
@@ -201,8 +206,7 @@ def _prefixes(tokens, threshold: float, often: Broadcast):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             sizes, sketches, lists = [], [], []
-            for text in batch.column("text").to_pylist():
-                t = tokens(text)
+            for t in _token_sets(tokens, batch.column("text")):
                 x = _images(t)
                 x = x[np.lexsort((x, often.value[x % np.uint32(SLOTS)]))].view(np.int32)
                 sizes.append(len(t))
@@ -214,6 +218,36 @@ def _prefixes(tokens, threshold: float, often: Broadcast):
     return run
 
 
+def _key_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    table = np.zeros(BITS // 8, np.uint8)
+    for batch in batches:
+        at = _key_places(batch.column(0).to_numpy())
+        np.bitwise_or.at(table, at >> 3, np.uint8(1) << (at & 7).astype(np.uint8))
+    yield _full_words(table)
+
+
+def _key_places(keys: np.ndarray) -> np.ndarray:
+    return (keys.view(np.uint32) % np.uint32(BITS)).astype(np.int64)
+
+
+def _shared_prefixes(table: Broadcast):
+    """Prefixes without the tokens that the table does not have, and the places of the others."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            prefix = batch.column("prefix")
+            ends, keys = prefix.offsets.to_numpy().astype(np.int64), prefix.values.to_numpy()
+            keys, ends = keys[ends[0] : ends[-1]], ends - ends[0]
+            at = _key_places(keys)
+            keep = (table.value[at >> 3] >> (at & 7).astype(np.uint8) & 1).astype(bool)
+            place = np.arange(len(keys)) - np.repeat(ends[:-1], np.diff(ends))
+            cut = pa.array(np.concatenate([[0], np.cumsum(keep)])[ends].astype(np.int32))
+            lists = [pa.ListArray.from_arrays(cut, pa.array(x[keep].astype(np.int32))) for x in (keys, place)]
+            yield pa.RecordBatch.from_arrays([batch.column(c) for c in ("id", "own", "size", "sketch")] + lists, names=["id", "own", "size", "sketch", "prefix", "places"])
+
+    return run
+
+
 def prefix_pairs(apart: DataFrame, texts: DataFrame, tokens, threshold: float, most_apart) -> DataFrame:
     """Pairs (a, b) of different components that can reach ``threshold``; none that can is left out.
 
@@ -226,7 +260,9 @@ def prefix_pairs(apart: DataFrame, texts: DataFrame, tokens, threshold: float, m
     members have in common stands at the end and joins nothing.  Of the pairs that meet, those are made
     whose parity sketches differ in no more bits than the sets may differ in tokens: a test of a few
     integers that rejects nearly all pairs under the threshold and none above it.  A pair is made at the
-    first token that its prefixes share, so that the join gives it once.
+    first token that its prefixes share, so that the join gives it once; the tokens before it have no
+    part in what the two share, so a pair that meets too late is not made either.  Tokens that one
+    member alone has in its prefix are not joined (``shared``: a table of bits of fixed size).
 
     Prefix tokens are compared by 32-bit images.  Where two tokens of one text have one image, a prefix of
     the same length still holds a shared image; so images and the table cost speed, not pairs.
@@ -239,15 +275,22 @@ def prefix_pairs(apart: DataFrame, texts: DataFrame, tokens, threshold: float, m
     often[counts["slot"].to_numpy()] = counts["n"].to_numpy()
     made = texts.select("id", "text").mapInArrow(_prefixes(tokens, threshold, spark.sparkContext.broadcast(often)), "pid binary, size int, sketch array<long>, prefix array<int>")
     words = [F.get("sketch", F.lit(k)).alias(f"w{k}") for k in range(SKETCH // 64)]
-    each = stored(sorted_join(members, made, F.col("id") == F.col("pid")).select("id", "own", "size", *words, "prefix"), "prefixes")
-    live = each.select(F.posexplode("prefix").alias("at", "key"), "prefix", "id", "own", "size", *[f"w{k}" for k in range(SKETCH // 64)])
-    live = live.select("key", F.slice("prefix", F.lit(1), F.col("at")).alias("before"), "id", "own", "size", *[f"w{k}" for k in range(SKETCH // 64)])
-    names = ["key", "before", "id", "own", "size", *[f"w{k}_" for k in range(SKETCH // 64)]]
+    each = stored(sorted_join(members, made, F.col("id") == F.col("pid")).select("id", "own", "size", "sketch", "prefix"), "prefixes")
+    shared = _joined_bits(each.select(F.explode("prefix").alias("key")).groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key").mapInArrow(_key_words, "word long, bits long"))
+    kept = stored(each.mapInArrow(_shared_prefixes(shared), "id binary, own binary, size int, sketch array<long>, prefix array<int>, places array<int>"), "shared", heavy=True)
+    words = [F.get("sketch", F.lit(k)).alias(f"w{k}") for k in range(SKETCH // 64)]
+    live = kept.select(F.posexplode("prefix").alias("nth", "key"), "prefix", "places", "id", "own", "size", *words)
+    live = live.select("key", F.get("places", F.col("nth")).alias("at"), F.slice("prefix", F.lit(1), F.col("nth")).alias("before"), "id", "own", "size", *[f"w{k}" for k in range(SKETCH // 64)])
+    names = ["key", "at", "before", "id", "own", "size", *[f"w{k}_" for k in range(SKETCH // 64)]]
     left, right = live.toDF(*[f"{n}a" for n in names]), live.toDF(*[f"{n}b" for n in names])
-    able = _able(threshold, most_apart) & ~F.arrays_overlap("beforea", "beforeb")  # last: few pairs get so far
-    found = sorted_join(left, right, (F.col("keya") == F.col("keyb")) & (F.col("ida") < F.col("idb")) & (F.col("owna") != F.col("ownb")) & able)
+    least = lambda x, y: (F.col(x) + F.col(y) - most_apart(F.col(x), F.col(y))) / 2 - 1e-9  # tokens that a linked pair has in common
+    left = left.where(F.col("sizea") - F.col("ata") >= least("sizea", "sizea"))  # a is the smaller one
+    early = F.least(F.col("sizea") - F.col("ata"), F.col("sizeb") - F.col("atb")) >= least("sizea", "sizeb")
+    order = (F.col("sizea") < F.col("sizeb")) | ((F.col("sizea") == F.col("sizeb")) & (F.col("ida") < F.col("idb")))
+    able = order & early & _able(threshold, most_apart) & (F.col("owna") != F.col("ownb")) & ~F.arrays_overlap("beforea", "beforeb")  # last: few pairs get so far
+    found = sorted_join(left, right, (F.col("keya") == F.col("keyb")) & able).select(F.least("ida", "idb").alias("ida"), F.greatest("ida", "idb").alias("idb"))
     out = stored(found.select(F.col("ida").alias("a"), F.col("idb").alias("b")).distinct(), "pairs", heavy=True)
-    dropped(each, texts)
+    dropped(each, kept, texts)
     return out
 
 
@@ -274,9 +317,13 @@ def _bit_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         at = _places(batch.column(0))
         np.bitwise_or.at(table, at >> 3, np.uint8(1) << (at & 7).astype(np.uint8))
+    yield _full_words(table)
+
+
+def _full_words(table: np.ndarray) -> pa.RecordBatch:
     words = table.view(np.int64)
     full = np.flatnonzero(words)
-    yield pa.RecordBatch.from_arrays([pa.array(full), pa.array(words[full])], names=["word", "bits"])
+    return pa.RecordBatch.from_arrays([pa.array(full), pa.array(words[full])], names=["word", "bits"])
 
 
 def wanted_bits(ids: DataFrame) -> Broadcast:
@@ -284,10 +331,15 @@ def wanted_bits(ids: DataFrame) -> Broadcast:
 
     It lets a scan drop most rows that no id asks for before they are shuffled; an exact join follows it.
     """
-    words = ids.mapInArrow(_bit_words, "word long, bits long").groupBy("word").agg(F.bit_or("bits").alias("bits")).toArrow()
+    return _joined_bits(ids.mapInArrow(_bit_words, "word long, bits long"))
+
+
+def _joined_bits(words: DataFrame) -> Broadcast:
+    """The table of bits that the parts (word, bits) make together."""
+    found = words.groupBy("word").agg(F.bit_or("bits").alias("bits")).toArrow()
     table = np.zeros(BITS // 64, np.int64)
-    table[words["word"].to_numpy()] = words["bits"].to_numpy()
-    return ids.sparkSession.sparkContext.broadcast(table.view(np.uint8))
+    table[found["word"].to_numpy()] = found["bits"].to_numpy()
+    return words.sparkSession.sparkContext.broadcast(table.view(np.uint8))
 
 
 def has_bit(table: np.ndarray, ids: pa.Array) -> np.ndarray:
@@ -295,47 +347,105 @@ def has_bit(table: np.ndarray, ids: pa.Array) -> np.ndarray:
     return (table[at >> 3] >> (at & 7).astype(np.uint8) & 1).astype(bool)
 
 
-def _star_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (bucket, id) in order to (bucket, centre, id), the centre being the first id of the bucket here.
+#: Ranges of buckets that members are dealt by (a power of two), and members that are combined at once before.
+RANGES, COMBINED = 4096, 1 << 20
+
 
-    The centres of the first and the last bucket also come as (bucket, centre, centre): such a bucket
-    may go on in another partition.
+def _stars(members: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Members (bucket, id's two halves) to the centre of each bucket, in order, and rays (bucket, centre, id).
+
+    The centre is the smallest id; every different other id has a ray.
     """
-    names, kept = ["bucket", "centre", "id"], None
+    members = members[np.argsort(members[:, 0], kind="stable")]
+    new = np.ones(len(members), bool)
+    new[1:] = members[1:, 0] != members[:-1, 0]
+    several = ~new | ~np.append(new[1:], True)
+    part = members[several]
+    if not len(part):
+        return members, np.zeros((0, 5), np.uint64)
+    high, low = part[:, 1].byteswap(), part[:, 2].byteswap()  # bytes in order
+    part = part[np.lexsort((low, high, part[:, 0]))]
+    first = np.ones(len(part), bool)
+    first[1:] = part[1:, 0] != part[:-1, 0]
+    again = np.zeros(len(part), bool)
+    again[1:] = (part[1:] == part[:-1]).all(axis=1)
+    centre = part[np.maximum.accumulate(np.where(first, np.arange(len(part)), 0))]
+    ray = ~first & ~again
+    rays = np.concatenate([centre[ray], part[ray, 1:]], axis=1)
+    members[several] = centre
+    return members[new], rays
+
+
+def _packed(parts: np.ndarray, rows: np.ndarray, kind: int) -> pa.RecordBatch:
+    """Rows in runs of one part each to a blob a run."""
+    at = np.flatnonzero(np.append(True, parts[1:] != parts[:-1]))
+    offsets = np.append(at, len(rows)) * rows.shape[1] * 8
+    blobs = pa.Array.from_buffers(pa.binary(), len(at), [None, pa.py_buffer(offsets.astype(np.int32)), pa.py_buffer(np.ascontiguousarray(rows))])
+    return pa.RecordBatch.from_arrays([pa.array(parts[at].astype(np.int32)), pa.array(np.full(len(at), kind, np.int32)), blobs], names=["part", "kind", "rows"])
+
+
+def _combined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(id, buckets) to blobs: the rays of what meets here already (kind 0), and one member of each bucket (kind 1)."""
+    held, size = [], 0
+
+    def out():
+        centres, rays = _stars(np.concatenate(held))
+        yield _packed((centres[:, 0] >> np.uint64(64 - RANGES.bit_length() + 1)).astype(np.int64), centres, 1)
+        if len(rays):  # dealt anyhow: a large bucket's rays are not for one task
+            yield _packed((np.arange(len(rays)) // 4096 + int(rays[0, 2] % np.uint64(RANGES))) % RANGES, rays, 0)
+
+    for batch in batches:
+        for at in range(0, batch.num_rows, 4096):
+            some = batch.slice(at, 4096)
+            lists = some.column("buckets")
+            n = pc.fill_null(pc.list_value_length(lists), 0).to_numpy()
+            rows = np.empty((int(n.sum()), 3), np.uint64)
+            rows[:, 0] = lists.flatten().to_numpy().view(np.uint64)
+            rows[:, 1:] = np.repeat(_halves(some.column("id")), n, axis=0)
+            held.append(rows)
+            size += len(rows)
+            if size >= COMBINED:
+                yield from out()
+                held, size = [], 0
+    if size:
+        yield from out()
+
+
+def _ray_rows(rays: np.ndarray) -> pa.RecordBatch:
+    ids = [pa.Array.from_buffers(pa.binary(), len(rays), [None, pa.py_buffer(np.arange(0, 16 * len(rays) + 1, 16, dtype=np.int32)), pa.py_buffer(np.ascontiguousarray(rays[:, k : k + 2]))]) for k in (1, 3)]
+    return pa.RecordBatch.from_arrays([pa.array(rays[:, 0].copy().view(np.int64)), *ids], names=["bucket", "centre", "id"])
+
+
+def _star_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Blobs in order of part to rows (bucket, centre, id): the rays in them, and those between the members left of a bucket."""
+    part, held = None, []
     for batch in batches:
-        if not batch.num_rows:
-            continue
-        bucket, ids = batch.column(0).to_numpy(), batch.column(1)
-        if kept is None:
-            kept = (bucket[0], ids[0].as_py(), ids[0].as_py())
-            yield pa.RecordBatch.from_arrays([batch.column(0)[:1], ids[:1], ids[:1]], names=names)
-        every = pa.concat_arrays([pa.array([kept[1], kept[2]], pa.binary()), ids])  # centre so far, last id, then this batch
-        new = np.concatenate([[bucket[0] != kept[0]], bucket[1:] != bucket[:-1]])
-        half = _halves(every)
-        again = (half[2:] == half[1:-1]).all(axis=1)
-        since = np.maximum.accumulate(np.where(new, np.arange(len(new)) + 2, 0))
-        out = np.flatnonzero(~new & ~again)
-        if len(out):
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(out)), every.take(pa.array(since[out])), ids.take(pa.array(out))], names=names)
-        kept = (bucket[-1], every[int(since[-1])].as_py(), ids[-1].as_py())
-    if kept is not None:
-        yield pa.RecordBatch.from_arrays([pa.array([kept[0]], pa.int64()), pa.array([kept[1]], pa.binary()), pa.array([kept[1]], pa.binary())], names=names)
+        parts, kinds = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+        for k, blob in enumerate(batch.column(2)):
+            rows = np.frombuffer(blob.as_buffer(), np.uint64)
+            if kinds[k] == 0:
+                yield _ray_rows(rows.reshape(-1, 5))
+                continue
+            if parts[k] != part and held:
+                yield _ray_rows(_stars(np.concatenate(held))[1])
+                held = []
+            part = parts[k]
+            held.append(rows.reshape(-1, 3))
+    if held:
+        yield _ray_rows(_stars(np.concatenate(held))[1])
 
 
 def star(members: DataFrame) -> DataFrame:
-    """(bucket, centre, id): every different id of a bucket but one, with an id of the bucket to compare it with.
+    """(bucket, centre, id): every different id of a bucket but one, with a smaller id of the bucket to compare it with.
 
-    Rows are dealt by ranges of (bucket, id), so that a bucket of any size spreads over as many tasks as
-    its rows need; each part has its own centre, and the centres of the parts are compared with the smallest.
+    ``members``: ``id`` and ``bucket`` or an array ``buckets``.  Each task makes the rays of what it has
+    and sends one member of each bucket on, packed by ranges of buckets.  So what a bucket of any size
+    sends grows with the blocks of ``COMBINED`` members, not with the bucket; its centres are compared with the smallest.
     """
-    dealt = members.repartitionByRange("bucket", "id").sortWithinPartitions("bucket", "id")
-    raw = stored(dealt.mapInArrow(_star_rows, "bucket long, centre binary, id binary"), "parts", heavy=True)
-    ends = raw.where("id = centre").select("bucket", "id").distinct()
-    low = ends.groupBy("bucket").agg(F.min("id").alias("centre"), F.count("*").alias("n")).where("n > 1").select(F.col("bucket").alias("of"), "centre")
-    between = sorted_join(ends, low, F.col("bucket") == F.col("of")).where("id <> centre").select("bucket", "centre", "id")
-    out = stored(raw.where("id <> centre").unionByName(between), "star")
-    dropped(raw)
-    return out
+    lists = members.select("id", F.array("bucket").alias("buckets")) if "bucket" in members.columns else members.select("id", "buckets")
+    dealt = lists.mapInArrow(_combined, "part int, kind int, rows binary").repartition("part").sortWithinPartitions("part")
+    raw = dealt.mapInArrow(_star_rows, "bucket long, centre binary, id binary")
+    return stored(raw.groupBy("bucket", "id").agg(F.min("centre").alias("centre")).select("bucket", "centre", "id"), "star", heavy=True)
 
 
 def _neighbours(near_by: int):
@@ -400,14 +510,14 @@ def merged(labels: DataFrame, links: DataFrame) -> DataFrame:
 def bucket_components(members: DataFrame, verify, threshold: float, texts, tokens, most_apart, near_by: int = 6, rounds: int = 4) -> DataFrame:
     """Components (``node``, ``root``) of all verified links within buckets, without all pairs.
 
-    ``members``: ``bucket`` (long) and ``id`` (16 bytes); ``verify`` maps distinct pairs (a, b) and a table of
+    ``members``: ``id`` (16 bytes) and ``bucket`` (long) or an array ``buckets``; ``verify`` maps distinct pairs (a, b) and a table of
     texts (``id``, ``text``) to (a, b, sim); ``texts`` maps a table of ids (``of``) to ``id``, ``text`` and is
     called once, with all that met another; ``tokens`` and ``most_apart`` as for ``prefix_pairs``.
 
     1. Each member is compared with one centre of its bucket: a star, linear in the bucket.
     2. In buckets that are still in several components, members are compared with the ``near_by`` next
        ones of other components in a random order, up to ``rounds`` times, as long as that links one in
-       50: linear too.  A bucket of at most ``near_by`` + 1 members is compared whole by the first round,
+       20: linear too.  A bucket of at most ``near_by`` + 1 members is compared whole by the first round,
        and is done.
     3. In larger buckets that are still apart, an exact prefix join finds every pair of different
        components that can still link.
@@ -416,7 +526,7 @@ def bucket_components(members: DataFrame, verify, threshold: float, texts, token
     The tables made on the way are deleted; the result is a stored table.
     """
     spark, rays = members.sparkSession, star(members)
-    ids = rays.select(F.explode(F.array("centre", "id")).alias("of")).distinct()
+    ids = rays.select(F.col("id").alias("of")).union(rays.select("centre")).distinct()
     ids = stored(ids, "ids")
     if ids.isEmpty():
         dropped(rays, ids)
@@ -429,7 +539,7 @@ def bucket_components(members: DataFrame, verify, threshold: float, texts, token
     comp = components(got)
     torn = sorted_join(rays, got, (F.col("centre") == F.col("a")) & (F.col("id") == F.col("b")), "left_anti").select(F.col("bucket").alias("torn")).distinct()
     rows = sorted_join(rays, torn, F.col("bucket") == F.col("torn"), "left_semi")
-    every = stored(rows.select("bucket", F.explode(F.array("centre", "id")).alias("id")).distinct(), "open")
+    every = stored(rows.select("bucket", "id").union(rows.select("bucket", "centre").distinct()).distinct(), "open")
     dropped(rays, ids)
     least, seed, last = 1, 0, False
     while True:
@@ -446,7 +556,7 @@ def bucket_components(members: DataFrame, verify, threshold: float, texts, token
             comp = merged(comp, more)
         dropped(more)
         seed, least = seed + 1, near_by + 1  # small buckets are done
-        last = seed == rounds or linked * 50 < left
+        last = seed == rounds or linked * 20 < left
     if left and not every.isEmpty():
         pairs = prefix_pairs(every, met, tokens, threshold, most_apart)
         more = stored(verify(pairs, met).where(F.col("sim") >= threshold), "verified")

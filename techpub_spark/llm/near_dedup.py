@@ -276,9 +276,7 @@ def document_classes(docs: DataFrame, threshold: float = THRESHOLD, sketches: in
         both = sorted_join(sorted_join(pairs, left, F.col("a") == F.col("ia")), right, F.col("b") == F.col("ib")).select("a", "b", "ta", "tb")
         return both.mapInArrow(align, "a binary, b binary, sim double")
 
-    members = stored(members, "members")  # dealt by ranges, so read twice
-    comp = bucket_components(members.select(F.explode("buckets").alias("bucket"), "id"), verify, threshold, texts, word_tokens, lambda x, y: x + y - 2 * threshold * F.greatest(x, y))
-    dropped(members)
+    comp = bucket_components(members, verify, threshold, texts, word_tokens, lambda x, y: x + y - 2 * threshold * F.greatest(x, y))
     seen = stored(keyed.select("doc_id", "id"), "documents")
     rows = seen.groupBy("id", "doc_id").agg(F.count("*").alias("same"))
     first = rows.groupBy("id").agg(F.min(F.struct("doc_id", "id", "same")).alias("first"), F.sum("same").alias("n"))
