@@ -448,49 +448,122 @@ def star(members: DataFrame) -> DataFrame:
     return stored(raw.groupBy("bucket", "id").agg(F.min("centre").alias("centre")).select("bucket", "centre", "id"), "star", heavy=True)
 
 
-def _neighbours(near_by: int):
-    """Rows (bucket, part, id, own) in order to pairs (a, b) at most ``near_by`` apart in a part, of different ``own``."""
+#: Members of a bucket that meet each other; larger buckets are split at random.  Buckets that are compared by shifts, rows of a tile.
+PART, SMALL, TILE = 4096, 8, 64
+
+
+def _tiles(own: np.ndarray, size: np.ndarray, sketch: np.ndarray, threshold: float, bound) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Places (i, j) in a group in order of size, i < j, of different ``own`` that can link, and the bits that differ, by tiles."""
+    half = sketch.shape[1] // 2
+    for at in range(0, len(size), TILE):
+        rows = np.arange(at, min(at + TILE, len(size)))
+        cols = np.arange(at, np.searchsorted(size, (size[rows[-1]] + 1e-9) / threshold, "right"))
+        use = (own[rows][:, None] != own[cols]) & (rows[:, None] < cols) & (size[rows][:, None] >= threshold * size[cols] - 1e-9)
+        if 4 * np.count_nonzero(use) > use.size:
+            bits = np.zeros(use.shape, np.int32)
+            for w in range(half):
+                bits += np.bitwise_count(sketch[rows, w][:, None] ^ sketch[cols, w])
+            use &= bits <= bound(size[rows][:, None], size[cols]) + 1e-9
+        i, j = np.nonzero(use)
+        i, j = rows[i], cols[j]
+        bits = np.bitwise_count(sketch[i] ^ sketch[j]).sum(axis=1, dtype=np.int64)
+        use = bits <= bound(size[i], size[j]) + 1e-9
+        if use.any():
+            yield i[use], j[use], bits[use]
+
+
+def _first_of_each(i: np.ndarray, by: np.ndarray, n: int) -> np.ndarray:
+    """Places of the ``n`` smallest by ``by`` of each i."""
+    order = np.lexsort((by, i))
+    run = i[order]
+    new = np.append(True, run[1:] != run[:-1])
+    since = np.arange(len(run)) - np.maximum.accumulate(np.where(new, np.arange(len(run)), 0))
+    return order[since < n]
+
+
+def _near(threshold: float, bound, near_by: int, whole: bool):
+    """Rows (bucket, part, n, id, own, size, sketch) in order of bucket and part to the pairs (a, b) of a part that can link.
+
+    If they are more than ``near_by`` a member, and not ``whole``, each member gives its first and its nearest
+    ones among those at least as large.  What is linked whole is joined by that; the bucket is named in a row
+    of its own, as one to come back to.  So are buckets of several parts.
+    """
+
+    def group(own, size, sketch, order):
+        m, full, some = len(size), [], []
+        by_size = np.argsort(size, kind="stable")
+        own, size, sketch, order = own[by_size], size[by_size], sketch[by_size], order[by_size]
+        most = None if whole else near_by * m
+        for i, j, bits in _tiles(own, size, sketch, threshold, bound):
+            if most is not None:
+                some.append(np.stack([i, j], 1)[np.unique(np.append(_first_of_each(i, order[j], (near_by + 1) // 2), _first_of_each(i, bits, near_by // 2)))])
+                most -= len(i)
+            if most is None or most >= 0:
+                full.append(np.stack([i, j], 1))
+        cut = most is not None and most < 0
+        got = some if cut else full
+        return by_size[np.concatenate(got)] if got else np.zeros((0, 2), np.int64), cut
+
+    def pairs(table: pa.Table) -> Iterator[pa.RecordBatch]:
+        table = table.combine_chunks()
+        bucket, part, n, size = (table[c].to_numpy() for c in ("bucket", "part", "n", "size"))
+        ids, halves = table["id"].chunk(0), _halves(table["id"].chunk(0))
+        own = np.unique(_halves(table["own"].chunk(0)), axis=0, return_inverse=True)[1].ravel()
+        size, sketch = size.astype(np.int64), table["sketch"].chunk(0).flatten().to_numpy().view(np.uint64).reshape(len(size), -1)
+        new = np.append(True, (bucket[1:] != bucket[:-1]) | (part[1:] != part[:-1]))
+        starts = np.append(np.flatnonzero(new), len(bucket))
+        run, count = np.cumsum(new), np.repeat(np.diff(starts), np.diff(starts))
+        found, again = [], [bucket[n > PART]] if not whole else []
+        for k in range(1, SMALL):
+            i = np.arange(len(bucket) - k)
+            i = i[(run[i] == run[i + k]) & (count[i] <= SMALL)]
+            j = i + k
+            use = (own[i] != own[j]) & (np.minimum(size[i], size[j]) >= threshold * np.maximum(size[i], size[j]) - 1e-9)
+            i, j = i[use], j[use]
+            use = np.bitwise_count(sketch[i] ^ sketch[j]).sum(axis=1, dtype=np.int64) <= bound(size[i], size[j]) + 1e-9
+            found.append(np.stack([i[use], j[use]], 1))
+        for a, b in zip(starts[:-1].tolist(), starts[1:].tolist(), strict=True):
+            if b - a > SMALL:
+                order = np.empty(b - a, np.int64)
+                order[np.lexsort((halves[a:b, 1], halves[a:b, 0]))] = np.arange(b - a)
+                got, cut = group(own[a:b], size[a:b], sketch[a:b], order)
+                found.append(got + a)
+                if cut:
+                    again.append(bucket[a : a + 1])
+        both, left = np.concatenate(found), np.unique(np.concatenate(again)) if again else np.zeros(0, np.int64)
+        none = [pa.nulls(len(left), pa.binary())] * 2
+        a, b = (pa.concat_arrays([ids.take(pa.array(both[:, k])), none[k]]) for k in (0, 1))
+        yield pa.RecordBatch.from_arrays([a, b, pa.concat_arrays([pa.nulls(len(both), pa.int64()), pa.array(left, pa.int64())])], names=["a", "b", "bucket"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tail = None
         for batch in batches:
             table = pa.Table.from_batches([batch])
-            old = 0 if tail is None else tail.num_rows
-            table = (table if tail is None else pa.concat_tables([tail, table])).combine_chunks()
+            table = table if tail is None else pa.concat_tables([tail, table])
             if not table.num_rows:
                 continue
             bucket, part = table["bucket"].to_numpy(), table["part"].to_numpy()
-            ids, own = table["id"].chunk(0), _halves(table["own"].chunk(0))
-            left, right = [], []
-            for k in range(1, near_by + 1):
-                j = np.arange(max(k, old), len(bucket))
-                i = j - k
-                use = (bucket[i] == bucket[j]) & (part[i] == part[j]) & (own[i] != own[j]).any(axis=1)
-                left.append(i[use])
-                right.append(j[use])
-            i, j = np.concatenate(left), np.concatenate(right)
-            if len(i):
-                yield pa.RecordBatch.from_arrays([ids.take(pa.array(i)), ids.take(pa.array(j))], names=["a", "b"])
-            tail = table.slice(max(0, table.num_rows - near_by))
+            at = int(np.flatnonzero((bucket == bucket[-1]) & (part == part[-1]))[0])  # the last group may go on
+            if at:
+                yield from pairs(table.slice(0, at))
+            tail = table.slice(at)
+        if tail is not None:
+            yield from pairs(tail)
 
     return run
 
 
-#: Members of a bucket that are put in one random order: larger buckets are split at random.
-PART = 4096
-
+def near_pairs(members: DataFrame, marks: DataFrame, threshold: float, bound, near_by: int, seed: int, whole: bool) -> DataFrame:
+    """Pairs (a, b) of members of a part of a bucket, of different components, that can link; see ``_near``.
 
-def ring(members: DataFrame, near_by: int, seed: int) -> DataFrame:
-    """Pairs (a, b) of members near each other in a random order of their bucket, of different components.
-
-    ``members``: ``bucket``, ``id``, ``own``, ``n`` (members of the bucket).  One order for all buckets, so
-    that neighbours repeat in the buckets that two members share.
+    ``members``: ``bucket``, ``id``, ``own``, ``n`` (members of the bucket).  A bucket of at most ``PART`` is one part, a
+    larger one is split at random, so a member meets a bounded number of others, by its size and sketch alone.
     """
-    h = F.xxhash64("id", F.lit(seed))
-    work = members.select("bucket", F.pmod(h, F.ceil(F.col("n") / PART)).alias("part"), "id", "own", h.alias("h"))
-    work = work.repartition("bucket", "part").sortWithinPartitions("bucket", "part", "h", "id").select("bucket", "part", "id", "own")
-    pairs = work.mapInArrow(_neighbours(near_by), "a binary, b binary")
-    return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    part = F.pmod(F.xxhash64("id", F.lit(seed)), F.ceil(F.col("n") / PART))
+    work = sorted_join(members, marks.select(F.col("id").alias("of"), "size", "sketch"), F.col("id") == F.col("of"))
+    work = work.select("bucket", part.alias("part"), "n", "id", "own", "size", "sketch")
+    work = work.repartition("bucket", "part").sortWithinPartitions("bucket", "part")
+    return work.mapInArrow(_near(threshold, bound, near_by, whole), "a binary, b binary, bucket long")
 
 
 def merged(labels: DataFrame, links: DataFrame) -> DataFrame:
@@ -507,25 +580,27 @@ def merged(labels: DataFrame, links: DataFrame) -> DataFrame:
     return out
 
 
-def bucket_components(members: DataFrame, verify, threshold: float, texts, tokens, most_apart, near_by: int = 6, rounds: int = 4) -> DataFrame:
+def bucket_components(members: DataFrame, verify, threshold: float, texts, tokens, most_apart, near_by: int = 6, rounds: int = 4, bound=None) -> DataFrame:
     """Components (``node``, ``root``) of all verified links within buckets, without all pairs.
 
     ``members``: ``id`` (16 bytes) and ``bucket`` (long) or an array ``buckets``; ``verify`` maps distinct pairs (a, b) and a table of
     texts (``id``, ``text``) to (a, b, sim); ``texts`` maps a table of ids (``of``) to ``id``, ``text`` and is
-    called once, with all that met another; ``tokens`` and ``most_apart`` as for ``prefix_pairs``.
+    called once, with all that met another; ``tokens`` and ``most_apart`` as for ``prefix_pairs``; ``bound`` is
+    ``most_apart`` for numpy arrays (if there is none, what ``threshold`` of the larger set in common implies).
 
     1. Each member is compared with one centre of its bucket: a star, linear in the bucket.
-    2. In buckets that are still in several components, members are compared with the ``near_by`` next
-       ones of other components in a random order, up to ``rounds`` times, as long as that links one in
-       20: linear too.  A bucket of at most ``near_by`` + 1 members is compared whole by the first round,
-       and is done.
-    3. In larger buckets that are still apart, an exact prefix join finds every pair of different
-       components that can still link.
+    2. In buckets that are still in several components, the sizes and parity sketches of members of
+       different components are compared, within parts of about ``PART`` members: linear too.  The pairs that can
+       link are verified, all of them where they are at most ``near_by`` a member, else that many, up to
+       ``rounds`` times, as long as that links one in 20, and then all.
+    3. For buckets of more than ``PART`` members that are still apart, an exact prefix join finds every
+       pair of different components that can still link.
 
     Members of one component need no more comparison, so no link that would change a component is lost.
     The tables made on the way are deleted; the result is a stored table.
     """
     spark, rays = members.sparkSession, star(members)
+    bound = bound or (lambda x, y: x + y - 2 * threshold * np.maximum(x, y))
     ids = rays.select(F.col("id").alias("of")).union(rays.select("centre")).distinct()
     ids = stored(ids, "ids")
     if ids.isEmpty():
@@ -534,35 +609,49 @@ def bucket_components(members: DataFrame, verify, threshold: float, texts, token
     met = stored(texts(ids), "met", heavy=True)
     marks = stored(met.select("id", "text").mapInArrow(_marks(tokens), "id binary, size int, sketch array<long>"), "marks")
     tested = stored(rays.select(F.col("centre").alias("a"), F.col("id").alias("b")).distinct(), "tested", heavy=True)
-    checked = lambda pairs: verify(able_pairs(pairs, marks, threshold, most_apart), met).where(F.col("sim") >= threshold).select("a", "b")
-    got = stored(checked(tested), "verified", heavy=True)
+    linking = lambda pairs: verify(pairs, met).where(F.col("sim") >= threshold).select("a", "b")
+    got = stored(linking(able_pairs(tested, marks, threshold, most_apart)), "verified", heavy=True)
     comp = components(got)
-    torn = sorted_join(rays, got, (F.col("centre") == F.col("a")) & (F.col("id") == F.col("b")), "left_anti").select(F.col("bucket").alias("torn")).distinct()
-    rows = sorted_join(rays, torn, F.col("bucket") == F.col("torn"), "left_semi")
-    every = stored(rows.select("bucket", "id").union(rows.select("bucket", "centre").distinct()).distinct(), "open")
-    dropped(rays, ids)
-    least, seed, last = 1, 0, False
+    label = lambda s: comp.select(F.col("node").alias(f"of{s}"), F.col("root").alias(f"label{s}"))
+    named = sorted_join(sorted_join(tested, label("a"), F.col("a") == F.col("ofa"), "left"), label("b"), F.col("b") == F.col("ofb"), "left")
+    cut = named.where(F.coalesce("labela", "a") != F.coalesce("labelb", "b")).select("a", "b")  # a bucket's rays join all of it
+    torn = sorted_join(rays, cut, (F.col("centre") == F.col("a")) & (F.col("id") == F.col("b")), "left_semi").select(F.col("bucket").alias("torn")).distinct()
+    rows = stored(sorted_join(rays, torn, F.col("bucket") == F.col("torn"), "left_semi").select("bucket", "centre", "id"), "open", heavy=True)
+    every = rows.select("bucket", "id").union(rows.select("bucket", "centre").distinct()).distinct()
+    dropped(rays, ids, got)
+    old, seed, whole, used = rows, 0, False, [met, marks, tested]
     while True:
-        label = comp.select(F.col("node").alias("of"), F.col("root").alias("label"))
-        named = sorted_join(every.select("bucket", "id"), label, F.col("id") == F.col("of"), "left").select("bucket", "id", F.coalesce("label", "id").alias("own"))
+        named = sorted_join(every, label(""), F.col("id") == F.col("of"), "left").select("bucket", "id", F.coalesce("label", "id").alias("own"))
         size = named.groupBy("bucket").agg(F.min("own").alias("lo"), F.max("own").alias("hi"), F.count("*").alias("n"))
-        size = size.where((F.col("lo") != F.col("hi")) & (F.col("n") > least)).select(F.col("bucket").alias("of"), "n")
-        old, every = every, stored(sorted_join(named, size, F.col("bucket") == F.col("of")).select("bucket", "id", "own", "n"), "apart", heavy=True)
+        size = size.where(F.col("lo") != F.col("hi")).select(F.col("bucket").alias("of"), "n")
+        apart = stored(sorted_join(named, size, F.col("bucket") == F.col("of")).select("bucket", "id", "own", "n"), "apart", heavy=True)
         dropped(old)
-        if last or not (left := every.count()):
+        old = apart
+        if not (left := apart.count()):
             break
-        more = stored(checked(sorted_join(ring(every, near_by, seed), tested, ["a", "b"], "left_anti")), "verified", heavy=True)
+        found = stored(near_pairs(apart.where(F.col("n") <= PART) if whole else apart, marks, threshold, bound, near_by, seed, whole), "near", heavy=True)
+        used.append(found)
+        pairs = found.where("a is not null").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+        pairs = stored(sorted_join(pairs, tested, ["a", "b"], "left_anti"), "pairs")
+        more = stored(linking(pairs), "verified", heavy=True)
         if linked := more.count():
             comp = merged(comp, more)
-        dropped(more)
-        seed, least = seed + 1, near_by + 1  # small buckets are done
-        last = seed == rounds or linked * 20 < left
-    if left and not every.isEmpty():
-        pairs = prefix_pairs(every, met, tokens, threshold, most_apart)
-        more = stored(verify(pairs, met).where(F.col("sim") >= threshold), "verified")
-        if not more.isEmpty():
-            comp = merged(comp, more.select("a", "b"))
-        dropped(pairs, more)
-    dropped(met, marks, tested, got, every)
+        used += [pairs, more]
+        if whole:
+            large = apart.where(F.col("n") > PART)
+            if not large.isEmpty():
+                pairs = prefix_pairs(large, met, tokens, threshold, most_apart)
+                more = stored(linking(pairs), "verified")
+                if not more.isEmpty():
+                    comp = merged(comp, more)
+                used += [pairs, more]
+            break
+        again = found.where("bucket is not null").select(F.col("bucket").alias("again")).distinct()
+        if again.isEmpty():
+            break
+        every = sorted_join(apart.select("bucket", "id"), again, F.col("bucket") == F.col("again"), "left_semi")
+        tested, seed = tested.union(pairs), seed + 1
+        whole = seed == rounds or linked * 20 < left
+    dropped(old, *used)
     freed(spark)
     return comp
