@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import fresh_path
+from .common import dropped, fresh_path, stored
 
 EOL = "\r\n"
 
@@ -195,11 +195,14 @@ def round_trip(spark: SparkSession, pages: DataFrame) -> DataFrame:
     path = fresh_path(spark, "warc")
     write_archives(pages, path)
     id_type = pages.schema["page_id"].dataType.simpleString()
-    got = assemble(read_records(spark, path)).select(
+    records = stored(read_records(spark, path), "records")  # the archives are parsed once
+    got = assemble(records).select(
         F.expr(f"try_cast(nullif(element_at(metadata, 1).fields['page_id'], '') as {id_type})").alias("page_id"),
         F.col("response.payload_bytes").alias("payload_bytes"), F.col("response.payload_digest").alias("payload_digest"),
         F.col("response.type").alias("record_type"), F.col("response.record_id").alias("record_id"), F.col("response.refers_to").alias("ref"),
     )
+    got = stored(got, "captures", heavy=True)
+    dropped(records)
     again = got.where("record_type = 'revisit'")
     target = got.where("record_type = 'response'").select(F.col("record_id").alias("target_id"), F.col("page_id").alias("refers_to")).dropDuplicates(["target_id"])
     cols = ["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"]
