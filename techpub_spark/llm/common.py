@@ -580,7 +580,7 @@ def merged(labels: DataFrame, links: DataFrame) -> DataFrame:
     return out
 
 
-def bucket_components(members: DataFrame, verify, threshold: float, texts, tokens, most_apart, near_by: int = 6, rounds: int = 4, bound=None) -> DataFrame:
+def bucket_components(members: DataFrame, verify, threshold: float, texts, tokens, most_apart, near_by: int = 2, rounds: int = 4, bound=None) -> DataFrame:
     """Components (``node``, ``root``) of all verified links within buckets, without all pairs.
 
     ``members``: ``id`` (16 bytes) and ``bucket`` (long) or an array ``buckets``; ``verify`` maps distinct pairs (a, b) and a table of
@@ -592,9 +592,9 @@ def bucket_components(members: DataFrame, verify, threshold: float, texts, token
     2. In buckets that are still in several components, the sizes and parity sketches of members of
        different components are compared, within parts of about ``PART`` members: linear too.  The pairs that can
        link are verified, all of them where they are at most ``near_by`` a member, else that many, up to
-       ``rounds`` times, as long as that links one in 20, and then all.
-    3. For buckets of more than ``PART`` members that are still apart, an exact prefix join finds every
-       pair of different components that can still link.
+       ``rounds`` times, as long as that links one in 20.
+    3. For buckets with more pairs than that, or of more than ``PART`` members, that are still apart, an exact
+       prefix join finds every pair of different components that can still link, and makes it once.
 
     Members of one component need no more comparison, so no link that would change a component is lost.
     The tables made on the way are deleted; the result is a stored table.
@@ -629,7 +629,14 @@ def bucket_components(members: DataFrame, verify, threshold: float, texts, token
         old = apart
         if not (left := apart.count()):
             break
-        found = stored(near_pairs(apart.where(F.col("n") <= PART) if whole else apart, marks, threshold, bound, near_by, seed, whole), "near", heavy=True)
+        if whole:
+            pairs = prefix_pairs(apart, met, tokens, threshold, most_apart)
+            more = stored(linking(sorted_join(pairs, tested, ["a", "b"], "left_anti")), "verified", heavy=True)
+            if not more.isEmpty():
+                comp = merged(comp, more)
+            used += [pairs, more]
+            break
+        found = stored(near_pairs(apart, marks, threshold, bound, near_by, seed, False), "near", heavy=True)
         used.append(found)
         pairs = found.where("a is not null").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
         pairs = stored(sorted_join(pairs, tested, ["a", "b"], "left_anti"), "pairs")
@@ -637,15 +644,6 @@ def bucket_components(members: DataFrame, verify, threshold: float, texts, token
         if linked := more.count():
             comp = merged(comp, more)
         used += [pairs, more]
-        if whole:
-            large = apart.where(F.col("n") > PART)
-            if not large.isEmpty():
-                pairs = prefix_pairs(large, met, tokens, threshold, most_apart)
-                more = stored(linking(pairs), "verified")
-                if not more.isEmpty():
-                    comp = merged(comp, more)
-                used += [pairs, more]
-            break
         again = found.where("bucket is not null").select(F.col("bucket").alias("again")).distinct()
         if again.isEmpty():
             break

@@ -111,6 +111,6 @@ def test_large_buckets_lose_no_link(spark, monkeypatch):
     for part, joins in ((4096, 0), (16, 1)):
         monkeypatch.setattr(common, "PART", part)
         asked.clear()
-        comp = common.bucket_components(members, verify, 0.8, lambda w: table.join(w, F.col("id") == F.col("of"), "left_semi"), near_dedup.word_tokens, lambda x, y: x + y - 1.6 * F.greatest(x, y))
+        comp = common.bucket_components(members, verify, 0.8, lambda w: table.join(w, F.col("id") == F.col("of"), "left_semi"), near_dedup.word_tokens, lambda x, y: x + y - 1.6 * F.greatest(x, y), near_by=6)
         got = {bytes(r.node): bytes(r.root) for r in comp.collect()}
         assert {i: got.get(i, i) for i in ids} == {i: find(i) for i in ids} and len(asked) == joins
