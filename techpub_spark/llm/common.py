@@ -435,15 +435,17 @@ def _star_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield _ray_rows(_stars(np.concatenate(held))[1])
 
 
-def star(members: DataFrame) -> DataFrame:
+def star(members: DataFrame, rows=None) -> DataFrame:
     """(bucket, centre, id): every different id of a bucket but one, with a smaller id of the bucket to compare it with.
 
-    ``members``: ``id`` and ``bucket`` or an array ``buckets``.  Each task makes the rays of what it has
+    ``members``: ``id`` and ``bucket`` or an array ``buckets``, or what ``rows`` makes those from, batch by batch:
+    in the same Python worker, as a step of its own would take a second one a task.  Each task makes the rays of what it has
     and sends one member of each bucket on, packed by ranges of buckets.  So what a bucket of any size
     sends grows with the blocks of ``COMBINED`` members, not with the bucket; its centres are compared with the smallest.
     """
-    lists = members.select("id", F.array("bucket").alias("buckets")) if "bucket" in members.columns else members.select("id", "buckets")
-    dealt = lists.mapInArrow(_combined, "part int, kind int, rows binary").repartition("part").sortWithinPartitions("part")
+    lists = members.select("id", F.array("bucket").alias("buckets")) if "bucket" in members.columns else members
+    combine = _combined if rows is None else lambda batches: _combined(rows(batches))
+    dealt = lists.mapInArrow(combine, "part int, kind int, rows binary").repartition("part").sortWithinPartitions("part")
     raw = dealt.mapInArrow(_star_rows, "bucket long, centre binary, id binary")
     return stored(raw.groupBy("bucket", "id").agg(F.min("centre").alias("centre")).select("bucket", "centre", "id"), "star", heavy=True)
 
@@ -580,10 +582,10 @@ def merged(labels: DataFrame, links: DataFrame) -> DataFrame:
     return out
 
 
-def bucket_components(members: DataFrame, verify, threshold: float, texts, tokens, most_apart, near_by: int = 2, rounds: int = 4, bound=None) -> DataFrame:
+def bucket_components(members: DataFrame, verify, threshold: float, texts, tokens, most_apart, near_by: int = 2, rounds: int = 4, bound=None, rows=None) -> DataFrame:
     """Components (``node``, ``root``) of all verified links within buckets, without all pairs.
 
-    ``members``: ``id`` (16 bytes) and ``bucket`` (long) or an array ``buckets``; ``verify`` maps distinct pairs (a, b) and a table of
+    ``members``: ``id`` (16 bytes) and ``bucket`` (long) or an array ``buckets``, or see ``star`` for ``rows``; ``verify`` maps distinct pairs (a, b) and a table of
     texts (``id``, ``text``) to (a, b, sim); ``texts`` maps a table of ids (``of``) to ``id``, ``text`` and is
     called once, with all that met another; ``tokens`` and ``most_apart`` as for ``prefix_pairs``; ``bound`` is
     ``most_apart`` for numpy arrays (if there is none, what ``threshold`` of the larger set in common implies).
@@ -599,7 +601,7 @@ def bucket_components(members: DataFrame, verify, threshold: float, texts, token
     Members of one component need no more comparison, so no link that would change a component is lost.
     The tables made on the way are deleted; the result is a stored table.
     """
-    spark, rays = members.sparkSession, star(members)
+    spark, rays = members.sparkSession, star(members, rows)
     bound = bound or (lambda x, y: x + y - 2 * threshold * np.maximum(x, y))
     ids = rays.select(F.col("id").alias("of")).union(rays.select("centre")).distinct()
     ids = stored(ids, "ids")
@@ -616,10 +618,10 @@ def bucket_components(members: DataFrame, verify, threshold: float, texts, token
     named = sorted_join(sorted_join(tested, label("a"), F.col("a") == F.col("ofa"), "left"), label("b"), F.col("b") == F.col("ofb"), "left")
     cut = named.where(F.coalesce("labela", "a") != F.coalesce("labelb", "b")).select("a", "b")  # a bucket's rays join all of it
     torn = sorted_join(rays, cut, (F.col("centre") == F.col("a")) & (F.col("id") == F.col("b")), "left_semi").select(F.col("bucket").alias("torn")).distinct()
-    rows = stored(sorted_join(rays, torn, F.col("bucket") == F.col("torn"), "left_semi").select("bucket", "centre", "id"), "open", heavy=True)
-    every = rows.select("bucket", "id").union(rows.select("bucket", "centre").distinct()).distinct()
+    opened = stored(sorted_join(rays, torn, F.col("bucket") == F.col("torn"), "left_semi").select("bucket", "centre", "id"), "open", heavy=True)
+    every = opened.select("bucket", "id").union(opened.select("bucket", "centre").distinct()).distinct()
     dropped(rays, ids, got)
-    old, seed, whole, used = rows, 0, False, [met, marks, tested]
+    old, seed, whole, used = opened, 0, False, [met, marks, tested]
     while True:
         named = sorted_join(every, label(""), F.col("id") == F.col("of"), "left").select("bucket", "id", F.coalesce("label", "id").alias("own"))
         size = named.groupBy("bucket").agg(F.min("own").alias("lo"), F.max("own").alias("hi"), F.count("*").alias("n"))

@@ -257,7 +257,7 @@ def _wanted_texts(table):
 def document_classes(docs: DataFrame, threshold: float = THRESHOLD, sketches: int = SKETCHES) -> DataFrame:
     """One row per row of ``docs``: doc_id, digest, class_id (the doc_id that stays), class_rows, kept, same."""
     keyed = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).withColumn("id", F.unhex(F.md5("text")))
-    members = keyed.select("id", F.col("text").cast("binary").alias("text")).mapInArrow(_sketch_rows(sketches), "id binary, buckets array<long>")
+    members = keyed.select("id", F.col("text").cast("binary").alias("text"))
 
     def align(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -276,7 +276,7 @@ def document_classes(docs: DataFrame, threshold: float = THRESHOLD, sketches: in
         both = sorted_join(sorted_join(pairs, left, F.col("a") == F.col("ia")), right, F.col("b") == F.col("ib")).select("a", "b", "ta", "tb")
         return both.mapInArrow(align, "a binary, b binary, sim double")
 
-    comp = bucket_components(members, verify, threshold, texts, word_tokens, lambda x, y: x + y - 2 * threshold * F.greatest(x, y))
+    comp = bucket_components(members, verify, threshold, texts, word_tokens, lambda x, y: x + y - 2 * threshold * F.greatest(x, y), rows=_sketch_rows(sketches))
     seen = stored(keyed.select("doc_id", "id"), "documents")
     rows = seen.groupBy("id", "doc_id").agg(F.count("*").alias("same"))
     first = rows.groupBy("id").agg(F.min(F.struct("doc_id", "id", "same")).alias("first"), F.sum("same").alias("n"))

@@ -53,16 +53,17 @@ class WordEncoder:
 
     The tokenizer lowers case and its splitter never joins characters across white space, nor a letter
     with a stop, so the ids of a text are those of its lower-case words in order; the tests hold this
-    against whole-text encoding.  The cache is bounded.
+    against whole-text encoding.  Python workers outlive their tasks and take turns, so each keeps its cache
+    while other steps run: it holds the last ``most`` to 2 * ``most`` distinct words, whatever the input.
     """
 
-    def __init__(self, path: str, most: int = 1_000_000):
+    def __init__(self, path: str, most: int = 1 << 17):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark's tasks are the parallelism
         from tokenizers import Tokenizer
 
         self.tok = Tokenizer.from_file(path)
         self.tok.encode_special_tokens = True
-        self.most, self.seen = most, {}
+        self.most, self.seen, self.before = most, {}, {}
 
     def words(self, text: str) -> list[str]:
         if ODD.search(text) or not unicodedata.is_normalized("NFC", text):
@@ -70,21 +71,25 @@ class WordEncoder:
         return STOP.sub(r" \1", text.lower()).split()
 
     def learn(self, words: set[str]) -> None:
-        new = [w for w in words if w not in self.seen]
-        if len(self.seen) + len(new) > self.most:
-            self.seen.clear()
-            new = list(words)
+        """Ids of the words, into the cache; those that had to make room before come from there, and stay."""
+        missing = [w for w in words if w not in self.seen]
+        if len(self.seen) + len(missing) > self.most:
+            self.seen, self.before = {}, self.seen
+            missing = list(words)
+        known = {w: ids for w in missing if (ids := self.before.get(w)) is not None}
+        self.seen.update(known)
+        new = [w for w in missing if w not in known]
         for i in range(0, len(new), 4096):
             part = new[i : i + 4096]
             for w, e in zip(part, self.tok.encode_batch_fast(part, add_special_tokens=False), strict=True):
                 self.seen[w] = array("I", e.ids).tobytes()
 
     def encode(self, text: str) -> bytes:
-        words, seen = self.words(text), self.seen
-        got = list(map(seen.get, words))
+        words = self.words(text)
+        got = list(map(self.seen.get, words))
         if None in got:
             self.learn(set(words))
-            got = list(map(seen.get, words))
+            got = list(map(self.seen.get, words))
         return b"".join(got)
 
 
