@@ -76,7 +76,10 @@ def link(queries: DataFrame, dmcs: DataFrame, parts: DataFrame, phrases: DataFra
 def graph_arm(discovered: DataFrame, chunks: DataFrame, k: int) -> DataFrame:
     """Chunks of discovered modules in discovery order: query_id, rank, id, hop, direction.
 
-    ``discovered``: query_id, pos, dmc, hop, direction; within a module chunks go by source_path.
+    ``discovered``: query_id, pos, dmc, hop, direction; within a module chunks go by source_path, and only its
+    first ``k`` meet the queries.
     """
     w = Window.partitionBy("query_id").orderBy("pos", "source_path", "chunk_id")
-    return discovered.join(chunks.select("dmc", "chunk_id", "source_path"), "dmc").withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select("query_id", "rank", F.col("chunk_id").alias("id"), "hop", "direction")
+    own = Window.partitionBy("dmc").orderBy("source_path", "chunk_id")
+    first = chunks.select("dmc", "chunk_id", "source_path", F.row_number().over(own).alias("rn")).where(F.col("rn") <= k).drop("rn")
+    return discovered.join(first, "dmc").withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select("query_id", "rank", F.col("chunk_id").alias("id"), "hop", "direction")

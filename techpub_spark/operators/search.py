@@ -19,6 +19,8 @@ from . import chunking, entity, fusion, governance, graph, lexical, metrics, pat
 #: The modes of a search.
 MODES = ("bm25", "dense", "hybrid", "hybrid-rerank", "hybrid-graph", "hybrid-graph-rerank")
 OVERLAP, LEAST_SHARED = 0.6, 2
+#: Ids that are sent to all tasks at most.
+MOST_SENT = 1 << 19
 
 
 def _fail(df: DataFrame, bad: Column, message: Column) -> DataFrame:
@@ -36,9 +38,10 @@ def discover(links: DataFrame, edges: DataFrame, depth: int = 2, fan_out: int =
     """(query_id, pos, dmc, hop, direction): linked modules, then their neighbours, outgoing before incoming.
 
     Per query the first discovery wins; a module passes on at most ``fan_out`` new neighbours a hop and way.
+    What a pass finds is stored, as all later ones read it.
     """
     first = links.select("query_id", "place", F.explode("dmcs").alias("dmc")).groupBy("query_id", "dmc").agg(F.min("place").alias("via"))
-    seen = first.select("query_id", "dmc", F.lit(0).alias("hop"), F.lit("seed").alias("direction"), F.col("via").cast("string").alias("via"))
+    seen = graph.cut(first.select("query_id", "dmc", F.lit(0).alias("hop"), F.lit("seed").alias("direction"), F.col("via").cast("string").alias("via")))
     front = seen
     ways = (("out", edges.select(F.col("src").alias("s"), F.col("dst").alias("n"))), ("in", edges.select(F.col("dst").alias("s"), F.col("src").alias("n"))))
     for hop in range(1, depth + 1):
@@ -47,7 +50,7 @@ def discover(links: DataFrame, edges: DataFrame, depth: int = 2, fan_out: int =
             step = front.select("query_id", F.col("dmc").alias("s")).distinct().join(way.distinct(), "s")
             step = step.join(seen.select("query_id", F.col("dmc").alias("n")), ["query_id", "n"], "left_anti")
             few = step.withColumn("rn", F.row_number().over(Window.partitionBy("query_id", "s").orderBy("n"))).where(F.col("rn") <= fan_out)
-            found = few.groupBy("query_id", "n").agg(F.min("s").alias("via")).select("query_id", F.col("n").alias("dmc"), F.lit(hop).alias("hop"), F.lit(name).alias("direction"), "via")
+            found = graph.cut(few.groupBy("query_id", "n").agg(F.min("s").alias("via")).select("query_id", F.col("n").alias("dmc"), F.lit(hop).alias("hop"), F.lit(name).alias("direction"), "via"))
             seen = seen.unionByName(found)
             new.append(found)
         front = new[0].unionByName(new[1])
@@ -201,17 +204,23 @@ def run_eval(golden: DataFrame, nodes: DataFrame, dms: DataFrame, strategies: di
     return reduce(DataFrame.unionByName, out)
 
 
-def ablation(golden: DataFrame, marks: DataFrame, chunks: DataFrame, modes: tuple[str, ...] = MODES, k: int = 10, edges: DataFrame | None = None, scorer: Callable = fusion.overlap_scorer) -> DataFrame:
-    """Metrics per mode on the same queries, chunks and anchors (``marks``: query_id, anchor, id); an arm is searched once."""
+def ablation(golden: DataFrame, marks: DataFrame, chunks: DataFrame, modes: tuple[str, ...] = MODES, k: int = 10, edges: DataFrame | None = None, scorer: Callable = fusion.overlap_scorer, vectors: DataFrame | None = None) -> DataFrame:
+    """Metrics per mode on the same queries, chunks and anchors (``marks``: query_id, anchor, id); an arm is searched once.
+    ``vectors``: chunk_id and embedding, where they are stored apart from the chunks."""
     depth = max(k, fusion.ARM_DEPTH)
     names = sorted({x for m in modes for x in _needed(m)})
     golden, marks = graph.cut(golden), graph.cut(marks)
-    made = {x: graph.cut(_arm(x, golden, chunks, depth, edges)) for x in names}
-    out = []
-    for m in modes:
-        ranked = _combined(m, made, golden, chunks, k, depth, scorer).select("query_id", "rank", "id")
-        out.append(metrics.summary(metrics.per_query(ranked, marks)).withColumn("mode", F.lit(m)))
-    return reduce(DataFrame.unionByName, out)
+    made = {x: graph.cut(_arm(x, golden, vectors if x == "near" and vectors is not None else chunks, depth, edges)) for x in names}
+    ids = graph.cut(reduce(DataFrame.unionAll, [a.select(F.col("id").alias("chunk_id")) for a in made.values()]).distinct())
+    ids = F.broadcast(ids) if ids.count() <= MOST_SENT else ids
+    found = graph.cut(chunks.select("chunk_id", "text").join(ids, "chunk_id", "left_semi"))  # what a mode can rerank, once for all
+    # a mode's queries are queries of their own, so that all modes are measured at once
+    every = [_combined(m, made, golden, found, k, depth, scorer).select(F.struct(F.lit(m).alias("mode"), "query_id").alias("query_id"), "rank", "id") for m in modes]
+    own = marks.select(F.explode(F.array(*[F.lit(m) for m in modes])).alias("mode"), "*").select(F.struct("mode", "query_id").alias("query_id"), "anchor", "id")
+    per = metrics.per_query(graph.cut(reduce(DataFrame.unionByName, every)), own)
+    out = metrics.summary(per.withColumn("mode", F.col("query_id.mode")).groupBy("mode"))
+    names = golden.sparkSession.createDataFrame([(m,) for m in modes], "mode string")
+    return names.join(out, "mode", "left").withColumn("n", F.coalesce("n", F.lit(0))).select(*[c for c in out.columns if c != "mode"], "mode")
 
 
 def chunk_packages(nodes: DataFrame, dms: DataFrame, skip_bad: bool = False) -> DataFrame:

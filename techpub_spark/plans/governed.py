@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import normal_quote
-from ..operators import answer, chunking, governance, graph, identity
+from ..operators import answer, chunking, governance, graph, identity, lexical
 from ..session import read_table
 from ..streaming import streams
 from .catalog import register
@@ -200,20 +200,14 @@ d AS (SELECT doc_id, replace(lower(trim(regexp_replace(text, '\s+', ' ', 'g'))),
 SELECT item_id, doc_id FROM q JOIN d ON contains(body, quote) WHERE length(quote) >= 12
 """)
 def quote_validation(spark: SparkSession, sf: str) -> DataFrame:
-    """Documents that quote an item.  Candidates meet on two words inside the quote, an equi-join of keys only;
-    then the exact test.  A quote of fewer than four words, if any, is sought in every body."""
-    q = read_table(spark, sf, "benchmark").select("item_id", normal_quote(F.col("text")).alias("quote")).where(F.char_length("quote") >= answer.SHORTEST_QUOTE)
-    d = read_table(spark, sf, "documents").select("doc_id", normal_quote(F.col("text")).alias("body"))
-    first = F.split("quote", " ")
-    q = q.withColumn("inner", F.when(F.size(first) >= 4, F.concat_ws(" ", F.get(first, 1), F.get(first, 2))))
-    words = F.split("body", " ")
-    pairs = F.array_distinct(F.zip_with(F.slice("w", F.lit(1), F.greatest(F.size("w") - 1, F.lit(0))), F.slice("w", F.lit(2), F.greatest(F.size("w") - 1, F.lit(0))), lambda a, b: F.concat_ws(" ", a, b)))
-    keys = d.select("doc_id", words.alias("w")).select("doc_id", F.explode(pairs).alias("inner")).join(q.where("inner is not null").select("inner", "item_id"), "inner").select("doc_id", "item_id").distinct()
-    long = keys.join(d, "doc_id").join(q.select("item_id", "quote"), "item_id").where(F.contains("body", F.col("quote"))).select("item_id", "doc_id")
-    short = q.where("inner is null")
-    if short.isEmpty():
-        return long
-    return long.unionByName(short.join(d, F.contains("body", F.col("quote"))).select("item_id", "doc_id"))
+    """Documents that quote an item; what is too short for a quote is none."""
+    return holders(spark, sf, answer.SHORTEST_QUOTE)
+
+
+def holders(spark: SparkSession, sf: str, shortest: int = 1) -> DataFrame:
+    """Documents that hold a whole item of at least ``shortest`` characters, both in the form of quotes."""
+    q = read_table(spark, sf, "benchmark").select("item_id", normal_quote(F.col("text")).alias("quote")).where(F.char_length("quote") >= shortest)
+    return lexical.holders(q, read_table(spark, sf, "documents").select("doc_id", normal_quote(F.col("text")).alias("body")))
 
 
 @register("repair_select", """

@@ -35,3 +35,21 @@ def test_bm25_runs_and_blocks(spark, monkeypatch):
     for name, size in (("HELD", 1), ("LOOKED_UP", 2), ("BLOCK_TERMS", 2)):
         monkeypatch.setattr(lexical, name, size)
     assert lexical.bm25(asked, docs, "n", "t", 5).orderBy("query_id", "rank").collect() == whole
+
+
+def test_ablation_asks_every_item(spark, tables):
+    """All items that a document holds, short ones too, in every mode."""
+    rows = catalog.queries()["ablation_modes"](spark, tables).collect()
+    assert len(rows) == 6 and {r.n for r in rows} == {4}
+    assert {r["mode"]: r.recall_10 for r in rows}["bm25"] == 1.0
+
+
+def test_holders_in_blocks(spark, monkeypatch):
+    """Short and long items, a text that has an item's words but not the item, equal ids; the same in blocks."""
+    docs = spark.createDataFrame([(1, "a b c d e f"), (2, "x b c d"), (2, "a b c d"), (3, ""), (4, None), (5, "xa b cy")], "doc_id long, body string")
+    items = spark.createDataFrame([("p", "a b c d"), ("q", "a b c"), ("r", "b c d"), ("r", "z b c d"), ("s", "nowhere at all to see")], "item_id string, quote string")
+    want = [("p", 1), ("p", 2), ("q", 1), ("q", 2), ("q", 5), ("r", 1), ("r", 2), ("r", 2)]
+    assert sorted(tuple(r) for r in lexical.holders(items, docs).collect()) == want
+    monkeypatch.setattr(lexical, "LOOKED_UP", 2)
+    monkeypatch.setattr(lexical, "BLOCK_CHARS", 8)
+    assert sorted(tuple(r) for r in lexical.holders(items, docs).collect()) == want
